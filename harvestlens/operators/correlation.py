@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harvestlens import config
 from harvestlens.functions.columns import round_to
@@ -100,7 +101,7 @@ def student_tail(r: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(r) | (n < 3), np.nan, np.clip(value, 0.0, 1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """p of r from n pairs (A12); runs on one row per (crop, feature)."""
     values = pd.Series(student_tail(r.to_numpy(float, na_value=np.nan), n.to_numpy(float)))

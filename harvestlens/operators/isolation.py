@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harvestlens import config
 from harvestlens.operators import ordered
@@ -134,7 +135,7 @@ def score(df: DataFrame, nodes: DataFrame, group: str, columns: list[str], out:
         forests[name] = (trees, max(expected, 1e-12))
     shared = df.sparkSession.sparkContext.broadcast(forests)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def scored(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
         for names, values in batches:
             x = values.to_numpy(dtype=float)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harvestlens.session import cut
+
 LOOKUP_ROWS = 1_000_000
 HOT_SHARE = 1000
 HOT_SLOTS = 64
@@ -16,14 +18,24 @@ def is_small(df: DataFrame, rows: int = LOOKUP_ROWS) -> bool:
 
 
 def attach(df: DataFrame, lookup: DataFrame, keys: list[str], *, weight: str, how: str = "left",
-           null_safe: bool = False) -> DataFrame:
+           null_safe: bool = False, small: int = LOOKUP_ROWS) -> DataFrame:
     """N:1 join where ``weight`` says how many rows of ``df`` belong to each lookup row.
 
-    Keys that hold more than a thousandth of all rows number fewer than a thousand, so their
-    lookup rows are broadcast and the rows of ``df`` stay where they are; the others are joined by
-    shuffle. Rows of hot keys are spread over slots there, where nothing matches them, so that no
-    task receives them all.
+    The lookup is written out first, so its size is known: a small one is broadcast and no row of
+    ``df`` moves. Otherwise keys that hold more than a thousandth of all rows, which number fewer
+    than a thousand, are broadcast and the rest is joined by shuffle. Rows of those hot keys are spread
+    over slots there, where nothing matches them, so that no task receives them all.
     """
+    lookup = cut(lookup)
+    if lookup.count() <= small:
+        right = F.broadcast(lookup.withColumnsRenamed({k: f"__k_{k}" for k in keys}))
+        if weight in df.columns:
+            right = right.drop(weight)
+        condition = F.lit(True)
+        for k in keys:
+            condition = condition & (
+                F.col(k).eqNullSafe(F.col(f"__k_{k}")) if null_safe else F.col(k) == F.col(f"__k_{k}"))
+        return df.join(right, condition, how).drop(*[f"__k_{k}" for k in keys])
     values = [c for c in lookup.columns if c not in keys]
     total = lookup.agg(F.sum(weight)).scalar()
     ranked = lookup.withColumn("__hot", F.col(weight) * HOT_SHARE > total)

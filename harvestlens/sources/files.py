@@ -53,9 +53,9 @@ def read_daily(spark: SparkSession, folder: str, years: list[int]) -> DataFrame:
     if not found:
         return spark.createDataFrame([], schemas.DAILY_CSV).withColumn("year", F.lit(None).cast("int"))
     raw = spark.read.schema(schemas.DAILY_CSV).csv(list(found.values()))
-    year = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})\.csv", 1).cast("int")
+    year = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4})\.csv", 1).cast("int")
     rows = raw.withColumn("year", year).where(F.col("element").isin(config.DAILY_ELEMENTS))
-    return rows.repartition() if any(p.endswith(".gz") for p in found.values()) else rows
+    return rows.hint("rebalance") if any(p.endswith(".gz") for p in found.values()) else rows
 
 
 def land_daily(spark: SparkSession, folder: str, years: list[int], path: str, *,

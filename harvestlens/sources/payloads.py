@@ -13,7 +13,9 @@ def daily_from_arrays(df: DataFrame, payload: str, keys: list[str]) -> DataFrame
     """Parallel arrays to one row per day; answers without days give no rows."""
     daily = F.from_json(F.col(payload), schemas.ARRAYS_PAYLOAD)["daily"]
     parsed = df.select(*keys, daily.alias("d")).where(F.col("d.time").isNotNull())
-    zipped = F.arrays_zip(*[F.col(f"d.{c}").alias(c) for c in ["time", *schemas.DAILY_ARRAYS]])
+    # A variable that was not asked for is an empty array: zipping pads it with nulls.
+    variables = [F.coalesce(F.col(f"d.{c}"), F.array().cast("array<double>")).alias(c) for c in schemas.DAILY_ARRAYS]
+    zipped = F.arrays_zip(F.col("d.time").alias("time"), *variables)
     return parsed.select(*keys, F.explode(zipped).alias("z")).select(
         *keys, F.col("z.time").try_cast("date").alias("date"), *[F.col(f"z.{c}").alias(c) for c in schemas.DAILY_ARRAYS])
 
