@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -51,13 +55,22 @@ def fit(train: DataFrame, features: list[str], *, target: str = "yield_bu_ac", p
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol=VECTOR), booster]).fit(rows)
 
 
+def side_by_side(spark: SparkSession, work: Callable[[Any], Any], items: list, at_once: int = 4) -> list:
+    """Independent fits submitted together: the many short jobs of one leave executors idle."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
 def fit_crops(df: DataFrame, features: list[str], *, crops: list[str] = config.CROPS,
               train_years: list[int] = config.TRAIN_YEARS, crop: str = "commodity_name",
               target: str = "yield_bu_ac", params: dict | None = None) -> dict[str, CropModel]:
     """One model per listed crop on its training years (M1)."""
     train = df.where(F.col("year").isin(train_years))
-    return {name: CropModel(name, fit(train.where(F.col(crop) == name), features, target=target, params=params))
-            for name in crops}
+
+    def one(name: str) -> CropModel:
+        return CropModel(name, fit(train.where(F.col(crop) == name), features, target=target, params=params))
+
+    return dict(zip(crops, side_by_side(df.sparkSession, one, crops)))
 
 
 def contiguous_folds(df: DataFrame, order: list[Column], k: int = 5, out: str = "fold", *,
@@ -75,12 +88,13 @@ def cross_validate(df: DataFrame, features: list[str], order: list[Column], *, t
     """R² per fold (M2), each from a model fitted on the other folds."""
     rows = df.where(complete(features) & F.col(target).isNotNull())
     folds = cut(contiguous_folds(rows, order, k))
-    scores = []
-    for i in range(k):
+
+    def one(i: int) -> DataFrame:
         model = fit(folds.where(F.col("fold") != i), features, target=target, params=params)
         scored = model.transform(folds.where(F.col("fold") == i))
-        scores.append(reports.regression_metrics(scored, target, PREDICTION).select(F.lit(i).alias("fold"), "n", "r2"))
-    return reports.union_all(*scores)
+        return reports.regression_metrics(scored, target, PREDICTION).select(F.lit(i).alias("fold"), "n", "r2")
+
+    return reports.union_all(*side_by_side(df.sparkSession, one, list(range(k))))
 
 
 def cv_summary(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -19,13 +19,18 @@ def group_stats(df: DataFrame, keys: list[str], value: str, *, mean: str = "mean
         F.max(value).alias(high), F.count(value).alias(count))
 
 
-def with_group_stats(df: DataFrame, keys: list[str], value: str, names: dict[str, str]) -> DataFrame:
-    """Group statistics on every row (J2): aggregated with map-side combining, then joined back."""
+def with_aggregates(df: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> DataFrame:
+    """Group aggregates on every row: combined on the map side, then joined back; null keys get nulls."""
     stats = df.na.drop(subset=keys).groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
-        F.max(value).alias("max"), F.count(value).alias("count"), F.count("*").alias("__weight"))
-    kept = stats.select(*keys, *[F.col(k).alias(v) for k, v in names.items()], "__weight")
-    return attach(df, kept, keys, weight="__weight").drop("__weight")
+        *[a.alias(name) for name, a in aggregates.items()], F.count("*").alias("__weight"))
+    return attach(df, stats, keys, weight="__weight").drop("__weight")
+
+
+def with_group_stats(df: DataFrame, keys: list[str], value: str, names: dict[str, str]) -> DataFrame:
+    """Chosen statistics of a column on every row."""
+    known = {"mean": F.avg(value), "std": F.stddev_samp(value), "min": F.min(value), "max": F.max(value),
+             "count": F.count(value)}
+    return with_aggregates(df, keys, {out: known[name] for name, out in names.items()})
 
 
 def group_zscore(df: DataFrame, keys: list[str], value: str, out: str, *, epsilon: float = 0.0,

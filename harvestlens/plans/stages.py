@@ -37,13 +37,15 @@ def derive_indices(seasons: DataFrame, *, key: str = "fips", order: str = "year"
     present = [c for c in config.IMPUTED_COLUMNS if c in seasons.columns]
     whole = windows.fill_gaps(
         seasons.withColumns({c: F.col(c).cast("double") for c in present}), [key], [F.col(order)], present)
-    scored = windows.group_zscore(whole, [key], "precip_total_mm", "precip_z", epsilon=config.Z_EPSILON)
-    topped = windows.group_max(scored, [key], "gdd_base10", "__top_gdd")
+    rain = "precip_total_mm"
+    known = windows.with_aggregates(whole, [key], {
+        "__mean": F.avg(rain), "__std": F.stddev_samp(rain), "__top_gdd": F.max("gdd_base10")})
     et0 = agronomy.et0_estimate(F.col("tmax_mean_c"), F.col("tmin_mean_c"), F.col("tavg_mean_c"))
-    return topped.withColumn("et0_estimate_mm", et0).withColumns({
-        "cwsi": agronomy.water_stress(F.col("et0_estimate_mm"), F.col("precip_total_mm")),
+    return known.withColumn("et0_estimate_mm", et0).withColumns({
+        "precip_z": (F.col(rain) - F.col("__mean")) / (F.col("__std") + config.Z_EPSILON),
+        "cwsi": agronomy.water_stress(F.col("et0_estimate_mm"), F.col(rain)),
         "heat_fraction": agronomy.heat_share(F.col("heat_stress_days"), F.col("__top_gdd")),
-    }).drop("__top_gdd")
+    }).drop("__mean", "__std", "__top_gdd")
 
 
 def located_counties(yields: DataFrame) -> DataFrame:

@@ -199,7 +199,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged rows with all flags set by rules that any engine can repeat: the model is the yearly crop mean."""
     from harvestlens.operators import layers
 
-    rows = merged(spark, sf_dir)
+    rows = cut(merged(spark, sf_dir))  # read four times below
     base = windows.with_group_stats(rows, ["commodity_name", "year"], "yield_bu_ac", {"mean": "xgb_predicted_yield"})
     gaps = base.withColumn("xgb_residual", F.col("yield_bu_ac") - F.col("xgb_predicted_yield"))
     flagged = layers.flag_residuals(gaps)
