@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from harvestlens import config
 from harvestlens.functions.columns import round_to
 from harvestlens.operators import ordered
 from harvestlens.operators.joins import attach
+from harvestlens.session import cut
 
 
 def long_pairs(df: DataFrame, group: str, target: str, features: list[str]) -> DataFrame:
@@ -47,16 +48,21 @@ def spearman(df: DataFrame, group: str, target: str, features: list[str], *,
              task_rows: int = ordered.TASK_ROWS) -> DataFrame:
     """n and Spearman r per (crop, feature): Pearson of average-ties ranks on the same complete pairs.
 
-    Ranks are found per distinct value by running sums, so a crop with a third of all rows
-    is never ordered in one task.
+    Where a group is too large for one task, ranks are found per distinct value by running sums.
     """
     keys = ["crop", "feature"]
-    pairs = long_pairs(df, group, target, features)
+    pairs = cut(long_pairs(df, group, target, features))
+    _, largest = ordered.group_profile(pairs, keys)
     ranked = pairs
     for side in ("x", "y"):
-        counts = pairs.groupBy(*keys, side).agg(F.sum("w").alias("__copies"), F.count("*").alias("__weight"))
-        ranks = ordered.average_ranks(counts, keys, side, f"r{side}", task_rows=task_rows).drop("__copies")
-        ranked = attach(ranked, ranks, [*keys, side], weight="__weight").drop("__weight")
+        if largest <= task_rows:
+            w = Window.partitionBy(*keys).orderBy(side)
+            peers = F.sum("w").over(w.rangeBetween(Window.currentRow, Window.currentRow))
+            ranked = ranked.withColumn(f"r{side}", F.sum("w").over(w) - (peers - 1) / 2.0)
+        else:
+            counts = pairs.groupBy(*keys, side).agg(F.sum("w").alias("__copies"), F.count("*").alias("__weight"))
+            ranks = ordered.average_ranks(counts, keys, side, f"r{side}", task_rows=task_rows).drop("__copies")
+            ranked = attach(ranked, ranks, [*keys, side], weight="__weight").drop("__weight")
     rx, ry, w = F.col("rx"), F.col("ry"), F.col("w")
     sums = ranked.groupBy(*keys).agg(
         F.sum("w").alias("n"), F.sum(w * rx).alias("sx"), F.sum(w * rx * rx).alias("sxx"),

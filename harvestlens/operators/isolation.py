@@ -104,7 +104,9 @@ def grow_forest(samples: DataFrame, group: str, columns: list[str], seed: int) -
         out.insert(0, "grp", pdf[group].iloc[0])
         return out
 
-    return samples.groupBy(group, "tree").applyInPandas(
+    # The samples are few bytes but much work, so their tasks are not merged by size.
+    spread = samples.repartition(samples.sparkSession.sparkContext.defaultParallelism, group, "tree")
+    return spread.groupBy(group, "tree").applyInPandas(
         one, f"grp {kind}, tree int, rows int, node int, left int, right int, feature int, threshold double, path double")
 
 

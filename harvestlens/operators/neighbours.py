@@ -1,10 +1,11 @@
 """Nearest county of every point (J4), as two equi-joins on a pyramid of grid cells.
 
-Cells double in size from level to level. For a point the finest level is found at which its own
-or one of the eight cells around holds a site; a site is then at most 2·sqrt(2) cell widths away, and two
-levels up the nine cells reach at least four of the finer widths. So the sites in those nine cells
-surely include the nearest. A point meets only the sites of its own neighbourhood; the level that
-spans everything is reached only by points that lie farther out than the sites are wide.
+Cells double in size from level to level, and every filled cell of a level knows one of its sites. A point
+first finds the finest level at which a cell around it is filled; the distance to the known site there
+bounds the distance to the nearest one. It then meets the sites of the nine cells around it at the finest
+level whose cells are at least that wide, which surely include the nearest. So a point meets only the
+sites of its own neighbourhood; the level that spans everything is reached only by points that lie
+farther out than the sites are wide.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens.operators.joins import is_small, lookup_join
+from harvestlens.session import cut
 
 
 def _cells(lat: Column, lon: Column, width: Column, around: bool) -> Column:
@@ -45,29 +47,37 @@ def nearest(points: DataFrame, sites: DataFrame, *, site_key: str = "fips", lat:
         F.col(lat).alias("plat"), F.col(lon).alias("plon")).distinct()
     n, site_extent = _extent(sites)
     _, extent = _extent(sites.select("lat", "lon").unionByName(places.toDF("lat", "lon")))
-    base = site_extent / (4.0 * math.sqrt(max(n, 1)))
+    base = site_extent / (4.0 * max(n, 1))  # fine enough for sites along a line
     # At the top level one cell is as wide as everything, so every point finds a site.
     top = math.ceil(math.log2(extent / base)) + 1
+    top += top % 2
 
-    def level_width(level: Column) -> Column:
+    def width(level: Column) -> Column:
         return F.lit(base) * F.pow(F.lit(2.0), level.cast("double"))
 
-    def explode_levels(df: DataFrame, last: int) -> DataFrame:
-        return df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(last))))
-
-    # Every site appears once per level it can be asked for (two more for the candidates).
-    celled = explode_levels(sites, top + 2).withColumn(
-        "cell", _cells(F.col("lat"), F.col("lon"), level_width(F.col("level")), False)[0])
-    filled = celled.select("level", "cell").distinct()
-    asked = explode_levels(places, top).withColumn(
-        "cell", F.explode(_cells(F.col("plat"), F.col("plon"), level_width(F.col("level")), True)))
-    small = is_small(filled)
-    found = asked.join(F.broadcast(filled) if small else filled, ["level", "cell"], "left_semi").groupBy(
-        "plat", "plon").agg((F.min("level") + 2).alias("level"))
-    candidates = found.withColumn(
-        "cell", F.explode(_cells(F.col("plat"), F.col("plon"), level_width(F.col("level")), True)))
-    distance = F.pow(F.col("lat") - F.col("plat"), F.lit(2)) + F.pow(F.col("lon") - F.col("plon"), F.lit(2))
-    near = candidates.join(F.broadcast(celled) if small and is_small(celled) else celled, ["level", "cell"]).groupBy(
-        "plat", "plon").agg(F.min(F.struct(distance.alias("d"), F.col("__key").alias("k"))).alias("best"))
-    best = near.select(F.col("plat").alias(lat), F.col("plon").alias(lon), F.col("best")["k"].alias(out))
-    return lookup_join(points, best, [lat, lon], "left")
+    def square(plat: str, plon: str) -> Column:
+        return F.pow(F.col("lat") - F.col(plat), F.lit(2)) + F.pow(F.col("lon") - F.col(plon), F.lit(2))
+
+    def around(df: DataFrame) -> DataFrame:
+        return df.withColumn("cell", F.explode(_cells(F.col("plat"), F.col("plon"), width(F.col("level")), True)))
+
+    celled = cut(sites.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top + 1)))).withColumn(
+        "cell", _cells(F.col("lat"), F.col("lon"), width(F.col("level")), False)[0]))
+    filled = celled.where("level % 2 = 0").groupBy("level", "cell").agg(
+        F.min(F.struct("lat", "lon")).alias("site")).select("level", "cell", "site.lat", "site.lon")
+    small = is_small(celled)
+
+    def meet(df: DataFrame, cells: DataFrame) -> DataFrame:
+        return around(df).join(F.broadcast(cells) if small else cells, ["level", "cell"])
+
+    asked = places.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top), F.lit(2))))
+    bound = meet(asked, filled).groupBy("plat", "plon").agg(
+        F.min(F.struct("level", square("plat", "plon").alias("d2"))).alias("near"))
+    # A little wider than the bound, so that rounding cannot lose the site that set it.
+    reach = F.sqrt(F.col("near.d2")) * (1 + 1e-9) / base
+    level = F.when(reach <= 1, F.lit(0)).otherwise(F.ceil(F.log2(reach))).cast("int")
+    wide = bound.select("plat", "plon", F.least(level, F.lit(top + 1)).alias("level"))
+    best = meet(wide, celled).groupBy("plat", "plon").agg(
+        F.min(F.struct(square("plat", "plon").alias("d2"), F.col("__key").alias("key"))).alias("best"))
+    found = best.select(F.col("plat").alias(lat), F.col("plon").alias(lon), F.col("best.key").alias(out))
+    return lookup_join(points, found, [lat, lon], "left")

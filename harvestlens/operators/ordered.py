@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from harvestlens.operators.joins import attach
@@ -51,12 +51,14 @@ def _null_safe(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], measures: dict[str, Column], *,
-            task_rows: int = TASK_ROWS) -> DataFrame:
+            task_rows: int = TASK_ROWS, bound: int | None = None) -> DataFrame:
     """Add, per measure, its sum over the rows that come earlier in the group (0 for the first).
 
-    ``order`` must rank the rows of a group without ties that matter.
+    ``order`` must rank the rows of a group without ties that matter. ``bound`` is a row count of ``df`` that
+    is known already; when it is small, no group needs to be measured.
     """
-    total, largest = group_profile(df, keys)
+    small = bound is not None and bound <= task_rows
+    total, largest = (bound, bound) if small else group_profile(df, keys)
     if largest <= task_rows:
         before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({
@@ -83,6 +85,13 @@ def positions(df: DataFrame, keys: list[str], order: list[Column], out: str = "p
     return running(df, keys, order, {out: F.lit(1).cast("long")}, task_rows=task_rows)
 
 
+def _so_far(group: WindowSpec, order: str, backwards: bool = False) -> WindowSpec:
+    """Frame from one end of the group to the row. Looking ahead is looking back in the opposite
+    order: a frame that ends at the last row would be computed anew for every row."""
+    by = F.col(order).desc() if backwards else F.col(order)
+    return group.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def nearest_known(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], *,
                   task_rows: int = TASK_ROWS) -> DataFrame:
     """Add ``__pos`` and, per column, the closest non-null (position, value) at or before and at or after."""
@@ -91,28 +100,25 @@ def nearest_known(df: DataFrame, keys: list[str], order: list[Column], columns:
 
     total, largest = group_profile(df, keys)
     if largest <= task_rows:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        back = w.rowsBetween(Window.unboundedPreceding, 0)
-        ahead = w.rowsBetween(0, Window.unboundedFollowing)
-        ranked = df.withColumn("__pos", F.row_number().over(w).cast("long"))
-        return ranked.withColumns(
-            {f"__prev_{c}": F.last(marks(F.col("__pos"), c), True).over(back) for c in columns}
-            | {f"__next_{c}": F.first(marks(F.col("__pos"), c), True).over(ahead) for c in columns}
-        )
+        w = Window.partitionBy(*keys)
+        ranked = df.withColumn("__pos", F.row_number().over(w.orderBy(*order)).cast("long"))
+        return ranked.withColumns({
+            f"__{side}_{c}": F.last(marks(F.col("__pos"), c), True).over(frame)
+            for side, frame in (("prev", _so_far(w, "__pos")), ("next", _so_far(w, "__pos", backwards=True)))
+            for c in columns
+        })
     blocks = _blocks(df, keys, order, total, task_rows)
-    w = Window.partitionBy(BLOCK, *keys).orderBy(*order)
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    local = blocks.withColumn("__lp", F.row_number().over(w).cast("long"))
+    w = Window.partitionBy(BLOCK, *keys)
+    local = blocks.withColumn("__lp", F.row_number().over(w.orderBy(*order)).cast("long"))
     # Structs compare by position first, so min and max give the first and last known value.
     summary = local.groupBy(BLOCK, *keys).agg(
         F.count("*").alias("__n"),
         *[F.min(marks(F.col("__lp"), c)).alias(f"__f_{c}") for c in columns],
         *[F.max(marks(F.col("__lp"), c)).alias(f"__t_{c}") for c in columns],
     )
-    by_block = Window.partitionBy(*keys).orderBy(BLOCK)
-    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    later = by_block.rowsBetween(1, Window.unboundedFollowing)
+    by_group = Window.partitionBy(*keys)
+    earlier = by_group.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    later = by_group.orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     spanning = summary.withColumns({
         "__off": F.coalesce(F.sum("__n").over(earlier), F.lit(0)),
         "__blocks": F.count("*").over(Window.partitionBy(*keys)),
@@ -125,12 +131,13 @@ def nearest_known(df: DataFrame, keys: list[str], order: list[Column], columns:
     carry = spanning.select(
         BLOCK, *keys, "__off",
         *[F.last(shifted(f"__t_{c}"), True).over(earlier).alias(f"__cp_{c}") for c in columns],
-        *[F.first(shifted(f"__f_{c}"), True).over(later).alias(f"__cn_{c}") for c in columns],
-    )
-    local = local.withColumns(
-        {f"__lb_{c}": F.last(marks(F.col("__lp"), c), True).over(back) for c in columns}
-        | {f"__la_{c}": F.first(marks(F.col("__lp"), c), True).over(ahead) for c in columns}
+        *[F.last(shifted(f"__f_{c}"), True).over(later).alias(f"__cn_{c}") for c in columns],
     )
+    local = local.withColumns({
+        f"__{side}_{c}": F.last(marks(F.col("__lp"), c), True).over(frame)
+        for side, frame in (("lb", _so_far(w, "__lp")), ("la", _so_far(w, "__lp", backwards=True)))
+        for c in columns
+    })
     joined = _null_safe(local, carry, keys).withColumn("__off", F.coalesce("__off", F.lit(0)))
     out = joined.withColumns(
         {"__pos": F.col("__lp") + F.col("__off")}
@@ -146,9 +153,9 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def average_ranks(counts: DataFrame, keys: list[str], value: str, out: str, *, copies: str = "__copies",
-                  task_rows: int = TASK_ROWS) -> DataFrame:
+                  task_rows: int = TASK_ROWS, bound: int | None = None) -> DataFrame:
     """Average-ties rank of every distinct value, from (keys, value, copies)."""
-    ranked = running(counts, keys, [F.col(value)], {"__before": F.col(copies)}, task_rows=task_rows)
+    ranked = running(counts, keys, [F.col(value)], {"__before": F.col(copies)}, task_rows=task_rows, bound=bound)
     return ranked.withColumn(out, F.col("__before") + (F.col(copies) + 1) / 2.0).drop("__before")
 
 
