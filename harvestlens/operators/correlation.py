@@ -17,14 +17,13 @@ from harvestlens.session import cut
 
 
 def long_pairs(df: DataFrame, group: str, target: str, features: list[str]) -> DataFrame:
-    """Distinct complete (group, feature, x, y) with their number of rows, combined before the shuffle."""
+    """Complete pairs as (crop, feature, x, y), one row per row and feature."""
     pairs = F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("y")) for f in features]))
     return (
         df.where(F.col(target).isNotNull())
         .select(F.col(group).alias("crop"), F.col(target).cast("double").alias("x"), pairs.alias("p"))
         .select("crop", "p.feature", "x", "p.y").where(F.col("y").isNotNull())
-        .groupBy("crop", "feature", "x", "y").agg(F.count("*").alias("w"))
     )
 
 
@@ -57,16 +56,15 @@ def spearman(df: DataFrame, group: str, target: str, features: list[str], *,
     for side in ("x", "y"):
         if largest <= task_rows:
             w = Window.partitionBy(*keys).orderBy(side)
-            peers = F.sum("w").over(w.rangeBetween(Window.currentRow, Window.currentRow))
-            ranked = ranked.withColumn(f"r{side}", F.sum("w").over(w) - (peers - 1) / 2.0)
+            peers = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
+            ranked = ranked.withColumn(f"r{side}", F.rank().over(w) + (peers - 1) / 2.0)
         else:
-            counts = pairs.groupBy(*keys, side).agg(F.sum("w").alias("__copies"), F.count("*").alias("__weight"))
-            ranks = ordered.average_ranks(counts, keys, side, f"r{side}", task_rows=task_rows).drop("__copies")
-            ranked = attach(ranked, ranks, [*keys, side], weight="__weight").drop("__weight")
-    rx, ry, w = F.col("rx"), F.col("ry"), F.col("w")
+            counts = ordered.value_counts(pairs, keys, side)
+            ranks = ordered.average_ranks(counts, keys, side, f"r{side}", task_rows=task_rows)
+            ranked = attach(ranked, ranks, [*keys, side], weight="__copies").drop("__copies")
+    rx, ry = F.col("rx"), F.col("ry")
     sums = ranked.groupBy(*keys).agg(
-        F.sum("w").alias("n"), F.sum(w * rx).alias("sx"), F.sum(w * rx * rx).alias("sxx"),
-        F.sum(w * ry * ry).alias("syy"), F.sum(w * rx * ry).alias("sxy"))
+        F.count("*").alias("n"), F.sum(rx * rx).alias("sxx"), F.sum(ry * ry).alias("syy"), F.sum(rx * ry).alias("sxy"))
     n, mean = F.col("n"), (F.col("n") + 1) / 2.0  # the mean rank is known
     cov = F.col("sxy") - n * mean * mean
     spread = F.sqrt(F.col("sxx") - n * mean * mean) * F.sqrt(F.col("syy") - n * mean * mean)

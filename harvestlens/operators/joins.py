@@ -72,6 +72,7 @@ def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "l
                 rows: int = LOOKUP_ROWS) -> DataFrame:
     """N:1 equi-join; the lookup is broadcast only when it was counted to be small.
 
+    The lookup is read twice, so it should be a table or cut.
     A larger lookup is shuffled with the rows counted per key first, so hot keys are split.
     """
     if how in ("left_semi", "left_anti"):
@@ -102,7 +103,7 @@ def map_rows(df: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
 
 def not_done(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work rows with no finished counterpart."""
-    return lookup_join(work, done.select(*keys).distinct(), keys, "left_anti")
+    return lookup_join(work, cut(done.select(*keys).distinct()), keys, "left_anti")
 
 
 def work_list(locations: DataFrame, years: list[int], *, key: str = "fips") -> DataFrame:

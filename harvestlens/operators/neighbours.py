@@ -80,4 +80,4 @@ def nearest(points: DataFrame, sites: DataFrame, *, site_key: str = "fips", lat:
     best = meet(wide, celled).groupBy("plat", "plon").agg(
         F.min(F.struct(square("plat", "plon").alias("d2"), F.col("__key").alias("key"))).alias("best"))
     found = best.select(F.col("plat").alias(lat), F.col("plon").alias(lon), F.col("best.key").alias(out))
-    return lookup_join(points, found, [lat, lon], "left")
+    return lookup_join(points, cut(found), [lat, lon], "left")

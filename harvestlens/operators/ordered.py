@@ -51,14 +51,12 @@ def _null_safe(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], measures: dict[str, Column], *,
-            task_rows: int = TASK_ROWS, bound: int | None = None) -> DataFrame:
+            task_rows: int = TASK_ROWS) -> DataFrame:
     """Add, per measure, its sum over the rows that come earlier in the group (0 for the first).
 
-    ``order`` must rank the rows of a group without ties that matter. ``bound`` is a row count of ``df`` that
-    is known already; when it is small, no group needs to be measured.
+    ``order`` must rank the rows of a group without ties that matter.
     """
-    small = bound is not None and bound <= task_rows
-    total, largest = (bound, bound) if small else group_profile(df, keys)
+    total, largest = group_profile(df, keys)
     if largest <= task_rows:
         before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({
@@ -93,12 +91,15 @@ def _so_far(group: WindowSpec, order: str, backwards: bool = False) -> WindowSpe
 
 
 def nearest_known(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], *,
-                  task_rows: int = TASK_ROWS) -> DataFrame:
-    """Add ``__pos`` and, per column, the closest non-null (position, value) at or before and at or after."""
+                  task_rows: int = TASK_ROWS, bound: int | None = None) -> DataFrame:
+    """Add ``__pos`` and, per column, the closest non-null (position, value) at or before and at or after.
+
+    ``bound`` is a row count of ``df`` known already; when it is small, no group needs to be measured.
+    """
     def marks(pos: Column, c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(pos.alias("p"), F.col(c).alias("v")))
 
-    total, largest = group_profile(df, keys)
+    total, largest = (bound, bound) if bound is not None and bound <= task_rows else group_profile(df, keys)
     if largest <= task_rows:
         w = Window.partitionBy(*keys)
         ranked = df.withColumn("__pos", F.row_number().over(w.orderBy(*order)).cast("long"))
@@ -153,9 +154,9 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def average_ranks(counts: DataFrame, keys: list[str], value: str, out: str, *, copies: str = "__copies",
-                  task_rows: int = TASK_ROWS, bound: int | None = None) -> DataFrame:
+                  task_rows: int = TASK_ROWS) -> DataFrame:
     """Average-ties rank of every distinct value, from (keys, value, copies)."""
-    ranked = running(counts, keys, [F.col(value)], {"__before": F.col(copies)}, task_rows=task_rows, bound=bound)
+    ranked = running(counts, keys, [F.col(value)], {"__before": F.col(copies)}, task_rows=task_rows)
     return ranked.withColumn(out, F.col("__before") + (F.col(copies) + 1) / 2.0).drop("__before")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,16 @@ def group_stats(df: DataFrame, keys: list[str], value: str, *, mean: str = "mean
         F.max(value).alias(high), F.count(value).alias(count))
 
 
-def with_aggregates(df: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> DataFrame:
-    """Group aggregates on every row: combined on the map side, then joined back; null keys get nulls."""
+def with_aggregates(df: DataFrame, keys: list[str], aggregates: dict[str, Column], *,
+                    bound: int | None = None) -> DataFrame:
+    """Group aggregates on every row: combined on the map side, then joined back; null keys get nulls.
+
+    A table whose row count ``bound`` is known to fit one task is windowed instead.
+    """
+    if bound is not None and bound <= ordered.TASK_ROWS:
+        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        w = Window.partitionBy(*keys)
+        return df.withColumns({name: F.when(known, a.over(w)) for name, a in aggregates.items()})
     stats = df.na.drop(subset=keys).groupBy(*keys).agg(
         *[a.alias(name) for name, a in aggregates.items()], F.count("*").alias("__weight"))
     return attach(df, stats, keys, weight="__weight").drop("__weight")
@@ -47,9 +57,9 @@ def group_max(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame
 
 
 def fill_gaps(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], *,
-              task_rows: int = ordered.TASK_ROWS) -> DataFrame:
+              task_rows: int = ordered.TASK_ROWS, bound: int | None = None) -> DataFrame:
     """Linear by row position inside, nearest value at both ends; all-null stays null."""
-    near = ordered.nearest_known(df, keys, order, columns, task_rows=task_rows)
+    near = ordered.nearest_known(df, keys, order, columns, task_rows=task_rows, bound=bound)
 
     def filled(c: str) -> Column:
         before, after, at = F.col(f"__prev_{c}"), F.col(f"__next_{c}"), F.col("__pos")

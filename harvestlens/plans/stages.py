@@ -33,13 +33,18 @@ def yield_statistics(rows: DataFrame, keys: tuple[str, ...] = BAND, value: str =
 
 
 def derive_indices(seasons: DataFrame, *, key: str = "fips", order: str = "year") -> DataFrame:
-    """Fill gaps along the years, then rain score, evapotranspiration, stress and heat share."""
+    """Fill gaps along the years, then rain score, evapotranspiration, stress and heat share.
+
+    ``seasons`` is a written table with one row per county and year; its count decides the plan.
+    """
+    bound = seasons.count()
     present = [c for c in config.IMPUTED_COLUMNS if c in seasons.columns]
     whole = windows.fill_gaps(
-        seasons.withColumns({c: F.col(c).cast("double") for c in present}), [key], [F.col(order)], present)
+        seasons.withColumns({c: F.col(c).cast("double") for c in present}), [key], [F.col(order)], present, bound=bound)
     rain = "precip_total_mm"
     known = windows.with_aggregates(whole, [key], {
-        "__mean": F.avg(rain), "__std": F.stddev_samp(rain), "__top_gdd": F.max("gdd_base10")})
+        "__mean": F.avg(rain), "__std": F.stddev_samp(rain), "__top_gdd": F.max("gdd_base10")},
+        bound=bound)
     et0 = agronomy.et0_estimate(F.col("tmax_mean_c"), F.col("tmin_mean_c"), F.col("tavg_mean_c"))
     return known.withColumn("et0_estimate_mm", et0).withColumns({
         "precip_z": (F.col(rain) - F.col("__mean")) / (F.col("__std") + config.Z_EPSILON),

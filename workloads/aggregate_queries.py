@@ -149,7 +149,20 @@ def a11(spark, d):
     return rounded(correlation.spearman(b.merged(spark, d), "commodity_name", "yield_bu_ac", b.ACTIVE), ["r"])
 
 
-@query("a12_correlation_table")
+def p_sql(r: str, n: str) -> str:
+    """Two-sided Student-t p by Simpson's rule over 2,000 steps."""
+    return f"""(SELECT 1 - 2 * exp(lgamma(({n} - 1) / 2.0) - lgamma(({n} - 2) / 2.0)) / sqrt(({n} - 2) * pi()) * t / 6000
+   * sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+         * (1 + (t * i / 2000.0) ** 2 / ({n} - 2)) ** (-({n} - 1) / 2.0))
+   FROM (SELECT abs({r}) * sqrt(({n} - 2) / (1 - {r} ** 2)) AS t, unnest(range(2001)) AS i) GROUP BY t)"""
+
+
+@query("a12_correlation_table", b.WM.rstrip() + ", linear AS (" + pearson_sql(b.ACTIVE) + ")"
+       + spearman_sql(b.ACTIVE).replace("SELECT crop, feature, count(*) AS n,", ", s AS (SELECT crop, feature,").replace(R("corr(rx, ry)", 6), "corr(rx, ry)")
+       + f""")
+SELECT crop, feature, {R("linear.r", 3)} AS pearson_r, {R(p_sql("linear.r", "n"), 4)} AS pearson_p, {R("s.r", 3)} AS spearman_r,
+       {R(p_sql("s.r", "n"), 4)} AS spearman_p, {R("abs(linear.r)", 6)} AS abs_pearson
+FROM linear JOIN s USING (crop, feature) WHERE n >= 20""")
 def a12(spark, d):
     table = correlation.correlations(b.merged(spark, d), b.ACTIVE, groups=b.CROPS)
     return rounded(table, ["abs_pearson"])

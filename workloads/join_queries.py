@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import round_to
 from harvestlens.operators import joins, neighbours, season, windows
+from harvestlens.session import cut
 from workloads import bases as b
 from workloads.bases import R
 from workloads.registry import query
@@ -128,7 +129,7 @@ SELECT obs_id, anomaly_type, CASE WHEN is_anomaly THEN anomaly_type || ' in ' ||
 def j8(spark, d):
     rows = b.scored(spark, d)
     notes = rows.where("is_anomaly").select("obs_id", F.concat("anomaly_type", F.lit(" in "), F.col("year").cast("string")).alias("note"))
-    return joins.lookup_join(rows, notes, ["obs_id"], "left").select("obs_id", "anomaly_type", "note")
+    return joins.lookup_join(rows, cut(notes), ["obs_id"], "left").select("obs_id", "anomaly_type", "note")
 
 
 @query("j9_not_done", b.with_(b.YIELDS) + """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from harvestlens import config
 from harvestlens.functions import agronomy, columns, labels
 from harvestlens.operators import correlation, joins, reports
+from harvestlens.session import cut
 from workloads import bases as b
 from workloads.bases import R, T
 from workloads.registry import query
@@ -295,7 +296,7 @@ FROM merged WHERE yield_bu_ac IS NOT NULL AND {f} IS NOT NULL GROUP BY commodity
 @query("p31_effect_direction", b.WM.rstrip() + ", r AS (" + pearson_sql(b.ACTIVE) + """)
 SELECT crop, feature, CASE WHEN r < 0 THEN 'reduces yield' ELSE 'increases yield' END AS effect FROM r""")
 def p31(spark, d):
-    corr = correlation.pearson(b.merged(spark, d), "commodity_name", "yield_bu_ac", b.ACTIVE)
+    corr = cut(correlation.pearson(b.merged(spark, d), "commodity_name", "yield_bu_ac", b.ACTIVE))
     ranked = corr.select("crop", "feature", (F.abs("r") * 2).alias("importance"))
     signs = corr.select("crop", "feature", "r")
     both = joins.lookup_join(ranked, signs, ["crop", "feature"], "left")
