@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harvestlens.session import cut
 
-LOOKUP_ROWS = 1_000_000
+LOOKUP_ROWS = 500_000
 HOT_SHARE = 1000
 HOT_SLOTS = 64
 

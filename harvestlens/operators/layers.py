@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from harvestlens import config
 from harvestlens.functions import labels
-from harvestlens.operators import attribution, boosting, isolation, reports, windows
+from harvestlens.operators import attribution, boosting, reports, windows
+from harvestlens.session import cut
 
 
 def baseline_layer(df: DataFrame, *, keys: tuple[str, ...] = ("fips", "commodity_name"), value: str = "yield_bu_ac",
@@ -26,7 +27,8 @@ def residual_layer(df: DataFrame, models: dict[str, boosting.CropModel], *, keys
         return without_residuals(df)
     predicted = boosting.predict(df, models, crop=crop)
     gaps = predicted.withColumn("xgb_residual", labels.residual(F.col(value), F.col("xgb_predicted_yield")))
-    return flag_residuals(gaps, keys=keys, threshold=threshold)
+    # Hundreds of trees per row are walked once, not once for each pass over the residuals.
+    return flag_residuals(cut(gaps), keys=keys, threshold=threshold)
 
 
 def flag_residuals(gaps: DataFrame, *, keys: tuple[str, ...] = ("fips", "commodity_name"),

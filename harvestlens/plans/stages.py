@@ -110,7 +110,7 @@ def anomaly_table(spark: SparkSession, merged: DataFrame, folder: str, *, crops:
                   drop_incomplete: bool = False, fmt: str = "parquet") -> dict[str, DataFrame]:
     """Entry 3: three layers over the merged table; ``scored`` has every row, ``anomalies`` the flagged ones."""
     models = boosting.load(spark, f"{folder}/models", crops)
-    rows = layers.residual_layer(layers.baseline_layer(merged), models)
+    rows = layers.baseline_layer(layers.residual_layer(merged, models))
     inputs = ["xgb_residual"] if models else [*active_features(merged, config.WEATHER_FEATURES), "yield_bu_ac"]
     isolated = isolation.isolation_layer(
         rows, inputs, list(key), groups=crops, trees=trees, drop_incomplete=drop_incomplete)

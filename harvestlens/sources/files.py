@@ -46,16 +46,15 @@ def find_year_files(spark: SparkSession, folder: str, years: list[int]) -> tuple
 def read_daily(spark: SparkSession, folder: str, years: list[int]) -> DataFrame:
     """Raw daily rows of the year files that exist, with the year of the file name.
 
-    A gzip file is read by one task, so the rows are spread over all tasks before anything else;
-    they are spread at random, as one station may hold a large share of them.
+    A gzip file is read by one task. The rows are not spread first: the aggregate by station and day
+    that follows combines them in that task and spreads what is left. ``land_daily`` gives a splittable copy.
     """
     found, _ = find_year_files(spark, folder, years)
     if not found:
         return spark.createDataFrame([], schemas.DAILY_CSV).withColumn("year", F.lit(None).cast("int"))
     raw = spark.read.schema(schemas.DAILY_CSV).csv(list(found.values()))
     year = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4})\.csv", 1).cast("int")
-    rows = raw.withColumn("year", year).where(F.col("element").isin(config.DAILY_ELEMENTS))
-    return rows.hint("rebalance") if any(p.endswith(".gz") for p in found.values()) else rows
+    return raw.withColumn("year", year).where(F.col("element").isin(config.DAILY_ELEMENTS))
 
 
 def land_daily(spark: SparkSession, folder: str, years: list[int], path: str, *,

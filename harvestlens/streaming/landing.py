@@ -11,19 +11,21 @@ from harvestlens.sources import tables
 
 
 def follow_year_files(spark: SparkSession, folder: str, mapping: DataFrame, cache: str, checkpoint: str, *,
-                      months: list[int] = config.GROWING_MONTHS, min_days: int = config.MIN_COMMON_DAYS) -> None:
-    """Process the files that are new since the last run, then stop.
+                      months: list[int] = config.GROWING_MONTHS, min_days: int = config.MIN_COMMON_DAYS,
+                      heat_c: float = config.HEAT_C, pattern: str = "[0-9][0-9][0-9][0-9].csv*") -> None:
+    """Process the files that are new since the last run, then stop. The year is taken from the path.
 
     A season is complete within its year file, so no state crosses batches. A batch may be
     replayed after a failure: county-years already in the cache are left out.
     """
-    raw = spark.readStream.schema(schemas.DAILY_CSV).option("pathGlobFilter", "[0-9][0-9][0-9][0-9].csv*").csv(folder)
+    raw = spark.readStream.schema(schemas.DAILY_CSV).option("pathGlobFilter", pattern).option(
+        "recursiveFileLookup", True).csv(folder)
     year = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4})\.csv", 1).cast("int")
 
     def fold(batch: DataFrame, _: int) -> None:
         clean = season.clean_observations(batch, months=months)
         seasons = season.county_seasons(
-            joins.map_rows(season.station_seasons(clean, min_days=min_days), mapping, ["station_id"]))
+            joins.map_rows(season.station_seasons(clean, min_days=min_days, heat_c=heat_c), mapping, ["station_id"]))
         if tables.path_exists(spark, cache):
             seasons = joins.not_done(seasons, tables.read_table(spark, cache), ["fips", "year"])
         tables.write_table(seasons, cache, partition_by=["year"], mode="append")

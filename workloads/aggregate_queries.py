@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import round_to
 from harvestlens.operators import correlation, joins, reports, season, windows
+from harvestlens.session import scratch_path
+from harvestlens.sources import tables
+from harvestlens.streaming import landing
 from workloads import bases as b
 from workloads.bases import R
 from workloads.join_queries import DAYS
@@ -85,6 +88,19 @@ def a5(spark, d):
     return rounded(season.county_seasons(mapped), MEASURES, 4).select("fips", "year", *MEASURES)
 
 
+@query("s12_file_stream", b.with_(b.OBS, DAYS, SEASONS, b.STATIONS) + "SELECT fips, year, " + ", ".join(
+    f"{R(f'avg({c})', 4)} AS {c}" for c in MEASURES) + """
+FROM seasons s JOIN station_map m ON s.station_id = m.station_id GROUP BY fips, year""")
+def s12b(spark, d):
+    """The county seasons of the landed year file, through the file stream; the second run finds nothing new."""
+    folder, cache, log = (scratch_path(spark, n) for n in ("landing", "cache", "stream"))
+    b.observations_raw(spark, d).write.option("compression", "gzip").csv(f"{folder}/2024.csv")
+    mapping = b.station_map(spark, d)
+    for _ in range(2):
+        landing.follow_year_files(spark, folder, mapping, cache, log, months=b.OBS_MONTHS, min_days=3, heat_c=20.0, pattern="part-*")
+    return rounded(tables.read_table(spark, cache), MEASURES, 4).select("fips", "year", *MEASURES)
+
+
 @query("a6_season_arrays", b.with_(b.DAILY) + f"""
 SELECT fips, year, {R("avg(tmax_c)", 4)} AS tmax_mean_c, {R("avg(tmin_c)", 4)} AS tmin_mean_c, {R("avg((tmax_c + tmin_c) / 2)", 4)} AS tavg_mean_c,
        coalesce(sum(prcp_mm), 0) AS precip_total_mm, sum(greatest((tmax_c + tmin_c) / 2 - 10, 0)) AS gdd_base10,

@@ -112,7 +112,7 @@ def m11(spark, d):
 def end_to_end(spark, d):
     """Three layers, types and explanations over all merged rows; the flagged ones are returned."""
     rows, models = fitted(spark, d)
-    scored = layers.residual_layer(layers.baseline_layer(rows), models)
+    scored = layers.baseline_layer(layers.residual_layer(rows, models))
     isolated = isolation.isolation_layer(scored, ["xgb_residual"], ["obs_id"], groups=b.CROPS, **FOREST)
     flagged = cut(layers.combine(isolated)).where("is_anomaly")
     explained = layers.explain_flagged(flagged, models, events=b.EVENTS, long_season_crop="BUILDING")
