@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from harvestlens import config
 from harvestlens.operators import ordered
-from harvestlens.operators.joins import attach
+from harvestlens.operators.joins import attach, is_small
 from harvestlens.session import cut
 
 
@@ -46,7 +46,7 @@ def tree_samples(rows: DataFrame, group: str, key: list[str], columns: list[str]
         F.count("*").alias("__n"), F.approx_count_distinct(F.struct(*key)).alias("__d"))
     repeated = stats.where("__d < 0.8 * __n").limit(1).count() > 0
     own = [F.monotonically_increasing_id()] if repeated else []
-    marked = rows.withColumn("__key", F.xxhash64(*[F.col(k) for k in key], *own))
+    marked = rows.select(group, *columns, F.xxhash64(*[F.col(k) for k in key], *own).alias("__key"))
 
     def unit(*parts) -> F.Column:
         return (F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
@@ -170,6 +170,8 @@ def isolation_layer(df: DataFrame, columns: list[str], key: list[str], *, group:
     samples = tree_samples(rows, group, key, columns, trees=trees, size=size, seed=seed)
     nodes = grow_forest(samples, group, columns, seed)
     target = rows if drop_incomplete else df
+    if is_small(target):  # scoring costs far more than moving a small table to all cores
+        target = target.repartition(df.sparkSession.sparkContext.defaultParallelism)
     scored = cut(score(target, nodes, group, columns, "if_anomaly_score"))
     bound = ordered.exact_percentiles(
         scored, [group], "if_anomaly_score", {"__cut": 1 - contamination}, task_rows=task_rows)

@@ -51,12 +51,13 @@ def _null_safe(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], measures: dict[str, Column], *,
-            task_rows: int = TASK_ROWS) -> DataFrame:
+            task_rows: int = TASK_ROWS, profile: tuple[int, int] | None = None) -> DataFrame:
     """Add, per measure, its sum over the rows that come earlier in the group (0 for the first).
 
-    ``order`` must rank the rows of a group without ties that matter.
+    ``order`` must rank the rows of a group without ties that matter. ``profile`` is the ``group_profile`` of
+    ``df`` where it is known already.
     """
-    total, largest = group_profile(df, keys)
+    total, largest = profile or group_profile(df, keys)
     if largest <= task_rows:
         before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({
@@ -166,13 +167,17 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: dict[st
 
     A position is an expression over ``__n``; positions outside the group give null.
     """
-    counts = value_counts(df, keys, value)
-    sizes = counts.groupBy(*keys).agg(F.sum("__copies").alias("__n"), F.count("*").alias("__weight"))
-    ranked = running(counts, keys, [F.col(value)], {"__before": F.col("__copies")}, task_rows=task_rows)
-    if keys:
-        ranked = attach(ranked, sizes, keys, weight="__weight", null_safe=True)
+    counts = cut(value_counts(df, keys, value))
+    profile = group_profile(counts, keys)
+    ranked = running(counts, keys, [F.col(value)], {"__before": F.col("__copies")}, task_rows=task_rows, profile=profile)
+    if profile[1] <= task_rows:
+        ranked = ranked.withColumn("__n", F.sum("__copies").over(Window.partitionBy(*keys)))
     else:
-        ranked = ranked.withColumn("__n", sizes.select("__n").scalar())
+        sizes = counts.groupBy(*keys).agg(F.sum("__copies").alias("__n"), F.count("*").alias("__weight"))
+        if keys:
+            ranked = attach(ranked, sizes, keys, weight="__weight", null_safe=True)
+        else:
+            ranked = ranked.withColumn("__n", sizes.select("__n").scalar())
     hit = {
         name: (F.col("__before") <= at) & (at < F.col("__before") + F.col("__copies"))
         for name, at in wanted.items()
