@@ -13,6 +13,7 @@ from harvestlens import config
 from harvestlens.functions import agronomy, labels
 from harvestlens.functions.columns import active_features, round_to
 from harvestlens.operators import attribution, boosting, correlation, isolation, joins, layers, neighbours, reports, season, windows
+from harvestlens.session import cut
 from harvestlens.sources import files, tables
 
 BAND = ("fips", "commodity_name", "irr_name")
@@ -62,13 +63,15 @@ def located_counties(yields: DataFrame) -> DataFrame:
 def weather_table(spark: SparkSession, yields: DataFrame, folder: str, years: list[int], cache: str, out: str, *,
                   stations_file: str = "ghcnd-stations.txt", fmt: str = "parquet") -> DataFrame:
     """Entry 1: year files to county seasons (only years the cache lacks), imputed and with indices."""
-    counties = located_counties(yields)
+    counties = cut(located_counties(yields))
     stations = files.read_stations(spark, f"{folder}/{stations_file}")
-    mapping = neighbours.nearest(stations, counties).select("station_id", "fips")
+    mapping = cut(neighbours.nearest(stations, counties).select("station_id", "fips"))
 
     def compute(missing: list[int]) -> DataFrame:
         clean = season.clean_observations(files.read_daily(spark, folder, missing))
-        per_station = season.station_seasons(clean)
+        # Rows of other stations go before the shuffle; the county is added to the few rows after it.
+        ours = joins.lookup_join(clean, mapping.select("station_id"), ["station_id"], "left_semi")
+        per_station = season.station_seasons(ours)
         return season.county_seasons(joins.map_rows(per_station, mapping, ["station_id"]))
 
     seasons = tables.extend_by_year(spark, cache, years, compute, fmt=fmt)
