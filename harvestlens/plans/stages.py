@@ -14,7 +14,7 @@ from harvestlens.functions import agronomy, labels
 from harvestlens.functions.columns import active_features, round_to
 from harvestlens.operators import attribution, boosting, correlation, isolation, joins, layers, neighbours, reports, season, windows
 from harvestlens.session import cut
-from harvestlens.sources import files, tables
+from harvestlens.sources import files, payloads, tables
 
 BAND = ("fips", "commodity_name", "irr_name")
 
@@ -81,6 +81,23 @@ def weather_table(spark: SparkSession, yields: DataFrame, folder: str, years: li
     return tables.read_table(spark, out, fmt)
 
 
+def weather_from_station_table(spark: SparkSession, counties: DataFrame, years: list[int], *,
+                               candidates: list[str] = config.GSOD_TABLES) -> DataFrame:
+    """County seasons from the first wide daily station table that exists, station-days pooled per county."""
+    daily = season.pooled_units(tables.scan_first(spark, candidates), years=years)
+    stations = windows.first_per_key(daily.select("stn", "lat", "lon"), ["stn"], [F.col("lat"), F.col("lon")])
+    mapping = cut(neighbours.nearest(cut(stations), counties).select("stn", "fips"))
+    seasons = season.season_pooled(joins.map_rows(daily, mapping, ["stn"]))
+    return joins.lookup_join(seasons, counties.select("fips", "lat", "lon"), ["fips"], "left")
+
+
+def weather_from_answers(answers: DataFrame, payload: str, *, maps: bool = False) -> DataFrame:
+    """County seasons from saved JSON answers, one per (fips, year)."""
+    if maps:
+        return season.season_from_maps(payloads.daily_from_maps(answers, payload, ["fips", "year"]))
+    return season.season_from_arrays(payloads.daily_from_arrays(answers, payload, ["fips", "year"]))
+
+
 def merged_table(spark: SparkSession, yields: DataFrame, weather: DataFrame, out: str, *, fmt: str = "parquet") -> DataFrame:
     tables.write_table(joins.merge_weather(yields, weather), out, partition_by=["commodity_name"], fmt=fmt)
     return tables.read_table(spark, out, fmt)

@@ -7,11 +7,6 @@ def _fields(names: list[str], kind: T.DataType) -> list[T.StructField]:
     return [T.StructField(name, kind) for name in names]
 
 
-YIELD_CSV = T.StructType(_fields([
-    "Commodity Code", "Commodity Name", "State Code", "State Name", "State Abbreviation", "County Code",
-    "County Name", "Irrigation Practice Code", "Irrigation Practice Name", "Yield Year", "Yield Amount",
-], T.StringType()))
-
 YIELD_NAMES = {
     "Commodity Code": "commodity_code", "Commodity Name": "commodity_name", "State Code": "state_code",
     "State Name": "state_name", "State Abbreviation": "state_abbr", "County Code": "county_code",

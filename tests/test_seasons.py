@@ -163,3 +163,13 @@ def test_mapped_stations(spark):
     mapping = spark.createDataFrame([("a", "x")], "station_id string, fips string")
     assert [tuple(r) for r in joins.map_rows(obs, mapping, ["station_id"]).collect()] == [("a", 1, "x")]
     assert windows.first_per_key(mapping, ["fips"], [F.col("station_id")]).count() == 1
+
+
+def test_seasons_from_answers(spark):
+    arrays = '{"daily":{"time":["2012-05-01","2012-05-02"],"temperature_2m_max":[36.0,20.0],"temperature_2m_min":[20.0,10.0]}}'
+    maps = '{"properties":{"parameter":{"T2M_MAX":{"20120501":36.0,"20120502":20.0},"T2M_MIN":{"20120501":20.0,"20120502":-999.0}}}}'
+    df = spark.createDataFrame([("x", 2012, arrays, maps)], "fips string, year int, a string, m string")
+    first = stages.weather_from_answers(df, "a").first()
+    assert (first.tmax_mean_c, first.gdd_base10, first.precip_total_mm, first.heat_stress_days) == (28.0, 23.0, 0.0, 1)
+    second = stages.weather_from_answers(df, "m", maps=True).first()
+    assert (second.tmax_mean_c, second.tmin_mean_c, second.tavg_mean_c, second.gdd_base10) == (28.0, 20.0, 28.0, 18.0)

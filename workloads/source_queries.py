@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens import config
-from harvestlens.functions.columns import fixed, zero_pad
+from harvestlens.functions.columns import fixed, round_to, zero_pad
 from harvestlens.operators import joins, reports, season
+from harvestlens.plans import stages
 from harvestlens.session import scratch_path
 from harvestlens.sources import files, payloads, tables
 from workloads import bases as b
@@ -136,6 +137,29 @@ def s6(spark, d):
     return rows.withColumns({c: F.round(F.round(c, 12), 6) for c in measures})
 
 
+@query("s6_station_table_seasons", f"""
+WITH g AS (SELECT lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS fips, CAST(year(l_shipdate) AS INTEGER) AS year,
+       CAST(s_nationkey AS DOUBLE) AS lat, -CAST(s_nationkey AS DOUBLE) AS lon,
+       CASE WHEN l_returnflag <> 'R' THEN l_quantity * 5 / 9 END AS tmax, (l_quantity - 32) * 5 / 9 AS tmin,
+       CASE WHEN l_linestatus = 'O' THEN l_tax * 25.4 ELSE 0 END AS prcp,
+       CASE WHEN l_linenumber < 7 THEN l_discount * 100 * 0.514444 END AS wind
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  WHERE month(l_shipdate) BETWEEN 4 AND 10 AND s_acctbal >= 0 AND year(l_shipdate) BETWEEN 1996 AND 2000)
+SELECT fips, year, {R("avg(tmax)", 4)} AS tmax_mean_c, {R("avg(tmin)", 4)} AS tmin_mean_c, {R("avg((tmax + tmin) / 2)", 4)} AS tavg_mean_c,
+       {R("sum(prcp)", 4)} AS precip_total_mm, {R("coalesce(sum(greatest((tmax + tmin) / 2 - 10, 0)) FILTER (WHERE tmax IS NOT NULL), 0)", 4)} AS gdd_base10,
+       count(*) FILTER (WHERE tmax > 35) AS heat_stress_days, count(*) FILTER (WHERE prcp < 0.5) AS drought_days,
+       {R("avg(wind)", 4)} AS wind_mean_ms, any_value(lat) AS lat, any_value(lon) AS lon
+FROM g GROUP BY fips, year HAVING count(tmax) > 0""")
+def s6b(spark, d):
+    """From the station table to county seasons: units, nearest county, pooled aggregate, centroid."""
+    counties = b.table(spark, d, "nation").select(
+        zero_pad(F.col("n_nationkey"), 5).alias("fips"), F.col("n_nationkey").cast("double").alias("lat"),
+        (-F.col("n_nationkey").cast("double")).alias("lon"))
+    seasons = stages.weather_from_station_table(spark, counties, list(range(1996, 2001)), candidates=["no_such_table", _gsod_view(spark, d)])
+    measures = ["tmax_mean_c", "tmin_mean_c", "tavg_mean_c", "precip_total_mm", "gdd_base10", "wind_mean_ms"]
+    return seasons.drop("et0_total_mm", "solar_total_mj").withColumns({c: round_to(F.col(c), 4) for c in measures})
+
+
 @query("s7_json_arrays", """
 WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS d0 FROM orders)
 SELECT o_orderkey AS loc, d0 + i AS date, CASE i WHEN 0 THEN o_totalprice / 1000 WHEN 1 THEN NULL ELSE CAST(36.5 AS DOUBLE) END AS temperature_2m_max,
