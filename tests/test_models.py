@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from harvestlens import config
 from harvestlens.operators import attribution, boosting, correlation, isolation, layers
-from harvestlens.plans import stages
-from harvestlens.sources import files
+from harvestlens.plans import stages, views
+from harvestlens.sources import files, tables
 
 FAST = {"maxIter": 4, "maxDepth": 3}
 
@@ -215,3 +215,21 @@ def test_three_stages(spark, tmp_path):
     types = {r.anomaly_type: r.n for r in anomalies.groupBy("anomaly_type").agg(F.count("*").alias("n")).collect()}
     assert sum(types.values()) == flagged.count() and "NORMAL" not in types
     assert files.read_stations(spark, str(folder / "ghcnd-stations.txt")).count() == 12
+
+    names = {}
+    for name in ("merged", "correlations", "importance", "anomalies"):
+        names[name] = f"stagesdb.{name}"
+        tables.register(spark, names[name], str(tmp_path / name))
+    boards = views.dashboard_datasets(spark, names)
+    assert {n: df.count() for n, df in boards.items()} == {
+        "importance": out["importance"].count(), "correlations": out["correlations"].count(), "yield_trend": 20,
+        "anomalies": min(500, anomalies.count())}
+    drivers = views.top_drivers(out["importance"], out["correlations"]).collect()
+    assert len(drivers) == 6 and all(r.label != r.feature for r in drivers)
+    charts = views.chart_datasets(merged, scored, years=years)
+    assert charts["heat_by_state"].count() == 1 and charts["yearly_box"].count() == 10 and charts["rain_sample"].count() == 119
+    assert views.map_dataset(scored, 2012, "Corn").count() == 12
+    report = views.anomaly_report(scored)
+    assert report["by_year"].where("year = 2012 and event = 'Great Plains Drought'").count() == 1
+    assert report["types"].agg(F.sum("n")).first()[0] == flagged.count()
+    assert report["event_review"].count() == 2 and report["worst_unexplained"].count() <= 10
