@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestlens import config
-from harvestlens.functions import agronomy
 from harvestlens.functions.columns import zero_pad
 from harvestlens.operators import season, windows
 from harvestlens.operators.joins import lookup_join, merge_weather
