@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+
 # Runtime SQL settings the operators are planned for. Adaptive execution turns shuffle joins
 # into broadcasts only when the measured side is small, and splits skewed join partitions.
 SQL_SETTINGS = {
@@ -30,13 +34,31 @@ def build_session(app_name: str = "harvestlens", master: str | None = None, **se
         builder = builder.config(key, value)
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings to a session somebody else built."""
+    """Apply the SQL settings to a session somebody else built and give its workers the package."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send the package to the Python workers, once per context.
+
+    Functions that run on executors are looked up there by module name. The driver serves the
+    archive to every executor, also to those that join later, so nothing has to be installed.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_harvestlens_shipped", False) or not PACKAGE.is_dir():
+        return spark
+    archive = Path(tempfile.mkdtemp(prefix="harvestlens-package-")) / f"{PACKAGE.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(PACKAGE.rglob("*.py")):
+            out.write(path, path.relative_to(PACKAGE.parent))
+    context.addPyFile(str(archive))
+    context._harvestlens_shipped = True
     return spark
 
 
