@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestlens.llm import common, exact_dedup
+from harvestlens.llm import common, exact_dedup, mixing
 from harvestlens.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,47 @@ def query(name: str, sql: str | None = None):
 def op2_exact_dedup(spark, folder):
     docs = common.table(spark, folder, "documents")
     return exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op5_mixing", r"""
+    WITH sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+               ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+        FROM documents),
+    named AS (
+        SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
+        FROM sized GROUP BY source),
+    weighed AS (
+        SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap
+        FROM named),
+    levels AS (
+        SELECT *, cap::DOUBLE / weight AS ratio,
+               (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))::DOUBLE
+               / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level
+        FROM weighed WINDOW o AS (ORDER BY cap::DOUBLE / weight, place
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    goal AS (
+        SELECT source, source_size, least(cap::DOUBLE, (
+                   SELECT arg_min(level, (ratio, place)) FROM levels WHERE level <= ratio) * weight) AS target
+        FROM levels),
+    parts AS (
+        SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS sure FROM goal),
+    shares AS (
+        SELECT *, CASE WHEN source_size > 0 THEN target / source_size - sure ELSE 0 END AS share,
+               target - sure * source_size AS rest
+        FROM parts),
+    ranked AS (
+        SELECT s.*, g.source_size, g.target, g.sure, g.share, g.rest,
+               CASE WHEN share > 0 THEN (u / (1 - u)) / (share / (1 - share)) END AS q
+        FROM sized s JOIN shares g ON s.source IS NOT DISTINCT FROM g.source),
+    chosen AS (
+        SELECT *, CASE WHEN share > 0 AND 2 * sum(size) OVER (
+                      PARTITION BY source ORDER BY q, u, doc_id, size ROWS UNBOUNDED PRECEDING) - size <= 2 * rest
+                  THEN 1 ELSE 0 END AS extra
+        FROM ranked)
+    SELECT doc_id, size::BIGINT AS size, source_size, target,
+           (CASE WHEN size > 0 THEN (sure + extra) * size ELSE 0 END)::BIGINT AS taken
+    FROM chosen""")
+def op5_mixing(spark, folder):
+    return (mixing.mix(common.table(spark, folder, "documents"))
+            .select("doc_id", "size", "source_size", "target", "taken"))
