@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestlens.llm import common, exact_dedup, mixing
+from harvestlens.llm import byte_bpe, common, exact_dedup, mixing
 from harvestlens.session import tune
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -76,3 +77,11 @@ def op2_exact_dedup(spark, folder):
 def op5_mixing(spark, folder):
     return (mixing.mix(common.table(spark, folder, "documents"))
             .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+@query("op4_byte_bpe")
+def op4_byte_bpe(spark, folder):
+    import public_tokenizers
+
+    return byte_bpe.encode(common.table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY),
+                           public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
