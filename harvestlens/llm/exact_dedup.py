@@ -156,8 +156,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
              .filter("group_size > 1")
              .select("fingerprint", F.sha2("text", 256).alias("text_sha256"), "group_size"))
     names = ["fingerprint", "text_sha256"]
-    winner = (keys.join(equal, names).groupBy(*names)
-              .agg(F.max(F.struct("doc_id", "row")).alias("best"), F.first("group_size").alias("group_size")))
+    best = keys.groupBy(*names).agg(F.max(F.struct("doc_id", "row")).alias("best"))  # before the join: copies collapse
+    winner = best.join(equal, names)
     return (keys.join(winner, names, "left")
             .select("doc_id",
                     F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),

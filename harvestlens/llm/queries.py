@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestlens.llm import byte_bpe, common, exact_dedup, mixing
+from harvestlens.llm import byte_bpe, common, exact_dedup, mixing, near_dedup
 from harvestlens.session import tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -85,3 +85,8 @@ def op4_byte_bpe(spark, folder):
 
     return byte_bpe.encode(common.table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY),
                            public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query("op7_near_dedup")
+def op7_near_dedup(spark, folder):
+    return near_dedup.near_groups(common.table(spark, folder, "documents"))
