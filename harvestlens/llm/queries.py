@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestlens.llm import byte_bpe, common, exact_dedup, mixing, near_dedup
+from harvestlens.llm import byte_bpe, common, exact_dedup, mixing, near_dedup, quality
 from harvestlens.session import tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -90,3 +90,8 @@ def op4_byte_bpe(spark, folder):
 @query("op7_near_dedup")
 def op7_near_dedup(spark, folder):
     return near_dedup.near_groups(common.table(spark, folder, "documents"))
+
+
+@query("op1_quality")
+def op1_quality(spark, folder):
+    return quality.classify(common.table(spark, folder, "documents"), common.table(spark, folder, "labels"))
