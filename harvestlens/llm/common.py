@@ -99,12 +99,23 @@ class Words:
         self.first = np.concatenate([[0], np.cumsum(self.count)])  # words first[i]:first[i+1] are text i's
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
+        return self.prefix_hashes([None], which)[0][0]
+
+    def prefix_hashes(self, lengths: list[int | None], which: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length: hashes of the first bytes of all longer words, and their places (None: whole words)."""
+        every = np.arange(len(self.start))
+        if not len(every):
+            return [(np.zeros(0, np.uint64), every) for _ in lengths]
         power, inverse = _powers(WORD_BASE[which], len(self.data))
         sums = np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[: len(self.data)])
         before = np.where(self.start > 0, sums[self.start - 1], np.uint64(0))
-        return mix((sums[self.end - 1] - before) * inverse[self.start])
+        out = []
+        for n in lengths:
+            at = every if n is None else np.flatnonzero(self.end - self.start > n)
+            end = self.end if n is None else self.start[at] + n
+            found = mix((sums[end - 1] - before[at]) * inverse[self.start[at]])
+            out.append((found if n is None else mix(found + np.uint64(n)), at))
+        return out
 
     def runs(self, hashes: np.ndarray, n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every run of n words inside one text, and the index of its first word."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from harvestlens.llm import byte_bpe, common, exact_dedup, mixing, near_dedup, quality
+from harvestlens.llm import byte_bpe, common, exact_dedup, mixing, near_dedup, quality, toxicity
 from harvestlens.session import tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -95,3 +96,15 @@ def op7_near_dedup(spark, folder):
 @query("op1_quality")
 def op1_quality(spark, folder):
     return quality.classify(common.table(spark, folder, "documents"), common.table(spark, folder, "labels"))
+
+
+def remainder(modulus: int):
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark, folder):
+    docs = common.table(spark, folder, "documents")
+    labels = common.table(spark, folder, "labels").filter(remainder(5) != 0)
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
