@@ -6,10 +6,14 @@ the optional first character of the next match. So a word holds whole matches, a
 match of a word separately gives what encoding the text would.
 
 1. Blocks of texts are split into words with positions. A block lists each of its words once, and
-   the texts as numbers of these words; frequent words get small numbers. This is written once.
+   the texts as numbers of these words; frequent words get small numbers. Both are dealt by block.
 2. The words of all blocks are shuffled by word. Each distinct word is encoded once.
 3. The ids travel back to their blocks, and positions put them in order.
 
+The exchange by block is computed once and read by steps 2 and 3. Should Spark recompute a part of it
+after a loss, the block has the same name only if it holds the same words in the same order; if the
+input cannot be read in the same order again, step 3 stops with an error and gives no wrong ids.
+
 Decoding looks the ids up in the table of token bytes (its size is that of the vocabulary file).
 """
 
@@ -25,11 +29,11 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens.llm import common
-from harvestlens.session import cut
 
 BLOCK_BYTES = 24 << 20
 _UNSAFE = re.compile(r" (?:\s|\Z)")  # a space that does not start a word
@@ -83,17 +87,17 @@ class Block:
         number = np.empty(len(words), np.int64)
         number[by_use] = np.arange(len(words))
         ids = pa.array(self.doc_ids, pa.int64())
-        out = [{"block": self.name, "shard": -1, "numbers": common.pack(number[places]),
-                "doc_ids": _ids_out(ids),
-                "counts": common.pack(np.array([len(p) for p in self.places]))}]
         ordered = [words[i] for i in by_use]
+        name = f"{self.name}-{zlib.crc32(bytes(1).join(ordered)):08x}"
+        out = [{"block": name, "shard": -1, "numbers": common.pack(number[places]), "doc_ids": _ids_out(ids),
+                "counts": common.pack(np.array([len(p) for p in self.places]))}]
         shard = np.fromiter((zlib.crc32(w) % self.shards for w in ordered), np.int64, len(ordered))
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
             own = order[cuts[s]:cuts[s + 1]]
             part = [ordered[i] for i in own]
-            out.append({"block": self.name, "shard": int(s), "numbers": common.deltas(own),
+            out.append({"block": name, "shard": int(s), "numbers": common.deltas(own),
                         "lengths": common.pack(np.array([len(w) for w in part])), "words": zip_bytes(b"".join(part))})
         return pa.RecordBatch.from_pylist(out, _ARROW)
 
@@ -140,6 +144,10 @@ def to_blocks(shards: int, block_bytes: int):
     return build
 
 
+def _words_only(rows: pa.Table) -> pa.Table:
+    return rows.filter(pa.compute.greater_equal(rows["shard"], 0)).select(["shard", "block", "numbers", "lengths", "words"])
+
+
 def encode_shard(pattern: str, ranks):
     """Encode each distinct word of a shard once and list the ids for every block that has it."""
 
@@ -185,6 +193,9 @@ def reassemble(ranks, columns: list[str]):
         numbers, lengths, ids = (
             np.concatenate([np.zeros(0, np.uint64), *[read(x.as_py()) for x in shards.column(name)]]).astype(np.int64)
             for name, read in (("numbers", common.undeltas), ("lengths", common.unpack), ("ids", common.unpack)))
+        if not len(numbers) or not np.array_equal(np.sort(numbers), np.arange(len(numbers))):
+            raise RuntimeError("a block met the words of another reading of its texts; write the input as a table first")
+        texts = texts.filter(pa.compute.less(texts["shard"], 0))
         order = np.argsort(numbers)
         lengths_by, starts_by = lengths[order], (np.cumsum(lengths) - lengths)[order]
         ids = ids.astype(np.int32)
@@ -234,12 +245,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, columns: tuple[str, .
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = common.own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), common.whole_text().alias("text"))
-    blocks = cut(texts.mapInArrow(to_blocks(shards, block_bytes), BLOCKS))
-    ids = (blocks.filter("shard >= 0").select("shard", "block", "numbers", "lengths", "words").groupBy("shard")
-           .applyInArrow(encode_shard(pattern, ranks), "block string, numbers binary, lengths binary, ids binary"))
-    places = blocks.filter("shard < 0").select("block", "numbers", "doc_ids", "counts")
+    blocks = texts.mapInArrow(to_blocks(shards, block_bytes), BLOCKS)
+    words = blocks.groupBy("block").applyInArrow(
+        _words_only, "shard int, block string, numbers binary, lengths binary, words binary")
+    ids = words.groupBy("shard").applyInArrow(
+        encode_shard(pattern, ranks), "block string, numbers binary, lengths binary, ids binary")
     schema = ", ".join(["doc_id long", *[f"{c} {SPARK[c]}" for c in columns]])
-    return (places.groupBy("block").cogroup(ids.groupBy("block"))
+    return (blocks.groupBy("block").cogroup(ids.groupBy("block"))
             .applyInArrow(reassemble(ranks, list(columns)), schema))
 
 
