@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.llm import byte_bpe, common, exact_dedup, mixing, near_dedup, quality, toxicity
+from harvestlens.llm import byte_bpe, common, exact_dedup, language_model, mixing, near_dedup, quality, toxicity
 from harvestlens.session import tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -108,3 +108,11 @@ def op3_toxicity(spark, folder):
     labels = common.table(spark, folder, "labels").filter(remainder(5) != 0)
     scored = toxicity.score(docs, toxicity.train(docs, labels))
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op10_language_model")
+def op10_language_model(spark, folder):
+    docs = common.table(spark, folder, "documents")
+    model = language_model.train(docs.filter(remainder(5) != 1))
+    return language_model.score(docs, model).select(
+        "doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
