@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.llm import byte_bpe, common, exact_dedup, language_model, mixing, near_dedup, quality, toxicity
+from harvestlens.llm import byte_bpe, common, exact_dedup, language_model, mixing, near_dedup, quality, substring_dedup, toxicity
 from harvestlens.session import tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -116,3 +116,8 @@ def op10_language_model(spark, folder):
     model = language_model.train(docs.filter(remainder(5) != 1))
     return language_model.score(docs, model).select(
         "doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark, folder):
+    return substring_dedup.remove_repeats(common.table(spark, folder, "documents"), text=False)
