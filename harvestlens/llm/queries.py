@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.llm import byte_bpe, common, exact_dedup, language_model, mixing, near_dedup, quality, substring_dedup, toxicity
+from harvestlens.llm import byte_bpe, common, exact_dedup, language_model, mixing, near_dedup, neighbours, quality, substring_dedup, toxicity
 from harvestlens.session import tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -121,3 +121,8 @@ def op10_language_model(spark, folder):
 @query("op6_substring_dedup")
 def op6_substring_dedup(spark, folder):
     return substring_dedup.remove_repeats(common.table(spark, folder, "documents"), text=False)
+
+
+@query("op9_nearest_neighbours")
+def op9_nearest_neighbours(spark, folder):
+    return neighbours.nearest(common.table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
