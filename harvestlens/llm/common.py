@@ -130,9 +130,13 @@ class Words:
 
 
 def chunk_count(docs: DataFrame, column: str, chunk_bytes: int) -> int:
-    """Into how many chunks of about ``chunk_bytes`` the texts are dealt; grows with the data."""
+    """Into how many chunks of at most about ``chunk_bytes`` the texts are dealt; grows with the data.
+
+    Small inputs are cut finer, down to a megabyte, so that every partition of a shuffle has some.
+    """
     total = docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
-    return max(1, -(-total // chunk_bytes))
+    partitions = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-total // chunk_bytes), min(partitions, total >> 20))
 
 
 def deltas(values: np.ndarray) -> bytes:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.llm import byte_bpe, common, exact_dedup, language_model, mixing, near_dedup, neighbours, quality, substring_dedup, toxicity
+from harvestlens.llm import byte_bpe, common, exact_dedup, html_extract, language_model, mixing, near_dedup, neighbours, quality, substring_dedup, toxicity
 from harvestlens.session import tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -126,3 +126,8 @@ def op6_substring_dedup(spark, folder):
 @query("op9_nearest_neighbours")
 def op9_nearest_neighbours(spark, folder):
     return neighbours.nearest(common.table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op8_html_extract")
+def op8_html_extract(spark, folder):
+    return html_extract.main_text(common.table(spark, folder, "pages"))

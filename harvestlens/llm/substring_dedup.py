@@ -206,9 +206,8 @@ def remove_repeats(docs: DataFrame, text: bool = True, chunk_bytes: int = CHUNK_
     """
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = docs.agg(F.sum(F.octet_length(common.whole_text()))).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    bits = min(62, max(24, (size // 4).bit_length() + 12))
+    chunks = common.chunk_count(docs, "text", chunk_bytes)
+    bits = min(62, (chunks * chunk_bytes // 4).bit_length() + 12)  # few hashes meet by accident
     texts = common.own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), common.whole_text().alias("text"))
     dealt = texts.filter("doc_id is not null").select(
         F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text").groupBy("chunk")
