@@ -14,7 +14,6 @@ TARGET_STATES = [
     "ND", "NE", "NJ", "NY", "OH", "OK", "PA", "SC", "SD", "TN", "TX", "VA", "VT", "WI", "WV", "WY",
 ]
 DAILY_ELEMENTS = ["TMAX", "TMIN", "PRCP", "AWND"]
-MAP_YEARS = [2012, 2021, 2022, 2024]
 
 Z_THRESHOLD = 1.5
 CONTAMINATION = 0.08
@@ -25,11 +24,15 @@ DRY_MM = 0.5
 GDD_BASE_C = 10.0
 Z_EPSILON = 1e-6
 IQR_TO_SIGMA = 1.349
+HOT_DAYS = 20.0
+LEAST_GDD = (1200.0, 900.0)
+STRESS = 2.0
 
 WEATHER_FEATURES = [
     "tmax_mean_c", "tmin_mean_c", "tavg_mean_c", "precip_total_mm", "gdd_base10", "heat_stress_days",
     "drought_days", "et0_total_mm", "solar_total_mj", "precip_z", "cwsi",
 ]
+ANSWERS_ONLY = ["et0_total_mm", "solar_total_mj"]
 IMPUTED_COLUMNS = [
     "tmax_mean_c", "tmin_mean_c", "tavg_mean_c", "precip_total_mm", "gdd_base10", "heat_stress_days",
     "drought_days",
@@ -71,8 +74,6 @@ FALLBACK_CENTROIDS = [
     ("20035", 38.39, -95.70),
 ]
 GSOD_TABLES = ["samples.noaa.gsod", "noaa_gsod.noaa.gsod_stations_data", "noaa.gsod.gsod"]
-# ------------------------------------------------------------------------------------------
-
 # Boosted trees: rounds, depth, rate, row share, column share, seed.
 BOOSTING = {
     "maxIter": 400, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8,
@@ -80,3 +81,4 @@ BOOSTING = {
 }
 ISOLATION_TREES = 300
 ISOLATION_ROWS = 256
+# ------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harvestlens.functions.columns import clip_lower, round_to
+from harvestlens.functions.columns import clip_lower, settle
 
 TENTHS = ["TMAX", "TMIN", "PRCP", "AWND"]
 
@@ -46,8 +46,8 @@ def et0_estimate(tmax: Column, tmin: Column, tavg: Column, radiation: float = 30
 
 
 def water_stress(et0: Column, precip: Column) -> Column:
-    return round_to(et0 / clip_lower(precip, 1.0), 3)
+    return settle(et0 / clip_lower(precip, 1.0), 3)
 
 
 def heat_share(heat_days: Column, season_max_gdd: Column) -> Column:
-    return round_to(heat_days / clip_lower(season_max_gdd, 1.0), 4)
+    return settle(heat_days / clip_lower(season_max_gdd, 1.0), 4)

@@ -39,6 +39,12 @@ def no_nan(column: Column) -> Column:
     return F.nanvl(column, F.lit(None).cast("double"))
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN as null in every floating-point column; other columns are passed on as they are."""
+    odd = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast(df.schema[c].dataType)) for c in odd}) if odd else df
+
+
 def zero_pad(column: Column, width: int) -> Column:
     """Left-pad with zeros; longer text is left alone."""
     text = column.cast("string")
@@ -77,17 +83,22 @@ def clip_lower(column: Column, low: float) -> Column:
 
 
 def round_to(column: Column, digits: int) -> Column:
-    """Half-up rounding after removing summation noise six digits further down.
+    """Half-up rounding."""
+    return F.round(column, digits)
+
+
+def settle(column: Column, digits: int) -> Column:
+    """Half-up rounding of sums and averages, which carry noise: it is removed six digits further down first.
 
     The order in which a cluster adds doubles is not fixed; without the inner rounding a
-    value on a tie would fall either way from run to run.
+    value on a tie would fall either way from run to run. Values as they were read need ``round_to``.
     """
     return F.round(F.round(column, digits + 6), digits)
 
 
 def fixed(column: Column, digits: int) -> Column:
     """Text with a fixed number of decimals."""
-    return round_to(column, digits).cast(f"decimal(28,{digits})").cast("string")
+    return settle(column, digits).cast(f"decimal(28,{digits})").cast("string")
 
 
 def present(df: DataFrame, columns: list[str]) -> list[str]:

@@ -61,24 +61,26 @@ def event_name(year: Column, events: dict[int, str] = config.EXTREME_EVENTS) ->
 
 
 def weather_context(df: DataFrame, *, crop: str = "commodity_name", long_season_crop: str = "Corn",
-                    events: dict[int, str] = config.EXTREME_EVENTS) -> Column:
-    """Threshold-based remarks joined by '; ', or a default sentence."""
+                    events: dict[int, str] = config.EXTREME_EVENTS, wet_z: float = config.Z_THRESHOLD,
+                    hot_days: float = config.HOT_DAYS, least_gdd: tuple[float, float] = config.LEAST_GDD,
+                    stress: float = config.STRESS) -> Column:
+    """Threshold-based remarks joined by '; ', or a default sentence. ``least_gdd`` is for the long-season crop and the others."""
     have = set(df.columns)
     parts: list[Column] = []
     if {"precip_z", "precip_total_mm"} <= have:
         detail = F.concat(F.lit("(precip "), fixed(F.col("precip_total_mm"), 0), F.lit(" mm, Z="),
                           fixed(F.col("precip_z"), 1), F.lit(")"))
-        parts.append(F.when(F.col("precip_z") < -1.5, F.concat(F.lit("drought "), detail))
-                     .when(F.col("precip_z") > 1.5, F.concat(F.lit("excess moisture "), detail)))
+        parts.append(F.when(F.col("precip_z") < -wet_z, F.concat(F.lit("drought "), detail))
+                     .when(F.col("precip_z") > wet_z, F.concat(F.lit("excess moisture "), detail)))
     if "heat_stress_days" in have:
-        parts.append(F.when(F.col("heat_stress_days") > 20, F.concat(
+        parts.append(F.when(F.col("heat_stress_days") > hot_days, F.concat(
             F.lit("heat stress ("), fixed(F.col("heat_stress_days"), 0), F.lit(" days >35°C)"))))
     if {"gdd_base10", crop} <= have:
-        least = F.when(F.col(crop) == long_season_crop, 1200.0).otherwise(900.0)
+        least = F.when(F.col(crop) == long_season_crop, least_gdd[0]).otherwise(F.lit(least_gdd[1]))
         parts.append(F.when(F.col("gdd_base10") < least, F.concat(
             F.lit("low GDD ("), fixed(F.col("gdd_base10"), 0), F.lit(")"))))
     if "cwsi" in have:
-        parts.append(F.when(F.col("cwsi") > 2.0, F.concat(
+        parts.append(F.when(F.col("cwsi") > stress, F.concat(
             F.lit("water stress (CWSI="), fixed(F.col("cwsi"), 1), F.lit(")"))))
     if "year" in have:
         parts.append(event_name(F.col("year"), events))

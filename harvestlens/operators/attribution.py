@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harvestlens.functions.columns import round_to
+from harvestlens.functions.columns import settle
 from harvestlens.operators.boosting import CropModel, complete
 from harvestlens.session import scratch_path
 
@@ -35,8 +35,8 @@ def tree_nodes(spark: SparkSession, model: CropModel) -> tuple[pd.DataFrame, np.
     return nodes, np.array(model.booster.treeWeights)
 
 
-def _leaf_tables(nodes: pd.DataFrame, weights: np.ndarray) -> tuple[float, list[tuple]]:
-    """Base value, and per leaf (features, lower bounds, upper bounds, contributions[pattern, feature])."""
+def _leaves(nodes: pd.DataFrame, weights: np.ndarray) -> tuple[float, list[tuple]]:
+    """Base value, and per leaf (value, features, lower bounds, upper bounds, shares)."""
     base, leaves = 0.0, []
     for tree, rows in nodes.groupby("treeID"):
         node = rows.set_index("id").to_dict("index")
@@ -60,29 +60,47 @@ def _leaf_tables(nodes: pd.DataFrame, weights: np.ndarray) -> tuple[float, list[
 
 
 def _leaf(value: float, path: dict[int, tuple[float, float, float]]) -> tuple:
-    features = list(path)
-    k = len(features)
-    share = [path[f][2] for f in features]
-    table = np.zeros((1 << k, k))
-    weight = [factorial(s) * factorial(k - s - 1) / factorial(k) for s in range(k)]
-    for pattern in range(1 << k):
-        passes = [(pattern >> j) & 1 for j in range(k)]
-        worth = np.array([
-            np.prod([passes[j] if (s >> j) & 1 else share[j] for j in range(k)]) for s in range(1 << k)])
-        for j in range(k):
-            table[pattern, j] = value * sum(
-                weight[bin(s).count("1")] * (worth[s | (1 << j)] - worth[s]) for s in range(1 << k) if not (s >> j) & 1)
-    low = np.array([path[f][0] for f in features])
-    high = np.array([path[f][1] for f in features])
-    return np.array(features), low, high, table
-
-
-def _contributions(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
+    low, high, share = np.array(list(path.values())).T
+    return value, np.array(list(path)), low, high, share
+
+
+def _tables(leaves: list[tuple], at_once: int = 1024) -> list[tuple[np.ndarray, ...]]:
+    """Leaves with equally many features together: features, bounds, contributions[leaf, pattern, feature].
+
+    The worth of a coalition is the product of what each feature gives: whether it passes, if it is a
+    member, else its share. Shapley's weights turn the worth of all coalitions into contributions.
+    """
+    out = []
+    for k in sorted({len(leaf[1]) for leaf in leaves}):
+        own = [leaf for leaf in leaves if len(leaf[1]) == k]
+        member = (np.arange(1 << k)[:, None] >> np.arange(k)) & 1  # [coalition or pattern, feature]
+        size = member.sum(axis=1)
+        weight = np.array([factorial(s) * factorial(k - s - 1) / factorial(k) for s in range(k)] + [0.0])
+        gain = np.where(member == 1, weight[size - 1][:, None], -weight[size][:, None])  # [coalition, feature]
+        value, features, low, high, share = (np.array([leaf[i] for leaf in own]) for i in range(5))
+        table = np.empty((len(own), 1 << k, k))
+        for start in range(0, len(own), at_once):
+            few = slice(start, start + at_once)
+            worth = np.ones((len(share[few]), 1 << k, 1 << k))  # [leaf, pattern, coalition]
+            for j in range(k):
+                worth *= np.where(member[None, None, :, j] == 1, member[None, :, None, j], share[few, j, None, None])
+            table[few] = value[few, None, None] * (worth @ gain)
+        out.append((features, low, high, table))
+    return out
+
+
+def _contributions(x: np.ndarray, tables: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     out = np.zeros_like(x)
-    for features, low, high, table in leaves:
-        inside = (x[:, features] > low) & (x[:, features] <= high)
-        pattern = inside @ (1 << np.arange(len(features)))
-        out[:, features] += table[pattern]
+    for features, low, high, table in tables:
+        bit = 1 << np.arange(features.shape[1])
+        step = max(1, 4_000_000 // (max(1, len(x)) * features.shape[1]))  # leaves per gather: about 32 MB
+        for start in range(0, len(features), step):
+            few = slice(start, start + step)
+            here = x[:, features[few]]
+            pattern = ((here > low[few]) & (here <= high[few])) @ bit
+            found = table[few][np.arange(pattern.shape[1]), pattern]  # [row, leaf, feature]
+            for f in range(x.shape[1]):
+                out[:, f] += (found * (features[few] == f)).sum(axis=(1, 2))
     return out
 
 
@@ -92,8 +110,8 @@ def attribute(df: DataFrame, model: CropModel, *, out: str = "drivers", base: st
     The leaf tables are broadcast: they grow with the model (trees times 2^depth), not with the rows.
     """
     spark = df.sparkSession
-    start, leaves = _leaf_tables(*tree_nodes(spark, model))
-    shared = spark.sparkContext.broadcast(leaves)
+    start, leaves = _leaves(*tree_nodes(spark, model))
+    shared = spark.sparkContext.broadcast(_tables(leaves))
     names = model.features
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -115,4 +133,4 @@ def global_attribution(df: DataFrame, model: CropModel) -> DataFrame:
     """Mean absolute contribution per feature (M5)."""
     rows = attribute(df, model).select(F.explode("drivers").alias("d"))
     return rows.groupBy(F.lit(model.crop).alias("crop"), F.col("d.feature").alias("feature")).agg(
-        round_to(F.avg(F.abs("d.value")), 4).alias("shap_mean_abs"))
+        settle(F.avg(F.abs("d.value")), 4).alias("shap_mean_abs"))

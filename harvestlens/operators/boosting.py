@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestlens import config
-from harvestlens.functions.columns import round_to
+from harvestlens.functions.columns import settle
 from harvestlens.operators import ordered, reports
 from harvestlens.session import cut, shared_root
 
@@ -41,7 +41,7 @@ class CropModel:
 def complete(features: list[str]) -> Column:
     test = F.lit(True)
     for f in features:
-        test = test & F.col(f).isNotNull()
+        test = test & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
     return test
 
 
@@ -100,7 +100,7 @@ def cross_validate(df: DataFrame, features: list[str], order: list[Column], *, t
 def cv_summary(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Mean and population deviation of the fold scores."""
     return scores.groupBy(*(keys or [])).agg(
-        round_to(F.avg("r2"), 3).alias("cv_r2_mean"), round_to(F.stddev_pop("r2"), 3).alias("cv_r2_std"))
+        settle(F.avg("r2"), 3).alias("cv_r2_mean"), settle(F.stddev_pop("r2"), 3).alias("cv_r2_std"))
 
 
 def save(models: dict[str, CropModel], folder: str) -> None:
@@ -124,7 +124,7 @@ def importances(spark: SparkSession, models: dict[str, CropModel]) -> DataFrame:
         for feature, value in zip(model.features, model.booster.featureImportances.toArray())
     ]
     table = spark.createDataFrame(rows, "crop string, feature string, xgb_importance double")
-    return table.withColumn("xgb_importance", round_to(F.col("xgb_importance"), 4))
+    return table.withColumn("xgb_importance", settle(F.col("xgb_importance"), 4))
 
 
 def predict(df: DataFrame, models: dict[str, CropModel], *, crop: str = "commodity_name",

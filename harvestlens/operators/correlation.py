@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harvestlens import config
-from harvestlens.functions.columns import round_to
+from harvestlens.functions.columns import settle
 from harvestlens.operators import ordered
 from harvestlens.operators.joins import attach
 from harvestlens.session import cut
@@ -122,8 +122,8 @@ def correlations(df: DataFrame, features: list[str], *, group: str = "commodity_
     both = linear.join(ranks, ["crop", "feature"])
     return both.select(
         "crop", "feature",
-        round_to(F.col("r"), 3).alias("pearson_r"), round_to(p_value("r", "n"), 4).alias("pearson_p"),
-        round_to(F.col("s"), 3).alias("spearman_r"), round_to(p_value("s", "n"), 4).alias("spearman_p"),
+        settle(F.col("r"), 3).alias("pearson_r"), settle(p_value("r", "n"), 4).alias("pearson_p"),
+        settle(F.col("s"), 3).alias("spearman_r"), settle(p_value("s", "n"), 4).alias("spearman_p"),
         F.abs("r").alias("abs_pearson"),
     ).orderBy("crop", F.col("abs_pearson").desc(), "feature")
 

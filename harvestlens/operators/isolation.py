@@ -39,14 +39,13 @@ def tree_samples(rows: DataFrame, group: str, key: list[str], columns: list[str]
     """Per group and tree up to ``size`` rows drawn without replacement (group, tree, columns).
 
     A pool of about trees x size rows is drawn first; only pool rows are offered to all trees. Draws
-    come from a hash of the row key and the seed. Copies of a key would all be drawn together, so
-    where keys repeat each row's own number joins the hash.
+    come from a hash of the key, the inputs, the number among equal rows and the seed: they do not depend
+    on how the rows are partitioned, and equal rows are not drawn together.
     """
-    stats = rows.groupBy(group).agg(
-        F.count("*").alias("__n"), F.approx_count_distinct(F.struct(*key)).alias("__d"))
-    repeated = stats.where("__d < 0.8 * __n").limit(1).count() > 0
-    own = [F.monotonically_increasing_id()] if repeated else []
-    marked = rows.select(group, *columns, F.xxhash64(*[F.col(k) for k in key], *own).alias("__key"))
+    stats = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    equal = rows.groupBy(group, *columns, F.xxhash64(*[F.col(k) for k in key]).alias("__row")).agg(F.count("*").alias("__copies"))
+    marked = equal.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(
+        group, *columns, F.xxhash64("__row", *columns, "__copy").alias("__key"))
 
     def unit(*parts) -> F.Column:
         return (F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)

@@ -48,8 +48,11 @@ def attach(df: DataFrame, lookup: DataFrame, keys: list[str], *, weight: str, ho
         return left.join(right, condition, "left")
 
     first = match(df, F.broadcast(hot), []).drop(*[f"__k_{k}" for k in keys])
+    no_key = F.lit(False)
+    for k in [] if null_safe else keys:  # rows that match nothing need no common task either
+        no_key = no_key | F.col(k).isNull()
     spread = first.withColumn("__slot", F.when(
-        F.col("__hot"), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(HOT_SLOTS))).otherwise(F.lit(0).cast("long")))
+        F.col("__hot") | no_key, 1 + F.pmod(F.monotonically_increasing_id(), F.lit(HOT_SLOTS))).otherwise(F.lit(0).cast("long")))
     cold = (
         ranked.where("not __hot").drop("__hot").withColumn("__cold_slot", F.lit(0).cast("long"))
         .withColumnsRenamed({k: f"__k_{k}" for k in keys} | {c: f"__c_{c}" for c in values})

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from harvestlens import config
 from harvestlens.functions import labels
-from harvestlens.operators import attribution, boosting, reports, windows
+from harvestlens.functions.columns import active_features
+from harvestlens.operators import attribution, boosting, isolation, reports, windows
 from harvestlens.session import cut
 
 
@@ -52,6 +53,27 @@ def without_isolation(df: DataFrame) -> DataFrame:
     return df.withColumns({"if_anomaly": F.lit(False), "if_anomaly_score": F.lit(None).cast("double")})
 
 
+def isolation_by_crop(rows: DataFrame, models: dict[str, boosting.CropModel], key: list[str], *,
+                      crop: str = "commodity_name", crops: list[str] = config.CROPS, drop_incomplete: bool = False,
+                      **options) -> DataFrame:
+    """Layer 3 with the inputs of each crop: the residual where it has a model, else its weather and yield.
+
+    ``rows`` is a written table. Rows of other crops get no score.
+    """
+    fitted = [c for c in crops if c in models]
+    parts = [(fitted, ["xgb_residual"])] if fitted else []
+    for name in [c for c in crops if c not in models]:
+        own = rows.where(F.col(crop) == name)
+        features = active_features(own, [c for c in config.WEATHER_FEATURES if c not in config.ANSWERS_ONLY])
+        parts.append(([name], [*features, "yield_bu_ac"]))
+    frames = [isolation.isolation_layer(rows.where(F.col(crop).isin(names)), inputs, key, group=crop, groups=names,
+                                        drop_incomplete=drop_incomplete, **options) for names, inputs in parts]
+    other = rows.where(~F.coalesce(F.col(crop).isin(crops), F.lit(False)))
+    if not drop_incomplete:
+        frames.append(without_isolation(other).select(*rows.columns, "if_anomaly_score", "if_anomaly"))
+    return reports.union_all(*frames)
+
+
 def without_attribution(df: DataFrame) -> DataFrame:
     """Attribution columns when no model is there."""
     return df.withColumns({

@@ -26,6 +26,10 @@ def _cells(lat: Column, lon: Column, width: Column, around: bool) -> Column:
     return F.array(*[F.struct((r + a).alias("r"), (c + b).alias("c")) for a in steps for b in steps])
 
 
+def _known(name: str) -> Column:
+    return F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double"))
+
+
 def _extent(sites: DataFrame) -> tuple[int, float]:
     row = sites.agg(
         F.count("*").alias("n"), (F.max("lat") - F.min("lat")).alias("h"), (F.max("lon") - F.min("lon")).alias("w")).first()
@@ -36,14 +40,14 @@ def nearest(points: DataFrame, sites: DataFrame, *, site_key: str = "fips", lat:
             out: str | None = None) -> DataFrame:
     """Points with the key of the closest site in squared degrees; equal distance takes the lowest key.
 
-    ``sites`` has ``site_key``, lat and lon. Points without a position get null. Points at the same
+    ``sites`` has ``site_key``, lat and lon. Points without a position (null or NaN) get null. Points at the same
     position are looked up once.
     """
     out = out or site_key
     # Copies of a position collapse first: only the lowest key there can win.
-    sites = sites.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy("lat", "lon").agg(
+    sites = sites.where(_known("lat") & _known("lon")).groupBy("lat", "lon").agg(
         F.min(site_key).alias("__key"))
-    places = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
+    places = points.where(_known(lat) & _known(lon)).select(
         F.col(lat).alias("plat"), F.col(lon).alias("plon")).distinct()
     n, site_extent = _extent(sites)
     _, extent = _extent(sites.select("lat", "lon").unionByName(places.toDF("lat", "lon")))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harvestlens.functions.columns import round_to
+from harvestlens.functions.columns import settle
 from harvestlens.operators import ordered
 
 
@@ -37,7 +37,7 @@ def describe(df: DataFrame, keys: list[str], columns: list[str], digits: int) ->
     quartiles = ordered.exact_percentiles(long, by, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("__n")
     both = moments.join(quartiles, by, "left")
     return both.select(*by, "count", *[
-        round_to(F.col(c), digits).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+        settle(F.col(c), digits).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
 def five_numbers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -67,12 +67,12 @@ def coverage(df: DataFrame, column: str) -> DataFrame:
     """Rows with a value, all rows and the share in percent."""
     has = F.col(column).isNotNull()
     return df.agg(F.count_if(has).alias("matched"), F.count("*").alias("n_rows"),
-                  round_to(100 * F.avg(has.cast("double")), 1).alias("match_pct"))
+                  settle(100 * F.avg(has.cast("double")), 1).alias("match_pct"))
 
 
 def mean_by(df: DataFrame, keys: list[str], value: str, digits: int, out: str) -> DataFrame:
     """Rounded group mean."""
-    return df.groupBy(*keys).agg(round_to(F.avg(value), digits).alias(out))
+    return df.groupBy(*keys).agg(settle(F.avg(value), digits).alias(out))
 
 
 def count_pivot(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
@@ -95,7 +95,7 @@ def layer_overlap(df: DataFrame, z: str = "z_anomaly", r: str = "residual_anomal
     return df.agg(
         F.count("*").alias("n_rows"), F.count_if(af).alias("flagged"), F.count_if(zf).alias("z_flagged"),
         F.count_if(zf & ~rf).alias("weather_explained"), F.count_if(zf & rf).alias("unexplained"),
-        round_to(100 * F.avg(af.cast("double")), 1).alias("flagged_pct"))
+        settle(100 * F.avg(af.cast("double")), 1).alias("flagged_pct"))
 
 
 def value_shares(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
@@ -106,7 +106,7 @@ def value_shares(df: DataFrame, value: str, keys: list[str] | None = None) -> Da
         total = F.sum("n").over(Window.partitionBy(*keys))  # over one row per value
     else:
         total = counts.agg(F.sum("n")).scalar()
-    return counts.withColumn("pct", round_to(100.0 * F.col("n") / total, 1)).orderBy(*keys, F.col("n").desc(), value)
+    return counts.withColumn("pct", settle(100.0 * F.col("n") / total, 1)).orderBy(*keys, F.col("n").desc(), value)
 
 
 def mean_pivot(df: DataFrame, row: str, column: str, values: list, measure: str, *, missing: float | None = None) -> DataFrame:
@@ -124,8 +124,8 @@ def mean_and_std(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def yield_trend(merged: DataFrame, *, crop: str = "commodity_name") -> DataFrame:
     """Yearly means per crop behind the trend chart."""
     return merged.groupBy("year", crop).agg(
-        round_to(F.avg("yield_bu_ac"), 1).alias("avg_yield_bu_ac"), round_to(F.avg("gdd_base10"), 0).alias("avg_gdd"),
-        round_to(F.avg("heat_stress_days"), 1).alias("avg_heat_days")).orderBy("year", crop)
+        settle(F.avg("yield_bu_ac"), 1).alias("avg_yield_bu_ac"), settle(F.avg("gdd_base10"), 0).alias("avg_gdd"),
+        settle(F.avg("heat_stress_days"), 1).alias("avg_heat_days")).orderBy("year", crop)
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, keys: list[str] | None = None) -> DataFrame:

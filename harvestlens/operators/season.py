@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from harvestlens import config
 from harvestlens.functions import agronomy
-from harvestlens.functions.columns import blank, clip_lower, parse_date, round_to
+from harvestlens.functions.columns import blank, clip_lower, parse_date, settle
+from harvestlens.operators import joins
 
 
 def clean_observations(raw: DataFrame, *, months: list[int] = config.GROWING_MONTHS,
@@ -44,19 +45,28 @@ def station_seasons(obs: DataFrame, *, min_days: int = config.MIN_COMMON_DAYS, h
     mean = (F.col("tmax") + F.col("tmin")) / 2
     seasons = days.groupBy("station_id", "year").agg(
         F.count_if(both).alias("common_days"),
-        round_to(F.avg(F.when(both, F.col("tmax"))), 2).alias("tmax_mean_c"),
-        round_to(F.avg(F.when(both, F.col("tmin"))), 2).alias("tmin_mean_c"),
-        round_to(F.avg(mean), 2).alias("tavg_mean_c"),
-        round_to(F.coalesce(F.sum("rain"), F.lit(0.0)), 1).alias("precip_total_mm"),
-        round_to(F.coalesce(F.sum(agronomy.degree_days(mean, base_c)), F.lit(0.0)), 1).alias("gdd_base10"),
+        settle(F.avg(F.when(both, F.col("tmax"))), 2).alias("tmax_mean_c"),
+        settle(F.avg(F.when(both, F.col("tmin"))), 2).alias("tmin_mean_c"),
+        settle(F.avg(mean), 2).alias("tavg_mean_c"),
+        settle(F.coalesce(F.sum("rain"), F.lit(0.0)), 1).alias("precip_total_mm"),
+        settle(F.coalesce(F.sum(agronomy.degree_days(mean, base_c)), F.lit(0.0)), 1).alias("gdd_base10"),
         F.count_if(both & (F.col("tmax") > heat_c)).alias("heat_stress_days"),
         F.sum("dry").alias("drought_days"),
-        round_to(F.try_divide(F.sum("wind"), F.sum("wind_n")), 2).alias("wind_mean_ms"),
+        settle(F.try_divide(F.sum("wind"), F.sum("wind_n")), 2).alias("wind_mean_ms"),
     )
     return seasons.where(F.col("common_days") >= min_days).drop("common_days").withColumns(
         {"et0_total_mm": F.lit(None).cast("double"), "solar_total_mj": F.lit(None).cast("double")})
 
 
+def mapped_seasons(obs: DataFrame, mapping: DataFrame, *, key: str = "station_id", **options) -> DataFrame:
+    """County seasons of cleaned observations; ``mapping`` has the station and its county.
+
+    Rows of other stations go before the shuffle; the county is added to the few rows after it.
+    """
+    ours = joins.lookup_join(obs, mapping.select(key), [key], "left_semi")
+    return county_seasons(joins.map_rows(station_seasons(ours, **options), mapping, [key]))
+
+
 def county_seasons(stations: DataFrame, *, key: str = "fips") -> DataFrame:
     """Unweighted mean over the stations of a county and year (A5)."""
     measures = [c for c in stations.columns if c not in ("station_id", "year", key)]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestlens import config
-from harvestlens.functions.columns import round_to
+from harvestlens.functions.columns import settle
 from harvestlens.operators import ordered
 from harvestlens.operators.joins import attach
 
@@ -48,7 +48,7 @@ def group_zscore(df: DataFrame, keys: list[str], value: str, out: str, *, epsilo
     """(x - group mean) / (sample std + epsilon); a one-row or, without epsilon, constant group gives null."""
     scored = with_group_stats(df, keys, value, {"mean": "__mean", "std": "__std"})
     z = F.try_divide(F.col(value) - F.col("__mean"), F.col("__std") + epsilon)
-    return scored.withColumn(out, z if digits is None else round_to(z, digits)).drop("__mean", "__std")
+    return scored.withColumn(out, z if digits is None else settle(z, digits)).drop("__mean", "__std")
 
 
 def group_max(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from harvestlens import config
 from harvestlens.functions import agronomy, labels
-from harvestlens.functions.columns import active_features, round_to
-from harvestlens.operators import attribution, boosting, correlation, isolation, joins, layers, neighbours, reports, season, windows
+from harvestlens.functions.columns import active_features, settle
+from harvestlens.operators import attribution, boosting, correlation, joins, layers, neighbours, reports, season, windows
 from harvestlens.session import cut
 from harvestlens.sources import files, payloads, tables
 
@@ -30,7 +30,7 @@ def yield_statistics(rows: DataFrame, keys: tuple[str, ...] = BAND, value: str =
     stats = windows.with_group_stats(rows, list(keys), value, {
         "mean": "yield_mean", "std": "yield_std", "min": "min", "max": "max", "count": "n_years"})
     z = F.try_divide(F.col(value) - F.col("yield_mean"), F.col("yield_std"))
-    return stats.withColumn("yield_zscore", round_to(z, 3))
+    return stats.withColumn("yield_zscore", settle(z, 3))
 
 
 def derive_indices(seasons: DataFrame, *, key: str = "fips", order: str = "year") -> DataFrame:
@@ -68,11 +68,7 @@ def weather_table(spark: SparkSession, yields: DataFrame, folder: str, years: li
     mapping = cut(neighbours.nearest(stations, counties).select("station_id", "fips"))
 
     def compute(missing: list[int]) -> DataFrame:
-        clean = season.clean_observations(files.read_daily(spark, folder, missing))
-        # Rows of other stations go before the shuffle; the county is added to the few rows after it.
-        ours = joins.lookup_join(clean, mapping.select("station_id"), ["station_id"], "left_semi")
-        per_station = season.station_seasons(ours)
-        return season.county_seasons(joins.map_rows(per_station, mapping, ["station_id"]))
+        return season.mapped_seasons(season.clean_observations(files.read_daily(spark, folder, missing)), mapping)
 
     seasons = tables.extend_by_year(spark, cache, years, compute, fmt=fmt)
     if seasons.limit(1).count() == 0:
@@ -130,10 +126,8 @@ def anomaly_table(spark: SparkSession, merged: DataFrame, folder: str, *, crops:
                   drop_incomplete: bool = False, fmt: str = "parquet") -> dict[str, DataFrame]:
     """Entry 3: three layers over the merged table; ``scored`` has every row, ``anomalies`` the flagged ones."""
     models = boosting.load(spark, f"{folder}/models", crops)
-    rows = layers.baseline_layer(layers.residual_layer(merged, models))
-    inputs = ["xgb_residual"] if models else [*active_features(merged, config.WEATHER_FEATURES), "yield_bu_ac"]
-    isolated = isolation.isolation_layer(
-        rows, inputs, list(key), groups=crops, trees=trees, drop_incomplete=drop_incomplete)
+    rows = cut(layers.baseline_layer(layers.residual_layer(merged, models)))
+    isolated = layers.isolation_by_crop(rows, models, list(key), crops=crops, trees=trees, drop_incomplete=drop_incomplete)
     tables.write_table(layers.combine(isolated), f"{folder}/scored", partition_by=["commodity_name"], fmt=fmt)
     scored = tables.read_table(spark, f"{folder}/scored", fmt)
     explained = layers.explain_flagged(scored.where("is_anomaly"), models)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote, urlparse
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harvestlens import config, schemas
-from harvestlens.functions.columns import composite_key, rename, strict_cast, tolerant_cast, trim_strings, zero_pad
+from harvestlens.functions.columns import composite_key, rename, strict_cast, tolerant_cast, trim_strings, without_nan, zero_pad
 from harvestlens.operators.season import clean_observations
 
 
@@ -52,9 +54,41 @@ def read_daily(spark: SparkSession, folder: str, years: list[int]) -> DataFrame:
     found, _ = find_year_files(spark, folder, years)
     if not found:
         return spark.createDataFrame([], schemas.DAILY_CSV).withColumn("year", F.lit(None).cast("int"))
-    raw = spark.read.schema(schemas.DAILY_CSV).csv(list(found.values()))
-    year = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4})\.csv", 1).cast("int")
-    return raw.withColumn("year", year).where(F.col("element").isin(config.DAILY_ELEMENTS))
+    return _daily_rows(spark.read.schema(schemas.DAILY_CSV).csv(list(found.values())))
+
+
+def file_year():
+    """The year in the name of the file that a row comes from."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4})\.csv", 1).cast("int")
+
+
+def _daily_rows(raw: DataFrame) -> DataFrame:
+    return without_nan(raw.withColumn("year", file_year())).where(F.col("element").isin(config.DAILY_ELEMENTS))
+
+
+def read_delivered(spark: SparkSession, folder: str, years: list[int], pattern: str) -> DataFrame:
+    """Raw daily rows of all deliveries of these years below a folder.
+
+    Of a compressed and a plain file of one year in one folder the compressed one is read. Where a station,
+    day and element is in several folders, the newest file that holds it counts: years are
+    published again while they last.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    year = F.regexp_extract("path", r"(\d{4})\.csv", 1).cast("int")
+    one = Window.partitionBy(F.regexp_replace("path", r"\.gz$", "")).orderBy(F.col("path").desc())
+    newest = listed.select("path", "modificationTime", year.alias("year")).where(F.col("year").isin(years)).withColumn(
+        "place", F.row_number().over(one)).where("place = 1")
+    names = [r.path for r in newest.orderBy("modificationTime", "path").collect()]  # a few files per year
+    if not names:
+        return spark.createDataFrame([], schemas.DAILY_CSV).withColumn("year", F.lit(None).cast("int"))
+    raw = spark.read.schema(schemas.DAILY_CSV).csv(names)
+    if len(names) == len(set(n.rsplit("/", 1)[1][:4] for n in names)):
+        return _daily_rows(raw)
+    ages = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (unquote(urlparse(n).path), i)])
+    aged = _daily_rows(raw.withColumn("__age", ages[F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/+", "/"))]))
+    key = ["station_id", "date", "element"]
+    return aged.join(aged.groupBy(*key).agg(F.max("__age").alias("__newest")), key).where(
+        "__age = __newest").drop("__age", "__newest").select(*aged.drop("__age").columns)
 
 
 def land_daily(spark: SparkSession, folder: str, years: list[int], path: str, *,

@@ -21,10 +21,10 @@ def daily_from_arrays(df: DataFrame, payload: str, keys: list[str]) -> DataFrame
 
 
 def daily_from_maps(df: DataFrame, payload: str, keys: list[str], *, sentinel: float = -999.0) -> DataFrame:
-    """Maps of variable to day to value, as one row per day; the sentinel becomes null."""
+    """Maps of variable to day to value, as one row per answer and day; the sentinel becomes null."""
     parameter = F.from_json(F.col(payload), schemas.MAPS_PAYLOAD)["properties"]["parameter"]
-    variables = df.select(*keys, F.explode(parameter).alias("variable", "days"))
-    long = variables.select(*keys, "variable", F.explode("days").alias("day", "v"))
-    value = sentinel_to_null(F.col("v"), sentinel)
-    return long.groupBy(*keys, F.to_date("day", "yyyyMMdd").alias("date")).agg(
-        *[F.max(F.when(F.col("variable") == c, value)).alias(c) for c in schemas.DAILY_MAPS])
+    days = F.array_distinct(F.flatten(F.transform(F.map_values("p"), lambda v: F.map_keys(v))))
+    rows = df.select(*keys, parameter.alias("p")).select(*keys, "p", F.explode(days).alias("day"))
+    return rows.select(*keys, F.to_date("day", "yyyyMMdd").alias("date"), *[
+        sentinel_to_null(F.try_element_at(F.try_element_at("p", F.lit(c)), F.col("day")), sentinel).alias(c)
+        for c in schemas.DAILY_MAPS])

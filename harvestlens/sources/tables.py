@@ -7,25 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harvestlens.functions.columns import without_nan
 from harvestlens.operators.joins import not_done
 from harvestlens.operators.windows import first_per_key
 
 
 def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = None, mode: str = "overwrite",
-                fmt: str = "parquet") -> None:
+                fmt: str = "parquet", replace_partitions: bool = False) -> None:
     """Write a table (S10). Rows are grouped by partition value first, to keep files few.
 
     With adaptive execution the grouping splits partition values that hold too many rows.
+    ``replace_partitions`` overwrites the partitions that get rows and leaves the others.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     writer = df.write.format(fmt).mode(mode)
+    if replace_partitions:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read a table."""
-    return spark.read.format(fmt).load(path)
+    """Read a table (S9); NaN is read as null."""
+    return without_nan(spark.read.format(fmt).load(path))
 
 
 def register(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> None:
@@ -46,7 +50,7 @@ def scan_first(spark: SparkSession, candidates: list[str]) -> DataFrame:
     name = first_existing(spark, candidates)
     if name is None:
         raise LookupError(f"none of these tables exists: {candidates}")
-    return spark.table(name)
+    return without_nan(spark.table(name))
 
 
 def require_tables(spark: SparkSession, names: list[str]) -> None:

@@ -3,32 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from harvestlens import config, schemas
-from harvestlens.operators import joins, season
-from harvestlens.sources import tables
+from harvestlens.operators import season
+from harvestlens.sources import files, tables
+
+YEAR_FILES = "{[0-9][0-9][0-9][0-9].csv,[0-9][0-9][0-9][0-9].csv.gz}"
 
 
 def follow_year_files(spark: SparkSession, folder: str, mapping: DataFrame, cache: str, checkpoint: str, *,
                       months: list[int] = config.GROWING_MONTHS, min_days: int = config.MIN_COMMON_DAYS,
-                      heat_c: float = config.HEAT_C, pattern: str = "[0-9][0-9][0-9][0-9].csv*") -> None:
+                      heat_c: float = config.HEAT_C, pattern: str = YEAR_FILES) -> None:
     """Process the files that are new since the last run, then stop. The year is taken from the path.
 
-    A season is complete within its year file, so no state crosses batches. A batch may be
-    replayed after a failure: county-years already in the cache are left out.
+    A season is complete within its year, so no state crosses batches. A batch says which years have new
+    files; these years are read again from all their files and replace what the cache holds of them.
+    So a later delivery of a year is not lost, and a batch can be replayed after a failure.
     """
     raw = spark.readStream.schema(schemas.DAILY_CSV).option("pathGlobFilter", pattern).option(
         "recursiveFileLookup", True).csv(folder)
-    year = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4})\.csv", 1).cast("int")
 
     def fold(batch: DataFrame, _: int) -> None:
-        clean = season.clean_observations(batch, months=months)
-        seasons = season.county_seasons(
-            joins.map_rows(season.station_seasons(clean, min_days=min_days, heat_c=heat_c), mapping, ["station_id"]))
-        if tables.path_exists(spark, cache):
-            seasons = joins.not_done(seasons, tables.read_table(spark, cache), ["fips", "year"])
-        tables.write_table(seasons, cache, partition_by=["year"], mode="append")
-
-    stream = raw.withColumn("year", year).writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
+        touched = [r.year for r in batch.select("year").distinct().where("year is not null").collect()]
+        if not touched:
+            return
+        clean = season.clean_observations(files.read_delivered(spark, folder, touched, pattern), months=months)
+        seasons = season.mapped_seasons(clean, mapping, min_days=min_days, heat_c=heat_c)
+        tables.write_table(seasons, cache, partition_by=["year"], replace_partitions=True)
+
+    stream = raw.select(files.file_year().alias("year")).writeStream.trigger(availableNow=True).option(
+        "checkpointLocation", checkpoint)
     stream.foreachBatch(fold).start().awaitTermination()

@@ -68,8 +68,8 @@ def test_attribution_equals_definition():
         (0, 0, 0.0, 1, 2, 10.0, 0, 0.5), (0, 1, 0.0, 3, 4, 6.0, 1, 0.0), (0, 2, 7.0, -1, -1, 4.0, -1, np.nan),
         (0, 3, 1.0, -1, -1, 2.0, -1, np.nan), (0, 4, 3.0, -1, -1, 4.0, -1, np.nan)],
         columns=["treeID", "id", "prediction", "leftChild", "rightChild", "cover", "feature", "threshold"])
-    base, leaves = attribution._leaf_tables(nodes, np.array([1.0]))
-    got = attribution._contributions(np.array([[0.2, 1.0]]), leaves)[0]
+    base, leaves = attribution._leaves(nodes, np.array([1.0]))
+    got = attribution._contributions(np.array([[0.2, 1.0]]), attribution._tables(leaves))[0]
 
     def value(known):
         def walk(i):

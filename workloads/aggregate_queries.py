@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harvestlens.functions.columns import round_to
+from harvestlens.functions.columns import settle
 from harvestlens.operators import correlation, joins, reports, season, windows
 from harvestlens.session import scratch_path
 from harvestlens.sources import tables
@@ -17,7 +17,7 @@ from workloads.scalar_queries import pearson_sql
 
 
 def rounded(df, columns, digits=6):
-    return df.withColumns({c: round_to(F.col(c), digits) for c in columns})
+    return df.withColumns({c: settle(F.col(c), digits) for c in columns})
 
 
 @query("a1_profile", b.with_(b.YIELDS) + """

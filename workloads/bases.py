@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestlens import config
+from harvestlens.functions import labels
 from harvestlens.functions.columns import zero_pad
 from harvestlens.operators import season, windows
 from harvestlens.operators.joins import lookup_join, merge_weather
@@ -204,9 +205,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = layers.flag_residuals(gaps)
     z = windows.group_zscore(flagged, ["fips", "commodity_name"], "yield_bu_ac", "yield_z_robust", epsilon=config.Z_EPSILON)
     return layers.combine(z.withColumns({
-        "z_anomaly": F.abs("yield_z_robust") > config.Z_THRESHOLD,
-        "z_direction": F.when(F.col("yield_z_robust") < -config.Z_THRESHOLD, "LOW").when(
-            F.col("yield_z_robust") > config.Z_THRESHOLD, "HIGH").otherwise("NORMAL"),
+        "z_anomaly": labels.two_sided_flag(F.col("yield_z_robust"), config.Z_THRESHOLD),
+        "z_direction": labels.direction(F.col("yield_z_robust"), config.Z_THRESHOLD),
         "if_anomaly": F.col("yield_bu_ac") > 480, "if_anomaly_score": F.col("yield_bu_ac") / 500}))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harvestlens.functions.columns import round_to
+from harvestlens.functions.columns import settle
 from harvestlens.operators import joins, neighbours, season, windows
 from harvestlens.session import cut
 from workloads import bases as b
@@ -38,8 +38,8 @@ FROM yields WINDOW g AS (PARTITION BY fips, commodity_name, irr_name)""")
 def j2(spark, d):
     rows = windows.with_group_stats(b.yields(spark, d), ["fips", "commodity_name", "irr_name"], "gappy_yield", {
         "mean": "yield_mean", "std": "yield_std", "min": "low", "max": "high", "count": "n_years"})
-    return rows.select("obs_id", round_to(F.col("yield_mean"), 6).alias("yield_mean"),
-                       round_to(F.col("yield_std"), 6).alias("yield_std"), "low", "high", "n_years")
+    return rows.select("obs_id", settle(F.col("yield_mean"), 6).alias("yield_mean"),
+                       settle(F.col("yield_std"), 6).alias("yield_std"), "low", "high", "n_years")
 
 
 @query("j3_yield_weather_merge", b.WM + f"""
@@ -47,7 +47,7 @@ SELECT obs_id, fips, year, yield_bu_ac, precip_total_mm, gdd_base10, heat_stress
 def j3(spark, d):
     return b.merged(spark, d).select(
         "obs_id", "fips", "year", "yield_bu_ac", "precip_total_mm", "gdd_base10",
-        F.col("heat_stress_days").cast("long").alias("heat_stress_days"), round_to(F.col("precip_z"), 6).alias("precip_z"), "cwsi")
+        F.col("heat_stress_days").cast("long").alias("heat_stress_days"), settle(F.col("precip_z"), 6).alias("precip_z"), "cwsi")
 
 
 def _points(spark, d):
@@ -121,7 +121,7 @@ days AS (
 SELECT station_id, date, {R("tmax", 4)} AS tmax, {R("tmin", 4)} AS tmin FROM days WHERE tmax IS NOT NULL AND tmin IS NOT NULL""")
 def j7(spark, d):
     days = season.station_days(b.observations(spark, d)).where("tmax is not null and tmin is not null")
-    return days.select("station_id", "date", round_to(F.col("tmax"), 4).alias("tmax"), round_to(F.col("tmin"), 4).alias("tmin"))
+    return days.select("station_id", "date", settle(F.col("tmax"), 4).alias("tmax"), settle(F.col("tmin"), 4).alias("tmin"))
 
 
 @query("j8_explanations_on_rows", b.WS + """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harvestlens.functions.columns import round_to
+from harvestlens.functions.columns import settle
 from harvestlens.operators import attribution, boosting, correlation, isolation, layers, reports
 from harvestlens.session import cut, scratch_path
 from workloads import bases as b
@@ -82,7 +82,7 @@ SELECT obs_id, {R("(gappy_yield - avg(gappy_yield) OVER g) / stddev_pop(gappy_yi
 FROM yields WINDOW g AS (PARTITION BY commodity_name)""")
 def m8(spark, d):
     rows = isolation.standardise(b.yields(spark, d), ["commodity_name"], ["gappy_yield"])
-    return rows.select("obs_id", round_to(F.col("gappy_yield_std"), 6).alias("gappy_yield_std"))
+    return rows.select("obs_id", settle(F.col("gappy_yield_std"), 6).alias("gappy_yield_std"))
 
 
 @query("m9_isolation_forest")
@@ -96,7 +96,7 @@ def m9(spark, d):
 SELECT crop, feature, {R("abs(r)", 6)} AS xgb_importance, {R("abs(r)", 6)} AS shap_mean_abs FROM r WHERE n >= 20""")
 def m10(spark, d):
     corr = correlation.pearson(b.merged(spark, d), "commodity_name", "yield_bu_ac", b.ACTIVE).where("n >= 20")
-    return correlation.importance_from_correlations(corr.withColumn("abs_pearson", round_to(F.abs("r"), 6)))
+    return correlation.importance_from_correlations(corr.withColumn("abs_pearson", settle(F.abs("r"), 6)))
 
 
 @query("m11_missing_layers", b.with_(b.YIELDS) + """

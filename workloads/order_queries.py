@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harvestlens.functions.columns import round_to
+from harvestlens.functions.columns import settle
 from harvestlens.operators import correlation, joins, reports
 from workloads import bases as b
 from workloads.bases import R
@@ -16,7 +16,7 @@ RANKS = b.WM.rstrip() + ", r AS (" + pearson_sql(b.ACTIVE) + f"), t AS (SELECT c
 
 def _strength(spark, d):
     corr = correlation.pearson(b.merged(spark, d), "commodity_name", "yield_bu_ac", b.ACTIVE)
-    return corr.select("crop", "feature", round_to(F.abs("r"), 6).alias("strength"))
+    return corr.select("crop", "feature", settle(F.abs("r"), 6).alias("strength"))
 
 
 @query("o1_mixed_sort", RANKS + "SELECT crop, feature, strength FROM t ORDER BY crop, strength DESC, feature")
@@ -34,7 +34,7 @@ SELECT year, obs_id, s.fips, county_name, state_abbr, commodity_name, yield_bu_a
 FROM scored s JOIN counties c ON s.fips = c.fips WHERE is_anomaly
 ORDER BY year DESC, abs({R("xgb_residual", 6)}) DESC, obs_id LIMIT 500""")
 def o3(spark, d):
-    rows = b.scored(spark, d).withColumn("xgb_residual", round_to(F.col("xgb_residual"), 6))
+    rows = b.scored(spark, d).withColumn("xgb_residual", settle(F.col("xgb_residual"), 6))
     named = joins.lookup_join(rows, b.counties(spark, d), ["fips"], "inner")
     return reports.anomaly_feed(named, ["year", "obs_id", "fips", "county_name", "state_abbr", "commodity_name", "yield_bu_ac",
                                         "xgb_residual", "anomaly_type"], ties=("obs_id",))

@@ -116,9 +116,9 @@ def p13(spark, d):
     q = F.col("l_quantity")
     warm = agronomy.fahrenheit_to_c(q, 45.0)
     return b.table(spark, d, "lineitem").groupBy("l_suppkey").agg(
-        F.count(warm).alias("warm_n"), columns.round_to(F.avg(warm), 6).alias("warm_c"),
-        columns.round_to(F.sum(agronomy.inches_to_mm(q, 40.0)), 4).alias("rain_mm"),
-        columns.round_to(F.max(agronomy.knots_to_ms(q, 50.0)), 6).alias("wind_ms"))
+        F.count(warm).alias("warm_n"), columns.settle(F.avg(warm), 6).alias("warm_c"),
+        columns.settle(F.sum(agronomy.inches_to_mm(q, 40.0)), 4).alias("rain_mm"),
+        columns.settle(F.max(agronomy.knots_to_ms(q, 50.0)), 6).alias("wind_ms"))
 
 
 @query("p14_clip", b.with_(b.YIELDS) + """
@@ -127,8 +127,11 @@ def p14(spark, d):
     return b.yields(spark, d).select("obs_id", columns.clip_lower(F.col("gappy_yield"), 100.0).alias("clipped"))
 
 
+P15 = ", ".join(f"CAST(round(CAST(yield_bu_ac AS DECIMAL(38, 12)), {n}) AS DOUBLE) AS r{n}" for n in (1, 2, 0))
+
+
 @query("p15_round", b.with_(b.YIELDS) + f"""
-SELECT obs_id, {R("yield_bu_ac", 1)} AS r1, {R("yield_bu_ac", 2)} AS r2, {R("yield_bu_ac", 0)} AS r0 FROM yields""")
+SELECT obs_id, {P15} FROM yields""")
 def p15(spark, d):
     y = F.col("yield_bu_ac")
     return b.yields(spark, d).select("obs_id", *[columns.round_to(y, n).alias(f"r{n}") for n in (1, 2, 0)])
@@ -148,7 +151,7 @@ def p16(spark, d):
 
 @query("p17_et0", b.with_(b.DAILY, b.WEATHER) + f"SELECT fips, year, {R('et0_estimate_mm', 4)} AS et0_estimate_mm FROM weather")
 def p17(spark, d):
-    return b.weather(spark, d).select("fips", "year", columns.round_to(F.col("et0_estimate_mm"), 4).alias("et0_estimate_mm"))
+    return b.weather(spark, d).select("fips", "year", columns.settle(F.col("et0_estimate_mm"), 4).alias("et0_estimate_mm"))
 
 
 @query("p18_water_stress", b.with_(b.DAILY, b.WEATHER) + "SELECT fips, year, cwsi FROM weather")
@@ -170,7 +173,7 @@ def p20(spark, d):
 @query("p21_residual", b.WS + f"SELECT obs_id, {R('xgb_residual', 6)} AS xgb_residual FROM scored")
 def p21(spark, d):
     gap = labels.residual(F.col("yield_bu_ac"), F.col("xgb_predicted_yield"))
-    return b.scored(spark, d).select("obs_id", columns.round_to(gap, 6).alias("xgb_residual"))
+    return b.scored(spark, d).select("obs_id", columns.settle(gap, 6).alias("xgb_residual"))
 
 
 @query("p22_any_flag", b.WS + "SELECT obs_id, is_anomaly FROM scored")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens import config
-from harvestlens.functions.columns import fixed, round_to, zero_pad
+from harvestlens.functions.columns import fixed, settle, zero_pad
 from harvestlens.operators import joins, reports, season
 from harvestlens.plans import stages
 from harvestlens.session import scratch_path
@@ -157,7 +157,7 @@ def s6b(spark, d):
         (-F.col("n_nationkey").cast("double")).alias("lon"))
     seasons = stages.weather_from_station_table(spark, counties, list(range(1996, 2001)), candidates=["no_such_table", _gsod_view(spark, d)])
     measures = ["tmax_mean_c", "tmin_mean_c", "tavg_mean_c", "precip_total_mm", "gdd_base10", "wind_mean_ms"]
-    return seasons.drop("et0_total_mm", "solar_total_mj").withColumns({c: round_to(F.col(c), 4) for c in measures})
+    return seasons.drop("et0_total_mm", "solar_total_mj").withColumns({c: settle(F.col(c), 4) for c in measures})
 
 
 @query("s7_json_arrays", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harvestlens import config
-from harvestlens.functions.columns import round_to
+from harvestlens.functions.columns import settle
 from harvestlens.operators import windows
 from workloads import bases as b
 from workloads.bases import R
@@ -23,12 +23,12 @@ def w1(spark, d):
 
 @query("w1_rain_zscore", b.with_(b.DAILY, b.WEATHER) + f"SELECT fips, year, {R('precip_z', 6)} AS precip_z FROM weather")
 def w1b(spark, d):
-    return b.weather(spark, d).select("fips", "year", round_to(F.col("precip_z"), 6).alias("precip_z"))
+    return b.weather(spark, d).select("fips", "year", settle(F.col("precip_z"), 6).alias("precip_z"))
 
 
 @query("w1_residual_zscore", b.WS + f"SELECT obs_id, {R('xgb_residual_z', 6)} AS xgb_residual_z FROM scored")
 def w1c(spark, d):
-    return b.scored(spark, d).select("obs_id", round_to(F.col("xgb_residual_z"), 6).alias("xgb_residual_z"))
+    return b.scored(spark, d).select("obs_id", settle(F.col("xgb_residual_z"), 6).alias("xgb_residual_z"))
 
 
 @query("w2_group_max", b.with_(b.YIELDS) + "SELECT obs_id, max(gappy_yield) OVER (PARTITION BY fips, commodity_name) AS top_yield FROM yields")
@@ -48,7 +48,7 @@ SELECT obs_id, {R("CASE WHEN gappy_yield IS NOT NULL THEN gappy_yield WHEN p0 IS
                   "ELSE v0 + (v1 - v0) * (pos - p0) / (p1 - p0) END", 6)} AS filled FROM q""")
 def w3(spark, d):
     rows = windows.fill_gaps(b.yields(spark, d), ["fips", "commodity_name"], [F.col("day"), F.col("obs_id")], ["gappy_yield"])
-    return rows.select("obs_id", round_to(F.col("gappy_yield"), 6).alias("filled"))
+    return rows.select("obs_id", settle(F.col("gappy_yield"), 6).alias("filled"))
 
 
 LEAVE_ONE_OUT = f"""
@@ -64,7 +64,7 @@ SELECT obs_id, CASE WHEN v IS NULL OR n = 0 THEN NULL WHEN iqr = 0 THEN 0
 @query("w4_leave_one_out_z", b.with_(b.YIELDS) + LEAVE_ONE_OUT)
 def w4(spark, d):
     rows = windows.leave_one_out_z(b.yields(spark, d), ["fips", "commodity_name"], "gappy_yield", "yield_z_robust")
-    return rows.select("obs_id", round_to(F.col("yield_z_robust"), 6).alias("yield_z_robust"))
+    return rows.select("obs_id", settle(F.col("yield_z_robust"), 6).alias("yield_z_robust"))
 
 
 @query("w5_tie_ranks", """
@@ -82,7 +82,7 @@ SELECT commodity_name, obs_id, rk, {R("xgb_residual", 6)} AS xgb_residual FROM (
 def w6(spark, d):
     rows = b.scored(spark, d).where("anomaly_type = 'UNEXPLAINED'")
     top = windows.top_n(rows, ["commodity_name"], [F.col("xgb_residual"), F.col("obs_id")], 5, rank="rk")
-    return top.select("commodity_name", "obs_id", F.col("rk").cast("long").alias("rk"), round_to(F.col("xgb_residual"), 6).alias("xgb_residual"))
+    return top.select("commodity_name", "obs_id", F.col("rk").cast("long").alias("rk"), settle(F.col("xgb_residual"), 6).alias("xgb_residual"))
 
 
 @query("w7_first_per_key", b.with_(b.YIELDS) + """
