@@ -38,6 +38,22 @@ def own_columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` does not have, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def all_columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of a column, null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -168,10 +168,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, with the columns of ``docs``. Of repeated rows with one doc_id one stays."""
-    key = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none")]
-    names = ["__id", "__none", "__sha"]
-    stay = exact_groups(docs).filter("kept").select(*key, F.col("text_sha256").alias("__sha"))
-    marked = docs.select("*", *key, F.sha2(common.whole_text(), 256).alias("__sha"))
-    number = F.row_number().over(Window.partitionBy(*names).orderBy("__id"))
-    return (marked.join(stay, names, "left_semi").withColumn("__n", number).filter("__n = 1")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    i, none, sha, n = names = common.fresh(docs, "id", "none", "sha", "n")
+    key = [F.coalesce("doc_id", F.lit(0)).alias(i), F.col("doc_id").isNull().alias(none)]
+    stay = exact_groups(docs).filter("kept").select(*key, F.col("text_sha256").alias(sha))
+    marked = docs.select(*common.all_columns(docs), *key, F.sha2(common.whole_text(), 256).alias(sha))
+    number = F.row_number().over(Window.partitionBy(*names[:3]).orderBy(i))
+    return (marked.join(stay, names[:3], "left_semi").withColumn(n, number).filter(F.col(n) == 1)
+            .select(*common.all_columns(docs)))

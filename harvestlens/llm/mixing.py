@@ -21,7 +21,7 @@ from harvestlens.session import cut
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-CELLS = 1 << 14
+CELLS = 1 << 12
 DIGITS = 13  # hexadecimal digits of the random number: 52 bits, exact in a double
 
 
@@ -102,16 +102,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with the columns of ``docs``, a document taken k times as k rows."""
-    names = ["__id", "__none", "__source", "__gone", "__size"]
-    key = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"),
-           F.coalesce("source", F.lit("")).alias("__source"), F.col("source").isNull().alias("__gone")]
-    size = F.size(F.regexp_extract_all(common.whole_text(), F.lit(common.WORD), F.lit(0))).cast("long").alias("__size")
-    plan = (mix(docs, **options).filter("copies > 0").select(*key, F.col("size").alias("__size"), "copies")
-            .groupBy(*names).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")))
-    number = F.row_number().over(Window.partitionBy(*names).orderBy("__id"))
+    i, none, source, gone, size, copies, rows, n, own, copy = names = common.fresh(
+        docs, "id", "none", "source", "gone", "size", "copies", "rows", "n", "own", "copy")
+    names = names[:5]
+    key = [F.coalesce("doc_id", F.lit(0)).alias(i), F.col("doc_id").isNull().alias(none),
+           F.coalesce("source", F.lit("")).alias(source), F.col("source").isNull().alias(gone)]
+    words = F.size(F.regexp_extract_all(common.whole_text(), F.lit(common.WORD), F.lit(0))).cast("long").alias(size)
+    plan = (mix(docs, **options).filter("copies > 0").select(*key, F.col("size").alias(size), F.col("copies").alias(copies))
+            .groupBy(*names).agg(F.sum(copies).alias(copies), F.count(F.lit(1)).alias(rows)))
+    number = F.row_number().over(Window.partitionBy(*names).orderBy(i))
     # rows with the same doc_id, source and size share their copies in turn
-    own = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__n") <= F.col("__copies") % F.col("__rows")).cast("int")
-    return (docs.select("*", *key, size).join(plan, names).withColumn("__n", number)
-            .withColumn("__own", own.cast("int")).filter("__own > 0")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    share = F.floor(F.col(copies) / F.col(rows)) + (F.col(n) <= F.col(copies) % F.col(rows)).cast("int")
+    return (docs.select(*common.all_columns(docs), *key, words).join(plan, names).withColumn(n, number)
+            .withColumn(own, share.cast("int")).filter(F.col(own) > 0)
+            .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own)))).select(*common.all_columns(docs)))

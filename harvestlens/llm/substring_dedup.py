@@ -55,6 +55,8 @@ def _blocks(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _cut(chunk: int, keys: np.ndarray, bits: int, shards: int) -> list[tuple[int, int, int]]:
     """(shard, from, to) for ascending keys of so many bits."""
+    if not len(keys):
+        return []
     shard = ((keys >> np.uint64(max(0, bits - 32))) * np.uint64(shards) >> np.uint64(min(bits, 32))).astype(np.int64)
     cuts = np.flatnonzero(np.diff(shard, prepend=-1))
     return [(int(shard[a]), int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
