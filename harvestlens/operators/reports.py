@@ -63,6 +63,13 @@ def event_review(df: DataFrame, year: int, *, crop: str = "commodity_name", key:
     return joined.withColumn("verdict", verdict)
 
 
+def event_flags(df: DataFrame, year: int, *, crop: str = "commodity_name", kind: str = "anomaly_type",
+                flag: str = "is_anomaly") -> DataFrame:
+    """Rows, flagged rows and unexplained rows of one year per crop."""
+    return df.where(F.col("year") == year).groupBy(crop).agg(
+        F.count("*").alias("n_rows"), F.count_if(flag).alias("flagged"), F.count_if(F.col(kind) == "UNEXPLAINED").alias("unexplained"))
+
+
 def coverage(df: DataFrame, column: str) -> DataFrame:
     """Rows with a value, all rows and the share in percent."""
     has = F.col(column).isNotNull()

@@ -13,19 +13,38 @@ from harvestlens import config
 from harvestlens.functions import agronomy, labels
 from harvestlens.functions.columns import active_features, settle
 from harvestlens.operators import attribution, boosting, correlation, joins, layers, neighbours, reports, season, windows
-from harvestlens.session import cut
+from harvestlens.session import cut, in_scratch_space
 from harvestlens.sources import files, payloads, tables
 
+def publish(spark: SparkSession, catalog: str | None, name: str, path: str, fmt: str) -> None:
+    """Register a written table as ``catalog.name``, if a catalog schema is given."""
+    if catalog:
+        tables.register(spark, f"{catalog}.{name}", path, fmt)
+
+
 BAND = ("fips", "commodity_name", "irr_name")
 
 
-def yields_table(spark: SparkSession, yield_csv: str, centroids: DataFrame, out: str, *, fmt: str = "parquet") -> DataFrame:
+@in_scratch_space
+def yields_table(spark: SparkSession, yield_csv: str, centroids: DataFrame, out: str, *, catalog: str | None = None,
+                 fmt: str = "parquet") -> DataFrame:
     """Yield CSV to the ``yields`` table: county key, position, group statistics, z-score."""
     rows = joins.with_centroids(files.read_yields(spark, yield_csv), centroids)
     tables.write_table(yield_statistics(rows), out, partition_by=["commodity_name", "year"], fmt=fmt)
+    publish(spark, catalog, "yields", out, fmt)
     return tables.read_table(spark, out, fmt)
 
 
+def yield_quality(yields: DataFrame) -> dict[str, DataFrame]:
+    """Quality tables of Entry 1: the profile, the crops, a description per crop, values present and missing."""
+    return {
+        "profile": reports.profile(yields, distinct=["fips", "commodity_name", "state_abbr"]),
+        "crops": reports.distinct_values(yields, "commodity_name"),
+        "description": reports.describe(yields, ["commodity_name"], ["yield_bu_ac"], 2),
+        "coverage": reports.coverage(yields, "lat"),
+    }
+
+
 def yield_statistics(rows: DataFrame, keys: tuple[str, ...] = BAND, value: str = "yield_bu_ac") -> DataFrame:
     stats = windows.with_group_stats(rows, list(keys), value, {
         "mean": "yield_mean", "std": "yield_std", "min": "min", "max": "max", "count": "n_years"})
@@ -60,8 +79,9 @@ def located_counties(yields: DataFrame) -> DataFrame:
     return windows.first_per_key(located, ["fips"], [F.col(c) for c in ("lat", "lon", "county_name", "state_abbr")])
 
 
+@in_scratch_space
 def weather_table(spark: SparkSession, yields: DataFrame, folder: str, years: list[int], cache: str, out: str, *,
-                  stations_file: str = "ghcnd-stations.txt", fmt: str = "parquet") -> DataFrame:
+                  stations_file: str = "ghcnd-stations.txt", catalog: str | None = None, fmt: str = "parquet") -> DataFrame:
     """Entry 1: year files to county seasons (only years the cache lacks), imputed and with indices."""
     counties = cut(located_counties(yields))
     stations = files.read_stations(spark, f"{folder}/{stations_file}")
@@ -70,10 +90,11 @@ def weather_table(spark: SparkSession, yields: DataFrame, folder: str, years: li
     def compute(missing: list[int]) -> DataFrame:
         return season.mapped_seasons(season.clean_observations(files.read_daily(spark, folder, missing)), mapping)
 
-    seasons = tables.extend_by_year(spark, cache, years, compute, fmt=fmt)
+    seasons = cut(tables.extend_by_year(spark, cache, years, compute, fmt=fmt))
     if seasons.limit(1).count() == 0:
         raise RuntimeError(f"no daily observations found in {folder} for {years}")
     tables.write_table(derive_indices(seasons), out, partition_by=["year"], fmt=fmt)
+    publish(spark, catalog, "weather", out, fmt)
     return tables.read_table(spark, out, fmt)
 
 
@@ -87,6 +108,18 @@ def weather_from_station_table(spark: SparkSession, counties: DataFrame, years:
     return joins.lookup_join(seasons, counties.select("fips", "lat", "lon"), ["fips"], "left")
 
 
+def answers_to_ask(counties: DataFrame, years: list[int], done: DataFrame | None = None) -> DataFrame:
+    """Every located county and year that has no seasons yet: the keys whose answers are to be saved next."""
+    work = joins.work_list(counties, years)
+    return work if done is None else tables.resume_keys(work, done)
+
+
+def extend_with_answers(done: DataFrame, answers: DataFrame, payload: str, *, maps: bool = False) -> DataFrame:
+    """Earlier county seasons and those of new answers; a county and year that is done is left as it is."""
+    fresh = tables.resume_keys(answers, done)
+    return tables.merge_done(done, weather_from_answers(fresh, payload, maps=maps))
+
+
 def weather_from_answers(answers: DataFrame, payload: str, *, maps: bool = False) -> DataFrame:
     """County seasons from saved JSON answers, one per (fips, year)."""
     if maps:
@@ -94,15 +127,20 @@ def weather_from_answers(answers: DataFrame, payload: str, *, maps: bool = False
     return season.season_from_arrays(payloads.daily_from_arrays(answers, payload, ["fips", "year"]))
 
 
-def merged_table(spark: SparkSession, yields: DataFrame, weather: DataFrame, out: str, *, fmt: str = "parquet") -> DataFrame:
+@in_scratch_space
+def merged_table(spark: SparkSession, yields: DataFrame, weather: DataFrame, out: str, *, catalog: str | None = None,
+                 fmt: str = "parquet") -> DataFrame:
     tables.write_table(joins.merge_weather(yields, weather), out, partition_by=["commodity_name"], fmt=fmt)
+    publish(spark, catalog, "merged", out, fmt)
     return tables.read_table(spark, out, fmt)
 
 
+@in_scratch_space
 def correlation_tables(spark: SparkSession, merged: DataFrame, folder: str, *, crops: list[str] = config.CROPS,
                        train_years: list[int] = config.TRAIN_YEARS, params: dict | None = None,
-                       with_models: bool = True, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """Entry 2: correlations, models and importances."""
+                       with_models: bool = True, folds: int = 5, catalog: str | None = None,
+                       fmt: str = "parquet") -> dict[str, DataFrame]:
+    """Entry 2: correlations, models and importances; with models also their errors and fold scores per crop."""
     features = active_features(merged, config.WEATHER_FEATURES)
     corr = correlation.correlations(merged, features, groups=crops)
     tables.write_table(corr, f"{folder}/correlations", fmt=fmt)
@@ -111,6 +149,14 @@ def correlation_tables(spark: SparkSession, merged: DataFrame, folder: str, *, c
         models = boosting.fit_crops(merged, features, crops=crops, train_years=train_years, params=params)
         boosting.save(models, f"{folder}/models")
         train = merged.where(F.col("year").isin(train_years) & F.col("yield_bu_ac").isNotNull())
+        order = [F.col(c) for c in ("year", "fips", "irr_name")]
+        quality = {
+            "metrics": boosting.split_metrics(boosting.predict(merged, models), train_years),
+            "folds": reports.union_all(*[boosting.cv_summary(boosting.cross_validate(
+                train.where(F.col("commodity_name") == c), features, order, k=folds, params=params)).select(
+                    F.lit(c).alias("commodity_name"), "*") for c in models])}
+        for name, table in quality.items():
+            tables.write_table(table, f"{folder}/{name}", fmt=fmt)
         shap = reports.union_all(*[
             attribution.global_attribution(train.where(F.col("commodity_name") == c), m) for c, m in models.items()])
         importance = boosting.importances(spark, models).join(shap, ["crop", "feature"])
@@ -118,12 +164,16 @@ def correlation_tables(spark: SparkSession, merged: DataFrame, folder: str, *, c
         importance = correlation.importance_from_correlations(corr)
     ranked = reports.ranked_view(importance, ["crop", "feature", "xgb_importance", "shap_mean_abs"], "shap_mean_abs")
     tables.write_table(ranked, f"{folder}/importance", fmt=fmt)
-    return {"correlations": corr, "importance": tables.read_table(spark, f"{folder}/importance", fmt)}
+    names = ["correlations", "importance", *(["metrics", "folds"] if with_models else [])]
+    for name in names:
+        publish(spark, catalog, name, f"{folder}/{name}", fmt)
+    return {name: tables.read_table(spark, f"{folder}/{name}", fmt) for name in names}
 
 
+@in_scratch_space
 def anomaly_table(spark: SparkSession, merged: DataFrame, folder: str, *, crops: list[str] = config.CROPS,
                   trees: int = config.ISOLATION_TREES, key: tuple[str, ...] = (*BAND, "year"),
-                  drop_incomplete: bool = False, fmt: str = "parquet") -> dict[str, DataFrame]:
+                  drop_incomplete: bool = False, catalog: str | None = None, fmt: str = "parquet") -> dict[str, DataFrame]:
     """Entry 3: three layers over the merged table; ``scored`` has every row, ``anomalies`` the flagged ones."""
     models = boosting.load(spark, f"{folder}/models", crops)
     rows = cut(layers.baseline_layer(layers.residual_layer(merged, models)))
@@ -132,4 +182,6 @@ def anomaly_table(spark: SparkSession, merged: DataFrame, folder: str, *, crops:
     scored = tables.read_table(spark, f"{folder}/scored", fmt)
     explained = layers.explain_flagged(scored.where("is_anomaly"), models)
     tables.write_table(labels.keep_present(explained), f"{folder}/anomalies", partition_by=["commodity_name"], fmt=fmt)
+    for name in ("scored", "anomalies"):
+        publish(spark, catalog, name, f"{folder}/{name}", fmt)
     return {"scored": scored, "anomalies": tables.read_table(spark, f"{folder}/anomalies", fmt)}

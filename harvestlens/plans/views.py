@@ -56,11 +56,19 @@ def chart_datasets(merged: DataFrame, scored: DataFrame, *, crop: str = "Corn",
 
 
 def map_dataset(scored: DataFrame, year: int, crop: str) -> DataFrame:
-    """County scores of one year and crop for a map."""
+    """County scores of one year and crop for a map; the plain z-score where there is no robust one."""
+    if "yield_zscore" in scored.columns:
+        scored = scored.withColumn("yield_z_robust", F.coalesce("yield_z_robust", "yield_zscore"))
     return joins.county_snapshot(scored, year, crop, ["fips", "yield_z_robust", "yield_bu_ac", "county_name", "state_abbr"],
                                  required="yield_z_robust")
 
 
+def county_series(scored: DataFrame, fips: str, crop: str = "Corn") -> DataFrame:
+    """The yields of one county over the years, with the marks of unusual ones."""
+    return reports.series(scored, (F.col("fips") == fips) & (F.col("commodity_name") == crop), [F.col("year"), F.col("irr_name")],
+                          ["year", "irr_name", "yield_bu_ac"])
+
+
 def anomaly_report(scored: DataFrame, *, event_year: int = 2012, worst: int = 5) -> dict[str, DataFrame]:
     """Tables of the anomaly findings: totals, types, years, worst unexplained rows and the event review."""
     flagged = scored.where("is_anomaly")
@@ -74,4 +82,10 @@ def anomaly_report(scored: DataFrame, *, event_year: int = 2012, worst: int = 5)
             flagged.where("anomaly_type = 'UNEXPLAINED'"), ["commodity_name"],
             [F.col("xgb_residual"), F.col("fips"), F.col("year"), F.col("irr_name")], worst, rank="rank"),
         "event_review": reports.event_review(scored, event_year),
+        "event_flags": reports.event_flags(scored, event_year),
+        "event_mean_z": reports.mean_by(scored.where(F.col("year") == event_year), ["commodity_name"], "yield_z_robust", 2, "mean_z"),
+        "directions_by_year": reports.count_pivot(scored, "year", "z_direction", ["LOW", "NORMAL", "HIGH"]),
+        "types_of_crops": reports.count_pivot(flagged, "commodity_name", "anomaly_type", config.ANOMALY_TYPES),
+        "mean_residual": reports.mean_by(scored, ["year"], "xgb_residual", 2, "mean_residual"),
+        "unexplained_by_year": reports.count_by(flagged, ["year"], where=F.col("anomaly_type") == "UNEXPLAINED"),
     }

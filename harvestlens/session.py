@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,9 +81,40 @@ def shared_root(spark: SparkSession) -> str:
     return configured
 
 
+_SPACES: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table in the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/harvestlens/{name}-{uuid.uuid4().hex}"
+    base = _SPACES[-1] if _SPACES else f"{shared_root(spark).rstrip('/')}/harvestlens"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_space(spark: SparkSession, keep: bool = False):
+    """Scratch tables written inside go when the block ends, unless ``keep`` is set to look at them.
+
+    What the block gives back must not depend on them any more: a stage writes its results first.
+    """
+    space = scratch_path(spark, "run")
+    _SPACES.append(space)
+    try:
+        yield space
+    finally:
+        _SPACES.remove(space)
+        if not keep:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(space)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def in_scratch_space(stage):
+    """A stage of (spark, ...) that removes its scratch tables; ``keep_scratch=True`` keeps them."""
+    @wraps(stage)
+    def run(spark: SparkSession, *args, keep_scratch: bool = False, **options):
+        with scratch_space(spark, keep_scratch):
+            return stage(spark, *args, **options)
+
+    return run
 
 
 def cut(df: DataFrame) -> DataFrame:
