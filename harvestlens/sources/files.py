@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote, urlparse
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,29 +64,37 @@ def _daily_rows(raw: DataFrame) -> DataFrame:
     return without_nan(raw.withColumn("year", file_year())).where(F.col("element").isin(config.DAILY_ELEMENTS))
 
 
+def _delivery(path):
+    """The year file, or folder of parts of a year, that a file belongs to; schemes and escapes removed."""
+    return F.regexp_extract(F.regexp_replace(F.url_decode(path), "^[a-z0-9]+:/+", "/"), r"^(.*?\d{4}\.csv)", 1)
+
+
 def read_delivered(spark: SparkSession, folder: str, years: list[int], pattern: str) -> DataFrame:
     """Raw daily rows of all deliveries of these years below a folder.
 
-    Of a compressed and a plain file of one year in one folder the compressed one is read. Where a station,
-    day and element is in several folders, the newest file that holds it counts: years are
-    published again while they last.
+    Of a compressed and a plain file with one name the compressed one is read. Where a station, day and
+    element is in several deliveries, the newest that holds it counts: years are published again
+    while they last.
     """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    year = F.regexp_extract("path", r"(\d{4})\.csv", 1).cast("int")
+    named = listed.select("path", "modificationTime", _delivery(F.col("path")).alias("delivery"))
     one = Window.partitionBy(F.regexp_replace("path", r"\.gz$", "")).orderBy(F.col("path").desc())
-    newest = listed.select("path", "modificationTime", year.alias("year")).where(F.col("year").isin(years)).withColumn(
-        "place", F.row_number().over(one)).where("place = 1")
-    names = [r.path for r in newest.orderBy("modificationTime", "path").collect()]  # a few files per year
-    if not names:
+    wanted = named.where(F.regexp_extract("delivery", r"(\d{4})\.csv$", 1).try_cast("int").isin(years))
+    found = wanted.withColumn("place", F.row_number().over(one)).where("place = 1").collect()  # the files of a few years
+    if not found:
         return spark.createDataFrame([], schemas.DAILY_CSV).withColumn("year", F.lit(None).cast("int"))
-    raw = spark.read.schema(schemas.DAILY_CSV).csv(names)
-    if len(names) == len(set(n.rsplit("/", 1)[1][:4] for n in names)):
+    raw = spark.read.schema(schemas.DAILY_CSV).csv([r.path for r in found])
+    newest: dict = {}
+    for r in found:
+        newest[r.delivery] = max(newest.get(r.delivery, r.modificationTime), r.modificationTime)
+    if len(newest) == len({d[-8:-4] for d in newest}):
         return _daily_rows(raw)
-    ages = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (unquote(urlparse(n).path), i)])
-    aged = _daily_rows(raw.withColumn("__age", ages[F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/+", "/"))]))
+    ranked = sorted(newest, key=lambda d: (newest[d], d))
+    age = F.create_map(*[F.lit(x) for pair in zip(ranked, range(len(ranked))) for x in pair])
+    aged = _daily_rows(raw.withColumn("__age", age[_delivery(F.col("_metadata.file_path"))]))
     key = ["station_id", "date", "element"]
     return aged.join(aged.groupBy(*key).agg(F.max("__age").alias("__newest")), key).where(
-        "__age = __newest").drop("__age", "__newest").select(*aged.drop("__age").columns)
+        "__age = __newest").select(*[c for c in aged.columns if c != "__age"])
 
 
 def land_daily(spark: SparkSession, folder: str, years: list[int], path: str, *,

@@ -148,6 +148,28 @@ def test_landing_stream_is_incremental(spark, tmp_path):
     assert [(r.fips, r.year, r.tmax_mean_c) for r in rows] == [("19001", 2012, 30.0), ("19001", 2013, 30.0)]
 
 
+def test_landing_stream_with_both_names_and_a_late_delivery(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    mapping = spark.createDataFrame([("US1", "19001")], "station_id string, fips string")
+
+    def days(month):
+        return [("US1", f"2012{month:02}{d:02}", e, v, "", "", "0", "") for d in range(1, 32 if month == 5 else 31)
+                for e, v in (("TMAX", "300"), ("TMIN", "160"), ("PRCP", "10"))]
+
+    def rain():
+        landing.follow_year_files(spark, str(folder), mapping, str(tmp_path / "cache"), str(tmp_path / "cp"))
+        return [r.precip_total_mm for r in spark.read.parquet(str(tmp_path / "cache")).collect()]
+
+    write_year(folder / "2012.csv", days(5), False)
+    write_year(folder / "2012.csv.gz", days(5), True)
+    assert rain() == [31.0]
+    (folder / "second").mkdir()
+    write_year(folder / "second" / "2012.csv", days(6) + days(5)[:30], False)  # June, and ten days of May once more
+    assert rain() == [61.0]
+    assert rain() == [61.0]
+
+
 def test_derived_indices(spark):
     schema = ("fips string, year int, tmax_mean_c double, tmin_mean_c double, tavg_mean_c double, precip_total_mm double, "
               "gdd_base10 double, heat_stress_days double, drought_days double")

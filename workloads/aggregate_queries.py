@@ -101,6 +101,20 @@ def s12b(spark, d):
     return rounded(tables.read_table(spark, cache), MEASURES, 4).select("fips", "year", *MEASURES)
 
 
+@query("s12_file_stream_again", b.with_(b.OBS, DAYS, SEASONS, b.STATIONS) + "SELECT fips, year, " + ", ".join(
+    f"{R(f'avg({c})', 4)} AS {c}" for c in MEASURES) + """
+FROM seasons s JOIN station_map m ON s.station_id = m.station_id GROUP BY fips, year""")
+def s12c(spark, d):
+    """A year delivered in part, folded in, and then delivered again as a whole."""
+    folder, cache, log = (scratch_path(spark, n) for n in ("landing", "cache", "stream"))
+    raw = b.observations_raw(spark, d)
+    mapping = b.station_map(spark, d)
+    for name, rows in (("early", raw.where("substring(date, 7, 2) <= '12'")), ("late", raw)):
+        rows.write.csv(f"{folder}/{name}/2024.csv")
+        landing.follow_year_files(spark, folder, mapping, cache, log, months=b.OBS_MONTHS, min_days=3, heat_c=20.0, pattern="part-*")
+    return rounded(tables.read_table(spark, cache), MEASURES, 4).select("fips", "year", *MEASURES)
+
+
 @query("a6_season_arrays", b.with_(b.DAILY) + f"""
 SELECT fips, year, {R("avg(tmax_c)", 4)} AS tmax_mean_c, {R("avg(tmin_c)", 4)} AS tmin_mean_c, {R("avg((tmax_c + tmin_c) / 2)", 4)} AS tavg_mean_c,
        coalesce(sum(prcp_mm), 0) AS precip_total_mm, sum(greatest((tmax_c + tmin_c) / 2 - 10, 0)) AS gdd_base10,
@@ -260,6 +274,14 @@ def a19(spark, d):
     return rounded(review, ["median_yield_bu_ac", "median_xgb_predicted_yield", "median_xgb_residual"])
 
 
+@query("a19_event_flags", b.WS + """
+SELECT commodity_name, count(*) AS n_rows, count(*) FILTER (WHERE is_anomaly) AS flagged,
+       count(*) FILTER (WHERE anomaly_type = 'UNEXPLAINED') AS unexplained
+FROM scored WHERE year = 1998 GROUP BY commodity_name""")
+def a19_flags(spark, d):
+    return reports.event_flags(b.scored(spark, d), 1998)
+
+
 YEARS = list(range(1995, 2002))
 
 

@@ -74,6 +74,14 @@ def j4(spark, d):
     return neighbours.nearest(_points(spark, d), _sites(spark, d)).select("vec_id", "fips")
 
 
+@query("j4_nearest_with_nan", b.with_(NEAREST) + """
+SELECT vec_id, CASE WHEN vec_id % 3 <> 0 THEN fips END AS fips FROM near""")
+def j4_nan(spark, d):
+    """Points without a position, given as NaN."""
+    lost = F.when(F.col("vec_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("lat"))
+    return neighbours.nearest(_points(spark, d).withColumn("lat", lost), _sites(spark, d)).select("vec_id", "fips")
+
+
 @query("j4_nearest_customer_account", f"""
 WITH points AS (SELECT o_orderkey, o_totalprice / 50 AS x FROM orders),
 sites AS (SELECT s_acctbal AS x, min(lpad(CAST(s_suppkey AS VARCHAR), 9, '0')) AS k FROM supplier GROUP BY s_acctbal),

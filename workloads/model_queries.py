@@ -117,3 +117,105 @@ def end_to_end(spark, d):
     flagged = cut(layers.combine(isolated)).where("is_anomaly")
     explained = layers.explain_flagged(flagged, models, events=b.EVENTS, long_season_crop="BUILDING")
     return explained.select("obs_id", "commodity_name", "year", "anomaly_type", "z_direction", "residual_direction", "top_driver", "explanation")
+
+
+# Facts about the models that hold whatever numbers a fit gives, for all rows, beside their SQL twins.
+WHOLE = " AND ".join(f"{f} IS NOT NULL" for f in b.ACTIVE)
+TRAINED = f"year IN ({', '.join(map(str, b.TRAIN_YEARS))})"
+
+
+@query("m1_fit_rows", b.WM + f"""
+SELECT commodity_name, CASE WHEN {TRAINED} THEN 'train' ELSE 'test' END AS split, count(*) AS n
+FROM merged WHERE {WHOLE} GROUP BY ALL""")
+def m1_rows(spark, d):
+    rows, models = fitted(spark, d)
+    return boosting.split_metrics(boosting.predict(rows, models), b.TRAIN_YEARS).select("commodity_name", "split", "n")
+
+
+@query("m2_folds", b.WM + f"""
+, folds AS (SELECT commodity_name, obs_id, ntile(5) OVER (PARTITION BY commodity_name ORDER BY obs_id) - 1 AS fold
+            FROM merged WHERE {WHOLE} AND yield_bu_ac IS NOT NULL)
+SELECT commodity_name, CAST(fold AS INTEGER) AS fold, count(*) AS n, min(obs_id) AS first_obs, max(obs_id) AS last_obs
+FROM folds GROUP BY commodity_name, fold""")
+def m2_folds(spark, d):
+    rows = cut(b.merged(spark, d).where(boosting.complete(b.ACTIVE) & F.col("yield_bu_ac").isNotNull()))
+    return reports.union_all(*[
+        boosting.contiguous_folds(rows.where(F.col("commodity_name") == c), [F.col("obs_id")]).groupBy("commodity_name", "fold").agg(
+            F.count("*").alias("n"), F.min("obs_id").alias("first_obs"), F.max("obs_id").alias("last_obs")) for c in b.CROPS])
+
+
+@query("m3_reload_is_equal", b.WM + f"""
+SELECT commodity_name, count(*) AS n, CAST(0 AS BIGINT) AS different FROM merged WHERE {WHOLE} GROUP BY commodity_name""")
+def m3_equal(spark, d):
+    """Predictions of a model that was saved again from its reloaded form, row by row."""
+    rows, models = fitted(spark, d)
+    folder = scratch_path(spark, "models")
+    boosting.save(models, folder)
+    first = boosting.predict(rows, models).select("obs_id", "commodity_name", F.col("xgb_predicted_yield").alias("x"))
+    second = boosting.predict(rows, boosting.load(spark, folder, b.CROPS)).select("obs_id", F.col("xgb_predicted_yield").alias("y"))
+    return first.join(second, "obs_id").where("x is not null").groupBy("commodity_name").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("different"))
+
+
+@query("m4_importance_shares", b.WM + f"""
+SELECT DISTINCT commodity_name AS crop, CAST({len(b.ACTIVE)} AS BIGINT) AS features, 1.0::DOUBLE AS total FROM merged""")
+def m4_shares(spark, d):
+    _, models = fitted(spark, d)
+    return boosting.importances(spark, models).groupBy("crop").agg(
+        F.count("feature").alias("features"), F.round(F.sum("xgb_importance"), 2).alias("total"))
+
+
+@query("m6_predicted_rows", b.WM + f"""
+SELECT obs_id, ({WHOLE}) AS predicted FROM merged""")
+def m6_rows(spark, d):
+    rows, models = fitted(spark, d)
+    return boosting.predict(rows, models).select("obs_id", F.col("xgb_predicted_yield").isNotNull().alias("predicted"))
+
+
+@query("m7_attribution_adds_up", b.WM + f"""
+SELECT obs_id, 0.0::DOUBLE AS gap, CAST({len(b.ACTIVE)} AS BIGINT) AS drivers FROM merged WHERE {WHOLE}""")
+def m7_adds_up(spark, d):
+    """Base value and contributions against the prediction, for every row that can be predicted."""
+    rows, models = fitted(spark, d)
+    predicted = cut(boosting.predict(rows, models))
+    total = F.col("base_value") + F.aggregate("drivers", F.lit(0.0), lambda t, x: t + x["value"])
+    return reports.union_all(*[
+        attribution.attribute(predicted.where(F.col("commodity_name") == c), m).select(
+            "obs_id", (F.round(total - F.col("xgb_predicted_yield"), 6) + 0.0).alias("gap"), F.size("drivers").cast("long").alias("drivers"))
+        for c, m in models.items()])
+
+
+@query("m5_attribution_features", b.WM + f"""
+SELECT DISTINCT commodity_name AS crop, CAST({len(b.ACTIVE)} AS BIGINT) AS features, TRUE AS none_below_zero FROM merged""")
+def m5_features(spark, d):
+    return m5(spark, d).groupBy("crop").agg(F.count("feature").alias("features"), F.min(F.col("shap_mean_abs") >= 0).alias("none_below_zero"))
+
+
+@query("m9_scored_rows", b.WM + """
+SELECT commodity_name, count(*) AS n, count(*) FILTER (WHERE precip_z IS NOT NULL) AS scored, TRUE AS share_is_right,
+       CAST(0 AS BIGINT) AS depend_on_partitions
+FROM merged GROUP BY commodity_name""")
+def m9_rows(spark, d):
+    """Rows with a score and the flagged share per crop, and rows that score otherwise on another partitioning."""
+    rows = cut(b.merged(spark, d).select("obs_id", "commodity_name", "yield_bu_ac", "precip_z"))
+    one, two = (isolation.isolation_layer(part, ["yield_bu_ac", "precip_z"], ["obs_id"], groups=b.CROPS, **FOREST)
+                for part in (rows, rows.repartition(3, "obs_id")))
+    both = one.join(two.select("obs_id", F.col("if_anomaly_score").alias("other")), "obs_id")
+    share = F.count_if("if_anomaly") <= F.ceil(0.08 * F.count("if_anomaly_score")) + 1
+    return both.groupBy("commodity_name").agg(
+        F.count("*").alias("n"), F.count("if_anomaly_score").alias("scored"), share.alias("share_is_right"),
+        F.count_if(F.abs(F.coalesce(F.col("if_anomaly_score"), F.lit(-1.0)) - F.coalesce("other", F.lit(-1.0))) > 1e-12).alias(
+            "depend_on_partitions"))
+
+
+@query("anomaly_types_add_up", b.WM + """
+SELECT commodity_name, count(*) AS n, TRUE AS flagged_have_types, TRUE AS others_are_normal FROM merged GROUP BY commodity_name""")
+def types_add_up(spark, d):
+    """All three layers put together: every row is there, and the types are those of the flagged rows."""
+    rows, models = fitted(spark, d)
+    scored = cut(layers.baseline_layer(layers.residual_layer(rows, models)))
+    done = layers.combine(layers.isolation_by_crop(scored, models, ["obs_id"], crops=b.CROPS, **FOREST))
+    normal = F.col("anomaly_type") == "NORMAL"
+    return done.groupBy("commodity_name").agg(
+        F.count("*").alias("n"), F.min(~F.col("is_anomaly") | ~normal).alias("flagged_have_types"),
+        F.min(F.col("is_anomaly") | normal).alias("others_are_normal"))

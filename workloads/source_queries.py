@@ -223,6 +223,19 @@ def s9(spark, d):
     return _summary(tables.read_table(spark, _written(spark, d)))
 
 
+@query("s9_table_with_nan", b.with_(b.YIELDS) + f"""
+SELECT commodity_name, count(*) AS n, count(gappy_yield) AS known, {R("avg(gappy_yield)", 6)} AS mean, max(gappy_yield) AS top
+FROM yields GROUP BY commodity_name""")
+def s9_nan(spark, d):
+    """A table that holds NaN where a value is missing, as other writers leave it."""
+    path = scratch_path(spark, "nan")
+    rows = b.yields(spark, d).withColumn("gappy_yield", F.coalesce("gappy_yield", F.lit(float("nan"))))
+    rows.write.parquet(path)
+    return tables.read_table(spark, path).groupBy("commodity_name").agg(
+        F.count("*").alias("n"), F.count("gappy_yield").alias("known"), settle(F.avg("gappy_yield"), 6).alias("mean"),
+        F.max("gappy_yield").alias("top"))
+
+
 @query("s10_table_overwrite", TABLE_SQL)
 def s10(spark, d):
     path = scratch_path(spark, "yields")
