@@ -82,7 +82,7 @@ def test_near_groups(docs, clashing, corpus):
 def test_near_groups_through_other_members(docs, monkeypatch):
     """A chain in which neighbours are similar and others are not, in buckets split into small blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "PARTNERS", 1)
+    monkeypatch.setattr(near_dedup, "WIDER", 3)
     words = [f"w{i}" for i in range(400)]
     rows = [(100 - i, " ".join(words[4 * i:4 * i + 60])) for i in range(30)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs(rows)).collect()}
