@@ -1,4 +1,10 @@
-"""Nearest county of every point (J4), as two equi-joins on a pyramid of grid cells.
+"""Nearest county of every point (J4): a tree of boxes for few sites, a pyramid of grid cells for many.
+
+Sites that fit into a broadcast (counted first) are cut into boxes of a few sites each. A point first looks into
+the box it falls into; then it visits only boxes that are nearer than what it has found, so clusters of
+sites far away cost nothing. Positions are looked up in Arrow batches.
+
+More sites than that are met by two equi-joins on a pyramid of grid cells.
 
 Cells double in size from level to level, and every filled cell of a level knows one of its sites. A point
 first finds the finest level at which a cell around it is filled; the distance to the known site there
@@ -11,7 +17,10 @@ farther out than the sites are wide.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +35,84 @@ def _cells(lat: Column, lon: Column, width: Column, around: bool) -> Column:
     return F.array(*[F.struct((r + a).alias("r"), (c + b).alias("c")) for a in steps for b in steps])
 
 
+TREE_SITES = 200_000  # sites of the broadcast tree, at most
+BOX = 8  # sites of a box
+
+
+class SiteTree:
+    """Sites in boxes, split at medians across the wider side; ``sites`` is sorted by key, so ties take the lowest."""
+
+    def __init__(self, position: np.ndarray):
+        self.position = position
+        self.boxes: list[np.ndarray] = []
+        self.low, self.high = [], []
+        self.splits: list[tuple[int, float, int, int]] = []  # side, value, children; below zero: box -1 - child
+        self.root = self._grow(np.arange(len(position)))
+        self.low, self.high = np.array(self.low).reshape(-1, 2), np.array(self.high).reshape(-1, 2)
+        self.compared = 0
+
+    def _grow(self, own: np.ndarray) -> int:
+        at = self.position[own]
+        low, high = at.min(axis=0), at.max(axis=0)
+        if len(own) <= BOX or (low == high).all():
+            self.boxes.append(np.sort(own))
+            self.low.append(low)
+            self.high.append(high)
+            return -len(self.boxes)
+        side = int(np.argmax(high - low))
+        value = float(np.median(at[:, side]))
+        left = at[:, side] <= value if (at[:, side] > value).any() else at[:, side] < value
+        node = len(self.splits)
+        self.splits.append((0, 0.0, 0, 0))
+        self.splits[node] = (side, value, self._grow(own[left]), self._grow(own[~left]))
+        return node
+
+    def nearest(self, points: np.ndarray) -> np.ndarray:
+        """The number of the nearest site of each point."""
+        best, found = np.full(len(points), np.inf), np.full(len(points), len(self.position))
+
+        def look(box: int, rows: np.ndarray) -> None:
+            own = self.boxes[box]
+            d = ((self.position[own][None] - points[rows][:, None]) ** 2).sum(axis=2)
+            at = d.argmin(axis=1)
+            d, site = d[np.arange(len(rows)), at], own[at]
+            better = (d < best[rows]) | (d == best[rows]) & (site < found[rows])
+            best[rows[better]], found[rows[better]] = d[better], site[better]
+            self.compared += len(rows) * len(own)
+
+        home = np.full(len(points), self.root)
+        if self.splits:
+            split = np.array(self.splits)
+            while (inner := np.flatnonzero(home >= 0)).size:
+                side, value, left, right = split[home[inner]].T
+                home[inner] = np.where(points[inner, side.astype(int)] <= value, left, right).astype(int)
+        for box in range(len(self.boxes)):
+            rows = np.flatnonzero(home == -1 - box)
+            if len(rows):
+                look(box, rows)
+        for box in range(len(self.boxes)):
+            away = np.maximum(np.maximum(self.low[box] - points, points - self.high[box]), 0)
+            rows = np.flatnonzero(((away**2).sum(axis=1) <= best) & (home != -1 - box))
+            if len(rows):
+                look(box, rows)
+        return found
+
+
+def _from_tree(places: DataFrame, sites: DataFrame) -> DataFrame:
+    held = sites.orderBy("__key").toPandas()  # at most TREE_SITES rows
+    kind = sites.schema["__key"].dataType.simpleString()
+    keys = held["__key"].to_numpy(dtype=object)
+    tree = places.sparkSession.sparkContext.broadcast((SiteTree(held[["lat", "lon"]].to_numpy(float)), keys))
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        boxes, names = tree.value
+        for batch in batches:
+            found = boxes.nearest(batch[["plat", "plon"]].to_numpy(float))
+            yield batch.assign(key=names[found])
+
+    return places.mapInPandas(look_up, f"plat double, plon double, key {kind}")
+
+
 def _known(name: str) -> Column:
     return F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double"))
 
@@ -37,7 +124,7 @@ def _extent(sites: DataFrame) -> tuple[int, float]:
 
 
 def nearest(points: DataFrame, sites: DataFrame, *, site_key: str = "fips", lat: str = "lat", lon: str = "lon",
-            out: str | None = None) -> DataFrame:
+            out: str | None = None, tree_sites: int = TREE_SITES) -> DataFrame:
     """Points with the key of the closest site in squared degrees; equal distance takes the lowest key.
 
     ``sites`` has ``site_key``, lat and lon. Points without a position (null or NaN) get null. Points at the same
@@ -48,7 +135,13 @@ def nearest(points: DataFrame, sites: DataFrame, *, site_key: str = "fips", lat:
     sites = sites.where(_known("lat") & _known("lon")).groupBy("lat", "lon").agg(
         F.min(site_key).alias("__key"))
     places = points.where(_known(lat) & _known(lon)).select(
-        F.col(lat).alias("plat"), F.col(lon).alias("plon")).distinct()
+        F.col(lat).cast("double").alias("plat"), F.col(lon).cast("double").alias("plon")).distinct()
+    if is_small(sites, tree_sites):
+        sites = cut(sites.select(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "__key"))
+        if sites.isEmpty():
+            return points.withColumn(out, F.lit(None).cast(sites.schema["__key"].dataType))
+        found = _from_tree(places, sites).select(F.col("plat").alias(lat), F.col("plon").alias(lon), F.col("key").alias(out))
+        return lookup_join(points, cut(found), [lat, lon], "left")
     n, site_extent = _extent(sites)
     _, extent = _extent(sites.select("lat", "lon").unionByName(places.toDF("lat", "lon")))
     base = site_extent / (4.0 * max(n, 1))  # fine enough for sites along a line

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,8 +62,9 @@ def test_missing_key(spark):
         joins.with_centroids(spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([("a", 1.0, 1.0)], "fips string, lat double, lon double"))
 
 
+@pytest.mark.parametrize("tree_sites", [0, neighbours.TREE_SITES])
 @pytest.mark.parametrize("shape", ["uniform", "clustered", "line", "far", "single"])
-def test_nearest_equals_brute_force(spark, shape):
+def test_nearest_equals_brute_force(spark, shape, tree_sites):
     rng = random.Random(7)
     if shape == "line":
         sites = [(f"s{i:03}", rng.uniform(0, 1000), 0.0) for i in range(80)]
@@ -77,12 +79,12 @@ def test_nearest_equals_brute_force(spark, shape):
     points = [(i, 40 + scale * rng.uniform(-12, 12), -90 + scale * rng.uniform(-12, 12)) for i in range(150)]
     if shape == "line":
         points = [(i, rng.uniform(-50, 1050), rng.choice([0.0, 3.0])) for i in range(150)]
-    points += [(1000, sites[0][1], sites[0][2]), (1001, None, 3.0)]
+    points += [(1000, sites[0][1], sites[0][2]), (1001, None, 3.0), (1002, float("nan"), 3.0)]
     got = {r.i: r.fips for r in neighbours.nearest(
         spark.createDataFrame(points, "i int, lat double, lon double"),
-        spark.createDataFrame(sites, "fips string, lat double, lon double")).collect()}
-    assert len(got) == len(points) and got[1001] is None
-    for i, lat, lon in points[:-1]:
+        spark.createDataFrame(sites, "fips string, lat double, lon double"), tree_sites=tree_sites).collect()}
+    assert len(got) == len(points) and got[1001] is None and got[1002] is None
+    for i, lat, lon in points[:-2]:
         best = min(((s[1] - lat) ** 2 + (s[2] - lon) ** 2, s[0]) for s in sites)
         assert got[i] == best[1]
 
@@ -91,3 +93,16 @@ def test_nearest_tie_takes_lowest_key(spark):
     sites = spark.createDataFrame([("b", 0.0, 1.0), ("a", 0.0, -1.0)], "fips string, lat double, lon double")
     points = spark.createDataFrame([(0.0, 0.0)], "lat double, lon double")
     assert neighbours.nearest(points, sites).first()["fips"] == "a"
+
+
+def test_clustered_sites_are_not_compared_with_every_point():
+    rng = np.random.default_rng(3)
+    sites = np.vstack([rng.normal(size=(2000, 2)) * 0.01, [[50.0, 50.0]]])
+    points = rng.uniform(1, 49, size=(2000, 2))
+    tree = neighbours.SiteTree(sites)
+    got = tree.nearest(points)
+    d = ((sites[None] - points[:, None]) ** 2).sum(axis=2)
+    assert (got == d.argmin(axis=1)).all()
+    assert tree.compared < 100 * len(points)
+    same = neighbours.SiteTree(np.zeros((50, 2)))
+    assert same.nearest(np.ones((3, 2))).tolist() == [0, 0, 0]

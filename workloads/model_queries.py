@@ -87,7 +87,7 @@ def m8(spark, d):
 
 @query("m9_isolation_forest")
 def m9(spark, d):
-    rows = b.merged(spark, d)
+    rows = cut(b.merged(spark, d).select("obs_id", "commodity_name", "yield_bu_ac", "precip_z"))  # read four times
     return isolation.isolation_layer(rows, ["yield_bu_ac", "precip_z"], ["obs_id"], groups=b.CROPS, **FOREST).select(
         "obs_id", "commodity_name", "if_anomaly_score", "if_anomaly")
 
