@@ -135,7 +135,8 @@ def test_neighbours(spark):
     assert set(got) == set(expected)
     for q, own in got.items():
         own.sort()
-        assert [(s, v) for _, s, v in own] == pytest.approx(expected[q]) and [r for r, _, _ in own] == list(range(1, 11))
+        assert [r for r, _, _ in own] == list(range(1, 11)) and [v for _, _, v in own] == [v for _, v in expected[q]]
+        assert [s for _, s, _ in own] == pytest.approx([s for s, _ in expected[q]])
 
 
 def test_recall(spark):
