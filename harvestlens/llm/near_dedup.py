@@ -1,19 +1,20 @@
 """Near-duplicate groups: MinHash samples, odd sketches, banded candidates, exact confirmation.
 
-A text is the set of its 5-word shingles. ``SAMPLES`` MinHash samples of the set are cut into bands of
-``ROWS``; sets that agree in a band are candidates. The same samples are folded into an odd sketch, a
+A text is the set of its 5-word shingles. MinHash samples of the set are cut into ``BANDS`` bands of ``ROWS``; sets that agree in a band are candidates. All ``SAMPLES`` samples are folded into an odd sketch, a
 bitmap in which every sample flips one bit: the number of ones in the XOR of two sketches estimates
 how many samples differ, and rejects most false candidates without touching their texts. What is
 left is confirmed on full shingle sets.
 
 Two sets with similarity 0.75 share a band with probability 1 - (1 - 0.75**4)**32 > 0.99999, and the
-sketch limit lies about five standard deviations below 0.75.
+sketch limit lies more than four standard deviations below 0.75. Sets whose sizes differ by more than a
+quarter cannot be as similar, and are passed over.
 
 Groups are kept small without dropping anything. Equal sets become one class before anything is
 joined. In the first round every class is compared to the smallest of each of its buckets only.
 Then classes that are linked already need no comparison among themselves; buckets that still hold
-several components are compared across components, in blocks of bounded size, until no
-candidate is left.
+several components are compared across components, in blocks of bounded size. Every round offers the
+candidates of the next ranks; each pair is offered once, unless it has been linked through others
+before, and rounds go on until no candidate is left.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ from harvestlens.session import cut
 
 SHINGLE = 5
 PERCENT = 75
-SAMPLES, ROWS = 128, 4
-SKETCH_BITS = 512
-ESTIMATE = 0.5  # candidates whose estimated similarity is below are not confirmed
+SAMPLES, ROWS, BANDS = 256, 4, 32  # the bands use the first samples, the sketch all
+SKETCH_BITS = 1024
+ESTIMATE = 0.62  # candidates whose estimated similarity is below are not confirmed
 BLOCK = 2048  # members of a bucket compared in one task
-PARTNERS = 8  # partners offered per member and component in one round
+WIDER = 8  # every round offers the candidates of the next ranks, so many times as far
 
 _INDEX = np.arange(1, SAMPLES + 1, dtype=np.uint64)
 _FACTOR = (common.mix(_INDEX) | np.uint64(1)).astype(np.uint32)
@@ -73,7 +74,7 @@ def samples(shingles: np.ndarray) -> np.ndarray:
 
 def bands(sample: np.ndarray) -> np.ndarray:
     """A hash for each band of samples; its number is part of the hash."""
-    rows = sample.reshape(-1, ROWS).astype(np.uint64)
+    rows = sample[:BANDS * ROWS].reshape(-1, ROWS).astype(np.uint64)
     total = np.arange(1, len(rows) + 1, dtype=np.uint64)
     for k in range(ROWS):
         total = common.mix(total * np.uint64(common.STEP_BASE[1]) + rows[:, k])
@@ -119,10 +120,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(_signatures, SIGNATURES)
 
 
-def similar_sketches(left: str, right: str):
-    """Whether two sketch columns leave a similarity of ``ESTIMATE`` possible."""
+def similar_sketches(left: str, right: str, size_left: str, size_right: str):
+    """Whether two sketches leave a similarity of ``ESTIMATE`` possible, and two set sizes ``PERCENT``."""
+    sizes = 100 * F.least(size_left, size_right) >= PERCENT * F.greatest(size_left, size_right)
     ones = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return ones <= most_ones()
+    return sizes & (ones <= most_ones())
 
 
 def _confirm(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,39 +146,45 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_confirm, "a long, b long").distinct()
 
 
-def _across(partners: int):
-    """Candidate pairs between different components in a block of a bucket (or between two blocks)."""
+def _across(low: int, high: int):
+    """Candidate pairs between different components in a block of a bucket (or between two blocks).
+
+    A pair belongs to its larger id and to the first bucket that both share. The candidates of a member are
+    ranked by their sketches; those of the ranks from ``low`` to ``high`` are offered.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp = table["member"].to_numpy(), table["component"].to_numpy()
-        side = table["side"].to_numpy()
+        ids, comp, size = (table[c].to_numpy() for c in ("member", "component", "n_shingles"))
+        side, bucket = table["side"].to_numpy(), table["bucket"][0].as_py()
         sketch = np.stack(table["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-        rows, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.max() else (np.arange(len(ids)),) * 2
+        band = np.stack(table["bands"].to_numpy()).astype(np.int64)
+        own = np.argmax(band == bucket, axis=1)  # the band that this bucket belongs to
+        two_blocks = bool(side.max())
         found_a, found_b, more = [], [], False
-        for i in rows:
-            other = cols[(comp[cols] != comp[i]) & ((ids[cols] > ids[i]) | bool(side.max()))]
-            if not len(other):
+        for i in range(len(ids)):
+            near = (ids < ids[i]) & (100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i]))
+            other = np.flatnonzero(near & (side != side[i]) if two_blocks else near)
+            if not (comp[other] != comp[i]).any():
                 continue
             ones = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1)
-            near = ones <= most_ones()
-            other, ones = other[near], ones[near]
-            order = np.lexsort((ids[other], ones, comp[other]))
-            other = other[order]
-            rank = np.arange(len(other)) - np.searchsorted(comp[other], comp[other])
-            more |= bool((rank >= partners).any())
-            other = other[rank < partners]
-            found_a += np.minimum(ids[i], ids[other]).tolist()
-            found_b += np.maximum(ids[i], ids[other]).tolist()
+            other, ones = other[ones <= most_ones()], ones[ones <= most_ones()]
+            first = np.argmax(band[other] == band[i], axis=1) == own[i]  # the pair meets nowhere before
+            other, ones = other[first], ones[first]
+            other = other[np.lexsort((ids[other], ones))]
+            away = comp[other] != comp[i]
+            more |= bool(away[high:].any())
+            found_b += ids[other[low:high][away[low:high]]].tolist()
+            found_a += [int(ids[i])] * (len(found_b) - len(found_a))
         if more:  # a pair of equal ids says that more candidates wait for a later round
             found_a.append(int(ids[0]))
             found_b.append(int(ids[0]))
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+        return pa.table({"a": pa.array(found_b, pa.int64()), "b": pa.array(found_a, pa.int64())})
 
     return run
 
 
-def _left_over(members: DataFrame, classes: DataFrame, labels: DataFrame, partners: int) -> DataFrame:
-    """Candidates between components that share a bucket of three or more members."""
+def _left_over(members: DataFrame, classes: DataFrame, labels: DataFrame, low: int, high: int) -> DataFrame:
+    """Candidates of some ranks between components that share a bucket of three or more members."""
     now = (members.join(labels, members["member"] == labels["node"], "left")
            .select("bucket", "member", F.coalesce("component", "member").alias("component")))
     open_ = (now.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"),
@@ -188,8 +196,20 @@ def _left_over(members: DataFrame, classes: DataFrame, labels: DataFrame, partne
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = split.select("bucket", "member", "component", F.least("own", "other").alias("i"),
                           F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    sketched = placed.join(classes.select(F.col("doc_id").alias("member"), "sketch"), "member")
-    return sketched.groupBy("bucket", "i", "j").applyInArrow(_across(partners), "a long, b long").distinct()
+    sketched = placed.join(classes.select(F.col("doc_id").alias("member"), "n_shingles", "bands", "sketch"), "member")
+    return sketched.groupBy("bucket", "i", "j").applyInArrow(_across(low, high), "a long, b long").distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links: only the components that they touch are worked on."""
+    a, b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    between = links.join(a, "a", "left").join(b, "b", "left").select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = cut(components(between)).withColumnsRenamed({"node": "old", "component": "new"})
+    kept = labels.join(joined, F.col("component") == F.col("old"), "left").select(
+        "node", F.coalesce("new", "component").alias("component"))
+    first = joined.join(labels.select("node"), F.col("old") == F.col("node"), "left_anti")  # classes not linked so far
+    return kept.union(first.select("old", "new"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -205,33 +225,28 @@ def near_groups(docs: DataFrame) -> DataFrame:
     digest = ["high", "low", "n_shingles"]
     able = signed.filter("n_shingles > 0 and doc_id is not null")
     named = able.groupBy(*digest).agg(F.min("doc_id").alias("class"))
-    classes = cut(able.join(named, digest).filter("doc_id = class").select("doc_id", "bands", "sketch"))
+    classes = cut(able.join(named, digest).filter("doc_id = class").select("doc_id", "n_shingles", "bands", "sketch"))
     members = classes.select(F.col("doc_id").alias("member"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("member").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(members.join(shared, "bucket").select("bucket", "member", "first"))
 
-    sketches = classes.select("doc_id", "sketch")
     pairs = members.filter("member > first").select(F.col("first").alias("a"), F.col("member").alias("b")).distinct()
-    tried = cut(pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a")
-                .join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b")
-                .filter(similar_sketches("x", "y")).select("a", "b").distinct())
+    left, right = (classes.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+                   for c in "ab")
+    tried = cut(pairs.join(left, "a").join(right, "b").filter(similar_sketches("sketch_a", "sketch_b", "n_a", "n_b"))
+                .select("a", "b").distinct())
     texts = common.own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), common.whole_text().alias("text"))
-    links = cut(confirmed(tried, texts))
-    labels = cut(components(links))
-    partners = PARTNERS
-    while True:
-        offered = cut(_left_over(members.select("bucket", "member"), classes, labels, partners))
+    labels = cut(components(confirmed(tried, texts)))
+    low, high, waiting = 0, 1, True
+    while waiting:
+        offered = cut(_left_over(members.select("bucket", "member"), classes, labels, low, high))
         fresh = cut(offered.filter("a <> b").join(tried, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
-            tried = tried.union(fresh)
             more = cut(confirmed(fresh, texts))
             if not more.isEmpty():
-                links = links.union(more)
-                labels = cut(components(links))
-        elif offered.filter("a = b").isEmpty():
-            break
-        else:
-            partners *= 8
+                labels = cut(_merged(labels, more))
+        waiting = not offered.filter("a = b").isEmpty()
+        low, high = high, high * WIDER
     return (signed.join(named, digest, "left").join(labels, F.col("class") == F.col("node"), "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
             .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(
@@ -241,5 +256,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def drop_similar(docs: DataFrame) -> DataFrame:
     """One document of each group, with the columns of ``docs``."""
-    gone = near_groups(docs).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    (i,) = common.fresh(docs, "id")
+    gone = near_groups(docs).filter("not kept").select(F.col("doc_id").alias(i)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(i), "left_anti")
