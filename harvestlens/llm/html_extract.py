@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens.llm import common
+from harvestlens.session import cut
 
 GROUP = 64  # pages of a host compared together, about
+LARGE_HOSTS = 100_000  # hosts of more than a group that are broadcast, at most (a few MB)
 SUPPORT = 3  # different pages that a class needs
 CONSTANT = 8  # different pages on all of which a text must stand to be part of the template
 SHARE = 0.8  # of the data that the slot of the main text must hold
@@ -264,7 +266,10 @@ def main_text(pages: DataFrame, group: int = GROUP) -> DataFrame:
     rows = common.own_columns(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
         host.alias("host"))
-    parts = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))
-    dealt = rows.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).cast("int"))
-    return (dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part")
+    parts = cut(rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts")).filter("parts > 1"))
+    few = parts.limit(LARGE_HOSTS + 1).count() <= LARGE_HOSTS
+    part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1)))
+    # one key for host and part, so that pages are dealt by both and not kept where a join by host left them
+    dealt = rows.join(F.broadcast(parts) if few else parts, "host", "left").withColumn("group", F.concat_ws(" ", "host", part))
+    return (dealt.select("group", "page_id", "url", "html").groupBy("group")
             .applyInArrow(_group, "page_id long, url string, text string, n_chars long"))
