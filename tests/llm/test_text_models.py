@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +163,56 @@ def test_quality_chunks_do_not_matter(docs, corpus):
     assert one == pytest.approx(many, rel=1e-12)
 
 
+def junk_kind(text):
+    words = text.split()
+    if text.count("|") >= 0.3 * len(words):
+        return "pipe"
+    if sum(c in "#&%*$@" for c in text) >= 0.5 * len(words):
+        return "symbol"
+    if text == text.upper():
+        return "shout"
+    return "repeat" if len(words) >= 8 and len({w.strip(".,|!") for w in words}) <= 0.1 * len(words) + 2 else "other"
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables")
+def test_quality_rejects_each_kind_of_junk(spark):
+    """Of every kind of labelled junk, repeats of a word included, and of trusted documents."""
+    table, labels = (common.table(spark, "/root/testdata/sf0.01", name) for name in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
+    kept = {r.doc_id: r.kept for r in quality.classify(table, labels).collect()}
+    share = {}
+    for r in labels.select("doc_id", "quality").collect():
+        share.setdefault("good" if r.quality == 1 else junk_kind(texts[r.doc_id]), []).append(kept[r.doc_id])
+    share = {k: np.mean(v) for k, v in share.items()}
+    assert share.pop("good") > 0.98
+    assert set(share) == {"pipe", "symbol", "shout", "repeat", "other"} and max(share.values()) < 0.15
+
+
+def test_quality_model_of_order_five_is_a_distribution(docs):
+    texts = ["abab ab", "abba b", "baab", "aab" * 9]
+    model = quality.train(docs(list(enumerate(texts))), 5)
+    letters = "ab \u4e00"  # the last was never seen
+    many = [(i, f"{t[:4]}{c}") for i, (t, c) in enumerate((t, c) for t in texts for c in letters)]
+    ended = [(1000 + i, t[:4]) for i, t in enumerate(texts)]
+    loss = {r.doc_id: r.loss for r in quality.losses(docs([*many, *ended]), model).collect()}
+    finer = {r.doc_id: r.loss for r in quality.losses(docs([*many, *ended]), model, 3).collect()}
+    assert loss == pytest.approx(finer, rel=1e-12)
+    stored = quality.Stored(model)
+    for text in texts:
+        points = np.array([ord(c) for c in text[:4]])
+        total = 0.0
+        for w in [*map(ord, "ab \u4e00"), quality.END]:
+            p = stored.of(np.zeros(1, np.int64), ("p",), [1.0])[0]
+            for k in range(1, 6):
+                five_hi, five_lo = points[:1] << 21 | points[1:2], points[2:3] << 42 | points[3:4] << 21 | w
+                h, m = five_hi & ((1 << 21 * max(k - 3, 0)) - 1), five_lo & ((1 << 21 * min(k, 3)) - 1)
+                before = (h & ((1 << 21) - 1)) << 42 | m >> 21
+                p = p * (stored.of(quality.packed(k - 1, h >> 21, before), ("backoff",), [1.0])[0] if k > 1 else 1.0)
+                p = stored.of(quality.packed(k, h, m), ("p",), [p])[0]
+            total += float(p[0])
+        assert total == pytest.approx(1.0)
+
+
 def toxic_rows(n, seed):
     r = random.Random(seed)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
