@@ -233,3 +233,31 @@ def test_three_stages(spark, tmp_path):
     assert report["by_year"].where("year = 2012 and event = 'Great Plains Drought'").count() == 1
     assert report["types"].agg(F.sum("n")).first()[0] == flagged.count()
     assert report["event_review"].count() == 2 and report["worst_unexplained"].count() <= 10
+
+
+def test_model_queries_fit_whole_models(spark, monkeypatch):
+    """Rounds, trees and rows per tree of the registered queries are those of the configuration."""
+    import __spark_entry__ as entry
+    from workloads import model_queries
+
+    asked, empty = [], spark.createDataFrame(
+        [], "obs_id long, commodity_name string, year int, yield_bu_ac double, precip_z double, xgb_residual double, "
+        "if_anomaly_score double, if_anomaly boolean, residual_anomaly boolean, fold int, n long, r2 double")
+
+    def boosted(df, *args, params=None, **options):
+        asked.append(config.BOOSTING | (params or {}))
+        return {} if "crops" in options else empty
+
+    def isolated(df, *args, trees=config.ISOLATION_TREES, size=config.ISOLATION_ROWS, **options):
+        asked.append((trees, size))
+        return empty
+
+    monkeypatch.setattr(model_queries, "_fits", {})
+    monkeypatch.setattr(model_queries.b, "merged", lambda *a: empty)
+    monkeypatch.setattr(boosting, "fit_crops", boosted)
+    monkeypatch.setattr(boosting, "cross_validate", boosted)
+    monkeypatch.setattr(isolation, "isolation_layer", isolated)
+    model_queries.fitted(spark, "nowhere")
+    for name in ("m2_cross_validation", "m9_isolation_forest"):
+        entry.queries()[name](spark, "nowhere")
+    assert asked == [config.BOOSTING, config.BOOSTING, (config.ISOLATION_TREES, config.ISOLATION_ROWS)]

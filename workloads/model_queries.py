@@ -1,9 +1,10 @@
-"""Models and anomaly layers (M1-M11). Fits use fewer rounds and trees than the defaults; they read all rows."""
+"""Models and anomaly layers (M1-M11). Fits use the rounds and trees of ``config``; they read all rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from harvestlens import config
 from harvestlens.functions.columns import settle
 from harvestlens.operators import attribution, boosting, correlation, isolation, layers, reports
 from harvestlens.session import cut, scratch_path
@@ -12,8 +13,7 @@ from workloads.bases import R
 from workloads.registry import query
 from workloads.scalar_queries import pearson_sql
 
-ROUNDS = {"maxIter": 8}
-FOREST = {"trees": 100, "size": 256}
+FOREST = {"trees": config.ISOLATION_TREES, "size": config.ISOLATION_ROWS}
 _fits: dict[tuple[str, str], tuple] = {}
 
 
@@ -23,7 +23,7 @@ def fitted(spark, d):
     if key not in _fits:
         rows = cut(b.merged(spark, d))
         folder = scratch_path(spark, "models")
-        boosting.save(boosting.fit_crops(rows, b.ACTIVE, crops=b.CROPS, train_years=b.TRAIN_YEARS, params=ROUNDS), folder)
+        boosting.save(boosting.fit_crops(rows, b.ACTIVE, crops=b.CROPS, train_years=b.TRAIN_YEARS, params=config.BOOSTING), folder)
         _fits[key] = (rows, folder)
     rows, folder = _fits[key]
     return rows, boosting.load(spark, folder, b.CROPS)
@@ -38,7 +38,7 @@ def m1(spark, d):
 @query("m2_cross_validation")
 def m2(spark, d):
     rows = cut(b.merged(spark, d))
-    scores = boosting.cross_validate(rows, [*b.ACTIVE, "year"], [F.col("obs_id")], params={"maxIter": 2})
+    scores = boosting.cross_validate(rows, [*b.ACTIVE, "year"], [F.col("obs_id")], params=config.BOOSTING)
     return boosting.cv_summary(scores)
 
 
