@@ -5,8 +5,9 @@ with the path of elements around them, and words of short texts with their path.
 often on every page of a group (the same occurrence vector) form an equivalence class. A class is valid
 if it is frequent, has several tokens, and these stand in the same order on every page. The class that
 occurs once everywhere is the skeleton of the template; other valid classes nest between two
-neighbours of it (menus, lists). What no class holds is data, and the element of the skeleton that holds
-nearly all data outside the page furniture is the slot of the main text.
+neighbours of it (menus, lists). What no class holds is data. The element of the skeleton that holds nearly all
+text outside the page furniture locates the main text; unless it is an article or main element, the slot
+is the lowest element around it that holds all data outside the furniture.
 
 Furniture is told by element (nav, footer, form, ...) and by class, id or role (sidebar, advert, cookie, ...).
 A host with too few pages has no classes; there the slot is found by the same measure on the page alone.
@@ -30,7 +31,7 @@ GROUP = 64  # pages of a host compared together, about
 LARGE_HOSTS = 100_000  # hosts of more than a group that are broadcast, at most (a few MB)
 SUPPORT = 3  # different pages that a class needs
 CONSTANT = 8  # different pages on all of which a text must stand to be part of the template
-SHARE = 0.8  # of the data that the slot of the main text must hold
+SHARE = 0.8  # of the text that the element locating the main text must hold
 SHORT = 12  # words of a text that count as tokens one by one
 
 _TAG = re.compile(
@@ -217,12 +218,24 @@ def slot(blocks: list[tuple[tuple[str, ...], bool, str]], allowed: set[tuple[str
     return found
 
 
+def widened(found: tuple[str, ...], blocks: list[tuple[tuple[str, ...], bool, str]], known: set[tuple[str, ...]]) -> tuple[str, ...]:
+    """The lowest element around ``found`` that holds all text outside the furniture that is not of the template."""
+    if any(name.split(".")[0] in _ARTICLE_HEADERS for name in found):
+        return found
+    for path, furniture, text in blocks:
+        if not furniture and path[:len(found)] != found and not all(t in known for t in _block_tokens(path, text)):
+            same = [a == b for a, b in zip(found, path, strict=False)]
+            found = found[:same.index(False) if False in same else len(same)]
+    return found
+
+
 def extract(sources: list[str]) -> list[str]:
     """The main texts of pages of one host."""
     pages = [Page(s) for s in sources]
     different = list({s: p for s, p in zip(sources, pages, strict=True)}.values())
     skeleton, nested = template(different)
-    main = slot([b for p in different for b in p.blocks], skeleton) if skeleton else ()
+    blocks = [b for p in different for b in p.blocks]
+    main = widened(slot(blocks, skeleton), blocks, skeleton | nested) if skeleton else ()
     constant = set()
     if len(different) >= CONSTANT:
         inside = [(path, text) for p in different for path, furniture, text in p.blocks if not furniture and path[:len(main)] == main]
@@ -235,8 +248,7 @@ def extract(sources: list[str]) -> list[str]:
         own = main
         kept = [b for b in page.blocks if not b[1] and b[0][:len(own)] == own]
         if not main or not kept:
-            own = slot(page.blocks, None)
-            own = own[:-1] if own and own[-1].split(".")[0] in ("p", "li", "td", "h1", "h2", "h3") else own
+            own = widened(slot(page.blocks, None), page.blocks, set())
             kept = [b for b in page.blocks if not b[1] and b[0][:len(own)] == own]
         out.append("\n".join(text for path, _, text in kept if (path, text) not in constant))
     return out

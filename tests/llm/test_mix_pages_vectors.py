@@ -89,6 +89,23 @@ def test_template_of_pages_without_article(spark):
         assert got[i].n_chars == len(got[i].text)
 
 
+def test_nothing_of_an_article_is_lost_beside_its_body():
+    """Title, lead and unequal sections beside the element that holds most text; with and without a template."""
+    def wrapped(body):
+        return f"<html><body><div id=top>My site</div><nav>Home</nav><div class=wrap>{body}</div><footer>Foot</footer></body></html>"
+
+    post = [wrapped(f"<div class=post><h1>Name {i}</h1><p>{f'long{i} ' * 90}</p></div>") for i in range(4)]
+    parts = [wrapped(f"<div class=intro><p>Lead {i}</p></div><div class=body><p>{f'w{i} ' * 200}</p><p>b{i}</p></div>"
+                     f"<div class=part2><h2>Part{i}</h2><p>{f'z{i} ' * 20}</p></div>") for i in range(9)]
+    for i, text in enumerate(html_extract.extract(post)):
+        assert text == f"Name {i}\n{(f'long{i} ' * 90).strip()}"
+    for i, text in enumerate(html_extract.extract(parts)):
+        assert text == "\n".join([f"Lead {i}", (f"w{i} " * 200).strip(), f"b{i}", f"Part{i}", (f"z{i} " * 20).strip()])
+    alone = "<body><div class=post><h1>Ten things</h1><p>Why</p><ul>" + f"<li>{'thing ' * 40}</li>" * 10 + "</ul><p>End</p></div></body>"
+    assert html_extract.extract([alone])[0].split("\n")[:2] == ["Ten things", "Why"]
+    assert html_extract.extract([alone])[0].split("\n")[-1] == "End"
+
+
 def test_equivalence_classes():
     pages = [html_extract.Page(page(i, "<p>x" * (i + 1) + f"<p>y{i}")) for i in range(5)]
     skeleton, nested = html_extract.template(pages)
