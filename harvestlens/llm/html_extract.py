@@ -9,7 +9,8 @@ neighbours of it (menus, lists). What no class holds is data. The element of the
 text outside the page furniture locates the main text; unless it is an article or main element, the slot
 is the lowest element around it that holds all data outside the furniture.
 
-Furniture is told by element (nav, footer, form, ...) and by class, id or role (sidebar, advert, cookie, ...).
+Furniture is told by element (nav, footer, form, ...) and by class, id or role (sidebar, advert, cookie, ...), on headings
+by element only. An id inside the slot does not tell it if the element is not of the template.
 A host with too few pages has no classes; there the slot is found by the same measure on the page alone.
 """
 
@@ -59,21 +60,24 @@ _FURNITURE = frozenset(
     "modal overlay newsletter subscribe subscription signup login search share sharing social comment comments disqus replies "
     "respond related recommended recommendations toolbar topbar skip pagination pager tags complementary contentinfo "
     "discussion feedback".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ARTICLE_HEADERS = frozenset(("article", "main"))
 
 
-def _marks(attributes: str) -> tuple[str, bool, bool]:
-    """The class and id of an element, whether they mark furniture, whether it is hidden."""
-    names, furniture, hidden = [], False, False
+def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
+    """The class and id of an element, whether class or role and whether its id mark furniture, whether it is hidden."""
+    names, furniture, by_id, hidden = [], False, False, False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
             names.append(value.lower())
-            furniture |= bool(_FURNITURE & set(re.split(r"[^a-z]+", value.lower())))
+            marked = bool(_FURNITURE & set(re.split(r"[^a-z]+", value.lower())))
+            by_id |= marked and name == "id"
+            furniture |= marked and name != "id"
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(
                 r"display\s*:\s*none", value, re.I):
             hidden = True
-    return "." + "|".join(names) if names else "", furniture, hidden
+    return "." + "|".join(names) if names else "", furniture, by_id, hidden
 
 
 class Page:
@@ -82,7 +86,8 @@ class Page:
     def __init__(self, source: str):
         self.tokens: list[tuple[str, ...]] = []
         self.blocks: list[tuple[tuple[str, ...], bool, str]] = []  # path, whether furniture, text
-        self._stack: list[tuple[str, str, bool]] = []  # tag, name with class, whether furniture
+        self.doubtful: list[tuple] = []  # for each block that is furniture by ids only, the elements with these
+        self._stack: list[tuple[str, str, bool, tuple]] = []  # tag, name with class, whether furniture, elements marked by id
         self._text: list[str] = []
         self._path: tuple[str, ...] = ()
         self._read(source)
@@ -91,8 +96,10 @@ class Page:
         text = " ".join("".join(self._text).split())
         self._text = []
         if text:
-            block = tuple(n for t, n, _ in self._stack if t not in _INLINE)
-            self.blocks.append((block, bool(self._stack) and self._stack[-1][2], text))
+            block = tuple(n for t, n, *_ in self._stack if t not in _INLINE)
+            furniture, by_id = self._stack[-1][2:] if self._stack else (False, ())
+            self.blocks.append((block, furniture or bool(by_id), text))
+            self.doubtful.append(() if furniture else by_id)
             words = text.split(" ")
             self.tokens += [(*block, "#", w) for w in words] if len(words) <= SHORT else [(*block, "#", text)]
 
@@ -101,7 +108,7 @@ class Page:
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in _CLOSES_P:
-            places = [i for i, (t, _, _) in enumerate(self._stack) if t == "p"]
+            places = [i for i, (t, *_) in enumerate(self._stack) if t == "p"]
             if places:
                 self._pop(places[-1])
         if tag in _SIBLINGS:
@@ -111,16 +118,25 @@ class Page:
                     break
                 if self._stack[i][0] in ("ul", "ol", "dl", "table", "select"):
                     break
-        name, furniture, hidden = _marks(attributes) if attributes.strip() else ("", False, False)
-        outer = bool(self._stack) and self._stack[-1][2]
-        if tag in ("html", "body", "main", "article"):
-            furniture = False  # a theme's class names on the whole page say nothing
-        inside = any(t in _ARTICLE_HEADERS for t, _, _ in self._stack)
+        name, furniture, by_id, hidden = _marks(attributes) if attributes.strip() else ("", False, False, False)
+        outer, doubtful = self._stack[-1][2:] if self._stack else (False, ())
+        if tag in ("html", "body", "main", "article") or tag in _HEADINGS:
+            furniture = by_id = False  # a theme's class names on the whole page, and ids made from a title, say nothing
+        inside = any(t in _ARTICLE_HEADERS for t, *_ in self._stack)
         own = outer or furniture or hidden or tag in _FURNITURE_TAGS or tag == "header" and not inside
         if tag not in _VOID:
-            self._stack.append((tag, tag + name, own))
-        self.tokens.append(tuple(n for _, n, _ in self._stack) if tag not in _VOID else
-                           (*(n for _, n, _ in self._stack), tag + name))
+            self._stack.append((tag, tag + name, own, doubtful))
+            if by_id:
+                path = tuple(n for _, n, *_ in self._stack)
+                self._stack[-1] = tag, tag + name, own, (*doubtful, (tuple(n for t, n, *_ in self._stack if t not in _INLINE), path))
+        self.tokens.append(tuple(n for _, n, *_ in self._stack) if tag not in _VOID else
+                           (*(n for _, n, *_ in self._stack), tag + name))
+
+    def release(self, main: tuple[str, ...], known: set[tuple[str, ...]]) -> None:
+        """What only ids mark as furniture is text where these stand inside the slot and are not of the template."""
+        for i, elements in enumerate(self.doubtful):
+            if elements and all(e[:len(main)] == main and len(e) > len(main) and path not in known for e, path in elements):
+                self.blocks[i] = self.blocks[i][0], False, self.blocks[i][2]
 
     def _read(self, source: str) -> None:
         at, size = 0, len(source)
@@ -144,7 +160,7 @@ class Page:
                 continue
             tag = found[2].lower()
             if found[1]:
-                places = [i for i, (t, _, _) in enumerate(self._stack) if t == tag]
+                places = [i for i, (t, *_) in enumerate(self._stack) if t == tag]
                 if tag not in _INLINE:
                     self._flush()
                 if places:
@@ -236,6 +252,9 @@ def extract(sources: list[str]) -> list[str]:
     skeleton, nested = template(different)
     blocks = [b for p in different for b in p.blocks]
     main = widened(slot(blocks, skeleton), blocks, skeleton | nested) if skeleton else ()
+    if main:
+        for page in pages:
+            page.release(main, skeleton | nested)
     constant = set()
     if len(different) >= CONSTANT:
         inside = [(path, text) for p in different for path, furniture, text in p.blocks if not furniture and path[:len(main)] == main]

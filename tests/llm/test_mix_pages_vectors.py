@@ -106,6 +106,15 @@ def test_nothing_of_an_article_is_lost_beside_its_body():
     assert html_extract.extract([alone])[0].split("\n")[-1] == "End"
 
 
+def test_ids_made_from_headings_are_no_furniture():
+    odd = ["<h2 id=related-work>Earlier</h2><p>Others</p>", "<section id=discussion><h2>Talk</h2><p>We say</p></section>",
+           "<div id=tags><p>Tags are words</p></div>", "<h2 id=search-results>Found</h2>", "", ""]
+    pages = [f"<html><body><div class=post><h1>Name {i}</h1><p>{f'x{i} ' * 90}</p>{o}<div id=comments><p>Nice {i}</p></div></div>"
+             f"<div id=feedback>Say {i}</div></body></html>" for i, o in enumerate(odd)]
+    texts = [t.split("\n")[2:] for t in html_extract.extract(pages)]
+    assert texts == [["Earlier", "Others"], ["Talk", "We say"], ["Tags are words"], ["Found"], [], []]
+
+
 def test_equivalence_classes():
     pages = [html_extract.Page(page(i, "<p>x" * (i + 1) + f"<p>y{i}")) for i in range(5)]
     skeleton, nested = html_extract.template(pages)
