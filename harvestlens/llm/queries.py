@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.llm import byte_bpe, common, exact_dedup, html_extract, language_model, mixing, near_dedup, neighbours, quality, substring_dedup, toxicity
+from harvestlens.llm import byte_bpe, common, exact_dedup, html_extract, language_model, mixing, near_dedup, neighbours, quality, sentence_piece, substring_dedup, toxicity
 from harvestlens.session import tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -131,3 +132,11 @@ def op9_nearest_neighbours(spark, folder):
 @query("op8_html_extract")
 def op8_html_extract(spark, folder):
     return html_extract.main_text(common.table(spark, folder, "pages"))
+
+
+@query("op13_sentence_piece")
+def op13_sentence_piece(spark, folder):
+    import public_tokenizers
+
+    return sentence_piece.encode(common.table(spark, folder, "documents"), public_tokenizers.path(PIECES),
+                                 ("n_tokens", "ids_sha256", "decoded_sha256"))
