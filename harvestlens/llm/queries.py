@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.llm import byte_bpe, common, exact_dedup, html_extract, language_model, mixing, near_dedup, neighbours, quality, sentence_piece, substring_dedup, toxicity
+from harvestlens.llm import byte_bpe, common, exact_dedup, html_extract, language_model, mixing, near_dedup, neighbours, periodic_runs, quality, sentence_piece, substring_dedup, toxicity
 from harvestlens.session import tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -140,3 +140,10 @@ def op13_sentence_piece(spark, folder):
 
     return sentence_piece.encode(common.table(spark, folder, "documents"), public_tokenizers.path(PIECES),
                                  ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, folder):
+    return periodic_runs.periodic_runs(
+        common.table(spark, folder, "documents"),
+        ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"), prepare=periodic_runs.plant)
