@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.llm import byte_bpe, common, exact_dedup, html_extract, language_model, mixing, near_dedup, neighbours, periodic_runs, quality, sentence_piece, substring_dedup, toxicity
+from harvestlens.llm import byte_bpe, common, exact_dedup, hard_negatives, html_extract, language_model, mixing, near_dedup, neighbours, periodic_runs, quality, sentence_piece, substring_dedup, toxicity
 from harvestlens.session import tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -147,3 +147,28 @@ def op12_periodic_runs(spark, folder):
     return periodic_runs.periodic_runs(
         common.table(spark, folder, "documents"),
         ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"), prepare=periodic_runs.plant)
+
+
+@query("op11_hard_negatives", """
+    WITH usable AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS x
+        FROM embeddings),
+    rows AS MATERIALIZED (
+        SELECT row_number() OVER () AS row, vec_id, label, list_transform(x, lambda c: floor(256 * c)) AS v FROM usable
+        WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    scored AS MATERIALIZED (
+        SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row, b.vec_id, a.label = b.label AS same,
+               list_inner_product(a.v, b.v)::BIGINT AS score
+        FROM rows a JOIN rows b ON len(a.v) = len(b.v) AND a.row <> b.row WHERE a.vec_id % 100 = 0),
+    positives AS (
+        SELECT anchor, anchor_id, row AS positive, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, row) <= 5)
+    SELECT p.anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, n.vec_id AS negative_id, positive_score,
+           n.score AS negative_score
+    FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same
+         AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+    QUALIFY row_number() OVER w <= 5
+    WINDOW w AS (PARTITION BY p.anchor, positive ORDER BY n.score DESC, n.vec_id NULLS LAST, n.row)""")
+def op11_hard_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(common.table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
