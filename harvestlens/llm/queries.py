@@ -163,12 +163,12 @@ def op12_periodic_runs(spark, folder):
     positives AS (
         SELECT anchor, anchor_id, row AS positive, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
         QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, row) <= 5)
-    SELECT p.anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, n.vec_id AS negative_id, positive_score,
+    SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id, positive_score,
            n.score AS negative_score
     FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same
          AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
-    QUALIFY row_number() OVER w <= 5
-    WINDOW w AS (PARTITION BY p.anchor, positive ORDER BY n.score DESC, n.vec_id NULLS LAST, n.row)""")
+    WINDOW w AS (PARTITION BY p.anchor, positive ORDER BY n.score DESC, n.vec_id NULLS LAST, n.row)
+    QUALIFY row_number() OVER w <= 5""")
 def op11_hard_negatives(spark, folder):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(common.table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
