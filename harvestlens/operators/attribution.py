@@ -1,62 +1,52 @@
-"""Exact path-dependent Shapley values of a boosted-tree model (M5, M7).
+"""Exact path-dependent Shapley values of boosted trees (M5, M7).
 
 For one leaf the model gives its value when all tests on the path hold; a feature outside the
 coalition passes its tests with the share of training rows that did. With 0/1 outcomes per
 feature, the contributions of a leaf depend only on which of its (few) features pass, so they are
-tabulated once per leaf and looked up for whole Arrow batches of rows.
+tabulated once per leaf, by tasks that take some trees each, and looked up for whole Arrow batches of rows. One pass serves
+all crops: a row's tables are picked by its crop.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harvestlens.functions.columns import settle
-from harvestlens.operators.boosting import CropModel, complete
-from harvestlens.session import scratch_path
+from harvestlens.operators.boosting import CropModel, by_model, input_struct, model_inputs
 
 DRIVERS = T.ArrayType(T.StructType([T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType())]))
+TREES_AT_ONCE = 25  # trees whose leaves one row of the job that makes the tables stands for
 
 
-def tree_nodes(spark: SparkSession, model: CropModel) -> tuple[pd.DataFrame, np.ndarray]:
-    """Nodes and tree weights out of the saved model; their number is bounded by trees times depth."""
-    path = scratch_path(spark, "booster")
-    model.booster.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select(
-        "treeID", "id", "prediction", "leftChild", "rightChild", F.col("rawCount").cast("double").alias("cover"),
-        F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-    ).toPandas()
-    return nodes, np.array(model.booster.treeWeights)
-
-
-def _leaves(nodes: pd.DataFrame, weights: np.ndarray) -> tuple[float, list[tuple]]:
-    """Base value, and per leaf (value, features, lower bounds, upper bounds, shares)."""
+def _leaves(model: CropModel, trees: range) -> tuple[float, list[tuple]]:
+    """What the trees give on average, and per leaf (value, features, lower bounds, upper bounds, shares)."""
     base, leaves = 0.0, []
-    for tree, rows in nodes.groupby("treeID"):
-        node = rows.set_index("id").to_dict("index")
+    for t in trees:
+        feature, threshold, cover, values = (a[t] for a in (model.feature, model.threshold, model.cover, model.value))
         stack = [(0, {}, 1.0)]
         while stack:
             at, path, reach = stack.pop()
-            here = node[at]
-            if here["leftChild"] < 0:
-                value = here["prediction"] * weights[int(tree)]
-                base += value * reach
+            if feature[at] < 0:
+                base += values[at] * reach
                 if path:
-                    leaves.append(_leaf(value, path))
+                    leaves.append(_leaf(float(values[at]), path))
                 continue
-            f, t = int(here["feature"]), float(here["threshold"])
-            for child, left in ((here["leftChild"], True), (here["rightChild"], False)):
-                share = node[child]["cover"] / here["cover"] if here["cover"] else 0.0
+            f, border = int(feature[at]), float(threshold[at])
+            for child, left in ((2 * at + 1, True), (2 * at + 2, False)):
+                share = cover[child] / cover[at]
                 low, high, z = path.get(f, (-np.inf, np.inf, 1.0))
-                bounds = (low, min(high, t), z * share) if left else (max(low, t), high, z * share)
+                bounds = (low, min(high, border), z * share) if left else (max(low, border), high, z * share)
                 stack.append((child, path | {f: bounds}, reach * share))
-    return base, leaves
+    return float(base), leaves
 
 
 def _leaf(value: float, path: dict[int, tuple[float, float, float]]) -> tuple:
@@ -90,47 +80,94 @@ def _tables(leaves: list[tuple], at_once: int = 1024) -> list[tuple[np.ndarray,
 
 
 def _contributions(x: np.ndarray, tables: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Contributions [row, feature]: for all leaves of a size, one look-up by the pattern of tests that hold."""
     out = np.zeros_like(x)
     for features, low, high, table in tables:
-        bit = 1 << np.arange(features.shape[1])
-        step = max(1, 4_000_000 // (max(1, len(x)) * features.shape[1]))  # leaves per gather: about 32 MB
-        for start in range(0, len(features), step):
+        leaves, k = features.shape
+        bit = 1 << np.arange(k)
+        step = max(1, 2_000_000 // max(1, leaves * k))  # rows per look-up: about 16 MB
+        owner = np.zeros((leaves * k, x.shape[1]))
+        owner[np.arange(leaves * k), features.ravel()] = 1
+        leaf = np.arange(leaves)
+        for start in range(0, len(x), step):
             few = slice(start, start + step)
-            here = x[:, features[few]]
-            pattern = ((here > low[few]) & (here <= high[few])) @ bit
-            found = table[few][np.arange(pattern.shape[1]), pattern]  # [row, leaf, feature]
-            for f in range(x.shape[1]):
-                out[:, f] += (found * (features[few] == f)).sum(axis=(1, 2))
+            here = x[few][:, features]
+            pattern = ((here > low) & (here <= high)) @ bit
+            out[few] += table[leaf, pattern].reshape(len(here), leaves * k) @ owner
     return out
 
 
-def attribute(df: DataFrame, model: CropModel, *, out: str = "drivers", base: str = "base_value") -> DataFrame:
-    """Rows with complete features, plus base value and contributions sorted by size (M7).
+def leaf_tables(spark: SparkSession, models: dict[str, CropModel]) -> dict[str, tuple[float, list]]:
+    """Base value and leaf tables of every model, made by tasks of some trees each.
+
+    Their size depends on the models alone: trees times leaves times 2^depth.
+    """
+    shared = spark.sparkContext.broadcast(models)
+    work = [(name, start) for name, m in models.items() for start in range(0, len(m.feature), TREES_AT_ONCE)]
 
-    The leaf tables are broadcast: they grow with the model (trees times 2^depth), not with the rows.
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, start in zip(*(c.to_pylist() for c in batch.columns)):
+                model = shared.value[name]
+                base, leaves = _leaves(model, range(start, min(start + TREES_AT_ONCE, len(model.feature))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name]), pa.array([start]), pa.array([base]), pa.array([pickle.dumps(_tables(leaves))], pa.binary())],
+                    names=["crop", "start", "base", "tables"])
+
+    rows = spark.createDataFrame(work, "crop string, start long").repartition(len(work), "start", "crop").mapInArrow(
+        made, "crop string, start long, base double, tables binary")
+    found: dict[str, tuple[float, dict]] = {name: (m.base, {}) for name, m in models.items()}
+    for r in sorted(rows.collect(), key=lambda r: (r.crop, r.start)):
+        base, sizes = found[r.crop]
+        for part in pickle.loads(r.tables):
+            sizes.setdefault(part[0].shape[1], []).append(part)
+        found[r.crop] = base + r.base, sizes
+    return {name: (base, [tuple(np.concatenate(a) for a in zip(*parts)) for _, parts in sorted(sizes.items())])
+            for name, (base, sizes) in found.items()}
+
+
+def _is_number(value: Column) -> Column:
+    return value.isNotNull() & ~F.isnan(value)
+
+
+def attribute(df: DataFrame, models: dict[str, CropModel], *, crop: str = "commodity_name", out: str = "drivers",
+              base: str = "base_value") -> DataFrame:
+    """All rows, plus base value and contributions sorted by size (M7); both null without complete features or a model.
+
+    One pass over the rows for all crops. The leaf tables are broadcast: they grow with the models (trees times 2^depth), not
+    with the rows.
     """
+    if not models:
+        return df.withColumns({base: F.lit(None).cast("double"), out: F.lit(None).cast(DRIVERS)})
     spark = df.sparkSession
-    start, leaves = _leaves(*tree_nodes(spark, model))
-    shared = spark.sparkContext.broadcast(_tables(leaves))
-    names = model.features
+    shared = spark.sparkContext.broadcast((models, leaf_tables(spark, models)))
+    inputs = model_inputs(models)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def contributions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        known, tables = shared.value
         for batch in batches:
-            yield pd.Series(list(_contributions(batch.to_numpy(dtype=float), shared.value)))
-
-    values = df.where(complete(names)).withColumn(
-        "__c", contributions(F.struct(*[F.col(f).cast("double").alias(f) for f in names])))
-    drivers = F.transform(
-        F.arrays_zip(F.array(*[F.lit(f) for f in names]).alias("feature"), F.col("__c").alias("value")),
+            found = np.full((len(batch), len(inputs) + 1), np.nan)
+            for model, at, x in by_model(batch, known, inputs):
+                start, own = tables[model.crop]
+                found[at, -1] = start
+                found[np.ix_(at, [inputs.index(f) for f in model.features])] = _contributions(x, own)
+            yield pd.Series(list(found))
+
+    found = F.col("__c")
+    pairs = F.transform(
+        F.arrays_zip(F.array(*[F.lit(f) for f in inputs]).alias("feature"), F.slice(found, 1, len(inputs)).alias("value")),
         lambda d: F.struct(d["feature"].alias("feature"), d["value"].alias("value")))
+    drivers = F.filter(pairs, lambda d: _is_number(d["value"]))  # a model may lack a feature that another has
     by_size = F.array_sort(drivers, lambda a, b: F.when(F.abs(a["value"]) > F.abs(b["value"]), -1).when(
         F.abs(a["value"]) < F.abs(b["value"]), 1).otherwise(F.lit(0)))
-    return values.withColumns({base: F.lit(start), out: by_size}).drop("__c")
+    done = _is_number(F.element_at(found, -1))
+    values = df.withColumn("__c", contributions(input_struct(inputs, crop)))
+    return values.withColumns({base: F.when(done, F.element_at(found, -1)), out: F.when(done, by_size)}).drop("__c")
 
 
-def global_attribution(df: DataFrame, model: CropModel) -> DataFrame:
-    """Mean absolute contribution per feature (M5)."""
-    rows = attribute(df, model).select(F.explode("drivers").alias("d"))
-    return rows.groupBy(F.lit(model.crop).alias("crop"), F.col("d.feature").alias("feature")).agg(
+def global_attribution(df: DataFrame, models: dict[str, CropModel], *, crop: str = "commodity_name") -> DataFrame:
+    """Mean absolute contribution per crop and feature (M5), over the rows that have contributions."""
+    rows = attribute(df, models, crop=crop).select(F.col(crop).alias("crop"), F.explode("drivers").alias("d"))
+    return rows.groupBy("crop", F.col("d.feature").alias("feature")).agg(
         settle(F.avg(F.abs("d.value")), 4).alias("shap_mean_abs"))

@@ -1,41 +1,92 @@
-"""Boosted-tree regression per crop on Spark ML (M1-M4, M6)."""
+"""Boosted regression trees for all crops and folds in one set of passes (M1-M4, M6).
+
+Features are cut into at most ``BINS`` intervals and kept as one byte each. Growing a level of a tree takes sums over
+(model, node, feature, interval): how many rows there are, and their residuals. The splits follow from these sums alone, whose
+size depends on the parameters. A model is a crop, or a crop without one fold. Of two children only the left one is
+summed, the right one is what remains. Residuals are summed as whole multiples of a small step, so that sums are exact
+and a fit does not depend on how rows are dealt, beyond what the sketch of the intervals' borders does.
+
+- Models of up to ``TASK_ROWS`` rows (known from their counts) are grown side by side, each by one task.
+- All larger ones are grown together: one job per level adds up the sums of all tasks, so that further crops and folds
+  cost rows, not jobs. Predictions of the rows so far stay with their blocks in executor storage; every few
+  rounds they are checkpointed to the shared folder, so that a lost executor costs a few rounds. These passes are RDD code:
+  numpy works on a whole partition at a time, and a query plan for each of thousands of levels would cost more than the level.
+
+Both give the same trees.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+import pickle
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from typing import Any
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestlens import config
 from harvestlens.functions.columns import settle
 from harvestlens.operators import ordered, reports
-from harvestlens.session import cut, shared_root
+from harvestlens.session import cut, delete_path, shared_root
 
-VECTOR, PREDICTION = "__features", "__prediction"
+BINS = 64  # intervals of a feature
+BLOCK_ROWS = 65_536  # rows in one block, and so in one step of numpy
+TASK_ROWS = 262_144  # rows of a model that one task grows alone
+PENALTY = 1.0  # added to the row count of a leaf
+KEPT_ROUNDS = 20  # rounds between checkpoints
+QUANTILE_ACCURACY = 10_000
+_MODEL_TABLE = ("crop string, version string, kind string, tree int, node int, feature string, threshold double, "
+                "gain double, cover long, value double")
 
 
 @dataclass
 class CropModel:
-    """A fitted pipeline; its assembler keeps the exact feature list."""
+    """Trees as flat arrays [tree, node]; the children of node i are 2i + 1 (feature <= threshold) and 2i + 2.
 
-    crop: str
-    pipeline: PipelineModel
-    features: list[str] = field(default_factory=list)
+    ``feature`` is -1 at a leaf; ``value`` is what a leaf adds to ``base``; ``cover`` counts the rows a tree was grown on.
+    """
 
-    def __post_init__(self):
-        self.features = list(self.pipeline.stages[0].getInputCols())
+    crop: str
+    features: list[str]
+    base: float
+    feature: np.ndarray
+    threshold: np.ndarray
+    gain: np.ndarray
+    cover: np.ndarray
+    value: np.ndarray
+    edges: list[np.ndarray] = field(default_factory=list)
 
     @property
-    def booster(self):
-        return self.pipeline.stages[-1]
+    def version(self) -> str:
+        """A name made from the contents."""
+        parts = [self.crop, self.features, self.base, *(a.tobytes() for a in (self.feature, self.threshold, self.value))]
+        return f"{zlib.crc32(pickle.dumps(parts, 4)):08x}"
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """Base value and leaf values of all trees for rows of feature values."""
+        trees, nodes = self.feature.shape
+        # Below a leaf every row goes left, and the leaf's value with it.
+        feature, value = np.maximum(self.feature, 0), self.value.copy()
+        threshold = np.where(self.feature >= 0, self.threshold, np.inf)
+        for i in range(nodes // 2):
+            value[:, 2 * i + 1] = np.where(self.feature[:, i] >= 0, value[:, 2 * i + 1], value[:, i])
+        depth = (nodes + 1).bit_length() - 2
+        out = np.empty(len(x))
+        step = max(1, 2_000_000 // max(1, trees))
+        tree = np.arange(trees)[None, :]
+        for start in range(0, len(x), step):
+            rows = x[start : start + step]
+            at = np.zeros((len(rows), trees), np.int64)
+            row = np.arange(len(rows))[:, None]
+            for _ in range(depth):
+                at = 2 * at + 1 + (rows[row, feature[tree, at]] > threshold[tree, at])
+            out[start : start + step] = self.base + value[tree, at].sum(axis=1)
+        return out
 
 
 def complete(features: list[str]) -> Column:
@@ -45,56 +96,313 @@ def complete(features: list[str]) -> Column:
     return test
 
 
-def fit(train: DataFrame, features: list[str], *, target: str = "yield_bu_ac", params: dict | None = None) -> PipelineModel:
-    """Fit on complete rows. Split candidates come from Spark's sample, node statistics are summed over all tasks."""
-    shared_root(train.sparkSession)  # boosting checkpoints its residuals every few rounds
-    rows = train.where(complete(features) & F.col(target).isNotNull()).select(
-        *[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias(target))
-    booster = GBTRegressor(featuresCol=VECTOR, labelCol=target, predictionCol=PREDICTION, checkpointInterval=10,
-                           **(config.BOOSTING | (params or {})))
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol=VECTOR), booster]).fit(rows)
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def side_by_side(spark: SparkSession, work: Callable[[Any], Any], items: list, at_once: int = 4) -> list:
-    """Independent fits submitted together: the many short jobs of one leave executors idle."""
-    with ThreadPoolExecutor(at_once) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(work), items))
+@dataclass
+class Plan:
+    """What growing trees needs to know, model by model."""
+
+    names: list[str]
+    edges: list[list[np.ndarray]]
+    base: np.ndarray
+    scale: np.ndarray
+    features: list[str]
+    params: dict
+
+    def of(self, chosen: list[str]) -> Plan:
+        at = [self.names.index(n) for n in chosen]
+        return Plan(chosen, [self.edges[i] for i in at], self.base[at], self.scale[at], self.features, self.params)
+
+    def block(self, part: pa.Table) -> dict:
+        """Rows of (model, target, hash, features...) with one byte per feature and the prediction so far."""
+        number = {name: i for i, name in enumerate(self.names)}
+        model = np.array([number[m] for m in part["__model"].to_pylist()], np.int16)
+        bins = np.zeros((len(model), len(self.features)), np.uint8)
+        for j in range(len(self.features)):
+            x = part[f"__f{j}"].to_numpy()
+            for m in np.unique(model).tolist():
+                at = model == m
+                bins[at, j] = np.searchsorted(self.edges[m][j], x[at], "left")
+        return {"model": model, "bins": bins, "y": part["__y"].to_numpy(), "hash": part["__h"].to_numpy().view(np.uint64),
+                "at": self.base[model]}
+
+
+def _blocks(rows: DataFrame, plan: Plan) -> DataFrame:
+    """Rows as packed blocks."""
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(part: list[pa.RecordBatch]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(plan.block(pa.Table.from_batches(part)))], pa.binary())], names=["block"])
+
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            while batch.num_rows:
+                room = BLOCK_ROWS - sum(b.num_rows for b in waiting)
+                waiting.append(batch.slice(0, room))
+                if batch.num_rows >= room:
+                    yield block(waiting)
+                    waiting = []
+                batch = batch.slice(room)
+        if waiting:
+            yield block(waiting)
+
+    return rows.mapInArrow(packed, "block binary")
+
+
+def _walk(block: dict, at: np.ndarray, feature: np.ndarray, interval: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Node of each row after some levels, and whether it got down to that level."""
+    node = np.zeros(len(at), np.int64)
+    down = np.ones(len(at), bool)
+    model = block["model"][at]
+    for _ in range(levels):
+        f = feature[model, node]
+        down &= f >= 0
+        right = block["bins"][at, f] > interval[model, node]
+        node = np.where(f >= 0, 2 * node + 1 + right, node)
+    return node, down
+
+
+def _sums(blocks: Iterator[dict], feature: np.ndarray, interval: np.ndarray, level: int, salt: int, share: float,
+          scale: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows and residuals by [model, node, feature, interval] for the root, or for the left children of a level."""
+    nodes = max(1, 1 << (level - 1)) if level else 1
+    out = None
+    for block in blocks:
+        models, width = len(feature), block["bins"].shape[1]
+        size = models * nodes * BINS
+        if out is None:
+            out = np.zeros((2, width, size))
+        drawn = (_spread(block["hash"] ^ np.uint64(salt)) >> np.uint64(11)) < np.uint64(int(share * (1 << 53)))
+        at = np.flatnonzero(drawn)
+        if level:
+            node, down = _walk(block, at, feature, interval, level)
+            node -= (1 << level) - 1
+            left = down & (node % 2 == 0)
+            at, node = at[left], node[left] // 2
+        else:
+            node = np.zeros(len(at), np.int64)
+        residual = np.rint((block["y"][at] - block["at"][at]) * scale[block["model"][at]])
+        place = (block["model"][at] * nodes + node) * BINS
+        for j in range(width):
+            key = place + block["bins"][at, j]
+            out[0, j] += np.bincount(key, minlength=size)
+            out[1, j] += np.bincount(key, residual, size)
+    if out is not None:
+        yield out.astype(np.int64).reshape(2, width, models, nodes, BINS).transpose(0, 2, 3, 1, 4)
+
+
+def _total(parts) -> np.ndarray:
+    """Sum over all tasks; in a tree of tasks when they are many."""
+    if parts.getNumPartitions() > 32:
+        return parts.treeReduce(lambda a, b: a + b, 3)
+    return sum(parts.collect())
+
+
+def _tree(plan: Plan, t: int, total: Callable[[tuple], np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Tree number t of every model: feature, interval, gain, cover and value by [model, node].
+
+    ``total`` gives the sums of a level over all rows, see ``_sums``.
+    """
+    p, models, width = plan.params, len(plan.names), len(plan.features)
+    depth = p["maxDepth"]
+    nodes = (1 << (depth + 1)) - 1
+    feature, interval, cover = np.full((models, nodes), -1, np.int64), np.zeros((models, nodes), np.int64), np.zeros((models, nodes), np.int64)
+    gain, value = np.zeros((models, nodes)), np.zeros((models, nodes))
+    allowed = np.zeros((models, width), bool)
+    for m, name in enumerate(plan.names):
+        draw = np.random.default_rng([p["seed"], zlib.crc32(name.encode()), t])
+        allowed[m, draw.permutation(width)[: max(1, int(float(p["featureSubsetStrategy"]) * width))]] = True
+    salt = int(_spread(np.array([p["seed"] * 1_000_003 + t + 1], np.uint64))[0])
+    sums = None
+    for level in range(depth):
+        found = total((feature, interval, level, salt, p["subsamplingRate"], plan.scale))
+        if level == 0:
+            sums = found
+        else:
+            split = feature[:, (1 << level - 1) - 1 : (1 << level) - 1] >= 0
+            right = np.where(split[None, :, :, None, None], sums - found, 0)
+            sums = np.stack([found, right], axis=3).reshape(2, models, 1 << level, width, BINS)
+        if not _split(sums, level, allowed, plan.scale, p["stepSize"], feature, interval, gain, cover, value):
+            break
+    return feature, interval, gain, cover, value
+
+
+def _moved(block: dict, tree: tuple[np.ndarray, ...], depth: int) -> dict:
+    """The block with the predictions after one more tree."""
+    feature, interval, _, _, value = tree
+    node, _ = _walk(block, np.arange(len(block["y"])), feature, interval, depth)
+    return block | {"at": block["at"] + value[block["model"], node]}
+
+
+def _grow_in_tasks(usable: DataFrame, plan: Plan) -> list[tuple[np.ndarray, ...]]:
+    """All trees of every model, a model by one task; arrays by [model, tree, node]."""
+    def grown(table: pa.Table) -> pa.Table:
+        name = table["__model"][0].as_py()
+        own = plan.of([name])
+        # Sums are exact, so the order in which the rows arrived does not matter.
+        blocks = [own.block(table.slice(i, BLOCK_ROWS)) for i in range(0, table.num_rows, BLOCK_ROWS)]
+        trees = []
+        for t in range(own.params["maxIter"]):
+            trees.append(_tree(own, t, lambda task: next(_sums(iter(blocks), *task))))
+            blocks = [_moved(b, trees[-1], own.params["maxDepth"]) for b in blocks]
+        return pa.table({"model": [name], "trees": pa.array([pickle.dumps([np.concatenate(a) for a in zip(*trees)])], pa.binary())})
+
+    dealt = usable.repartition(4 * len(plan.names), "__model")
+    found = {r.model: pickle.loads(r.trees) for r in dealt.groupBy("__model").applyInArrow(grown, "model string, trees binary").collect()}
+    return [np.stack(a) for a in zip(*(found[n] for n in plan.names))]
+
+
+def _grow_in_passes(usable: DataFrame, plan: Plan, rows: int) -> list[tuple[np.ndarray, ...]]:
+    """All trees of all models together, a job for each level; arrays by [model, tree, node]."""
+    spark, depth = usable.sparkSession, plan.params["maxDepth"]
+    packed = cut(_blocks(usable.repartition(max(1, -(-rows // BLOCK_ROWS))), plan))
+    state = packed.rdd.map(lambda r: pickle.loads(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
+    trees, before, kept = [], None, []
+
+    def total(task: tuple) -> np.ndarray:
+        nonlocal before
+        found = _total(state.mapPartitions(lambda blocks: _sums(blocks, *task)))
+        if before is not None:  # the predictions are computed and stored by now
+            before.unpersist()
+            before = None
+        return found
+
+    for t in range(plan.params["maxIter"]):
+        trees.append(_tree(plan, t, total))
+        before, state = state, state.map(lambda b, tree=trees[-1]: _moved(b, tree, depth)).persist(StorageLevel.MEMORY_AND_DISK)
+        if (t + 1) % KEPT_ROUNDS == 0:
+            state.checkpoint()
+            kept.append(state)
+            for old in kept[:-2]:  # the last but one may still be read
+                delete_path(spark, old.getCheckpointFile())
+            kept = kept[-2:]
+    state.unpersist()
+    for old in kept:
+        if old.getCheckpointFile():
+            delete_path(spark, old.getCheckpointFile())
+    return [np.stack(a, axis=1) for a in zip(*trees)]
+
+
+def fit_models(rows: DataFrame, features: list[str], *, model: str, target: str = "yield_bu_ac",
+               params: dict | None = None, task_rows: int = TASK_ROWS) -> dict[str, CropModel]:
+    """One model for each value of the column ``model``, fitted on its complete rows.
+
+    A tree sees a share of the rows, drawn by a hash of all columns of a row, and a share of the features. Rows that are equal in
+    every column are drawn together. A value of ``model`` without complete rows gets no model.
+    """
+    p = config.BOOSTING | (params or {})
+    shared_root(rows.sparkSession)  # names the folder of the checkpoints
+    plain = [f"`{c.name}`" for c in rows.schema if c.dataType.typeName() not in ("map", "variant") and c.name != model]
+    known = F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double")) & F.col(model).isNotNull()
+    usable = cut(rows.where(complete(features) & known).select(
+        F.col(model).cast("string").alias("__model"), F.col(target).cast("double").alias("__y"), F.xxhash64(*plain).alias("__h"),
+        *[F.col(f).cast("double").alias(f"__f{j}") for j, f in enumerate(features)]))
+    shares = [i / BINS for i in range(1, BINS)]
+    stats = usable.groupBy("__model").agg(
+        F.count("*").alias("n"), F.avg("__y").alias("mean"), F.min("__y").alias("low"), F.max("__y").alias("high"),
+        *[F.percentile_approx(f"__f{j}", shares, QUANTILE_ACCURACY).alias(f"q{j}") for j in range(len(features))]).orderBy("__model").collect()
+    if not stats or not features or not p["maxIter"]:
+        return {}
+    # Residuals in steps so small that their sums just fit: 2**53 in a block, 2**62 in all.
+    reach = [max(abs(s["high"]), abs(s["low"]), s["high"] - s["low"], 1e-9) for s in stats]
+    scale = [2.0 ** (min(34, 61 - s["n"].bit_length()) - int(np.ceil(np.log2(2 * r)))) for s, r in zip(stats, reach)]
+    plan = Plan([s["__model"] for s in stats], [[np.unique(s[f"q{j}"]) for j in range(len(features))] for s in stats],
+                np.array([round(s["mean"], 6) for s in stats]), np.array(scale), list(features), p)
+    out = {}
+    small = [s["__model"] for s in stats if s["n"] <= task_rows]
+    large = [s["__model"] for s in stats if s["n"] > task_rows]
+    for names in (small, large):
+        if not names:
+            continue
+        own = usable.where(F.col("__model").isin(names))
+        n = sum(s["n"] for s in stats if s["__model"] in names)
+        grown = _grow_in_tasks(own, plan.of(names)) if names is small else _grow_in_passes(own, plan.of(names), n)
+        out |= _models(plan.of(names), grown)
+    return {name: out[name] for name in plan.names}
+
+
+def _models(plan: Plan, grown: list[np.ndarray]) -> dict[str, CropModel]:
+    out = {}
+    for m, name in enumerate(plan.names):
+        feature, interval, gain, cover, value = (a[m] for a in grown)
+        threshold = np.full(feature.shape, np.inf)
+        for j in range(len(plan.features)):
+            at = feature == j
+            threshold[at] = plan.edges[m][j][interval[at]]
+        out[name] = CropModel(name, list(plan.features), float(plan.base[m]), feature, threshold, gain, cover, value, plan.edges[m])
+    return out
+
+
+def _split(sums: np.ndarray, level: int, allowed: np.ndarray, scale: np.ndarray, rate: float, feature: np.ndarray, interval: np.ndarray,
+           gain: np.ndarray, cover: np.ndarray, value: np.ndarray) -> bool:
+    """Write the best split of every node of a level into the tree's arrays; says whether there is any."""
+    first = (1 << level) - 1
+    count, total = sums[0].astype(float), sums[1] / scale[:, None, None, None]
+    rows, whole = count[:, :, 0].sum(axis=2), total[:, :, 0].sum(axis=2)  # [model, node]
+    if level == 0:
+        cover[:, 0], value[:, 0] = rows[:, 0], rate * whole[:, 0] / (rows[:, 0] + PENALTY)
+    left_rows, left = np.cumsum(count, axis=3), np.cumsum(total, axis=3)
+    right_rows, right = rows[:, :, None, None] - left_rows, whole[:, :, None, None] - left
+    better = (left**2 / (left_rows + PENALTY) + right**2 / (right_rows + PENALTY)
+              - (whole**2 / (rows + PENALTY))[:, :, None, None])
+    better = np.where((left_rows > 0) & (right_rows > 0) & allowed[:, None, :, None], better, 0.0)
+    flat = better.reshape(*better.shape[:2], -1)
+    best = flat.argmax(axis=2)
+    won = np.take_along_axis(flat, best[:, :, None], axis=2)[:, :, 0]
+    for m, i in np.argwhere(won > 1e-9):
+        f, b = divmod(int(best[m, i]), BINS)
+        at = first + i
+        feature[m, at], interval[m, at], gain[m, at] = f, b, won[m, i]
+        for child, n, s in ((2 * at + 1, left_rows[m, i, f, b], left[m, i, f, b]), (2 * at + 2, right_rows[m, i, f, b], right[m, i, f, b])):
+            cover[m, child], value[m, child] = n, rate * s / (n + PENALTY)
+    return bool((won > 1e-9).any())
 
 
 def fit_crops(df: DataFrame, features: list[str], *, crops: list[str] = config.CROPS,
               train_years: list[int] = config.TRAIN_YEARS, crop: str = "commodity_name",
               target: str = "yield_bu_ac", params: dict | None = None) -> dict[str, CropModel]:
     """One model per listed crop on its training years (M1)."""
-    train = df.where(F.col("year").isin(train_years))
-
-    def one(name: str) -> CropModel:
-        return CropModel(name, fit(train.where(F.col(crop) == name), features, target=target, params=params))
+    train = df.where(F.col("year").isin(train_years) & F.col(crop).isin(crops))
+    models = fit_models(train, features, model=crop, target=target, params=params)
+    return {c: models[c] for c in crops if c in models}
 
-    return dict(zip(crops, side_by_side(df.sparkSession, one, crops)))
 
-
-def contiguous_folds(df: DataFrame, order: list[Column], k: int = 5, out: str = "fold", *,
+def contiguous_folds(df: DataFrame, order: list[Column], k: int = 5, out: str = "fold", *, keys: list[str] | None = None,
                      task_rows: int = ordered.TASK_ROWS) -> DataFrame:
-    """k blocks in row order, the first ones longer by one where the rows do not divide evenly."""
-    numbered = ordered.positions(df, [], order, "__row", task_rows=task_rows)
-    n = df.count()
-    size, extra = divmod(n, k)
-    starts = [i * size + min(i, extra) for i in range(1, k)]
-    return numbered.withColumn(out, sum((F.col("__row") >= s).cast("int") for s in starts)).drop("__row")
+    """k blocks in row order within each group, the first ones longer by one where the rows do not divide evenly."""
+    keys = keys or []
+    numbered = ordered.positions(df, keys, order, "__row", task_rows=task_rows)
+    if keys:
+        counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+        numbered = numbered.join(counts, keys)
+    else:
+        numbered = numbered.withColumn("__n", F.lit(df.count()).cast("long"))
+    size, extra = F.expr(f"__n div {k}"), F.col("__n") % k
+    starts = [i * size + F.least(F.lit(i), extra) for i in range(1, k)]
+    return numbered.withColumn(out, sum((F.col("__row") >= s).cast("int") for s in starts)).drop("__row", "__n").select(*df.columns, out)
 
 
 def cross_validate(df: DataFrame, features: list[str], order: list[Column], *, target: str = "yield_bu_ac", k: int = 5,
-                   params: dict | None = None) -> DataFrame:
-    """R² per fold (M2), each from a model fitted on the other folds."""
-    rows = df.where(complete(features) & F.col(target).isNotNull())
-    folds = cut(contiguous_folds(rows, order, k))
+                   keys: list[str] | None = None, params: dict | None = None) -> DataFrame:
+    """R² per fold, for each group of ``keys`` (M2). A fold is scored by a model of the group's other folds.
 
-    def one(i: int) -> DataFrame:
-        model = fit(folds.where(F.col("fold") != i), features, target=target, params=params)
-        scored = model.transform(folds.where(F.col("fold") == i))
-        return reports.regression_metrics(scored, target, PREDICTION).select(F.lit(i).alias("fold"), "n", "r2")
-
-    return reports.union_all(*side_by_side(df.sparkSession, one, list(range(k))))
+    All folds of all groups are fitted together: a row is a training row of k - 1 models.
+    """
+    keys = keys or []
+    rows = df.where(complete(features) & F.col(target).isNotNull())
+    for c in keys:
+        rows = rows.where(F.col(c).isNotNull())
+    folds = cut(contiguous_folds(rows, order, k, keys=keys))
+    of_group = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in keys]) if keys else F.lit("")
+    without = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i != F.col("fold")))
+    train = folds.withColumn("__without", without).withColumn("__model", F.concat_ws("\x1f", "__without", of_group)).drop("__without")
+    models = fit_models(train, features, model="__model", target=target, params=params)
+    scored = predict(folds.withColumn("__model", F.concat_ws("\x1f", "fold", of_group)), models, crop="__model", out="__predicted")
+    return reports.regression_metrics(scored, target, "__predicted", [*keys, "fold"]).select(*keys, "fold", "n", "r2")
 
 
 def cv_summary(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -103,44 +411,125 @@ def cv_summary(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
         settle(F.avg("r2"), 3).alias("cv_r2_mean"), settle(F.stddev_pop("r2"), 3).alias("cv_r2_std"))
 
 
+def model_table(spark: SparkSession, models: dict[str, CropModel]) -> DataFrame:
+    """Models as rows: their features in order, base values, interval borders, and every node with its split, gain and rows."""
+    rows = []
+    for m in models.values():
+        head = (m.crop, m.version)
+        rows.append((*head, "base", None, None, None, None, None, None, m.base))
+        rows += [(*head, "feature", None, j, f, None, None, None, None) for j, f in enumerate(m.features)]
+        rows += [(*head, "edge", None, i, f, float(x), None, None, None) for f, e in zip(m.features, m.edges) for i, x in enumerate(e)]
+        trees, nodes = m.feature.shape
+        made = m.cover > 0
+        for t, i in np.argwhere(made).tolist():
+            inner = m.feature[t, i] >= 0
+            rows.append((*head, "split" if inner else "leaf", t, i, m.features[m.feature[t, i]] if inner else None,
+                         float(m.threshold[t, i]) if inner else None, float(m.gain[t, i]) if inner else None, int(m.cover[t, i]),
+                         float(m.value[t, i])))
+        rows.append((*head, "shape", trees, nodes, None, None, None, None, None))
+    columns = [c.split()[0] for c in _MODEL_TABLE.split(", ")]
+    kinds = {"tree": "Int32", "node": "Int32", "cover": "Int64"}
+    frame = pd.DataFrame({c: pd.array([r[i] for r in rows], kinds.get(c, "object" if c in ("crop", "version", "kind", "feature") else "Float64"))
+                          for i, c in enumerate(columns)})
+    return spark.createDataFrame(pa.Table.from_pandas(frame, pa.schema([
+        (c, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[k])
+        for c, k in (x.split() for x in _MODEL_TABLE.split(", "))]), preserve_index=False))
+
+
 def save(models: dict[str, CropModel], folder: str) -> None:
-    """Persist each model with its feature list (M3)."""
-    for name, model in models.items():
-        model.pipeline.write().overwrite().save(f"{folder}/{name}")
+    """Write the models as one table, a partition for each crop (M3)."""
+    spark = SparkSession.getActiveSession()
+    model_table(spark, models).write.mode("overwrite").partitionBy("crop").parquet(folder)
 
 
 def load(spark: SparkSession, folder: str, crops: list[str]) -> dict[str, CropModel]:
-    """Reload the models that exist; the feature list comes with the assembler."""
+    """Read the models that exist, feature lists included; only the partitions of these crops are read."""
     from harvestlens.sources.tables import path_exists
 
-    return {c: CropModel(c, PipelineModel.load(f"{folder}/{c}")) for c in crops if path_exists(spark, f"{folder}/{c}")}
+    if not path_exists(spark, folder):
+        return {}
+    fields = ", ".join(x for x in _MODEL_TABLE.split(", ") if not x.startswith("crop "))
+    table = spark.read.schema(f"{fields}, crop string").parquet(folder).where(F.col("crop").isin(crops)).toPandas()
+    found = {c: _from_rows(c, own) for c, own in table.groupby("crop")}
+    return {c: found[c] for c in crops if c in found}
+
+
+def _from_rows(crop: str, table: pd.DataFrame) -> CropModel:
+    by_kind = dict(list(table.groupby("kind")))
+    features = by_kind["feature"].sort_values("node")["feature"].tolist()
+    shape = tuple(int(by_kind["shape"].iloc[0][c]) for c in ("tree", "node"))
+    arrays = {"feature": np.full(shape, -1, np.int64), "threshold": np.full(shape, np.inf), "gain": np.zeros(shape),
+              "cover": np.zeros(shape, np.int64), "value": np.zeros(shape)}
+    for kind in ("split", "leaf"):
+        rows = by_kind.get(kind)
+        if rows is None:
+            continue
+        at = rows["tree"].to_numpy(int), rows["node"].to_numpy(int)
+        arrays["cover"][at], arrays["value"][at] = rows["cover"].to_numpy(int), rows["value"].to_numpy(float)
+        if kind == "split":
+            arrays["feature"][at] = [features.index(f) for f in rows["feature"]]
+            arrays["threshold"][at], arrays["gain"][at] = rows["threshold"].to_numpy(float), rows["gain"].to_numpy(float)
+    borders = by_kind.get("edge", table.iloc[:0])
+    edges = [borders[borders["feature"] == f].sort_values("node")["threshold"].to_numpy(float) for f in features]
+    return CropModel(crop, features, float(by_kind["base"].iloc[0]["value"]), **arrays, edges=edges)
 
 
 def importances(spark: SparkSession, models: dict[str, CropModel]) -> DataFrame:
-    """Gain-based importance per crop and feature (M4); one row per model input."""
-    rows = [
-        (name, feature, float(value))
-        for name, model in models.items()
-        for feature, value in zip(model.features, model.booster.featureImportances.toArray())
-    ]
-    table = spark.createDataFrame(rows, "crop string, feature string, xgb_importance double")
-    return table.withColumn("xgb_importance", settle(F.col("xgb_importance"), 4))
+    """Importance per crop and feature (M4); one row per model input.
+
+    ``total_gain`` adds up the gain of all splits on the feature; ``xgb_importance`` is the gain per split as a share of all features'.
+    """
+    nodes = model_table(spark, models)
+    inputs = nodes.where("kind = 'feature'").select("crop", "feature")
+    splits = nodes.where("kind = 'split'").groupBy("crop", "feature").agg(F.count("*").alias("splits"), F.sum("gain").alias("total_gain"))
+    both = inputs.join(splits, ["crop", "feature"], "left").na.fill(0, ["splits", "total_gain"])
+    each = both.withColumn("__each", F.coalesce(F.try_divide("total_gain", "splits"), F.lit(0.0)))
+    whole = each.groupBy("crop").agg(F.sum("__each").alias("__all"))
+    return each.join(whole, "crop").select(
+        "crop", "feature", settle(F.coalesce(F.try_divide("__each", "__all"), F.lit(0.0)), 4).alias("xgb_importance"), "splits", "total_gain")
+
+
+def model_inputs(models: dict[str, CropModel]) -> list[str]:
+    """Features of any of the models, in order."""
+    return list(dict.fromkeys(f for m in models.values() for f in m.features))
+
+
+def by_model(batch: pd.DataFrame, models: dict[str, CropModel], inputs: list[str]) -> Iterator[tuple[CropModel, np.ndarray, np.ndarray]]:
+    """For every model the places of its complete rows in a batch of (crop, inputs...), and their feature values."""
+    values = batch.iloc[:, 1:].to_numpy(dtype=float)
+    crop = batch.iloc[:, 0]
+    for name, model in models.items():
+        own = values[:, [inputs.index(f) for f in model.features]]
+        at = np.flatnonzero((crop == name).to_numpy(bool) & ~np.isnan(own).any(axis=1))
+        if len(at):
+            yield model, at, own[at]
+
+
+def input_struct(inputs: list[str], crop: str) -> Column:
+    return F.struct(F.col(crop).cast("string").alias("__crop"), *[F.col(f).cast("double").alias(f) for f in inputs])
 
 
 def predict(df: DataFrame, models: dict[str, CropModel], *, crop: str = "commodity_name",
             out: str = "xgb_predicted_yield") -> DataFrame:
-    """Predictions for rows with complete features; null elsewhere and for crops without a model (M6)."""
-    parts = []
-    for name, model in models.items():
-        rows = df.where(F.col(crop) == name)
-        usable = complete(model.features)
-        filled = rows.withColumns({f"__v_{f}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in model.features})
-        vectors = VectorAssembler(inputCols=[f"__v_{f}" for f in model.features], outputCol=VECTOR).transform(filled)
-        scored = model.booster.transform(vectors)
-        parts.append(scored.withColumn(out, F.when(usable, F.col(PREDICTION))).select(*df.columns, out))
-    known = F.coalesce(F.col(crop).isin(list(models)), F.lit(False)) if models else F.lit(False)
-    parts.append(df.where(~known).withColumn(out, F.lit(None).cast("double")))
-    return reports.union_all(*parts)
+    """Predictions for rows with complete features; null elsewhere and for crops without a model (M6).
+
+    One pass for all crops: the trees of all models are sent to the tasks, which pick a row's model by its crop.
+    """
+    if not models:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    shared = df.sparkSession.sparkContext.broadcast(models)
+    inputs = model_inputs(models)
+
+    @F.pandas_udf("double")
+    def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for batch in batches:
+            found = np.full(len(batch), np.nan)
+            for model, at, x in by_model(batch, shared.value, inputs):
+                found[at] = model.predict(x)
+            yield pd.Series(found).astype("Float64").where(~np.isnan(found))
+
+    value = predicted(input_struct(inputs, crop))
+    return df.withColumn(out, F.when(~F.isnan(value), value))
 
 
 def split_metrics(scored: DataFrame, train_years: list[int], *, crop: str = "commodity_name",
@@ -148,5 +537,3 @@ def split_metrics(scored: DataFrame, train_years: list[int], *, crop: str = "com
     """RMSE and R² on the training years and on the years held out."""
     marked = scored.withColumn("split", F.when(F.col("year").isin(train_years), "train").otherwise("test"))
     return reports.regression_metrics(marked, target, predicted, [crop, "split"])
-
-

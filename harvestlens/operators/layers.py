@@ -90,19 +90,16 @@ def combine(df: DataFrame) -> DataFrame:
 def explain_flagged(flagged: DataFrame, models: dict[str, boosting.CropModel], *, crop: str = "commodity_name",
                     events: dict[int, str] = config.EXTREME_EVENTS, long_season_crop: str = "Corn") -> DataFrame:
     """Attribution, residual and context text for flagged rows, as columns of the same rows."""
-    parts = []
-    for name, model in models.items():
-        rows = flagged.where(F.col(crop) == name)
-        drivers = F.col("drivers")
-        parts.append(attribution.attribute(rows, model).withColumns({
-            "shap_explanation": labels.driver_sentence(drivers),
-            "residual_explanation": labels.residual_sentence(F.col("xgb_residual"), F.col("xgb_residual_z")),
-            "top_driver": F.get(drivers, F.lit(0))["feature"], "top_driver_shap": F.get(drivers, F.lit(0))["value"],
-        }).drop("drivers", "base_value"))
-        parts.append(without_attribution(rows.where(~boosting.complete(model.features))))
-    known = F.coalesce(F.col(crop).isin(list(models)), F.lit(False)) if models else F.lit(False)
-    parts.append(without_attribution(flagged.where(~known)))
-    rows = reports.union_all(*parts)
+    if models:
+        drivers, known = F.col("drivers"), F.col("drivers").isNotNull()
+        rows = attribution.attribute(flagged, models, crop=crop).withColumns({
+            "shap_explanation": F.when(known, labels.driver_sentence(drivers)).otherwise(""),
+            "residual_explanation": F.when(known, labels.residual_sentence(F.col("xgb_residual"), F.col("xgb_residual_z"))).otherwise(""),
+            "top_driver": F.when(known, F.get(drivers, F.lit(0))["feature"]).otherwise(""),
+            "top_driver_shap": F.when(known, F.get(drivers, F.lit(0))["value"]),
+        }).drop("drivers", "base_value")
+    else:
+        rows = without_attribution(flagged)
     context = labels.weather_context(rows, crop=crop, long_season_crop=long_season_crop, events=events)
     return rows.withColumn("explanation", labels.full_explanation(
         F.col("yield_z_robust"), F.col("shap_explanation"), F.col("residual_explanation"), context))

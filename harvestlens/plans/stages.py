@@ -152,13 +152,12 @@ def correlation_tables(spark: SparkSession, merged: DataFrame, folder: str, *, c
         order = [F.col(c) for c in ("year", "fips", "irr_name")]
         quality = {
             "metrics": boosting.split_metrics(boosting.predict(merged, models), train_years),
-            "folds": reports.union_all(*[boosting.cv_summary(boosting.cross_validate(
-                train.where(F.col("commodity_name") == c), features, order, k=folds, params=params)).select(
-                    F.lit(c).alias("commodity_name"), "*") for c in models])}
+            "folds": boosting.cv_summary(boosting.cross_validate(
+                train.where(F.col("commodity_name").isin(list(models))), features, order, k=folds, keys=["commodity_name"],
+                params=params), ["commodity_name"])}
         for name, table in quality.items():
             tables.write_table(table, f"{folder}/{name}", fmt=fmt)
-        shap = reports.union_all(*[
-            attribution.global_attribution(train.where(F.col("commodity_name") == c), m) for c, m in models.items()])
+        shap = attribution.global_attribution(train, models)
         importance = boosting.importances(spark, models).join(shap, ["crop", "feature"])
     else:
         importance = correlation.importance_from_correlations(corr)

@@ -103,8 +103,13 @@ def scratch_space(spark: SparkSession, keep: bool = False):
     finally:
         _SPACES.remove(space)
         if not keep:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(space)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            delete_path(spark, space)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def in_scratch_space(stage):

@@ -50,38 +50,144 @@ def test_predictions(crops, models, spark, tmp_path):
 
 
 def test_attribution_adds_up(crops, models):
-    rows = boosting.predict(crops.where("commodity_name = 'Corn'"), models)
-    parts = attribution.attribute(rows, models["Corn"]).select(
-        "base_value", "drivers", "xgb_predicted_yield").collect()
+    rows = boosting.predict(crops, models)
+    parts = attribution.attribute(rows, models).select("b", "base_value", "drivers", "xgb_predicted_yield").collect()
+    assert len(parts) == crops.count()
     for r in parts:
+        if r.b is None:
+            assert r.base_value is None and r.drivers is None
+            continue
         assert r.base_value + sum(d.value for d in r.drivers) == pytest.approx(r.xgb_predicted_yield, abs=1e-9)
         assert abs(r.drivers[0].value) >= abs(r.drivers[1].value)
-    top = attribution.global_attribution(rows, models["Corn"]).orderBy(F.col("shap_mean_abs").desc()).first()
-    assert top.feature == "a"
+    top = attribution.global_attribution(rows, models).orderBy("crop", F.col("shap_mean_abs").desc()).collect()
+    assert [(r.crop, r.feature) for r in top[:2]] == [("Corn", "a"), ("Corn", "b")] and {r.feature for r in top[2:]} == {"a", "b"}
     importance = boosting.importances(crops.sparkSession, models).groupBy("crop").agg(F.sum("xgb_importance").alias("s")).collect()
     assert all(r.s == pytest.approx(1.0, abs=1e-3) for r in importance)
 
 
+def test_models_with_other_features(crops, models):
+    """A model without a feature of another predicts and explains rows that lack it."""
+    both = {"Soybeans": models["Soybeans"]} | boosting.fit_crops(crops, ["a"], crops=["Corn"], params=FAST)
+    rows = attribution.attribute(boosting.predict(crops, both), both).where("commodity_name = 'Corn' and b is null").collect()
+    assert rows and all([d.feature for d in r.drivers] == ["a"] and r.xgb_predicted_yield is not None for r in rows)
+
+
+def test_one_scan_for_all_crops(spark, crops, models, tmp_path):
+    crops.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    for df in (boosting.predict(stored, models), attribution.attribute(stored, models), layers.explain_flagged(
+            stored.withColumns({c: F.lit(0.5) for c in ("xgb_residual", "xgb_residual_z", "yield_z_robust")}), models)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1 and "Exchange" not in plan
+
+
+def tree_by_hand(x, y, names, depth, node=0, out=None):
+    """Feature, threshold and value of every node, tried split by split over all distinct values."""
+    out = {} if out is None else out
+    best = (1e-9, None)
+    for j in range(x.shape[1]) if depth else []:
+        for t in np.unique(x[:, j])[:-1]:
+            left = x[:, j] <= t
+            gain = sum(y[s].sum() ** 2 / (s.sum() + 1) for s in (left, ~left)) - y.sum() ** 2 / (len(y) + 1)
+            if gain > best[0] * (1 + 1e-12):
+                best = gain, (j, t)
+    out[node] = best[1], y.sum() / (len(y) + 1)
+    if best[1]:
+        left = x[:, best[1][0]] <= best[1][1]
+        tree_by_hand(x[left], y[left], names, depth - 1, 2 * node + 1, out)
+        tree_by_hand(x[~left], y[~left], names, depth - 1, 2 * node + 2, out)
+    return out
+
+
+def test_trees_are_the_best_splits(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"commodity_name": "Corn", "year": 2011, "a": rng.integers(0, 9, 300) * 1.0, "b": rng.integers(0, 40, 300) * 0.5})
+    pdf["yield_bu_ac"] = np.round(pdf["a"] * 3 - (pdf["b"] - 9) ** 2 / 9 + rng.normal(size=300), 3)
+    whole = {"maxIter": 2, "maxDepth": 3, "subsamplingRate": 1.0, "featureSubsetStrategy": "1.0", "stepSize": 0.5}
+    model = boosting.fit_crops(spark.createDataFrame(pdf), ["a", "b"], crops=["Corn", "Rice"], params=whole)
+    assert set(model) == {"Corn"}
+    model = model["Corn"]
+    x, left = pdf[["a", "b"]].to_numpy(), pdf["yield_bu_ac"].to_numpy() - model.base
+    for t in range(2):
+        want = tree_by_hand(x, left, ["a", "b"], 3)
+        for node, (split, value) in want.items():
+            assert model.value[t, node] == pytest.approx(value / 2, abs=1e-6)
+            assert (model.feature[t, node], model.threshold[t, node]) == (split or (-1, math.inf))
+        before = model.base + 0.0
+        only = boosting.CropModel("Corn", model.features, before, *(a[: t + 1] for a in (
+            model.feature, model.threshold, model.gain, model.cover, model.value)))
+        left = pdf["yield_bu_ac"].to_numpy() - only.predict(x)
+
+
+def same_trees(a, b):
+    return all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("feature", "threshold", "gain", "cover", "value"))
+
+
+def test_tasks_and_passes_grow_the_same_trees(crops, monkeypatch):
+    """Each model in a task, all models level by level over many blocks, and other partitions: the same trees."""
+    params = {"maxIter": 5, "maxDepth": 4}
+    alone = boosting.fit_models(crops, ["a", "b"], model="commodity_name", params=params)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(boosting, "KEPT_ROUNDS", 2)
+    for rows, limit in ((crops, 0), (crops, 200), (crops.repartition(7), 0)):
+        other = boosting.fit_models(rows, ["a", "b"], model="commodity_name", params=params, task_rows=limit)
+        assert list(other) == list(alone) and all(same_trees(alone[c], other[c]) for c in alone)
+
+
+def test_quality_is_that_of_other_boosters(crops):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = crops.where("b is not null and commodity_name = 'Corn'")
+    params = {"maxIter": 30, "maxDepth": 4, "stepSize": 0.1}
+    train = rows.where("id % 3 > 0")
+    model = boosting.fit_crops(train, ["a", "b"], crops=["Corn"], train_years=list(range(2010, 2025)),
+                               params=params | {"featureSubsetStrategy": "1.0"})
+    vectors = VectorAssembler(inputCols=["a", "b"], outputCol="v")
+    other = GBTRegressor(featuresCol="v", labelCol="yield_bu_ac", predictionCol="p", seed=1, subsamplingRate=0.8, **params).fit(vectors.transform(train))
+    test = rows.where("id % 3 = 0")
+    scored = boosting.predict(other.transform(vectors.transform(test)), model)
+    ours, theirs = (boosting.reports.regression_metrics(scored, "yield_bu_ac", c).first().r2 for c in ("xgb_predicted_yield", "p"))
+    assert ours > 0.9 and ours > theirs - 0.02
+
+
+def test_gain_adds_up_to_the_split_table(spark, models):
+    boosting.model_table(spark, models).createOrReplaceTempView("model_rows")
+    want = spark.sql("SELECT crop, feature, sum(gain) AS g, count(*) AS n FROM model_rows WHERE kind = 'split' GROUP BY crop, feature").collect()
+    got = {(r.crop, r.feature): (r.total_gain, r.splits) for r in boosting.importances(spark, models).collect()}
+    assert {k: v for k, v in got.items() if v[1]} == {(r.crop, r.feature): (pytest.approx(r.g), r.n) for r in want}
+
+
+def test_model_files(spark, models, tmp_path):
+    boosting.save(models, str(tmp_path / "m"))
+    table = spark.read.parquet(str(tmp_path / "m"))
+    assert {r.crop: r.version for r in table.select("crop", "version").distinct().collect()} == {c: m.version for c, m in models.items()}
+    plan = table.where(F.col("crop").isin(["Corn"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    again = boosting.load(spark, str(tmp_path / "m"), ["Soybeans"])
+    assert list(again) == ["Soybeans"] and same_trees(again["Soybeans"], models["Soybeans"])
+    assert all(np.array_equal(x, y) for x, y in zip(again["Soybeans"].edges, models["Soybeans"].edges))
+    assert boosting.load(spark, str(tmp_path / "none"), ["Corn"]) == {}
+
+
 def test_attribution_equals_definition():
     """Shapley values by enumerating coalitions over one hand-made tree."""
-    nodes = pd.DataFrame([
-        (0, 0, 0.0, 1, 2, 10.0, 0, 0.5), (0, 1, 0.0, 3, 4, 6.0, 1, 0.0), (0, 2, 7.0, -1, -1, 4.0, -1, np.nan),
-        (0, 3, 1.0, -1, -1, 2.0, -1, np.nan), (0, 4, 3.0, -1, -1, 4.0, -1, np.nan)],
-        columns=["treeID", "id", "prediction", "leftChild", "rightChild", "cover", "feature", "threshold"])
-    base, leaves = attribution._leaves(nodes, np.array([1.0]))
+    feature, threshold = np.array([[0, 1, -1, -1, -1, -1, -1]]), np.array([[0.5, 0.0, *[math.inf] * 5]])
+    cover, leaf = np.array([[10, 6, 4, 2, 4, 0, 0]]), np.array([[0.0, 0.0, 7.0, 1.0, 3.0, 0.0, 0.0]])
+    model = boosting.CropModel("Corn", ["u", "v"], 0.0, feature, threshold, np.zeros((1, 7)), cover, leaf)
+    base, leaves = attribution._leaves(model, range(1))
     got = attribution._contributions(np.array([[0.2, 1.0]]), attribution._tables(leaves))[0]
 
     def value(known):
         def walk(i):
-            n = nodes.iloc[int(i)]
-            if n.leftChild < 0:
-                return n.prediction
-            if n.feature in known:
-                return walk(n.leftChild if [0.2, 1.0][int(n.feature)] <= n.threshold else n.rightChild)
-            return sum(nodes.iloc[int(c)].cover / n.cover * walk(c) for c in (n.leftChild, n.rightChild))
+            if feature[0, i] < 0:
+                return leaf[0, i]
+            if feature[0, i] in known:
+                return walk(2 * i + 1 if [0.2, 1.0][feature[0, i]] <= threshold[0, i] else 2 * i + 2)
+            return sum(cover[0, c] / cover[0, i] * walk(c) for c in (2 * i + 1, 2 * i + 2))
         return walk(0)
 
-    assert base == pytest.approx(value(set()))
+    assert base == pytest.approx(value(set())) and model.predict(np.array([[0.2, 1.0]]))[0] == 3.0
     assert got[0] == pytest.approx(((value({0}) - value(set())) + (value({0, 1}) - value({1}))) / 2)
     assert got[1] == pytest.approx(((value({1}) - value(set())) + (value({0, 1}) - value({0}))) / 2)
 
@@ -92,11 +198,25 @@ def test_folds_are_contiguous(spark):
     assert [r.fold for r in rows] == [0] * 5 + [1] * 5 + [2] * 5 + [3] * 4 + [4] * 4
 
 
+def test_folds_of_groups(spark):
+    df = spark.range(30).withColumn("g", F.when(F.col("id") < 23, "x").otherwise("y")).repartition(4)
+    rows = boosting.contiguous_folds(df, [F.col("id")], 5, keys=["g"]).orderBy("id").collect()
+    assert [r.fold for r in rows] == [0] * 5 + [1] * 5 + [2] * 5 + [3] * 4 + [4] * 4 + [0, 0, 1, 1, 2, 3, 4]
+
+
 def test_cross_validation(crops):
-    scores = boosting.cross_validate(crops.where("commodity_name = 'Corn'"), ["a", "b"], [F.col("id")], params=FAST)
-    rows = scores.collect()
-    assert sorted(r.fold for r in rows) == [0, 1, 2, 3, 4] and sum(r.n for r in rows) == 438
-    assert boosting.cv_summary(scores).first()["cv_r2_mean"] > 0.3
+    scores = boosting.cross_validate(crops, ["a", "b"], [F.col("id")], keys=["commodity_name"], params=FAST).collect()
+    assert sorted((r.commodity_name, r.fold) for r in scores) == [(c, i) for c in ("Corn", "Soybeans") for i in range(5)]
+    assert sum(r.n for r in scores if r.commodity_name == "Corn") == 438
+    # A fold of its own: the other folds' rows under a model of the same name.
+    corn = boosting.contiguous_folds(crops.where("commodity_name = 'Corn' and b is not null"), [F.col("id")])
+    name = "2\x1fCorn"
+    model = boosting.fit_models(corn.withColumn("__model", F.lit(name)).where("fold <> 2"), ["a", "b"], model="__model", params=FAST)
+    held = boosting.predict(corn.where("fold = 2").withColumn("__model", F.lit(name)), model, crop="__model", out="p")
+    alone = boosting.reports.regression_metrics(held, "yield_bu_ac", "p").first()
+    assert [(r.n, r.r2) for r in scores if (r.commodity_name, r.fold) == ("Corn", 2)] == [(alone.n, pytest.approx(alone.r2, abs=1e-12))]
+    whole = boosting.cross_validate(crops.where("commodity_name = 'Corn'"), ["a", "b"], [F.col("id")], params=FAST)
+    assert boosting.cv_summary(whole).first()["cv_r2_mean"] > 0.1
 
 
 @pytest.mark.parametrize("copies", [1, 40])
@@ -252,7 +372,6 @@ def test_model_queries_fit_whole_models(spark, monkeypatch):
         asked.append((trees, size))
         return empty
 
-    monkeypatch.setattr(model_queries, "_fits", {})
     monkeypatch.setattr(model_queries.b, "merged", lambda *a: empty)
     monkeypatch.setattr(boosting, "fit_crops", boosted)
     monkeypatch.setattr(boosting, "cross_validate", boosted)

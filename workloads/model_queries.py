@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from harvestlens import config
 from harvestlens.functions.columns import settle
-from harvestlens.operators import attribution, boosting, correlation, isolation, layers, reports
+from harvestlens.operators import attribution, boosting, correlation, isolation, layers
 from harvestlens.session import cut, scratch_path
 from workloads import bases as b
 from workloads.bases import R
@@ -14,18 +14,13 @@ from workloads.registry import query
 from workloads.scalar_queries import pearson_sql
 
 FOREST = {"trees": config.ISOLATION_TREES, "size": config.ISOLATION_ROWS}
-_fits: dict[tuple[str, str], tuple] = {}
 
 
 def fitted(spark, d):
-    """Merged rows and saved models, fitted once per session and data folder."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _fits:
-        rows = cut(b.merged(spark, d))
-        folder = scratch_path(spark, "models")
-        boosting.save(boosting.fit_crops(rows, b.ACTIVE, crops=b.CROPS, train_years=b.TRAIN_YEARS, params=config.BOOSTING), folder)
-        _fits[key] = (rows, folder)
-    rows, folder = _fits[key]
+    """Merged rows, and models that were saved and loaded again."""
+    rows = cut(b.merged(spark, d))
+    folder = scratch_path(spark, "models")
+    boosting.save(boosting.fit_crops(rows, b.ACTIVE, crops=b.CROPS, train_years=b.TRAIN_YEARS, params=config.BOOSTING), folder)
     return rows, boosting.load(spark, folder, b.CROPS)
 
 
@@ -38,8 +33,8 @@ def m1(spark, d):
 @query("m2_cross_validation")
 def m2(spark, d):
     rows = cut(b.merged(spark, d))
-    scores = boosting.cross_validate(rows, [*b.ACTIVE, "year"], [F.col("obs_id")], params=config.BOOSTING)
-    return boosting.cv_summary(scores)
+    scores = boosting.cross_validate(rows, [*b.ACTIVE, "year"], [F.col("obs_id")], keys=["commodity_name"], params=config.BOOSTING)
+    return boosting.cv_summary(scores, ["commodity_name"])
 
 
 @query("m3_model_reload")
@@ -58,8 +53,7 @@ def m4(spark, d):
 @query("m5_global_attribution")
 def m5(spark, d):
     rows, models = fitted(spark, d)
-    return reports.union_all(*[
-        attribution.global_attribution(rows.where(F.col("commodity_name") == c), m) for c, m in models.items()])
+    return attribution.global_attribution(rows, models)
 
 
 @query("m6_predict_rows")
@@ -72,9 +66,8 @@ def m6(spark, d):
 def m7(spark, d):
     rows, models = fitted(spark, d)
     flagged = layers.residual_layer(rows, models).where("residual_anomaly")
-    return reports.union_all(*[
-        attribution.attribute(flagged.where(F.col("commodity_name") == c), m).select(
-            "obs_id", "base_value", F.slice("drivers", 1, 3).alias("drivers"), "xgb_predicted_yield") for c, m in models.items()])
+    return attribution.attribute(flagged, models).where("drivers IS NOT NULL").select(
+        "obs_id", "base_value", F.slice("drivers", 1, 3).alias("drivers"), "xgb_predicted_yield")
 
 
 @query("m8_standardise", b.with_(b.YIELDS) + f"""
@@ -139,9 +132,9 @@ SELECT commodity_name, CAST(fold AS INTEGER) AS fold, count(*) AS n, min(obs_id)
 FROM folds GROUP BY commodity_name, fold""")
 def m2_folds(spark, d):
     rows = cut(b.merged(spark, d).where(boosting.complete(b.ACTIVE) & F.col("yield_bu_ac").isNotNull()))
-    return reports.union_all(*[
-        boosting.contiguous_folds(rows.where(F.col("commodity_name") == c), [F.col("obs_id")]).groupBy("commodity_name", "fold").agg(
-            F.count("*").alias("n"), F.min("obs_id").alias("first_obs"), F.max("obs_id").alias("last_obs")) for c in b.CROPS])
+    folds = boosting.contiguous_folds(rows.where(F.col("commodity_name").isin(b.CROPS)), [F.col("obs_id")], keys=["commodity_name"])
+    return folds.groupBy("commodity_name", "fold").agg(
+        F.count("*").alias("n"), F.min("obs_id").alias("first_obs"), F.max("obs_id").alias("last_obs"))
 
 
 @query("m3_reload_is_equal", b.WM + f"""
@@ -179,10 +172,8 @@ def m7_adds_up(spark, d):
     rows, models = fitted(spark, d)
     predicted = cut(boosting.predict(rows, models))
     total = F.col("base_value") + F.aggregate("drivers", F.lit(0.0), lambda t, x: t + x["value"])
-    return reports.union_all(*[
-        attribution.attribute(predicted.where(F.col("commodity_name") == c), m).select(
-            "obs_id", (F.round(total - F.col("xgb_predicted_yield"), 6) + 0.0).alias("gap"), F.size("drivers").cast("long").alias("drivers"))
-        for c, m in models.items()])
+    return attribution.attribute(predicted, models).where("drivers IS NOT NULL").select(
+        "obs_id", (F.round(total - F.col("xgb_predicted_yield"), 6) + 0.0).alias("gap"), F.size("drivers").cast("long").alias("drivers"))
 
 
 @query("m5_attribution_features", b.WM + f"""
