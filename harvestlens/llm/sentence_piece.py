@@ -147,11 +147,13 @@ class Encoder:
         for piece in parts:
             self.automaton.add_word(piece, (self.ids[piece], len(piece)))
         self.automaton.make_automaton()
-        marks = [p for p in self.rank if re.search(f"[^{SPACE}]{SPACE}", p)]
-        self.stretch = re.compile(".+" if marks else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
+        self.alone = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.rank)
+        self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.alone else ".+", re.S)
+        self.lengths = [len(p) for p in model.pieces]
+        self.plain = [p.replace(SPACE, " ").encode() if k == NORMAL else None for p, k in zip(model.pieces, model.kinds)]
+        self.listed = [b"%d," % i for i in range(self.size)]
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.known_size = 0
+        self.known, self.known_words = _Known(self, ""), _Known(self, SPACE)
 
     def number(self, symbol: str) -> int:
         return self.ids[symbol] if symbol in self.ids else self.size + ord(symbol)
@@ -188,37 +190,42 @@ class Encoder:
 
     def tokens(self, text: str) -> list[int]:
         """The encoding of a stretch; characters that are no piece have numbers from ``size`` on."""
-        n = len(text)
-        last, length = [-1] * (n + 1), [1] * (n + 1)
-        fits, wide, at = self.fits, self.wide, 0
-        for end, (token, size) in self.automaton.iter(text):
-            end += 1
-            while at < end - 1:  # no piece fits at these places: the character itself is the token
-                at += 1
-                if last[at] < 0:
-                    last[at] = self.size + ord(text[at - 1])
+        last = [-1] * len(text)  # by the place of a prefix's last character
+        fits, wide, size, known = self.fits, self.wide, self.size, self.fits.get
+        for end, (token, length) in self.automaton.iter(text):
             if last[end] >= 0:
                 continue
-            if size < end:
-                key = last[end - size] * wide + token
-                fit = fits.get(key)
+            before = end - length
+            if before >= 0:
+                previous = last[before]
+                if previous < 0:  # no piece fits there: the character itself is the token
+                    previous = last[before] = size + ord(text[before])
+                key = previous * wide + token
+                fit = known(key)
                 if fit is None:
                     if len(fits) > 1 << 20:
                         fits.clear()
-                    fit = fits[key] = self.pair_fits(last[end - size], token)
+                    fit = fits[key] = self.pair_fits(previous, token)
                 if not fit:
                     continue
-            last[end], length[end] = token, size
-        out, at = [], n
-        while at > 0:
-            out.append(last[at] if last[at] >= 0 else self.size + ord(text[at - 1]))
-            at -= length[at]
+            last[end] = token
+        out, at, lengths = [], len(text) - 1, self.lengths
+        while at >= 0:
+            token = last[at]
+            if 0 <= token < size:
+                out.append(token)
+                at -= lengths[token]
+            else:
+                out.append(size + ord(text[at]))
+                at -= 1
         out.reverse()
         return out
 
     def stretch_ids(self, text: str) -> list[int]:
-        out = []
-        for token in self.tokens(text):
+        tokens, out = self.tokens(text), []
+        if max(tokens, default=0) < self.size:
+            return tokens
+        for token in tokens:
             if token < self.size:
                 out.append(token)
             elif self.model.byte_fallback:
@@ -257,28 +264,39 @@ class Encoder:
             out.append(piece.replace(SPACE, " "))
         return "".join(out)
 
-    def remember(self, stretches: set[str]) -> None:
-        """Ids of each stretch as text, their number, and what they decode to inside a text."""
-        if self.known_size > REMEMBERED:
-            self.known.clear()
-            self.known_size = 0
-        for stretch in stretches:
-            if stretch in self.known:
-                continue
-            ids = self.stretch_ids(stretch)
-            self.known[stretch] = ",".join(map(str, ids)), len(ids), self.decode(ids, first=False).encode()
-            self.known_size += len(stretch) + 8
-
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, digest of the ids joined by commas, digest of the decoded text."""
-        stretches = self.stretches(text)
-        self.remember(set(stretches))
-        found = list(map(self.known.__getitem__, stretches))
-        decoded = b"".join([f[2] for f in found])
+        if self.alone and self.model.prefix and self.model.byte_fallback and SPACE not in text and "" not in (words := text.split(" ")):
+            found = self.known_words.all(words)  # a space, or the one put before the text, and a word
+        else:
+            found = self.known.all(self.stretches(text))
+        ids = b"".join([f[0] for f in found])[:-1]
+        decoded = b"".join([f[1] for f in found])
         if self.model.prefix and decoded.startswith(b" "):
             decoded = decoded[1:]
-        return (sum([f[1] for f in found]), hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest(),
-                hashlib.sha256(decoded).hexdigest())
+        return ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+
+class _Known(dict):
+    """For each stretch, found once: its ids with a comma after each, and what they decode to inside a text."""
+
+    def __init__(self, encoder: Encoder, before: str):
+        self.encoder, self.before, self.size = encoder, before, 0
+
+    def __missing__(self, stretch: str) -> tuple[bytes, bytes]:
+        encoder = self.encoder
+        ids = encoder.stretch_ids(self.before + stretch)
+        parts = [encoder.plain[i] for i in ids]
+        decoded = encoder.decode(ids, first=False).encode() if None in parts else b"".join(parts)
+        found = self[stretch] = b"".join([encoder.listed[i] for i in ids]), decoded
+        self.size += len(stretch) + 8
+        return found
+
+    def all(self, stretches: list[str]) -> list[tuple[bytes, bytes]]:
+        if self.size > REMEMBERED:
+            self.clear()
+            self.size = 0
+        return list(map(self.__getitem__, stretches))
 
 
 def decode_bytes(data: bytes) -> str:

@@ -85,11 +85,10 @@ def test_small_vocabularies(fallback):
 
 def test_what_is_remembered_is_bounded(monkeypatch, encoder):
     monkeypatch.setattr(sentence_piece, "REMEMBERED", 100)
-    encoder.known.clear()
-    encoder.known_size = 0
-    for i in range(200):
-        encoder.digests(f"word{i} and{i}")
-        assert len(encoder.known) < 30
+    for known, text in ((encoder.known, "word{0}  and{0}"), (encoder.known_words, "word{0} and{0}")):
+        for i in range(200):
+            encoder.digests(text.format(i))
+            assert len(known) < 30
 
 
 def test_table(docs, clashing, corpus, library):
