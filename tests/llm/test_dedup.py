@@ -99,12 +99,25 @@ def test_near_groups_of_odd_rows(docs):
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 4000, dtype=np.uint64)
-    for share, low, high in ((0.95, 0, 60), (0.75, 60, 160), (0.1, 200, 1024)):
+    for share, low, high in ((0.95, 0, 200), (0.75, 350, 550), (0.1, 1000, 4096)):
         other = np.concatenate([base[: int(4000 * 2 * share / (1 + share))],
                                 rng.integers(0, 2**63, 4000 - int(4000 * 2 * share / (1 + share)), dtype=np.uint64)])
         a, b = (near_dedup.odd_sketch(near_dedup.samples(x)).view(np.uint64) for x in (base, other))
         assert low <= np.bitwise_count(a ^ b).sum() <= high
-    assert 150 < near_dedup.most_ones() < 175
+    assert 540 < near_dedup.most_ones() < 570
+
+
+def test_sketches_pass_what_is_similar():
+    """Pairs of similarity 0.75 in texts of any length are never rejected, and most of 0.65 are."""
+    rng = np.random.default_rng(2)
+    passed = {0.75: [], 0.65: []}
+    for share, found in passed.items():
+        for n in [40, 200, 1000] * 60:
+            both = int(np.ceil(2 * n * share / (1 + share)))
+            x = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64)
+            a, b = (near_dedup.odd_sketch(near_dedup.samples(y)).view(np.uint64) for y in (x[:n], x[n - both :]))
+            found.append(np.bitwise_count(a ^ b).sum() <= near_dedup.most_ones())
+    assert all(passed[0.75]) and np.mean(passed[0.65]) < 0.1
 
 
 def test_components(spark):
