@@ -110,8 +110,8 @@ def take(docs: DataFrame, **options) -> DataFrame:
     words = F.size(F.regexp_extract_all(common.whole_text(), F.lit(common.WORD), F.lit(0))).cast("long").alias(size)
     plan = (mix(docs, **options).filter("copies > 0").select(*key, F.col("size").alias(size), F.col("copies").alias(copies))
             .groupBy(*names).agg(F.sum(copies).alias(copies), F.count(F.lit(1)).alias(rows)))
-    number = F.row_number().over(Window.partitionBy(*names).orderBy(i))
-    # rows with the same doc_id, source and size share their copies in turn
+    # Rows with the same doc_id, source and size share their copies in turn, in an order that their texts fix.
+    number = F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64(common.whole_text()), F.hash(common.whole_text())))
     share = F.floor(F.col(copies) / F.col(rows)) + (F.col(n) <= F.col(copies) % F.col(rows)).cast("int")
     return (docs.select(*common.all_columns(docs), *key, words).join(plan, names).withColumn(n, number)
             .withColumn(own, share.cast("int")).filter(F.col(own) > 0)

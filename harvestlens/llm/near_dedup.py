@@ -218,8 +218,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Returns one row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links
     of similarity 0.75 or more), kept (doc_id = component_id). Texts without words (null, empty, only
     white space) are linked with nothing. Rows with a null doc_id take no part: they come back with
-    a null component and are kept. Rows that repeat a doc_id share its links. An empty table
-    gives no rows.
+    a null component and are kept. A doc_id names one text here: rows that repeat one with the same text share
+    its links, with different texts they are linked through either (``drop_similar`` tells them apart). An empty
+    table gives no rows.
     """
     signed = cut(signatures(docs))
     digest = ["high", "low", "n_shingles"]
@@ -255,7 +256,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
-    """One document of each group, with the columns of ``docs``."""
-    (i,) = common.fresh(docs, "id")
-    gone = near_groups(docs).filter("not kept").select(F.col("doc_id").alias(i)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(i), "left_anti")
+    """One row of each group of similar texts, with the columns of ``docs``: the one with the smallest doc_id.
+
+    Rows are told apart by a number of their own, so that a doc_id may be null (larger than any other) or repeat: rows of one
+    doc_id that differ in text are judged each by its text, and of equal rows one stays. Rows without words all stay.
+    """
+    i, row = common.fresh(docs, "id", "row")
+    numbered = cut(docs.select(*common.all_columns(docs), F.monotonically_increasing_id().alias(row)))
+    named = numbered.select(F.col(row).alias("doc_id"), F.col("`text`").alias("text"))
+    ids = numbered.select(F.col(row).alias("row"), F.col("`doc_id`").alias("id"))
+    groups = near_groups(named).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
+    stay = groups.join(ids, "row").groupBy("component").agg(F.min(order).alias("first"))
+    # Most rows stay: those that go are fewer to join with.
+    gone = groups.join(stay, "component").filter("row <> first.row").select(F.col("row").alias(i))
+    return numbered.join(gone, F.col(row) == F.col(i), "left_anti").select(*common.all_columns(docs))
