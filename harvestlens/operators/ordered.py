@@ -155,9 +155,9 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def average_ranks(counts: DataFrame, keys: list[str], value: str, out: str, *, copies: str = "__copies",
-                  task_rows: int = TASK_ROWS) -> DataFrame:
+                  task_rows: int = TASK_ROWS, profile: tuple[int, int] | None = None) -> DataFrame:
     """Average-ties rank of every distinct value, from (keys, value, copies)."""
-    ranked = running(counts, keys, [F.col(value)], {"__before": F.col(copies)}, task_rows=task_rows)
+    ranked = running(counts, keys, [F.col(value)], {"__before": F.col(copies)}, task_rows=task_rows, profile=profile)
     return ranked.withColumn(out, F.col("__before") + (F.col(copies) + 1) / 2.0).drop("__before")
 
 

@@ -250,9 +250,37 @@ def numeric_p(r, n):
     return 1 - 2 * np.trapezoid(density, grid)
 
 
-@pytest.mark.parametrize("r, n", [(0.5, 20), (-0.626, 40), (0.05, 3000), (0.9, 5), (0.01, 25), (-0.2, 100)])
-def test_p_value(r, n):
-    assert correlation.student_tail(np.array([r]), np.array([n]))[0] == pytest.approx(numeric_p(r, n), abs=2e-6)
+def test_p_value(spark):
+    pairs = [(0.5, 20), (-0.626, 40), (0.05, 3000), (0.9, 5), (0.01, 25), (-0.2, 100)]
+    rows = pairs + [(0.0, 9), (1.0, 9), (-1.0, 9), (0.3, 2), (None, 9), (float("nan"), 9), (1e-5, 10**9)]
+    df = spark.createDataFrame([(i, r, n) for i, (r, n) in enumerate(rows)], "i int, r double, n long")
+    out = df.select("i", correlation.p_value("r", "n").alias("p"))
+    got = [r.p for r in out.orderBy("i").collect()]
+    for (r, n), p in zip(pairs, got):
+        assert p == pytest.approx(numeric_p(r, n), abs=2e-6)
+    assert got[6:12] == [1.0, 0.0, 0.0, None, None, None]
+    assert got[12] == pytest.approx(0.751830, abs=1e-5)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rank_correlation_by_null_pattern(spark):
+    rng = np.random.default_rng(12)
+    n = 400
+    pdf = pd.DataFrame({"g": np.where(np.arange(n) < 250, "Corn", None), "x": rng.integers(0, 40, n).astype(float)})
+    for i in range(70):  # more than fit into one long
+        pdf[f"f{i}"] = pdf["x"] * (i % 3 - 1) + rng.integers(0, 30, n)
+        pdf.loc[rng.random(n) < 0.2 if i % 10 == 9 else pdf.index % 5 == i % 2, f"f{i}"] = None
+    pdf.loc[::17, "x"] = None
+    features = [f"f{i}" for i in range(70)]
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(["g string", "x double", *[f"{f} double" for f in features]]))
+    got = [{(r.crop, r.feature): (r.n, round(r.r, 9)) for r in correlation.spearman(df, "g", "x", features, task_rows=t).collect()}
+           for t in (10**6, 20)]
+    assert got[0] == got[1] and len(got[0]) == 140
+    for crop, part in (("Corn", pdf[pdf.g == "Corn"]), (None, pdf[pdf.g.isna()])):
+        for f in features:
+            both = part[["x", f]].astype(float).dropna()
+            assert got[0][crop, f] == (len(both), pytest.approx(both["x"].rank().corr(both[f].rank()), abs=1e-8))
+    assert correlation.spearman(df.limit(0), "g", "x", features[:2]).count() == 0
 
 
 def test_correlations(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import settle
 from harvestlens.operators import correlation, joins, reports, season, windows
-from harvestlens.session import scratch_path
+from harvestlens.session import cut, scratch_path
 from harvestlens.sources import tables
 from harvestlens.streaming import landing
 from workloads import bases as b
@@ -176,7 +176,7 @@ SELECT crop, feature, count(*) AS n, {R("corr(rx, ry)", 6)} AS r FROM ranks GROU
 
 @query("a11_spearman", b.WM.rstrip() + spearman_sql(b.ACTIVE))
 def a11(spark, d):
-    return rounded(correlation.spearman(b.merged(spark, d), "commodity_name", "yield_bu_ac", b.ACTIVE), ["r"])
+    return rounded(correlation.spearman(cut(b.merged(spark, d)), "commodity_name", "yield_bu_ac", b.ACTIVE), ["r"])
 
 
 def p_sql(r: str, n: str) -> str:
@@ -194,7 +194,7 @@ SELECT crop, feature, {R("linear.r", 3)} AS pearson_r, {R(p_sql("linear.r", "n")
        {R(p_sql("s.r", "n"), 4)} AS spearman_p, {R("abs(linear.r)", 6)} AS abs_pearson
 FROM linear JOIN s USING (crop, feature) WHERE n >= 20""")
 def a12(spark, d):
-    table = correlation.correlations(b.merged(spark, d), b.ACTIVE, groups=b.CROPS)
+    table = correlation.correlations(cut(b.merged(spark, d)), b.ACTIVE, groups=b.CROPS)
     return rounded(table, ["abs_pearson"])
 
 
