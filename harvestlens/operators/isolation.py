@@ -34,12 +34,12 @@ def standardise(df: DataFrame, keys: list[str], columns: list[str], suffix: str
     }).select(*df.columns, *[f"{c}{suffix}" for c in columns])
 
 
-def tree_samples(rows: DataFrame, group: str, key: list[str], columns: list[str], *, trees: int, size: int,
+def tree_choices(rows: DataFrame, group: str, key: list[str], columns: list[str], *, trees: int, size: int,
                  seed: int) -> DataFrame:
-    """Per group and tree up to ``size`` rows drawn without replacement (group, tree, columns).
+    """Rows with a tree they may grow in, about 2 x ``size`` for each tree (group, columns, tree, __key, __draw).
 
-    A pool of about trees x size rows is drawn first; only pool rows are offered to all trees. Draws
-    come from a hash of the key, the inputs, the number among equal rows and the seed: they do not depend
+    A pool of about trees x size rows is drawn first; each of its rows chooses a few trees. Draws come
+    from a hash of the key, the inputs, the number among equal rows and the seed: they do not depend
     on how the rows are partitioned, and equal rows are not drawn together.
     """
     stats = rows.groupBy(group).agg(F.count("*").alias("__n"))
@@ -53,9 +53,23 @@ def tree_samples(rows: DataFrame, group: str, key: list[str], columns: list[str]
     counted = attach(marked, stats.select(group, "__n"), [group], weight="__n")
     pool = counted.where(unit(F.col("__key"), F.lit(seed)) * F.col("__n") < trees * size)
     offered = F.least(F.col("__n"), F.lit(trees * size))
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "__draw", unit(F.col("__key"), F.col("tree"), F.lit(seed + 1)))
-    near = drawn.where(F.col("__draw") * offered < 2 * size)
+    # A row takes one tree out of each of some equal parts of the trees, so that a tree is offered 2 x size rows.
+    share = F.least(F.lit(float(trees)), F.lit(2.0 * size * trees) / offered)
+    parts = F.floor(share + unit(F.col("__key"), F.lit(seed + 1))).cast("int")
+
+    def within(j: F.Column) -> F.Column:
+        at = F.floor((j + unit(F.col("__key"), j, F.lit(seed + 2))) * trees / F.col("__parts"))
+        return F.least(at, F.lit(trees - 1)).cast("int")
+
+    chosen = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), within))
+    return pool.withColumn("__parts", F.least(parts, F.lit(trees))).withColumn("tree", F.explode(chosen)).withColumn(
+        "__draw", unit(F.col("__key"), F.col("tree"), F.lit(seed + 3))).select(group, *columns, "tree", "__key", "__draw")
+
+
+def tree_samples(rows: DataFrame, group: str, key: list[str], columns: list[str], *, trees: int, size: int,
+                 seed: int) -> DataFrame:
+    """Per group and tree up to ``size`` rows drawn without replacement (group, tree, columns)."""
+    near = tree_choices(rows, group, key, columns, trees=trees, size=size, seed=seed)
     first = Window.partitionBy(group, "tree").orderBy("__draw", "__key")
     return cut(near.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= size).select(
         group, "tree", *columns))

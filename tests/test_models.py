@@ -242,6 +242,22 @@ def test_isolation_forest_finds_planted_rows(spark, copies):
         assert np.abs(both).max() < 1e-12
 
 
+@pytest.mark.parametrize("n", [100, 700, 5000, 40_000])
+def test_forest_rows_choose_their_trees(spark, n):
+    rows = spark.range(n).select("id", F.lit("Corn").alias("g"), (F.col("id") * 1.0).alias("u"))
+    trees, size = 60, 64
+    made = isolation.tree_choices(rows, "g", ["id"], ["u"], trees=trees, size=size, seed=5)
+    assert made.count() <= 4 * trees * size
+    drawn = isolation.tree_samples(rows, "g", ["id"], ["u"], trees=trees, size=size, seed=5).toPandas()
+    per_tree = drawn.groupby("tree")["u"]
+    assert len(per_tree) == trees and (per_tree.size() == min(n, size)).all() and (per_tree.nunique() == min(n, size)).all()
+    assert drawn["u"].mean() == pytest.approx((n - 1) / 2, rel=0.06)
+    first, second = drawn[drawn.tree < 30], drawn[drawn.tree >= 30]
+    assert first["u"].mean() == pytest.approx(second["u"].mean(), rel=0.12)
+    again = isolation.tree_samples(rows.repartition(7), "g", ["id"], ["u"], trees=trees, size=size, seed=5).toPandas()
+    assert sorted(map(tuple, again[["tree", "u"]].to_numpy())) == sorted(map(tuple, drawn[["tree", "u"]].to_numpy()))
+
+
 def numeric_p(r, n):
     df = n - 2
     t = abs(r) * math.sqrt(df / (1 - r * r))
