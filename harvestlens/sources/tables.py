@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from harvestlens.functions.columns import without_nan
 from harvestlens.operators.joins import not_done
 from harvestlens.operators.windows import first_per_key
+from harvestlens.session import cut
 
 
 def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = None, mode: str = "overwrite",
@@ -65,18 +66,59 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def _data_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length, time, year) of a table partitioned by year; only the listing is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    year = F.regexp_extract("path", "/year=([0-9]+)/[^/]*$", 1)
+    return listed.select(F.col("path").alias("file"), "length", F.col("modificationTime").alias("time"),
+                         year.try_cast("int").alias("year"))
+
+
+def _manifest_path(path: str) -> str:
+    return f"{path}/_manifest/files"  # names with an underscore are no part of a table
+
+
+def _known_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """The files that hold no key twice, as the last run left them."""
+    return spark.read.parquet(_manifest_path(path)) if path_exists(spark, _manifest_path(path)) else None
+
+
+def _years(files: DataFrame) -> list[int]:
+    return sorted(r["year"] for r in files.select("year").where("year is not null").distinct().collect())
+
+
 def extend_by_year(spark: SparkSession, path: str, years: list[int], compute: Callable[[list[int]], DataFrame], *,
                    keys: tuple[str, ...] = ("fips", "year"), fmt: str = "parquet") -> DataFrame:
-    """Compute only the years the table lacks, append them, return the table without repeats."""
+    """Compute only the years the table lacks, add them, return the table without repeats.
+
+    ``fmt`` is a file format. New years are freed of repeated keys before they are written, and replace their partition,
+    so a run that failed half-way can be repeated. A manifest beside the data names the files known to be free of
+    repeats; only years with other files (written by somebody else, or touched since) are read and written anew. So a
+    table that did not change is neither scanned nor ranked here, and conditions on the year choose its partitions.
+    """
+    def put(rows: DataFrame, only: list[int]) -> None:
+        one = first_per_key(rows.where(F.col("year").isin(only)), list(keys), [F.col(c) for c in rows.columns if c not in keys])
+        write_table(one, path, partition_by=["year"], fmt=fmt, replace_partitions=True)
+
+    held: list[int] = []
+    doubtful: list[int] = []
+    known = None
     if path_exists(spark, path):
-        have = spark.createDataFrame([(y,) for y in years], "year int")
-        missing = sorted(r["year"] for r in not_done(have, read_table(spark, path, fmt), ["year"]).collect())
-    else:
-        missing = list(years)
+        listed, known = _data_files(spark, path), _known_files(spark, path)
+        held = _years(listed)
+        doubtful = _years(listed if known is None else listed.join(known, ["file", "length", "time"], "left_anti"))
+    if doubtful:
+        put(cut(read_table(spark, path, fmt).where(F.col("year").isin(doubtful))), doubtful)
+    missing = sorted(set(years) - set(held))
     if missing:
-        write_table(compute(missing), path, partition_by=["year"], mode="append", fmt=fmt)
-    table = read_table(spark, path, fmt)
-    return first_per_key(table, list(keys), [F.col(c) for c in table.columns if c not in keys])
+        put(compute(missing), missing)
+    if doubtful or missing:
+        now = _data_files(spark, path)
+        fresh = F.col("year").isin(doubtful + missing)
+        kept = now.where(fresh) if known is None else now.where(fresh).unionByName(
+            now.where(~fresh).join(known.drop("year"), ["file", "length", "time"], "left_semi").select(now.columns))
+        write_table(cut(kept), _manifest_path(path))
+    return read_table(spark, path, fmt)
 
 
 def resume_keys(work: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("fips", "year")) -> DataFrame:

@@ -118,6 +118,42 @@ def test_resume(spark, tmp_path):
     assert sorted((r.fips, r.year) for r in out.collect()) == [("a", 2010), ("a", 2011), ("a", 2012)]
 
 
+def test_year_cache_is_read_as_it_lies(spark, tmp_path):
+    path, asked = str(tmp_path / "cache"), []
+
+    def compute(years):
+        asked.append(years)
+        rows = [(f, y, float(v)) for y in years for f in "ab" for v in (2, 1)]  # every key twice
+        return spark.createDataFrame([*rows, ("x", 1900, 0.0)], "fips string, year int, v double")
+
+    def files():
+        return {f: f.stat().st_mtime_ns for f in (tmp_path / "cache").rglob("*.parquet")}
+
+    def rows(table):
+        return sorted(map(tuple, table.select("fips", "year", "v").collect()))
+
+    first = tables.extend_by_year(spark, path, [2010, 2011], compute)
+    expected = [(f, y, 1.0) for f in "ab" for y in (2010, 2011)]
+    assert rows(first) == expected and asked == [[2010, 2011]]
+    before = files()
+    again = tables.extend_by_year(spark, path, [2011], compute)
+    assert rows(again) == expected and len(asked) == 1 and files() == before
+    plan = again.where("year = 2011")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "PartitionFilters: [isnotnull(year" in plan
+    # Rows that somebody else adds to a year are found by their file; the other year is left alone.
+    foreign = spark.createDataFrame([("a", 2011, 0.5), ("c", 2011, 7.0)], "fips string, year int, v double")
+    tables.write_table(foreign, path, partition_by=["year"], mode="append")
+    before = files()
+    mended = tables.extend_by_year(spark, path, [2010, 2012], compute)
+    assert asked[1:] == [[2012]]
+    assert rows(mended) == sorted([("a", 2010, 1.0), ("b", 2010, 1.0), ("a", 2011, 0.5), ("b", 2011, 1.0), ("c", 2011, 7.0),
+                                   ("a", 2012, 1.0), ("b", 2012, 1.0)])
+    assert all(files().get(f) == t for f, t in before.items() if "year=2010" in str(f))
+    before = files()
+    tables.extend_by_year(spark, path, [2010, 2011, 2012], compute)
+    assert files() == before
+
+
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([("Corn", 2010, 1.0), ("Corn", 2011, 2.0)], "commodity_name string, year int, v double")
     tables.write_table(df, str(tmp_path / "t"), partition_by=["commodity_name", "year"])
