@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestlens import config
-from harvestlens.functions import labels
 from harvestlens.functions.columns import zero_pad
 from harvestlens.operators import season, windows
 from harvestlens.operators.joins import lookup_join, merge_weather
@@ -196,17 +195,14 @@ WM = with_(YIELDS, DAILY, WEATHER, MERGED)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged rows with all flags set by rules that any engine can repeat: the model is the yearly crop mean."""
+    """Merged rows with the flags of the layers; the model is the yearly crop mean, and a high yield is isolated,
+    rules that any engine can repeat."""
     from harvestlens.operators import layers
 
     rows = cut(merged(spark, sf_dir))  # read four times below
     base = windows.with_group_stats(rows, ["commodity_name", "year"], "yield_bu_ac", {"mean": "xgb_predicted_yield"})
     gaps = base.withColumn("xgb_residual", F.col("yield_bu_ac") - F.col("xgb_predicted_yield"))
-    flagged = layers.flag_residuals(gaps)
-    z = windows.group_zscore(flagged, ["fips", "commodity_name"], "yield_bu_ac", "yield_z_robust", epsilon=config.Z_EPSILON)
-    return layers.combine(z.withColumns({
-        "z_anomaly": labels.two_sided_flag(F.col("yield_z_robust"), config.Z_THRESHOLD),
-        "z_direction": labels.direction(F.col("yield_z_robust"), config.Z_THRESHOLD),
+    return layers.combine(layers.baseline_layer(layers.flag_residuals(gaps)).withColumns({
         "if_anomaly": F.col("yield_bu_ac") > 480, "if_anomaly_score": F.col("yield_bu_ac") / 500}))
 
 
@@ -214,12 +210,17 @@ SCORED = """
 scored0 AS (
   SELECT *, avg(yield_bu_ac) OVER (PARTITION BY commodity_name, year) AS xgb_predicted_yield,
          yield_bu_ac - avg(yield_bu_ac) OVER (PARTITION BY commodity_name, year) AS xgb_residual FROM merged),
+others AS (
+  SELECT x.obs_id AS obs_id, median(y.yield_bu_ac) AS med, count(y.yield_bu_ac) AS n,
+         quantile_cont(y.yield_bu_ac, 0.75) - quantile_cont(y.yield_bu_ac, 0.25) AS iqr
+  FROM merged x JOIN merged y ON x.fips = y.fips AND x.commodity_name = y.commodity_name AND x.obs_id <> y.obs_id
+  GROUP BY x.obs_id),
 scored1 AS (
-  SELECT *, (xgb_residual - avg(xgb_residual) OVER g) / (stddev_samp(xgb_residual) OVER g + 1e-6) AS xgb_residual_z,
-         (yield_bu_ac - avg(yield_bu_ac) OVER g) / (stddev_samp(yield_bu_ac) OVER g + 1e-6) AS yield_z_robust
-  FROM scored0 WINDOW g AS (PARTITION BY fips, commodity_name)),
+  SELECT s.*, (xgb_residual - avg(xgb_residual) OVER g) / (stddev_samp(xgb_residual) OVER g + 1e-6) AS xgb_residual_z,
+         CASE WHEN n > 0 AND iqr = 0 THEN 0 WHEN n > 0 THEN (yield_bu_ac - med) / (iqr / 1.349) END AS yield_z_robust
+  FROM scored0 s LEFT JOIN others o ON s.obs_id = o.obs_id WINDOW g AS (PARTITION BY fips, commodity_name)),
 scored2 AS (
-  SELECT *, abs(yield_z_robust) > 1.5 AS z_anomaly, xgb_residual_z < -1.5 AS residual_anomaly, yield_bu_ac > 480 AS if_anomaly,
+  SELECT *, coalesce(abs(yield_z_robust) > 1.5, FALSE) AS z_anomaly, xgb_residual_z < -1.5 AS residual_anomaly, yield_bu_ac > 480 AS if_anomaly,
          CASE WHEN yield_z_robust < -1.5 THEN 'LOW' WHEN yield_z_robust > 1.5 THEN 'HIGH' ELSE 'NORMAL' END AS z_direction,
          CASE WHEN xgb_residual_z < -1.5 THEN 'UNEXPLAINED_LOW' WHEN xgb_residual_z > 1.5 THEN 'UNEXPLAINED_HIGH'
               ELSE 'WEATHER_EXPLAINED' END AS residual_direction
