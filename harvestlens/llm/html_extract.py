@@ -10,7 +10,9 @@ text outside the page furniture locates the main text; unless it is an article o
 is the lowest element around it that holds all data outside the furniture.
 
 Furniture is told by element (nav, footer, form, ...) and by class, id or role (sidebar, advert, cookie, ...), on headings
-by element only. An id inside the slot does not tell it if the element is not of the template.
+by element only. An id inside the slot does not tell it if the element is not of the template. Such a mark says nothing on
+an element that holds nearly all text of the page, or the article itself (``Page._void``); if marks leave no text at all,
+the widest are taken back. All other text inside the slot stays, also what stands on every page.
 A host with too few pages has no classes; there the slot is found by the same measure on the page alone.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter, defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ from harvestlens.session import cut
 GROUP = 64  # pages of a host compared together, about
 LARGE_HOSTS = 100_000  # hosts of more than a group that are broadcast, at most (a few MB)
 SUPPORT = 3  # different pages that a class needs
-CONSTANT = 8  # different pages on all of which a text must stand to be part of the template
 SHARE = 0.8  # of the text that the element locating the main text must hold
+LITTLE = 0.05  # of the text outside of all marks, at most, where a mark on nearly all of it says nothing
 SHORT = 12  # words of a text that count as tokens one by one
 
 _TAG = re.compile(
@@ -44,9 +47,9 @@ _RAW = frozenset("script style noscript template iframe noembed noframes textare
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr img".split())
-_FURNITURE_TAGS = frozenset(
-    "nav footer aside form button select option input head dialog menu svg object embed canvas audio video map "
-    "fieldset datalist".split()) | _RAW
+_NEVER_TEXT = frozenset(
+    "button select option input head svg object embed canvas audio video map fieldset datalist".split()) | _RAW
+_FURNITURE_TAGS = frozenset("nav footer aside form dialog menu".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -60,24 +63,52 @@ _FURNITURE = frozenset(
     "modal overlay newsletter subscribe subscription signup login search share sharing social comment comments disqus replies "
     "respond related recommended recommendations toolbar topbar skip pagination pager tags complementary contentinfo "
     "discussion feedback".split())
+_READERS = frozenset("comment comments disqus replies respond".split())  # of these, those that hold readers' comments
+_PROSE = frozenset("header discussion feedback".split())  # may be parts of an article inside article and main
+_OF_ARTICLE = frozenset("entry post article story".split())  # in one name with "header": the head of an article
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ARTICLE_HEADERS = frozenset(("article", "main"))
 
 
-def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
-    """The class and id of an element, whether class or role and whether its id mark furniture, whether it is hidden."""
-    names, furniture, by_id, hidden = [], False, False, False
+def _marks(attributes: str, inside: bool) -> tuple[str, set[str], set[str], bool]:
+    """The class and id of an element, the furniture words of its class and role and of its id, whether it is hidden.
+
+    ``inside`` tells that the element stands in an article or main element.
+    """
+    names, by_class, by_id, hidden = [], set(), set(), False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
             names.append(value.lower())
-            marked = bool(_FURNITURE & set(re.split(r"[^a-z]+", value.lower())))
-            by_id |= marked and name == "id"
-            furniture |= marked and name != "id"
+            for one in value.lower().split():
+                words = set(re.split(r"[^a-z]+", one))
+                found = _FURNITURE & words
+                if inside:
+                    found -= _PROSE
+                if words & _OF_ARTICLE:
+                    found -= {"header"}
+                if name == "id":
+                    by_id |= found
+                else:
+                    by_class |= found
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(
                 r"display\s*:\s*none", value, re.I):
             hidden = True
-    return "." + "|".join(names) if names else "", furniture, by_id, hidden
+    return "." + "|".join(names) if names else "", by_class, by_id, hidden
+
+
+class Element(NamedTuple):
+    """An open element."""
+
+    tag: str
+    name: str  # tag with class and id
+    never: bool  # whether nothing in it is text for readers
+    marks: tuple[int, ...]  # numbers of the marks of furniture on it and around it
+    ids: tuple[tuple, ...]  # for marks by id: number, path of the block, path of the element
+    anchors: tuple[int, ...]  # numbers of the article and main elements around it
+
+
+NOTHING = Element("", "", False, (), (), ())
 
 
 class Page:
@@ -87,50 +118,106 @@ class Page:
         self.tokens: list[tuple[str, ...]] = []
         self.blocks: list[tuple[tuple[str, ...], bool, str]] = []  # path, whether furniture, text
         self.doubtful: list[tuple] = []  # for each block that is furniture by ids only, the elements with these
-        self._stack: list[tuple[str, str, bool, tuple]] = []  # tag, name with class, whether furniture, elements marked by id
+        self._stack: list[Element] = []
         self._text: list[str] = []
-        self._path: tuple[str, ...] = ()
+        self._found: list[tuple[tuple[str, ...], Element, str]] = []  # path, element around, text
+        self._kinds: list[str] = []  # of each mark: tag, form, class, id or readers
+        self._anchors: list[tuple[str, tuple[int, ...]]] = []  # tag, marks around
         self._read(source)
+        void = self._void()
+        for path, around, text in self._found:
+            ids = tuple((block, element) for mark, block, element in around.ids if mark not in void)
+            marked = around.never or any(m not in void for m in around.marks)
+            self.blocks.append((path, marked or bool(ids), text))
+            self.doubtful.append(() if marked else ids)
+
+    def _void(self) -> set[int]:
+        """Marks that say nothing: on elements around the article, on nearly all text, or on all that could remain.
+
+        The article is the largest main element, or article element if there is none, that is not among readers' comments
+        and holds as much text as stands outside all marks. A mark of readers' comments is never void, one by
+        the name of the element only around the article. Without such an article, marks on nearly all text are void if
+        hardly any text stands outside of marks.
+        """
+        marked, anchored, free, total = Counter(), Counter(), 0, 0
+        for _, around, text in self._found:
+            if not around.never:
+                all_marks = {*around.marks, *(i[0] for i in around.ids)}
+                total += len(text)
+                free += len(text) if not all_marks else 0
+                for m in all_marks:
+                    marked[m] += len(text)
+                for a in around.anchors:
+                    anchored[a] += len(text)
+        fair = [a for a, (_, marks) in enumerate(self._anchors) if not any(self._kinds[m] == "readers" for m in marks)]
+        fair = [a for a in fair if self._anchors[a][0] == "main"] or fair
+        void: set[int] = set()
+        if fair:
+            best = max(fair, key=lambda a: (anchored[a], -a))
+            if anchored[best] >= free:
+                void |= set(self._anchors[best][1])
+        loose = [m for m, kind in enumerate(self._kinds) if kind in ("class", "id", "form")]
+        if not any(anchored[a] and void.issuperset(self._anchors[a][1]) for a in fair) and free <= LITTLE * total:
+            void |= {m for m in loose if marked[m] >= SHARE * total}
+
+        def remains() -> bool:
+            return any(not e.never and all(m in void for m in e.marks) and all(i[0] in void for i in e.ids) for _, e, _ in self._found)
+
+        for m in sorted(loose, key=lambda m: (-marked[m], m)):
+            if remains():
+                break
+            void.add(m)
+        return void
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         self._text = []
         if text:
-            block = tuple(n for t, n, *_ in self._stack if t not in _INLINE)
-            furniture, by_id = self._stack[-1][2:] if self._stack else (False, ())
-            self.blocks.append((block, furniture or bool(by_id), text))
-            self.doubtful.append(() if furniture else by_id)
+            block = tuple(e.name for e in self._stack if e.tag not in _INLINE)
+            self._found.append((block, self._stack[-1] if self._stack else NOTHING, text))
             words = text.split(" ")
             self.tokens += [(*block, "#", w) for w in words] if len(words) <= SHORT else [(*block, "#", text)]
 
     def _pop(self, depth: int) -> None:
         del self._stack[depth:]
 
+    def _mark(self, kind: str) -> int:
+        self._kinds.append(kind)
+        return len(self._kinds) - 1
+
     def _open(self, tag: str, attributes: str) -> None:
         if tag in _CLOSES_P:
-            places = [i for i, (t, *_) in enumerate(self._stack) if t == "p"]
+            places = [i for i, e in enumerate(self._stack) if e.tag == "p"]
             if places:
                 self._pop(places[-1])
         if tag in _SIBLINGS:
             for i in range(len(self._stack) - 1, -1, -1):
-                if self._stack[i][0] in _SIBLINGS[tag]:
+                if self._stack[i].tag in _SIBLINGS[tag]:
                     self._pop(i)
                     break
-                if self._stack[i][0] in ("ul", "ol", "dl", "table", "select"):
+                if self._stack[i].tag in ("ul", "ol", "dl", "table", "select"):
                     break
-        name, furniture, by_id, hidden = _marks(attributes) if attributes.strip() else ("", False, False, False)
-        outer, doubtful = self._stack[-1][2:] if self._stack else (False, ())
+        outer = self._stack[-1] if self._stack else NOTHING
+        name, by_class, by_id, hidden = _marks(attributes, bool(outer.anchors)) if attributes.strip() else ("", set(), set(), False)
         if tag in ("html", "body", "main", "article") or tag in _HEADINGS:
-            furniture = by_id = False  # a theme's class names on the whole page, and ids made from a title, say nothing
-        inside = any(t in _ARTICLE_HEADERS for t, *_ in self._stack)
-        own = outer or furniture or hidden or tag in _FURNITURE_TAGS or tag == "header" and not inside
-        if tag not in _VOID:
-            self._stack.append((tag, tag + name, own, doubtful))
-            if by_id:
-                path = tuple(n for _, n, *_ in self._stack)
-                self._stack[-1] = tag, tag + name, own, (*doubtful, (tuple(n for t, n, *_ in self._stack if t not in _INLINE), path))
-        self.tokens.append(tuple(n for _, n, *_ in self._stack) if tag not in _VOID else
-                           (*(n for _, n, *_ in self._stack), tag + name))
+            by_class, by_id = set(), set()  # a theme's class names on the whole page, and ids made from a title, say nothing
+        if tag in _VOID:
+            self.tokens.append((*(e.name for e in self._stack), tag + name))
+            return
+        marks, ids, anchors = outer.marks, outer.ids, outer.anchors
+        if by_class:
+            marks = (*marks, self._mark("readers" if by_class & _READERS else "class"))
+        elif tag in _FURNITURE_TAGS or tag == "header" and not anchors:
+            marks = (*marks, self._mark("form" if tag == "form" else "tag"))
+        if tag in _ARTICLE_HEADERS:
+            self._anchors.append((tag, (*marks, *(i[0] for i in ids))))
+            anchors = (*anchors, len(self._anchors) - 1)
+        path = (*(e.name for e in self._stack), tag + name)
+        if by_id:
+            block = tuple(e.name for e in self._stack if e.tag not in _INLINE) + ((tag + name,) if tag not in _INLINE else ())
+            ids = (*ids, (self._mark("readers" if by_id & _READERS else "id"), block, path))
+        self._stack.append(Element(tag, tag + name, outer.never or hidden or tag in _NEVER_TEXT, marks, ids, anchors))
+        self.tokens.append(path)
 
     def release(self, main: tuple[str, ...], known: set[tuple[str, ...]]) -> None:
         """What only ids mark as furniture is text where these stand inside the slot and are not of the template."""
@@ -160,7 +247,7 @@ class Page:
                 continue
             tag = found[2].lower()
             if found[1]:
-                places = [i for i, (t, *_) in enumerate(self._stack) if t == tag]
+                places = [i for i, e in enumerate(self._stack) if e.tag == tag]
                 if tag not in _INLINE:
                     self._flush()
                 if places:
@@ -255,13 +342,6 @@ def extract(sources: list[str]) -> list[str]:
     if main:
         for page in pages:
             page.release(main, skeleton | nested)
-    constant = set()
-    if len(different) >= CONSTANT:
-        inside = [(path, text) for p in different for path, furniture, text in p.blocks if not furniture and path[:len(main)] == main]
-        often = {b for b, n in Counter(inside).items() if n >= len(different)}
-        constant = {b for b in often if all(t in skeleton or t in nested for t in _block_tokens(*b))}
-        if sum(len(t) for b in inside if b in constant for t in [b[1]]) > 0.5 * sum(len(t) for _, t in inside):
-            constant = set()  # copies of one article, not a template
     out = []
     for page in pages:
         own = main
@@ -269,7 +349,7 @@ def extract(sources: list[str]) -> list[str]:
         if not main or not kept:
             own = widened(slot(page.blocks, None), page.blocks, set())
             kept = [b for b in page.blocks if not b[1] and b[0][:len(own)] == own]
-        out.append("\n".join(text for path, _, text in kept if (path, text) not in constant))
+        out.append("\n".join(text for _, _, text in kept))
     return out
 
 

@@ -115,6 +115,49 @@ def test_ids_made_from_headings_are_no_furniture():
     assert texts == [["Earlier", "Others"], ["Talk", "We say"], ["Tags are words"], ["Found"], [], []]
 
 
+LAYOUTS = {
+    "content with-sidebar": "<div class='content with-sidebar'><article>{}</article></div>",
+    "sidebar-right": "<div class='site sidebar-right'><article>{}</article></div>",
+    "header-fixed": "<div class='wrapper header-fixed'><article>{}</article></div>",
+    "menu-closed": "<div class='menu-closed'><main>{}</main></div>",
+    "form": "<form id=aspnetForm><article>{}</article></form>",
+    "form without article": "<form id=aspnetForm><div class=text>{}</div></form>",
+    "id": "<div id=page-with-sidebar><article>{}</article></div>",
+    "open header": "<header><div class=top><article>{}</article></div></header>",
+    "article without mark": "<div class='layout sidebar-left'><div class=text>{}</div></div>",
+}
+
+
+@pytest.mark.parametrize("siblings", [1, 7, 8, 10])
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_marks_around_the_article_say_nothing(layout, siblings):
+    def one(i):
+        body = (f"<div class='entry-header'><h1>Name {i}</h1></div><h2>Introduction</h2><p>{f'x{i} ' * 60}</p>"
+                f"<h2>Methods</h2><p>{f'y{i} ' * 40}</p>")
+        return ("<html><body><nav><a href=/>Home</a></nav><div class=ad>Buy</div>" + LAYOUTS[layout].format(body)
+                + "<div class=sidebar><p>About us</p></div>"
+                + f"<section class=comments><article><p>Reader {i}: {'nice ' * 30}</p></article></section><footer>Foot</footer></body></html>")
+
+    for i, text in enumerate(html_extract.extract([one(i) for i in range(siblings)])):
+        assert text == f"Name {i}\nIntroduction\n{(f'x{i} ' * 60).strip()}\nMethods\n{(f'y{i} ' * 40).strip()}"
+
+
+def test_parts_of_an_article_by_class():
+    text = "<p>" + "word " * 50 + "</p>"
+    inside = f"<html><body><article><h1>T</h1>{text}<section class=discussion><p>We find</p></section><div class=share>Tweet</div></article></body></html>"
+    assert html_extract.extract([inside])[0].split("\n")[2:] == ["We find"]
+    # Nothing but marked elements: the widest mark is taken back, comments never.
+    marked = f"<html><body><div class=widget>{text}</div><div class=promo>Buy</div><div class=comments>{text * 3}</div></body></html>"
+    assert html_extract.extract([marked]) == [("word " * 50).strip()]
+    assert html_extract.extract([f"<html><body><div class=comments>{text}</div></body></html>"]) == [""]
+    long = f"<div class=cookie-notice>{text * 6}</div>"
+    for own in (f"<article>{text}</article>", f"<div class=post>{text}</div>"):
+        assert html_extract.extract([f"<html><body>{long}{own}</body></html>"]) == [("word " * 50).strip()]
+    # A teaser in a sidebar is not the article.
+    teaser = f"<html><body><div class=text>{text}</div><aside><article>Read this</article></aside></body></html>"
+    assert html_extract.extract([teaser]) == [("word " * 50).strip()]
+
+
 def test_equivalence_classes():
     pages = [html_extract.Page(page(i, "<p>x" * (i + 1) + f"<p>y{i}")) for i in range(5)]
     skeleton, nested = html_extract.template(pages)
