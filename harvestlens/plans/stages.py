@@ -13,7 +13,7 @@ from harvestlens import config
 from harvestlens.functions import agronomy, labels
 from harvestlens.functions.columns import active_features, settle
 from harvestlens.operators import attribution, boosting, correlation, joins, layers, neighbours, reports, season, windows
-from harvestlens.session import cut, in_scratch_space
+from harvestlens.session import cut, in_scratch_space, scratch_path
 from harvestlens.sources import files, payloads, tables
 
 def publish(spark: SparkSession, catalog: str | None, name: str, path: str, fmt: str) -> None:
@@ -26,13 +26,21 @@ BAND = ("fips", "commodity_name", "irr_name")
 
 
 @in_scratch_space
-def yields_table(spark: SparkSession, yield_csv: str, centroids: DataFrame, out: str, *, catalog: str | None = None,
-                 fmt: str = "parquet") -> DataFrame:
-    """Yield CSV to the ``yields`` table: county key, position, group statistics, z-score."""
+def yields_table(spark: SparkSession, yield_csv: str, centroids: DataFrame, out: str, *, quality: str | None = None,
+                 catalog: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """Yield CSV to the ``yields`` table: county key, position, group statistics, z-score.
+
+    With a folder ``quality`` the quality tables are written there, too.
+    """
     rows = joins.with_centroids(files.read_yields(spark, yield_csv), centroids)
     tables.write_table(yield_statistics(rows), out, partition_by=["commodity_name", "year"], fmt=fmt)
     publish(spark, catalog, "yields", out, fmt)
-    return tables.read_table(spark, out, fmt)
+    yields = tables.read_table(spark, out, fmt)
+    if quality:
+        for name, table in yield_quality(yields).items():
+            tables.write_table(table, f"{quality}/{name}", fmt=fmt)
+            publish(spark, catalog, f"yields_{name}", f"{quality}/{name}", fmt)
+    return yields
 
 
 def yield_quality(yields: DataFrame) -> dict[str, DataFrame]:
@@ -88,7 +96,7 @@ def weather_table(spark: SparkSession, yields: DataFrame, folder: str, years: li
     mapping = cut(neighbours.nearest(stations, counties).select("station_id", "fips"))
 
     def compute(missing: list[int]) -> DataFrame:
-        return season.mapped_seasons(season.clean_observations(files.read_daily(spark, folder, missing)), mapping)
+        return season.mapped_seasons(files.land_daily(spark, folder, missing, scratch_path(spark, "daily")), mapping)
 
     seasons = cut(tables.extend_by_year(spark, cache, years, compute, fmt=fmt))
     if seasons.limit(1).count() == 0:

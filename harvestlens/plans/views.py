@@ -69,6 +69,20 @@ def county_series(scored: DataFrame, fips: str, crop: str = "Corn") -> DataFrame
                           ["year", "irr_name", "yield_bu_ac"])
 
 
+def county_charts(scored: DataFrame, *, crops: tuple[str, ...] = ("Corn", "Soybeans"), n: int = 6) -> dict[str, DataFrame]:
+    """Per crop the yields of the counties with most flagged rows, the counties one after the other.
+
+    Where no row is flagged, these are the counties with most rows.
+    """
+    top = reports.top_keys(scored.where("is_anomaly"), "fips", "is_anomaly", n)
+    if top.isEmpty():
+        top = reports.top_keys(scored, "fips", None, n)
+    rows = scored.join(F.broadcast(top), "fips")  # n rows
+    order = [F.col("score").desc(), F.col("fips"), F.col("year"), F.col("irr_name")]
+    names = ["fips", "county_name", "state_abbr", "year", "irr_name", "yield_bu_ac"]
+    return {crop: reports.series(rows, F.col("commodity_name") == crop, order, names) for crop in crops}
+
+
 def anomaly_report(scored: DataFrame, *, event_year: int = 2012, worst: int = 5) -> dict[str, DataFrame]:
     """Tables of the anomaly findings: totals, types, years, worst unexplained rows and the event review."""
     flagged = scored.where("is_anomaly")

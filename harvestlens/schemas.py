@@ -3,6 +3,9 @@
 from pyspark.sql import types as T
 
 
+# Headers and field names of the input files and answers.
+
+
 def _fields(names: list[str], kind: T.DataType) -> list[T.StructField]:
     return [T.StructField(name, kind) for name in names]
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 from pathlib import Path
 
@@ -81,12 +82,12 @@ def shared_root(spark: SparkSession) -> str:
     return configured
 
 
-_SPACES: list[str] = []
+_SPACE: ContextVar[str | None] = ContextVar("scratch_space", default=None)  # of this thread
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table in the shared folder."""
-    base = _SPACES[-1] if _SPACES else f"{shared_root(spark).rstrip('/')}/harvestlens"
+    base = _SPACE.get() or f"{shared_root(spark).rstrip('/')}/harvestlens"
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -97,11 +98,11 @@ def scratch_space(spark: SparkSession, keep: bool = False):
     What the block gives back must not depend on them any more: a stage writes its results first.
     """
     space = scratch_path(spark, "run")
-    _SPACES.append(space)
+    outer = _SPACE.set(space)
     try:
         yield space
     finally:
-        _SPACES.remove(space)
+        _SPACE.reset(outer)
         if not keep:
             delete_path(spark, space)
 

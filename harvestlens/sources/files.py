@@ -98,10 +98,14 @@ def read_delivered(spark: SparkSession, folder: str, years: list[int], pattern:
 
 
 def land_daily(spark: SparkSession, folder: str, years: list[int], path: str, *,
-               months: list[int] = config.GROWING_MONTHS) -> None:
-    """Write the cleaned season observations once as parquet by year; later reads split and prune."""
+               months: list[int] = config.GROWING_MONTHS) -> DataFrame:
+    """Write the cleaned season observations once as parquet by year; later reads split and prune.
+
+    A packed year file is read by one task, so it is read this once only. Returns the written table.
+    """
     clean = clean_observations(read_daily(spark, folder, years), months=months)
     clean.write.mode("overwrite").partitionBy("year").parquet(path)
+    return spark.read.schema(clean.schema).parquet(path)
 
 
 def read_stations(spark: SparkSession, path: str, states: list[str] = config.TARGET_STATES) -> DataFrame:

@@ -324,6 +324,29 @@ def test_missing_layers(spark):
     assert row.is_anomaly is False and row.anomaly_type == "NORMAL" and row.residual_direction == "WEATHER_EXPLAINED"
 
 
+def test_scratch_spaces_of_threads_are_apart(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from harvestlens.session import cut, scratch_space
+
+    meet = Barrier(2)
+
+    def stage(wait):
+        with scratch_space(spark) as space:
+            meet.wait()
+            held = cut(spark.range(5))
+            if wait:
+                meet.wait()
+            assert all(space in f for f in held.inputFiles()) and held.count() == 5
+        if not wait:
+            meet.wait()
+
+    with ThreadPoolExecutor(2) as pool:
+        for done in [pool.submit(stage, w) for w in (True, False)]:
+            done.result(timeout=120)
+
+
 def test_three_stages(spark, tmp_path):
     """CSV, stations and year files in; yields, weather, correlations, importance and anomalies out."""
     rng = np.random.default_rng(9)
@@ -357,7 +380,11 @@ def test_three_stages(spark, tmp_path):
     rows[5] = rows[5].rsplit(",", 1)[0] + ",n/a"
     (tmp_path / "yields.csv").write_text("\n".join([header, *rows]) + "\n")
     centroids = spark.createDataFrame(places, "fips string, lat double, lon double")
-    yields = stages.yields_table(spark, str(tmp_path / "yields.csv"), centroids, str(tmp_path / "yields"))
+    yields = stages.yields_table(spark, str(tmp_path / "yields.csv"), centroids, str(tmp_path / "yields"), quality=str(tmp_path / "quality"))
+    quality = {n: tables.read_table(spark, str(tmp_path / "quality" / n)) for n in ("profile", "crops", "description", "coverage")}
+    crops = {r.commodity_name for r in yields.select("commodity_name").distinct().collect()}
+    assert {r.commodity_name for r in quality["crops"].collect()} == crops == {r.commodity_name for r in quality["description"].collect()}
+    assert quality["coverage"].first().n_rows == yields.count() and quality["profile"].count() >= 1
     assert yields.count() == len(rows) and yields.where("yield_bu_ac is null").count() == 1
     assert yields.where("lat is null").count() == 0
     weather = stages.weather_table(spark, yields, str(folder), [*years, 2030], str(tmp_path / "cache"), str(tmp_path / "weather"))
@@ -393,6 +420,13 @@ def test_three_stages(spark, tmp_path):
     charts = views.chart_datasets(merged, scored, years=years)
     assert charts["heat_by_state"].count() == 1 and charts["yearly_box"].count() == 10 and charts["rain_sample"].count() == 119
     assert views.map_dataset(scored, 2012, "Corn").count() == 12
+    curves = views.county_charts(scored, n=2)["Corn"].collect()
+    counties = [r.fips for r in curves]
+    assert len(set(counties)) <= 2 and counties == sorted(counties, key=counties.index)
+    busiest = scored.where("is_anomaly").groupBy("fips").count().orderBy(F.col("count").desc(), "fips").first()
+    assert counties[0] == busiest.fips and len(curves) == scored.where(F.col("fips").isin(counties) & (F.col("commodity_name") == "Corn")).count()
+    quiet = views.county_charts(scored.withColumn("is_anomaly", F.lit(False)), n=2)["Corn"]
+    assert quiet.select("fips").distinct().count() == 2
     report = views.anomaly_report(scored)
     assert report["by_year"].where("year = 2012 and event = 'Great Plains Drought'").count() == 1
     assert report["types"].agg(F.sum("n")).first()[0] == flagged.count()
