@@ -109,29 +109,115 @@ def test_arrays_are_mapped(tmp_path):
     assert arrays.read(f"file://{tmp_path}", "x")[999] == 999
 
 
-def trigram_model(train):
-    counts = Counter()
-    for text in train:
-        points = [quality.START] * 2 + [ord(c) for c in text or ""] + [quality.END]
-        counts.update(zip(points, points[1:], points[2:]))
-    return counts
-
-
-def test_quality_model_is_a_distribution(docs):
-    table = docs([(i, t) for i, t in enumerate(["abab ab", "abba b", "baab", "", None, "aab" * 9])])
-    rows = {r.key: r for r in quality.train(table).collect()}
-    counts = trigram_model([r.text for r in table.collect()])
-    letters = {w for _, _, w in counts}
-    for u, v in {(u, v) for u, v, _ in counts}:
-        total = 0.0
-        for w in letters:
-            p1 = rows[int(quality.key1(w))].p
-            two = rows.get(int(quality.key2(v, w)))
-            p2 = two.p if two is not None and two.p is not None else rows[int(quality.key1(v))].backoff * p1
-            three = rows.get(int(quality.key3(u, v, w)))
-            total += three.p if three is not None else rows[int(quality.key2(u, v))].backoff * p2
-        unseen = rows[0].p * rows[int(quality.key1(v))].backoff * rows[int(quality.key2(u, v))].backoff
-        assert total + unseen == pytest.approx(1.0)
+def windows(text, order):
+    points = [quality.START] * (order - 1) + [ord(c) for c in text or ""] + [quality.END]
+    return [tuple(points[i:i + order]) for i in range(len(points) - order + 1)]
+
+
+def packed(gram):
+    """hi and lo of an n-gram."""
+    hi = lo = 0
+    for w in gram[:-3]:
+        hi = hi << 21 | w
+    for w in gram[-3:]:
+        lo = lo << 21 | w
+    return hi, lo
+
+
+class Plain:
+    """Interpolated modified Kneser-Ney straight from its definition."""
+
+    def __init__(self, texts, order):
+        self.order, self.counts = order, {order: Counter(g for t in texts for g in windows(t, order))}
+        for k in range(order - 1, 0, -1):  # below the highest order: how many different characters stand before
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.discounts, self.after = {}, {}
+        for k, counts in self.counts.items():
+            t = [0, *(sum(c == i for c in counts.values()) for i in (1, 2, 3, 4))]
+            y = t[1] / (t[1] + 2 * t[2]) if t[1] else 0.5
+            self.discounts[k] = [min(max(i - (i + 1) * y * t[i + 1] / t[i], 0.05), i - 0.05) if t[i] else 0.5 * i for i in (1, 2, 3)]
+            self.after[k] = after = {}
+            for g, c in counts.items():
+                after.setdefault(g[:-1], []).append(c)
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(self.counts[1]) + 1)
+        seen, d = self.after[k].get(gram[:-1]), self.discounts[k]
+        if not seen:
+            return self.p(gram[1:])
+        own = self.counts[k].get(gram, 0)
+        kept = own - d[min(own, 3) - 1] if own else 0.0
+        return (kept + sum(d[min(c, 3) - 1] for c in seen) * self.p(gram[1:])) / sum(seen)
+
+    def loss(self, text):
+        return -sum(np.log(self.p(g)) for g in windows(text, self.order))
+
+
+@pytest.mark.parametrize("order", [3, 5])
+def test_quality_model_is_a_distribution(spark, docs, order):
+    texts = ["abab ab", "abba b", "baab", "", None, "aab" * 9]
+    model, plain = quality.train(docs(list(enumerate(texts))), order).cache(), Plain(texts, order)
+    contexts = {g[:-1] for t in [*texts, "a \u4e00b"] for g in windows(t, order)}
+    letters = [*map(ord, "ab \u4e00"), quality.END]  # the fourth was never seen
+    grams = {packed((*c, w)): (c, w) for c in contexts for w in letters}
+    found = quality.probabilities(spark.createDataFrame(list(grams), "hi long, lo long"), model, order).collect()
+    assert len(found) == len(grams)
+    total = Counter()
+    for r in found:
+        context, letter = grams[r.hi, r.lo]
+        total[context] += r.p
+        assert r.p == pytest.approx(plain.p((*context, letter)), rel=1e-9)
+    assert all(x == pytest.approx(1.0) for x in total.values())
+
+
+def test_quality_against_brute_force(spark, docs, corpus):
+    """Perplexity, threshold and decision from the definition."""
+    r = random.Random(8)
+    rows = [*corpus, *[(5000 + i, "#" * r.randint(1, 90), r.choice(["en", "de"]), "a") for i in range(20)], (9000, None, "xx"), (None, "abc abc", "en")]
+    rows += [(10_000 + i, "".join(r.choice("abc ") for _ in range(r.randint(5, 40))), "fr") for i in range(700)]
+    labels = spark.createDataFrame([(k, int(k % 9 > 0)) for k, *_ in rows if k is not None and (0 <= k < 150 or k >= 10_000)], "doc_id long, quality int")
+    table = docs(rows)
+    trusted = {x.doc_id for x in labels.filter("quality = 1").collect()}
+    held = {x.doc_id for x in labels.filter("quality = 1 and pmod(xxhash64('held out', doc_id), 5) = 0").select("doc_id").collect()}
+    plain = Plain([t for k, t, *_ in rows if k in trusted - held], quality.ORDER)
+    size, loss = [len(t or "") + 1 for _, t, *_ in rows], [plain.loss(t) for _, t, *_ in rows]
+
+    def lower(values, share):  # an element of the values
+        return sorted(values)[max(int(np.ceil(share * len(values))) - 1, 0)]
+
+    middles, above = {}, {}
+    own = {lang: [i for i, (k, _, x, *_) in enumerate(rows) if x == lang and k in held] for lang in {x for _, _, x, *_ in rows}}
+    for lang, some in own.items():
+        if some:
+            middles[lang] = m = lower([loss[i] / size[i] for i in some], 0.5)
+            above[lang] = [(loss[i] + quality.PRIOR * m) / (size[i] + quality.PRIOR) - m for i in some]
+    spread = {}
+    for lang, x in above.items():
+        if quality.LEAST <= len(x) < quality.ENOUGH:
+            n, a = len(x), 1 - quality.SURE**2 / (2 * (len(x) - 1))
+            factor = (quality.UPPER + np.sqrt(quality.UPPER**2 - a * (quality.UPPER**2 - quality.SURE**2 / n))) / a
+            spread[lang] = np.mean(x) + factor * np.std(x, ddof=1)
+        elif len(x) >= quality.ENOUGH:
+            spread[lang] = lower(x, quality.LEVEL)
+    assert len(spread) == len(middles) == 4 and len(above["fr"]) >= quality.ENOUGH
+    got = Counter((x.doc_id, x.n_tokens, round(x.perplexity, 6), round(x.threshold, 6), x.kept) for x in quality.classify(table, labels).collect())
+    want = Counter()
+    for (k, _, lang, *_), n, x in zip(rows, size, loss, strict=True):
+        m = middles.get(lang, max(middles.values()))
+        limit = m + spread.get(lang, max(spread.values())) + 1e-9
+        rate = (x + quality.PRIOR * m) / (n + quality.PRIOR)
+        want[k, n, round(float(np.exp(x / n)), 6), round(float(np.exp(limit)), 6), bool(rate <= limit)] += 1
+    assert got == want and {k[-1] for k in got} == {True, False}
+
+
+def test_quality_draws_rows_of_each_language(spark, docs):
+    rows = [(i, f"text {i}", "en" if i % 20 else "de" if i % 40 else None) for i in range(4000)]
+    ids = spark.createDataFrame([(i,) for i in range(4000)], "doc_id long")
+    few = quality.drawn(docs(rows), ids, 300).collect()
+    langs = Counter(rows[int(x.text.split()[1])][2] for x in few)
+    assert langs["de"] == langs[None] == 100 and 230 < langs["en"] < 370
 
 
 def test_quality_keeps_good_and_drops_odd(spark, docs, clashing):
@@ -188,31 +274,6 @@ def test_quality_rejects_each_kind_of_junk(spark):
     assert set(share) == {"pipe", "symbol", "shout", "repeat", "other"} and max(share.values()) < 0.15
 
 
-def test_quality_model_of_order_five_is_a_distribution(docs):
-    texts = ["abab ab", "abba b", "baab", "aab" * 9]
-    model = quality.train(docs(list(enumerate(texts))), 5)
-    letters = "ab \u4e00"  # the last was never seen
-    many = [(i, f"{t[:4]}{c}") for i, (t, c) in enumerate((t, c) for t in texts for c in letters)]
-    ended = [(1000 + i, t[:4]) for i, t in enumerate(texts)]
-    loss = {r.doc_id: r.loss for r in quality.losses(docs([*many, *ended]), model).collect()}
-    finer = {r.doc_id: r.loss for r in quality.losses(docs([*many, *ended]), model, 3).collect()}
-    assert loss == pytest.approx(finer, rel=1e-12)
-    stored = quality.Stored(model)
-    for text in texts:
-        points = np.array([ord(c) for c in text[:4]])
-        total = 0.0
-        for w in [*map(ord, "ab \u4e00"), quality.END]:
-            p = stored.of(np.zeros(1, np.int64), ("p",), [1.0])[0]
-            for k in range(1, 6):
-                five_hi, five_lo = points[:1] << 21 | points[1:2], points[2:3] << 42 | points[3:4] << 21 | w
-                h, m = five_hi & ((1 << 21 * max(k - 3, 0)) - 1), five_lo & ((1 << 21 * min(k, 3)) - 1)
-                before = (h & ((1 << 21) - 1)) << 42 | m >> 21
-                p = p * (stored.of(quality.packed(k - 1, h >> 21, before), ("backoff",), [1.0])[0] if k > 1 else 1.0)
-                p = stored.of(quality.packed(k, h, m), ("p",), [p])[0]
-            total += float(p[0])
-        assert total == pytest.approx(1.0)
-
-
 def toxic_rows(n, seed):
     r = random.Random(seed)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
