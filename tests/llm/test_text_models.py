@@ -216,6 +216,9 @@ def test_quality_draws_rows_of_each_language(spark, docs):
     rows = [(i, f"text {i}", "en" if i % 20 else "de" if i % 40 else None) for i in range(4000)]
     ids = spark.createDataFrame([(i,) for i in range(4000)], "doc_id long")
     few = quality.drawn(docs(rows), ids, 300).collect()
+    assert sorted(x.text for x in few) == sorted(x.text for x in quality.drawn(docs(rows), ids, 300, 0).collect())
+    same = docs([(7, f"text {i}", "en") for i in range(3000)])
+    assert 230 < quality.drawn(same, ids, 300).count() < 370
     langs = Counter(rows[int(x.text.split()[1])][2] for x in few)
     assert langs["de"] == langs[None] == 100 and 230 < langs["en"] < 370
 
