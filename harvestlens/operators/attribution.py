@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harvestlens.functions.columns import settle
-from harvestlens.operators.boosting import CropModel, by_model, input_struct, model_inputs
+from harvestlens.operators.boosting import CropModel, Remembered, by_model, input_struct, model_inputs
 
 DRIVERS = T.ArrayType(T.StructType([T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType())]))
+LEAVES_AT_ONCE = 512  # leaves and rows of one step of the look-up, some MB
+ROWS_AT_ONCE = 64
 TREES_AT_ONCE = 25  # trees whose leaves one row of the job that makes the tables stands for
 
 
@@ -79,22 +81,53 @@ def _tables(leaves: list[tuple], at_once: int = 1024) -> list[tuple[np.ndarray,
     return out
 
 
-def _contributions(x: np.ndarray, tables: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """Contributions [row, feature]: for all leaves of a size, one look-up by the pattern of tests that hold."""
-    out = np.zeros_like(x)
-    for features, low, high, table in tables:
+class Lookup:
+    """Leaf tables laid out for many rows.
+
+    Between two borders of a feature no test on it changes. So a feature's interval gives its bit in the patterns of all leaves at
+    once, a row's patterns are the sum over its features, and every leaf adds the contributions of its pattern.
+    """
+
+    def __init__(self, tables: list[tuple[np.ndarray, ...]], width: int):
+        ends = [[np.zeros(0)] for _ in range(width)]
+        for features, low, high, _ in tables:
+            for f in np.unique(features):
+                at = features == f
+                ends[f] += [low[at], high[at]]
+        self.width = width
+        self.borders = [np.unique(x[np.isfinite(x)]) for x in map(np.concatenate, ends)]
+        self.parts = [self._part(*(a[i : i + LEAVES_AT_ONCE] for a in arrays)) for arrays in tables for i in range(0, len(arrays[0]), LEAVES_AT_ONCE)]
+
+    def _part(self, features: np.ndarray, low: np.ndarray, high: np.ndarray, table: np.ndarray) -> tuple:
         leaves, k = features.shape
-        bit = 1 << np.arange(k)
-        step = max(1, 2_000_000 // max(1, leaves * k))  # rows per look-up: about 16 MB
-        owner = np.zeros((leaves * k, x.shape[1]))
-        owner[np.arange(leaves * k), features.ravel()] = 1
-        leaf = np.arange(leaves)
-        for start in range(0, len(x), step):
-            few = slice(start, start + step)
-            here = x[few][:, features]
-            pattern = ((here > low) & (here <= high)) @ bit
-            out[few] += table[leaf, pattern].reshape(len(here), leaves * k) @ owner
-    return out
+        bits, wide = {}, np.zeros((leaves, 1 << k, self.width))
+        for f in np.unique(features).tolist():
+            leaf, j = np.nonzero(features == f)  # a leaf has a feature once
+            borders = self.borders[f]
+            first = np.where(np.isfinite(low[leaf, j]), np.searchsorted(borders, low[leaf, j]) + 1, 0)
+            last = np.where(np.isfinite(high[leaf, j]), np.searchsorted(borders, high[leaf, j]), len(borders))
+            interval = np.arange(len(borders) + 1)[:, None]
+            bits[f] = np.zeros((len(borders) + 1, leaves), np.uint8 if k <= 8 else np.int32)
+            bits[f][:, leaf] = ((interval >= first) & (interval <= last)) << j
+            wide[leaf, :, f] = table[leaf, :, j]
+        return bits, np.arange(leaves) << k, wide.reshape(leaves << k, self.width)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """Contributions [row, feature]."""
+        out = np.zeros((len(x), self.width))
+        interval = [np.searchsorted(b, x[:, f]) for f, b in enumerate(self.borders)]
+        for bits, offset, wide in self.parts:
+            leaves = np.ones(len(offset))
+            for start in range(0, len(x), ROWS_AT_ONCE):
+                few = slice(start, start + ROWS_AT_ONCE)
+                pattern = sum(own[interval[f][few]] for f, own in bits.items())
+                found = wide.take((pattern + offset).ravel(), axis=0).reshape(-1, len(offset), self.width)
+                out[few] += leaves @ found
+        return out
+
+
+def _contributions(x: np.ndarray, tables: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    return Lookup(tables, x.shape[1])(x)
 
 
 def leaf_tables(spark: SparkSession, models: dict[str, CropModel]) -> dict[str, tuple[float, list]]:
@@ -146,12 +179,15 @@ def attribute(df: DataFrame, models: dict[str, CropModel], *, crop: str = "commo
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def contributions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         known, tables = shared.value
+        ask: dict[str, Remembered] = {}
         for batch in batches:
             found = np.full((len(batch), len(inputs) + 1), np.nan)
             for model, at, x in by_model(batch, known, inputs):
                 start, own = tables[model.crop]
+                if model.crop not in ask:
+                    ask[model.crop] = Remembered(Lookup(own, len(model.features)))
                 found[at, -1] = start
-                found[np.ix_(at, [inputs.index(f) for f in model.features])] = _contributions(x, own)
+                found[np.ix_(at, [inputs.index(f) for f in model.features])] = ask[model.crop](x)
             yield pd.Series(list(found))
 
     found = F.col("__c")

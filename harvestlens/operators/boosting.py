@@ -40,6 +40,7 @@ TASK_ROWS = 262_144  # rows of a model that one task grows alone
 PENALTY = 1.0  # added to the row count of a leaf
 KEPT_ROUNDS = 20  # rounds between checkpoints
 QUANTILE_ACCURACY = 10_000
+REMEMBERED_ROWS = 50_000  # rows of feature values whose results a task remembers
 _MODEL_TABLE = ("crop string, version string, kind string, tree int, node int, feature string, threshold double, "
                 "gain double, cover long, value double")
 
@@ -505,6 +506,30 @@ def by_model(batch: pd.DataFrame, models: dict[str, CropModel], inputs: list[str
             yield model, at, own[at]
 
 
+class Remembered:
+    """A function of rows of feature values that is asked once for equal rows.
+
+    Weather is that of a county and a season, so the rows of a season share their values. Nothing depends on it: rows that are
+    all different are all computed, and what is remembered is dropped when it holds more than ``most`` rows.
+    """
+
+    def __init__(self, of: Callable[[np.ndarray], np.ndarray], most: int = REMEMBERED_ROWS):
+        self.of, self.most, self.place, self.values = of, most, {}, None
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        x = np.ascontiguousarray(x, float)
+        if len(self.place) > self.most:
+            self.place, self.values = {}, None
+        place, known = self.place, len(self.place)
+        at = np.array([place.setdefault(row, len(place)) for row in x.view(np.dtype((np.void, 8 * x.shape[1]))).ravel().tolist()], np.int64)
+        if len(place) > known:
+            later = np.flatnonzero(at >= known)
+            _, first = np.unique(at[later], return_index=True)
+            fresh = self.of(x[later[first]])
+            self.values = fresh if self.values is None else np.concatenate([self.values, fresh])
+        return self.values[at]
+
+
 def input_struct(inputs: list[str], crop: str) -> Column:
     return F.struct(F.col(crop).cast("string").alias("__crop"), *[F.col(f).cast("double").alias(f) for f in inputs])
 
@@ -522,10 +547,11 @@ def predict(df: DataFrame, models: dict[str, CropModel], *, crop: str = "commodi
 
     @F.pandas_udf("double")
     def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        ask = {name: Remembered(m.predict) for name, m in shared.value.items()}
         for batch in batches:
             found = np.full(len(batch), np.nan)
             for model, at, x in by_model(batch, shared.value, inputs):
-                found[at] = model.predict(x)
+                found[at] = ask[model.crop](x)
             yield pd.Series(found).astype("Float64").where(~np.isnan(found))
 
     value = predicted(input_struct(inputs, crop))

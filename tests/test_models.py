@@ -192,6 +192,61 @@ def test_attribution_equals_definition():
     assert got[1] == pytest.approx(((value({1}) - value(set())) + (value({0, 1}) - value({0}))) / 2)
 
 
+def test_contributions_of_many_leaves_at_their_borders(monkeypatch):
+    """The look-up by intervals against each leaf's own tests, in several steps, for values on, between and beyond the borders."""
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(attribution, "LEAVES_AT_ONCE", 7)
+    monkeypatch.setattr(attribution, "ROWS_AT_ONCE", 5)
+    trees, depth, width = 6, 4, 3
+    feature, threshold = np.full((trees, 31), -1), np.full((trees, 31), math.inf)
+    cover, value = np.ones((trees, 31), int), rng.normal(size=(trees, 31))
+    for t in range(trees):
+        cover[t, 0] = 1000
+        for i in range(2**depth - 1):
+            feature[t, i], threshold[t, i] = rng.integers(width), rng.integers(-3, 4) / 2
+            cover[t, 2 * i + 1] = max(1, cover[t, i] * rng.integers(1, 9) // 10)
+            cover[t, 2 * i + 2] = max(1, cover[t, i] - cover[t, 2 * i + 1])
+    model = boosting.CropModel("Corn", ["u", "v", "w"], 1.0, feature, threshold, np.zeros((trees, 31)), cover, value)
+    _, leaves = attribution._leaves(model, range(trees))
+    tables = attribution._tables(leaves)
+    x = rng.integers(-5, 6, (60, width)) / 2
+    want = np.zeros_like(x)
+    for features, low, high, table in tables:
+        for i, row in enumerate(x):
+            for leaf in range(len(features)):
+                holds = (row[features[leaf]] > low[leaf]) & (row[features[leaf]] <= high[leaf])
+                want[i, features[leaf]] += table[leaf, holds @ (1 << np.arange(features.shape[1]))]
+    look = attribution.Lookup(tables, width)
+    assert np.allclose(look(x), want, rtol=0, atol=1e-12)
+    assert look(x[:0]).shape == (0, width)
+
+
+def test_equal_rows_are_computed_once():
+    asked = []
+
+    def of(x):
+        asked.append(len(x))
+        return x.sum(axis=1)
+
+    ask = boosting.Remembered(of, most=3)
+    x = np.array([[1.0, 2.0], [3.0, 4.0], [1.0, 2.0]])
+    assert ask(x).tolist() == [3.0, 7.0, 3.0] and ask(x[::-1]).tolist() == [3.0, 7.0, 3.0] and asked == [2]
+    assert ask(np.array([[0.0, 1.0], [1.0, 2.0], [0.0, 0.5]])).tolist() == [1.0, 3.0, 0.5] and asked == [2, 2]
+    assert ask(x).tolist() == [3.0, 7.0, 3.0] and asked == [2, 2, 2]  # four rows were more than it keeps
+
+
+def test_attribution_of_a_season_shared_by_many_rows(spark, models):
+    """Rows of a season have the contributions that the season has alone."""
+    seasons = spark.createDataFrame([("Corn", 0.25, -1.0), ("Corn", 1.5, 0.5)], "commodity_name string, a double, b double")
+    rows = seasons.crossJoin(spark.range(3000)).coalesce(1)
+    one = {(r.a, r.b): r for r in attribution.attribute(seasons, models).collect()}
+    parts = attribution.attribute(rows, models)
+    assert parts.count() == 6000
+    for r in parts.select("a", "b", "base_value", "drivers").distinct().collect():
+        assert (r.base_value, r.drivers) == (one[r.a, r.b].base_value, one[r.a, r.b].drivers)
+    assert parts.select("a", "b", "base_value", "drivers").distinct().count() == 2
+
+
 def test_folds_are_contiguous(spark):
     df = spark.range(23).repartition(4)
     rows = boosting.contiguous_folds(df, [F.col("id")], 5, task_rows=6).orderBy("id").collect()
