@@ -1,18 +1,22 @@
 """Boosted regression trees for all crops and folds in one set of passes (M1-M4, M6).
 
-Features are cut into at most ``BINS`` intervals and kept as one byte each. Growing a level of a tree takes sums over
-(model, node, feature, interval): how many rows there are, and their residuals. The splits follow from these sums alone, whose
-size depends on the parameters. A model is a crop, or a crop without one fold. Of two children only the left one is
-summed, the right one is what remains. Residuals are summed as whole multiples of a small step, so that sums are exact
-and a fit does not depend on how rows are dealt, beyond what the sketch of the intervals' borders does.
+Features are cut into at most ``BINS`` intervals and kept as one byte each. Rows of a model that are alike in every interval are a
+cell: they go the same way in every tree. Growing a level of a tree takes sums over (model, node, feature, interval): how many rows
+there are, and their residuals, which follow from the rows a tree draws from each cell and the sum of their targets. The splits
+follow from these sums alone, whose size depends on the parameters. A model is a crop, or a crop without one fold. Targets and
+predictions are whole multiples of a small step, so that sums are exact and a fit does not depend on how rows are dealt, beyond
+what the sketch of the intervals' borders does.
 
 - Models of up to ``TASK_ROWS`` rows (known from their counts) are grown side by side, each by one task.
-- All larger ones are grown together: one job per level adds up the sums of all tasks, so that further crops and folds
-  cost rows, not jobs. Predictions of the rows so far stay with their blocks in executor storage; every few
-  rounds they are checkpointed to the shared folder, so that a lost executor costs a few rounds. These passes are RDD code:
-  numpy works on a whole partition at a time, and a query plan for each of thousands of levels would cost more than the level.
-
-Both give the same trees.
+- Larger ones with up to ``CELLS`` cells (counted) are tallied first: one pass over the rows says for each cell and tree how many rows
+  are drawn and the sum of their targets. Partial tallies are added up, and a model is grown from its tally by one task. A tally's size
+  is bounded by the parameters, rows are read once for all trees.
+- The others are grown together from all their rows: one job per level adds up the sums of all tasks, model by model, and only the
+  splits come to the driver. Cells with their predictions so far stay in executor storage; every few rounds they are
+  checkpointed to the shared folder, so that a lost executor costs a few rounds. These passes are RDD code: numpy
+  works on a whole partition at a time, and a query plan for each of thousands of levels would cost more than the level.
+
+All give the same trees.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from harvestlens.session import cut, delete_path, shared_root
 BINS = 64  # intervals of a feature
 BLOCK_ROWS = 65_536  # rows in one block, and so in one step of numpy
 TASK_ROWS = 262_144  # rows of a model that one task grows alone
+CELLS = 4_096  # different rows of intervals up to which a larger model is grown from a tally, 6 KB each with 400 trees
+TALLY_ROWS = 262_144  # rows that are tallied at a time
 PENALTY = 1.0  # added to the row count of a leaf
 KEPT_ROUNDS = 20  # rounds between checkpoints
 QUANTILE_ACCURACY = 10_000
@@ -119,18 +125,60 @@ class Plan:
         at = [self.names.index(n) for n in chosen]
         return Plan(chosen, [self.edges[i] for i in at], self.base[at], self.scale[at], self.features, self.params)
 
-    def block(self, part: pa.Table) -> dict:
-        """Rows of (model, target, hash, features...) with one byte per feature and the prediction so far."""
+    def allowed(self, name: str) -> list[np.ndarray]:
+        """The features each tree of a model may split on."""
+        width, p = len(self.features), self.params
+        allowed = np.zeros((p["maxIter"], width), bool)
+        for t in range(p["maxIter"]):
+            draw = np.random.default_rng([p["seed"], zlib.crc32(name.encode()), t])
+            allowed[t, draw.permutation(width)[: max(1, int(float(p["featureSubsetStrategy"]) * width))]] = True
+        return list(allowed)
+
+    def drawn(self, hashes: np.ndarray, t: int) -> np.ndarray:
+        """Whether tree t sees the rows with these hashes."""
+        salt = _spread(np.array([self.params["seed"] * 1_000_003 + t + 1], np.uint64))[0]
+        return (_spread(hashes ^ salt) >> np.uint64(11)) < np.uint64(int(self.params["subsamplingRate"] * (1 << 53)))
+
+    def numbered(self, part: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Model, intervals and target in steps of rows of (model, target, hash, features...)."""
         number = {name: i for i, name in enumerate(self.names)}
-        model = np.array([number[m] for m in part["__model"].to_pylist()], np.int16)
+        coded = pa.chunked_array([part["__model"]]) if isinstance(part, pa.RecordBatch) else part["__model"]
+        coded = coded.combine_chunks().dictionary_encode()
+        known = np.array([number[m] for m in coded.dictionary.to_pylist()], np.int16)
+        model = known[coded.indices.to_numpy()]
         bins = np.zeros((len(model), len(self.features)), np.uint8)
+        places = [(m, np.flatnonzero(model == m)) for m in known.tolist()]
         for j in range(len(self.features)):
             x = part[f"__f{j}"].to_numpy()
-            for m in np.unique(model).tolist():
-                at = model == m
+            for m, at in places:
                 bins[at, j] = np.searchsorted(self.edges[m][j], x[at], "left")
-        return {"model": model, "bins": bins, "y": part["__y"].to_numpy(), "hash": part["__h"].to_numpy().view(np.uint64),
-                "at": self.base[model]}
+        return model, bins, np.rint(part["__y"].to_numpy() * self.scale[model]).astype(np.int64)
+
+    def block(self, part: pa.Table) -> dict:
+        """Rows of (model, target, hash, features...) by cells, which have one byte per feature and the prediction so far."""
+        model, bins, y = self.numbered(part)
+        key = np.ascontiguousarray(np.hstack([bins, model.view(np.uint8).reshape(-1, 2)]))
+        _, first, cell = np.unique(key.view(np.dtype((np.void, key.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        return {"model": model[first], "bins": bins[first], "at": self.base[model[first]],
+                "cell": cell, "y": y, "hash": part["__h"].to_numpy().view(np.uint64)}
+
+
+def _exact(key: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of 64-bit whole numbers by key; halves are added up, so that doubles hold them."""
+    if not len(values) or float(np.abs(values).max()) * len(values) < 2.0**53:
+        return np.bincount(key, values, size).astype(np.int64)
+    high = values >> 26
+    low = np.bincount(key, values - (high << 26), size).astype(np.int64)
+    return (np.bincount(key, high, size).astype(np.int64) << 26) + low
+
+
+def _ready(block: dict, t: int, plan: Plan) -> dict:
+    """The block with rows drawn for tree t and the sum of their targets by cell."""
+    if "tally" in block:
+        return block | {"n": block["tally"][0][:, t], "sum": block["tally"][1][:, t]}
+    drawn, size = plan.drawn(block["hash"], t), len(block["at"])
+    cell = block["cell"][drawn]
+    return block | {"n": np.bincount(cell, minlength=size), "sum": _exact(cell, block["y"][drawn], size)}
 
 
 def _blocks(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -154,80 +202,55 @@ def _blocks(rows: DataFrame, plan: Plan) -> DataFrame:
     return rows.mapInArrow(packed, "block binary")
 
 
-def _walk(block: dict, at: np.ndarray, feature: np.ndarray, interval: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Node of each row after some levels, and whether it got down to that level."""
-    node = np.zeros(len(at), np.int64)
-    down = np.ones(len(at), bool)
-    model = block["model"][at]
+def _walk(block: dict, feature: np.ndarray, interval: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Node of each cell after some levels, and whether it got down to that level."""
+    model = block["model"]
+    node, down, cell = np.zeros(len(model), np.int64), np.ones(len(model), bool), np.arange(len(model))
     for _ in range(levels):
         f = feature[model, node]
         down &= f >= 0
-        right = block["bins"][at, f] > interval[model, node]
+        right = block["bins"][cell, f] > interval[model, node]
         node = np.where(f >= 0, 2 * node + 1 + right, node)
     return node, down
 
 
-def _sums(blocks: Iterator[dict], feature: np.ndarray, interval: np.ndarray, level: int, salt: int, share: float,
-          scale: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows and residuals by [model, node, feature, interval] for the root, or for the left children of a level."""
-    nodes = max(1, 1 << (level - 1)) if level else 1
-    out = None
+def _sums(blocks: Iterator[dict], feature: np.ndarray, interval: np.ndarray, level: int, scale: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows and residuals by [model, node, feature, interval] for all nodes of a level."""
+    nodes, out = 1 << level, None
     for block in blocks:
         models, width = len(feature), block["bins"].shape[1]
         size = models * nodes * BINS
         if out is None:
-            out = np.zeros((2, width, size))
-        drawn = (_spread(block["hash"] ^ np.uint64(salt)) >> np.uint64(11)) < np.uint64(int(share * (1 << 53)))
-        at = np.flatnonzero(drawn)
-        if level:
-            node, down = _walk(block, at, feature, interval, level)
-            node -= (1 << level) - 1
-            left = down & (node % 2 == 0)
-            at, node = at[left], node[left] // 2
-        else:
-            node = np.zeros(len(at), np.int64)
-        residual = np.rint((block["y"][at] - block["at"][at]) * scale[block["model"][at]])
-        place = (block["model"][at] * nodes + node) * BINS
+            out = np.zeros((2, width, size), np.int64)
+        node, down = _walk(block, feature, interval, level)
+        at = np.flatnonzero(down & (block["n"] > 0))
+        model, n = block["model"][at], block["n"][at]
+        residual = block["sum"][at] - n * np.rint(block["at"][at] * scale[model]).astype(np.int64)
+        place = (model.astype(np.int64) * nodes + node[at] - (nodes - 1)) * BINS
         for j in range(width):
             key = place + block["bins"][at, j]
-            out[0, j] += np.bincount(key, minlength=size)
-            out[1, j] += np.bincount(key, residual, size)
+            out[0, j] += np.bincount(key, n, size).astype(np.int64)
+            out[1, j] += _exact(key, residual, size)
     if out is not None:
-        yield out.astype(np.int64).reshape(2, width, models, nodes, BINS).transpose(0, 2, 3, 1, 4)
-
-
-def _total(parts) -> np.ndarray:
-    """Sum over all tasks; in a tree of tasks when they are many."""
-    if parts.getNumPartitions() > 32:
-        return parts.treeReduce(lambda a, b: a + b, 3)
-    return sum(parts.collect())
+        yield out.reshape(2, width, models, nodes, BINS).transpose(0, 2, 3, 1, 4)
 
 
-def _tree(plan: Plan, t: int, total: Callable[[tuple], np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Tree number t of every model: feature, interval, gain, cover and value by [model, node].
+def _grow(plan: Plan, allowed, splits: Callable[[tuple, list], list[tuple]]) -> tuple[np.ndarray, ...]:
+    """The next tree of every model: feature, interval, gain, cover and value by [model, node].
 
-    ``total`` gives the sums of a level over all rows, see ``_sums``.
+    ``splits`` gives what ``_split`` finds for every model in the sums of a level over all rows.
     """
-    p, models, width = plan.params, len(plan.names), len(plan.features)
-    depth = p["maxDepth"]
+    models, depth = len(plan.names), plan.params["maxDepth"]
     nodes = (1 << (depth + 1)) - 1
     feature, interval, cover = np.full((models, nodes), -1, np.int64), np.zeros((models, nodes), np.int64), np.zeros((models, nodes), np.int64)
     gain, value = np.zeros((models, nodes)), np.zeros((models, nodes))
-    allowed = np.zeros((models, width), bool)
-    for m, name in enumerate(plan.names):
-        draw = np.random.default_rng([p["seed"], zlib.crc32(name.encode()), t])
-        allowed[m, draw.permutation(width)[: max(1, int(float(p["featureSubsetStrategy"]) * width))]] = True
-    salt = int(_spread(np.array([p["seed"] * 1_000_003 + t + 1], np.uint64))[0])
-    sums = None
     for level in range(depth):
-        found = total((feature, interval, level, salt, p["subsamplingRate"], plan.scale))
-        if level == 0:
-            sums = found
-        else:
-            split = feature[:, (1 << level - 1) - 1 : (1 << level) - 1] >= 0
-            right = np.where(split[None, :, :, None, None], sums - found, 0)
-            sums = np.stack([found, right], axis=3).reshape(2, models, 1 << level, width, BINS)
-        if not _split(sums, level, allowed, plan.scale, p["stepSize"], feature, interval, gain, cover, value):
+        own, below = slice((1 << level) - 1, (2 << level) - 1), slice((2 << level) - 1, (4 << level) - 1)
+        for m, (f, i, g, c, v, root) in splits((feature, interval, level, plan.scale), allowed):
+            feature[m, own], interval[m, own], gain[m, own], cover[m, below], value[m, below] = f, i, g, c, v
+            if level == 0:
+                cover[m, 0], value[m, 0] = root
+        if not (feature[:, own] >= 0).any():
             break
     return feature, interval, gain, cover, value
 
@@ -235,46 +258,130 @@ def _tree(plan: Plan, t: int, total: Callable[[tuple], np.ndarray]) -> tuple[np.
 def _moved(block: dict, tree: tuple[np.ndarray, ...], depth: int) -> dict:
     """The block with the predictions after one more tree."""
     feature, interval, _, _, value = tree
-    node, _ = _walk(block, np.arange(len(block["y"])), feature, interval, depth)
+    node, _ = _walk(block, feature, interval, depth)
     return block | {"at": block["at"] + value[block["model"], node]}
 
 
-def _grow_in_tasks(usable: DataFrame, plan: Plan) -> list[tuple[np.ndarray, ...]]:
+def _alone(own: Plan, blocks: list[dict]) -> pa.Table:
+    """All trees of the only model of a plan, grown from blocks at hand."""
+    trees, allowed, rate = [], own.allowed(own.names[0]), own.params["stepSize"]
+    for t in range(own.params["maxIter"]):
+        blocks = [_ready(b, t, own) for b in blocks]
+
+        def splits(task: tuple, may: np.ndarray) -> list[tuple]:
+            return [(0, _split(sum(next(_sums(iter([b]), *task)) for b in blocks)[:, 0], task[2], may, own.scale[0], rate))]
+
+        trees.append(_grow(own, allowed[t], splits))
+        blocks = [_moved(b, trees[-1], own.params["maxDepth"]) for b in blocks]
+    return pa.table({"model": own.names, "trees": pa.array([pickle.dumps([np.concatenate(a) for a in zip(*trees)])], pa.binary())})
+
+
+def _collected(grown: DataFrame, plan: Plan) -> list[np.ndarray]:
+    found = {r.model: pickle.loads(r.trees) for r in grown.collect()}
+    return [np.stack(a) for a in zip(*(found[n] for n in plan.names))]
+
+
+def _grow_in_tasks(usable: DataFrame, plan: Plan) -> list[np.ndarray]:
     """All trees of every model, a model by one task; arrays by [model, tree, node]."""
     def grown(table: pa.Table) -> pa.Table:
-        name = table["__model"][0].as_py()
-        own = plan.of([name])
+        own = plan.of([table["__model"][0].as_py()])
         # Sums are exact, so the order in which the rows arrived does not matter.
-        blocks = [own.block(table.slice(i, BLOCK_ROWS)) for i in range(0, table.num_rows, BLOCK_ROWS)]
-        trees = []
-        for t in range(own.params["maxIter"]):
-            trees.append(_tree(own, t, lambda task: next(_sums(iter(blocks), *task))))
-            blocks = [_moved(b, trees[-1], own.params["maxDepth"]) for b in blocks]
-        return pa.table({"model": [name], "trees": pa.array([pickle.dumps([np.concatenate(a) for a in zip(*trees)])], pa.binary())})
+        return _alone(own, [own.block(table.slice(i, BLOCK_ROWS)) for i in range(0, table.num_rows, BLOCK_ROWS)])
 
     dealt = usable.repartition(4 * len(plan.names), "__model")
-    found = {r.model: pickle.loads(r.trees) for r in dealt.groupBy("__model").applyInArrow(grown, "model string, trees binary").collect()}
-    return [np.stack(a) for a in zip(*(found[n] for n in plan.names))]
+    return _collected(dealt.groupBy("__model").applyInArrow(grown, "model string, trees binary"), plan)
 
 
-def _grow_in_passes(usable: DataFrame, plan: Plan, rows: int) -> list[tuple[np.ndarray, ...]]:
+def _cells(usable: DataFrame, plan: Plan) -> DataFrame:
+    """Rows as (model, cell, target in steps, hash); a cell is the interval of every feature, a byte each."""
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, bins, y = plan.numbered(batch)
+            cell = pa.Array.from_buffers(pa.binary(bins.shape[1]), len(bins), [None, pa.py_buffer(np.ascontiguousarray(bins))])
+            yield pa.RecordBatch.from_arrays([batch["__model"], cell.cast(pa.binary()), pa.array(y), batch["__h"]], names=["model", "cell", "y", "hash"])
+
+    return usable.mapInArrow(binned, "model string, cell binary, y long, hash long")
+
+
+_TALLY = "model string, part long, cell binary, n binary, sum binary"
+
+
+def _tally(model: pa.Array, part: pa.Array, cells: pa.Array, n: np.ndarray, total: np.ndarray) -> pa.Table:
+    return pa.table([model, part, cells, pa.array([x.tobytes() for x in n], pa.binary()), pa.array([x.tobytes() for x in total], pa.binary())],
+                    [x.split()[0] for x in _TALLY.split(", ")])
+
+
+def _tallies(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Cells of some partial tallies, and their sums."""
+    cells = rows["cell"].combine_chunks().dictionary_encode()
+    at = cells.indices.to_numpy()
+    n, total = (np.stack([np.frombuffer(x, np.int64) for x in rows[c].to_pylist()]) for c in ("n", "sum"))
+    out = np.zeros((2, len(cells.dictionary), n.shape[1]), np.int64)
+    for row, cell in enumerate(at.tolist()):
+        out[0, cell] += n[row]
+        out[1, cell] += total[row]
+    return cells.dictionary, out[0], out[1]
+
+
+def _grow_from_tallies(cells: DataFrame, plan: Plan, rows: list[int]) -> list[np.ndarray]:
+    """All trees of every model, from the sums that each cell has for each tree; arrays by [model, tree, node]."""
+    spark, trees = cells.sparkSession, plan.params["maxIter"]
+
+    def tallied(table: pa.Table) -> pa.Table:
+        found = table["cell"].combine_chunks().dictionary_encode()
+        at, size = found.indices.to_numpy(), len(found.dictionary)
+        hashes, y = table["hash"].to_numpy().view(np.uint64), table["y"].to_numpy()
+        n, total = np.zeros((2, trees, size), np.int64)
+        for t in range(trees):
+            drawn = plan.drawn(hashes, t)
+            cell = at[drawn]
+            n[t], total[t] = np.bincount(cell, minlength=size), _exact(cell, y[drawn], size)
+        groups = table["groups"][0].as_py()
+        part = pa.array([zlib.crc32(c) % groups for c in found.dictionary.to_pylist()], pa.int64())
+        return _tally(pa.array([table["model"][0].as_py()] * size), part, found.dictionary, n.T, total.T)
+
+    def added(table: pa.Table) -> pa.Table:
+        cells, n, total = _tallies(table)
+        first = [pa.array([table[c][0].as_py()] * len(cells)) for c in ("model", "part")]
+        return _tally(*first, cells, n, total)
+
+    def grown(table: pa.Table) -> pa.Table:
+        own = plan.of([table["model"][0].as_py()])
+        cells, n, total = _tallies(table)
+        bins = np.frombuffer(b"".join(cells.to_pylist()), np.uint8).reshape(len(cells), -1)
+        model = np.zeros(len(cells), np.int16)
+        return _alone(own, [{"model": model, "bins": bins, "at": own.base[model], "tally": (n, total)}])
+
+    groups = [(name, max(1, -(-n // TALLY_ROWS))) for name, n in zip(plan.names, rows)]
+    dealt = cells.join(F.broadcast(spark.createDataFrame(groups, "model string, groups long")), "model").withColumn(
+        "share", F.pmod(F.monotonically_increasing_id(), F.col("groups")))
+    partial = dealt.repartition(sum(g for _, g in groups), "model", "share").groupBy("model", "share").applyInArrow(tallied, _TALLY)
+    whole = partial.groupBy("model", "part").applyInArrow(added, _TALLY)
+    return _collected(whole.repartition(4 * len(plan.names), "model").groupBy("model").applyInArrow(grown, "model string, trees binary"), plan)
+
+
+def _grow_in_passes(usable: DataFrame, plan: Plan, rows: int) -> list[np.ndarray]:
     """All trees of all models together, a job for each level; arrays by [model, tree, node]."""
-    spark, depth = usable.sparkSession, plan.params["maxDepth"]
+    spark, depth, rate, models = usable.sparkSession, plan.params["maxDepth"], plan.params["stepSize"], len(plan.names)
     packed = cut(_blocks(usable.repartition(max(1, -(-rows // BLOCK_ROWS))), plan))
-    state = packed.rdd.map(lambda r: pickle.loads(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
+    state = packed.rdd.map(lambda r: _ready(pickle.loads(r[0]), 0, plan)).persist(StorageLevel.MEMORY_AND_DISK)
     trees, before, kept = [], None, []
+    allowed = [plan.allowed(name) for name in plan.names]
 
-    def total(task: tuple) -> np.ndarray:
+    def splits(task: tuple, may: list[np.ndarray]) -> list[tuple]:
         nonlocal before
-        found = _total(state.mapPartitions(lambda blocks: _sums(blocks, *task)))
+        level, scale = task[2:]
+        sums = state.mapPartitions(lambda blocks: ((m, found[:, m]) for found in _sums(blocks, *task) for m in range(models)))
+        whole = sums.reduceByKey(lambda a, b: a + b, min(models, 64))
+        found = whole.map(lambda x: (x[0], _split(x[1], level, may[x[0]], scale[x[0]], rate))).collect()
         if before is not None:  # the predictions are computed and stored by now
             before.unpersist()
             before = None
         return found
 
     for t in range(plan.params["maxIter"]):
-        trees.append(_tree(plan, t, total))
-        before, state = state, state.map(lambda b, tree=trees[-1]: _moved(b, tree, depth)).persist(StorageLevel.MEMORY_AND_DISK)
+        trees.append(_grow(plan, [own[t] for own in allowed], splits))
+        before, state = state, state.map(lambda b, tree=trees[-1], t=t: _ready(_moved(b, tree, depth), t + 1, plan)).persist(StorageLevel.MEMORY_AND_DISK)
         if (t + 1) % KEPT_ROUNDS == 0:
             state.checkpoint()
             kept.append(state)
@@ -316,13 +423,20 @@ def fit_models(rows: DataFrame, features: list[str], *, model: str, target: str
     out = {}
     small = [s["__model"] for s in stats if s["n"] <= task_rows]
     large = [s["__model"] for s in stats if s["n"] > task_rows]
-    for names in (small, large):
-        if not names:
-            continue
-        own = usable.where(F.col("__model").isin(names))
-        n = sum(s["n"] for s in stats if s["__model"] in names)
-        grown = _grow_in_tasks(own, plan.of(names)) if names is small else _grow_in_passes(own, plan.of(names), n)
-        out |= _models(plan.of(names), grown)
+    if small:
+        out |= _models(plan.of(small), _grow_in_tasks(usable.where(F.col("__model").isin(small)), plan.of(small)))
+    if large:
+        n = {s["__model"]: s["n"] for s in stats}
+        cells = cut(_cells(usable.where(F.col("__model").isin(large)), plan))
+        different = cells.groupBy("model", "cell").agg(F.lit(1)).groupBy("model").agg(F.count("*").alias("cells")).collect()
+        few = {r.model for r in different if r.cells <= CELLS}
+        tallied, others = [m for m in large if m in few], [m for m in large if m not in few]
+        if tallied:
+            own = plan.of(tallied)
+            out |= _models(own, _grow_from_tallies(cells.where(F.col("model").isin(tallied)), own, [n[m] for m in tallied]))
+        if others:
+            own = plan.of(others)
+            out |= _models(own, _grow_in_passes(usable.where(F.col("__model").isin(others)), own, sum(n[m] for m in others)))
     return {name: out[name] for name in plan.names}
 
 
@@ -338,29 +452,29 @@ def _models(plan: Plan, grown: list[np.ndarray]) -> dict[str, CropModel]:
     return out
 
 
-def _split(sums: np.ndarray, level: int, allowed: np.ndarray, scale: np.ndarray, rate: float, feature: np.ndarray, interval: np.ndarray,
-           gain: np.ndarray, cover: np.ndarray, value: np.ndarray) -> bool:
-    """Write the best split of every node of a level into the tree's arrays; says whether there is any."""
-    first = (1 << level) - 1
-    count, total = sums[0].astype(float), sums[1] / scale[:, None, None, None]
-    rows, whole = count[:, :, 0].sum(axis=2), total[:, :, 0].sum(axis=2)  # [model, node]
-    if level == 0:
-        cover[:, 0], value[:, 0] = rows[:, 0], rate * whole[:, 0] / (rows[:, 0] + PENALTY)
-    left_rows, left = np.cumsum(count, axis=3), np.cumsum(total, axis=3)
-    right_rows, right = rows[:, :, None, None] - left_rows, whole[:, :, None, None] - left
+def _split(sums: np.ndarray, level: int, allowed: np.ndarray, scale: float, rate: float) -> tuple:
+    """The best splits of a model's nodes of a level, from sums by [rows or residuals, node, feature, interval].
+
+    Feature (-1: none), interval and gain by node, cover and value by child, cover and value of the first node itself.
+    """
+    count, total = sums[0].astype(float), sums[1] / scale
+    rows, whole = count[:, 0].sum(axis=1), total[:, 0].sum(axis=1)  # [node]
+    left_rows, left = np.cumsum(count, axis=2), np.cumsum(total, axis=2)
+    right_rows, right = rows[:, None, None] - left_rows, whole[:, None, None] - left
     better = (left**2 / (left_rows + PENALTY) + right**2 / (right_rows + PENALTY)
-              - (whole**2 / (rows + PENALTY))[:, :, None, None])
-    better = np.where((left_rows > 0) & (right_rows > 0) & allowed[:, None, :, None], better, 0.0)
-    flat = better.reshape(*better.shape[:2], -1)
-    best = flat.argmax(axis=2)
-    won = np.take_along_axis(flat, best[:, :, None], axis=2)[:, :, 0]
-    for m, i in np.argwhere(won > 1e-9):
-        f, b = divmod(int(best[m, i]), BINS)
-        at = first + i
-        feature[m, at], interval[m, at], gain[m, at] = f, b, won[m, i]
-        for child, n, s in ((2 * at + 1, left_rows[m, i, f, b], left[m, i, f, b]), (2 * at + 2, right_rows[m, i, f, b], right[m, i, f, b])):
-            cover[m, child], value[m, child] = n, rate * s / (n + PENALTY)
-    return bool((won > 1e-9).any())
+              - (whole**2 / (rows + PENALTY))[:, None, None])
+    better = np.where((left_rows > 0) & (right_rows > 0) & allowed[None, :, None], better, 0.0)
+    flat = better.reshape(len(rows), -1)
+    best = flat.argmax(axis=1)
+    won = np.take_along_axis(flat, best[:, None], axis=1)[:, 0]
+    split, node = won > 1e-9, np.arange(len(rows))
+    feature, interval = np.divmod(best, BINS)
+    cover, value = np.zeros(2 * len(rows), np.int64), np.zeros(2 * len(rows))
+    for side, (n, s) in enumerate(((left_rows, left), (right_rows, right))):
+        n, s = n[node, feature, interval], s[node, feature, interval]
+        cover[side::2], value[side::2] = np.where(split, n, 0), np.where(split, rate * s / (n + PENALTY), 0.0)
+    root = rows[0], rate * whole[0] / (rows[0] + PENALTY)
+    return np.where(split, feature, -1), np.where(split, interval, 0), np.where(split, won, 0.0), cover, value, root
 
 
 def fit_crops(df: DataFrame, features: list[str], *, crops: list[str] = config.CROPS,

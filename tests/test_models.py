@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -134,6 +135,49 @@ def test_tasks_and_passes_grow_the_same_trees(crops, monkeypatch):
         assert list(other) == list(alone) and all(same_trees(alone[c], other[c]) for c in alone)
 
 
+def test_tallies_and_passes_grow_the_same_trees(crops, monkeypatch):
+    """Models grown from tallies of their cells, and by passes over all rows when cells are many: the trees of one task."""
+    params = {"maxIter": 5, "maxDepth": 4}
+    alone = boosting.fit_models(crops, ["a", "b"], model="commodity_name", params=params)
+    monkeypatch.setattr(boosting, "TALLY_ROWS", 50)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(boosting, "KEPT_ROUNDS", 2)
+    ways = []
+    for name in ("_grow_in_tasks", "_grow_from_tallies", "_grow_in_passes"):
+        monkeypatch.setattr(boosting, name, lambda *a, plain=getattr(boosting, name), name=name: ways.append(name) or plain(*a))
+    for cells, used in ((4096, ["_grow_from_tallies"]), (0, ["_grow_in_passes"]), (200, ["_grow_from_tallies", "_grow_in_passes"])):
+        ways.clear()
+        monkeypatch.setattr(boosting, "CELLS", cells)
+        for rows in (crops, crops.repartition(7)):
+            other = boosting.fit_models(rows, ["a", "b"], model="commodity_name", params=params, task_rows=0)
+            assert list(other) == list(alone) and all(same_trees(alone[c], other[c]) for c in alone)
+        assert ways == used * 2
+
+
+def test_only_splits_come_to_the_driver(crops, monkeypatch):
+    """In passes over all rows a level gives the driver its splits, not the sums by interval."""
+    sizes, plain = [], boosting._grow
+
+    def grow(plan, allowed, splits):
+        def noted(*task):
+            found = splits(*task)
+            sizes.append(len(pickle.dumps(found)))
+            return found
+
+        return plain(plan, allowed, noted)
+
+    monkeypatch.setattr(boosting, "CELLS", 0)
+    monkeypatch.setattr(boosting, "_grow", grow)
+    boosting.fit_models(crops, ["a", "b"], model="commodity_name", params=FAST, task_rows=0)
+    assert len(sizes) == 12 and max(sizes) < 4_000
+
+
+def test_exact_sums():
+    key, values = np.array([0, 1, 0, 1]), np.array([2**60 + 1, -(2**60) - 3, 5, 1])
+    assert boosting._exact(key, values, 3).tolist() == [2**60 + 6, -(2**60) - 2, 0]
+    assert boosting._exact(key[:0], values[:0], 2).tolist() == [0, 0]
+
+
 def test_quality_is_that_of_other_boosters(crops):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
