@@ -19,6 +19,9 @@ from harvestlens.operators import ordered
 from harvestlens.operators.joins import attach, is_small
 from harvestlens.session import cut
 
+GRID_CELLS = 65_536  # combinations of intervals of a tree that are tabulated
+WALKED_ROWS = 5_000  # rows of a group that a task walks before it tabulates the group's trees
+
 
 def standardise(df: DataFrame, keys: list[str], columns: list[str], suffix: str = "_std") -> DataFrame:
     """(x - mean) / population std per group (M8); a constant column gives 0."""
@@ -123,19 +126,71 @@ def grow_forest(samples: DataFrame, group: str, columns: list[str], seed: int) -
         one, f"grp {kind}, tree int, rows int, node int, left int, right int, feature int, threshold double, path double")
 
 
-def _path_lengths(x: np.ndarray, forest: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for left, right, feature, threshold, path in forest:
-        at = np.zeros(len(x), int)
-        while True:
-            inner = left[at] >= 0
-            if not inner.any():
-                break
-            go_left = x[rows, feature[at]] <= threshold[at]
-            at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-        total += path[at]
-    return total / len(forest)
+def _walked(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Path length of every row in a tree, node by node."""
+    left, right, feature, threshold, path = tree
+    at, rows = np.zeros(len(x), int), np.arange(len(x))
+    while True:
+        inner = left[at] >= 0
+        if not inner.any():
+            return path[at]
+        go_left = x[rows, feature[at]] <= threshold[at]
+        at = np.where(inner, np.where(go_left, left[at], right[at]), at)
+
+
+def _grid(tree: tuple[np.ndarray, ...], width: int) -> tuple[list[np.ndarray], np.ndarray] | None:
+    """The borders of each input and the leaf of every combination of intervals; None when these are too many.
+
+    A leaf is a box of intervals, so few inputs have a small grid: at most size^width / width^width cells.
+    """
+    left, right, feature, threshold, _ = tree
+    borders = [np.unique(threshold[(left >= 0) & (feature == f)]) for f in range(width)]
+    shape = [len(b) + 1 for b in borders]
+    if np.prod(shape, dtype=float) > GRID_CELLS or len(left) > 1 << 16:
+        return None
+    grid, stack = np.zeros(shape, np.uint16), [(0, tuple((0, n) for n in shape))]
+    while stack:
+        at, box = stack.pop()
+        if left[at] < 0:
+            grid[tuple(slice(*b) for b in box)] = at
+            continue
+        f = int(feature[at])
+        low, high = box[f]
+        border = int(np.searchsorted(borders[f], threshold[at])) + 1  # intervals before it go left
+        stack.append((int(left[at]), (*box[:f], (low, max(low, min(high, border))), *box[f + 1:])))
+        stack.append((int(right[at]), (*box[:f], (min(high, max(low, border)), high), *box[f + 1:])))
+    return borders, grid.ravel()
+
+
+class Forest:
+    """Average path length of rows. Trees are walked for the first rows; then leaves are looked up in the trees' grids."""
+
+    def __init__(self, trees: list[tuple[np.ndarray, ...]], width: int):
+        self.trees, self.width, self.seen, self.grids = trees, width, 0, None
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        self.seen += len(x)
+        if self.grids is None and self.seen > WALKED_ROWS:
+            self.grids = [_grid(t, self.width) for t in self.trees]
+        total = np.zeros(len(x))
+        if self.grids is None:
+            for tree in self.trees:
+                total += _walked(x, tree)
+            return total / len(self.trees)
+        values, places = zip(*(np.unique(x[:, f], return_inverse=True) for f in range(self.width)))
+        for tree, known in zip(self.trees, self.grids):
+            if known is None:
+                total += _walked(x, tree)
+                continue
+            borders, grid = known
+            cell = np.zeros(len(x), np.int64)
+            for own, value, place in zip(borders, values, places):
+                until = np.searchsorted(value, own, "right")  # values up to each border
+                interval = np.repeat(np.arange(len(own) + 1), np.diff(until, prepend=0, append=len(value)))
+                cell *= len(own) + 1
+                cell += interval[place]
+            total += tree[4][grid[cell]]
+        return total / len(self.trees)
 
 
 def score(df: DataFrame, nodes: DataFrame, group: str, columns: list[str], out: str) -> DataFrame:
@@ -152,6 +207,7 @@ def score(df: DataFrame, nodes: DataFrame, group: str, columns: list[str], out:
 
     @F.pandas_udf(T.DoubleType())
     def scored(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
+        ask: dict = {}
         for names, values in batches:
             x = values.to_numpy(dtype=float)
             result = np.full(len(x), np.nan)
@@ -160,7 +216,9 @@ def score(df: DataFrame, nodes: DataFrame, group: str, columns: list[str], out:
                     trees, expected = shared.value[name]
                     here = (names == name).to_numpy() & ~np.isnan(x).any(axis=1)
                     if here.any():
-                        result[here] = 2.0 ** (-_path_lengths(x[here], trees) / expected)
+                        if name not in ask:
+                            ask[name] = Forest(trees, len(columns))
+                        result[here] = 2.0 ** (-ask[name](x[here]) / expected)
             series = pd.Series(result, dtype=object)
             yield series.where(~np.isnan(result), None)
 

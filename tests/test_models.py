@@ -341,6 +341,26 @@ def test_isolation_forest_finds_planted_rows(spark, copies):
         assert np.abs(both).max() < 1e-12
 
 
+@pytest.mark.parametrize("width", [1, 2, 4])
+def test_leaves_by_grid_are_those_of_the_walk(width, monkeypatch):
+    """Path lengths from grids equal those of the walk to the last bit, also on borders and where a grid would be too large."""
+    rng = np.random.default_rng(width)
+    x = np.round(rng.normal(size=(500, width)), 1)
+    trees = []
+    for t in range(8):
+        nodes = list(zip(*isolation._grow(x[rng.choice(500, 64, replace=False)], np.random.default_rng([3, t]))))
+        trees.append(tuple(np.array(a) for a in nodes))
+    borders = np.array([[t[3][np.flatnonzero(t[0] >= 0)[0]]] * width for t in trees])
+    rows = np.concatenate([x, borders, np.full((1, width), 9.0), np.full((1, width), -np.inf)])
+    want = sum(isolation._walked(rows, t) for t in trees) / len(trees)
+    forest = isolation.Forest(trees, width)
+    assert np.array_equal(forest(rows), want) and forest.grids is None
+    monkeypatch.setattr(isolation, "WALKED_ROWS", 0)
+    assert np.array_equal(forest(rows), want) and len(forest.grids) == 8
+    monkeypatch.setattr(isolation, "GRID_CELLS", 10)
+    assert np.array_equal(isolation.Forest(trees, width)(rows), want)
+
+
 @pytest.mark.parametrize("n", [100, 700, 5000, 40_000])
 def test_forest_rows_choose_their_trees(spark, n):
     rows = spark.range(n).select("id", F.lit("Corn").alias("g"), (F.col("id") * 1.0).alias("u"))
