@@ -349,3 +349,52 @@ def test_packed_numbers():
 def test_null_text_reads_as_empty(docs):
     assert docs([(1, None)]).select(common.whole_text().alias("t")).first().t == ""
     assert common.fresh(docs([]).withColumn("_ID", F.lit(1)), "id") == ["__id"]
+
+
+def test_the_quality_model_is_trained_on_all_trusted_rows(spark, monkeypatch):
+    """No bound on the rows of a language: all that are not held out train the model."""
+    rows = spark.range(70_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("word "), "id").alias("text"))
+    labels = rows.select("doc_id", F.lit(1).alias("quality"))
+    held = labels.filter(F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(quality.HELD_OUT)) == 0).count()
+    seen = []
+
+    class Enough(Exception):
+        pass
+
+    def train(trusted, order):
+        seen.append((trusted.count(), trusted.distinct().count()))
+        raise Enough
+
+    monkeypatch.setattr(quality, "train", train)
+    with pytest.raises(Enough):
+        quality.judged(rows, labels)
+    assert seen == [(70_000 - held, 70_000 - held)] and 70_000 - held > 50_000
+    ids = labels.select("doc_id").limit(7)
+    assert quality.drawn(rows.union(rows.limit(10)), spark.createDataFrame([(3,), (99_999_999,)], "doc_id long")).count() == 2
+    assert sorted(map(tuple, quality.drawn(rows, ids).collect())) == sorted(map(tuple, quality.drawn(rows, ids, broadcast_ids=0).collect()))
+
+
+def test_grams_need_less_than_their_positions_in_64_bits():
+    """The n-grams of a chunk against the definition, and the most that is held at a time."""
+    import tracemalloc
+
+    def numbers(gram):
+        points = [0] * (5 - len(gram)) + list(gram)
+        return points[0] << 21 | points[1], points[2] << 42 | points[3] << 21 | points[4]
+
+    texts = ["abcabc", "", None, "\U0001F600é", "a"]
+    for more in ([], ["".join(map(chr, range(0x4E00, 0x4E00 + 9000)))]):  # few characters, and too many for one number
+        grams = quality.Grams(texts + more)
+        want = []
+        for t in texts + more:
+            points = [quality.START] * 4 + [ord(c) for c in t or ""] + [quality.END]
+            want += [numbers(points[i : i + 5]) for i in range(len(points) - 4)]
+        assert list(zip(grams.hi[grams.at].tolist(), grams.lo[grams.at].tolist())) == want
+        assert len(set(want)) == len(grams.hi) and grams.count.tolist() == [len(t or "") + 1 for t in texts + more]
+    size = 1 << 20
+    text = "abcdefgh" * (size // 8)
+    tracemalloc.start()
+    quality.Grams([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 45 * size  # 62 bytes a character before
