@@ -2,13 +2,12 @@
 
 Features are cut into at most ``BINS`` intervals and kept as one byte each. Rows of a model that are alike in every interval are a
 cell: they go the same way in every tree. Growing a level of a tree takes sums over (model, node, feature, interval): how many rows
-there are, and their residuals, which follow from the rows a tree draws from each cell and the sum of their targets. The splits
-follow from these sums alone, whose size depends on the parameters. A model is a crop, or a crop without one fold. Targets and
-predictions are whole multiples of a small step, so that sums are exact and a fit does not depend on how rows are dealt, beyond
-what the sketch of the intervals' borders does.
+there are, and their residuals, both added up by cell once a tree. The splits follow from these sums alone, whose size depends on
+the parameters. A model is a crop, or a crop without one fold. Residuals are summed as whole multiples of a small step, so that
+sums are exact and a fit does not depend on how rows are dealt, beyond what the sketch of the intervals' borders does.
 
 - Models of up to ``TASK_ROWS`` rows (known from their counts) are grown side by side, each by one task.
-- Larger ones with up to ``CELLS`` cells (counted) are tallied first: one pass over the rows says for each cell and tree how many rows
+- Larger ones with up to ``CELLS`` cells of ``CELL_ROWS`` rows or more on average (counted) are tallied first: one pass over the rows says for each cell and tree how many rows
   are drawn and the sum of their targets. Partial tallies are added up, and a model is grown from its tally by one task. A tally's size
   is bounded by the parameters, rows are read once for all trees.
 - The others are grown together from all their rows: one job per level adds up the sums of all tasks, model by model, and only the
@@ -16,7 +15,8 @@ what the sketch of the intervals' borders does.
   checkpointed to the shared folder, so that a lost executor costs a few rounds. These passes are RDD code: numpy
   works on a whole partition at a time, and a query plan for each of thousands of levels would cost more than the level.
 
-All give the same trees.
+The first and the last give the same trees. A tally rounds targets and predictions to steps, the others their difference, so values may
+differ by some steps, 1e-10 of the target's range.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ BINS = 64  # intervals of a feature
 BLOCK_ROWS = 65_536  # rows in one block, and so in one step of numpy
 TASK_ROWS = 262_144  # rows of a model that one task grows alone
 CELLS = 4_096  # different rows of intervals up to which a larger model is grown from a tally, 6 KB each with 400 trees
+CELL_ROWS = 8  # rows of a cell on average from which a tally is worth its size
 TALLY_ROWS = 262_144  # rows that are tallied at a time
 PENALTY = 1.0  # added to the row count of a leaf
 KEPT_ROUNDS = 20  # rounds between checkpoints
@@ -139,8 +140,8 @@ class Plan:
         salt = _spread(np.array([self.params["seed"] * 1_000_003 + t + 1], np.uint64))[0]
         return (_spread(hashes ^ salt) >> np.uint64(11)) < np.uint64(int(self.params["subsamplingRate"] * (1 << 53)))
 
-    def numbered(self, part: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Model, intervals and target in steps of rows of (model, target, hash, features...)."""
+    def numbered(self, part: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Model and intervals of rows of (model, target, hash, features...)."""
         number = {name: i for i, name in enumerate(self.names)}
         coded = pa.chunked_array([part["__model"]]) if isinstance(part, pa.RecordBatch) else part["__model"]
         coded = coded.combine_chunks().dictionary_encode()
@@ -152,15 +153,15 @@ class Plan:
             x = part[f"__f{j}"].to_numpy()
             for m, at in places:
                 bins[at, j] = np.searchsorted(self.edges[m][j], x[at], "left")
-        return model, bins, np.rint(part["__y"].to_numpy() * self.scale[model]).astype(np.int64)
+        return model, bins
 
     def block(self, part: pa.Table) -> dict:
         """Rows of (model, target, hash, features...) by cells, which have one byte per feature and the prediction so far."""
-        model, bins, y = self.numbered(part)
+        model, bins = self.numbered(part)
         key = np.ascontiguousarray(np.hstack([bins, model.view(np.uint8).reshape(-1, 2)]))
         _, first, cell = np.unique(key.view(np.dtype((np.void, key.shape[1]))).ravel(), return_index=True, return_inverse=True)
         return {"model": model[first], "bins": bins[first], "at": self.base[model[first]],
-                "cell": cell, "y": y, "hash": part["__h"].to_numpy().view(np.uint64)}
+                "cell": cell, "y": part["__y"].to_numpy(), "hash": part["__h"].to_numpy().view(np.uint64)}
 
 
 def _exact(key: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -173,12 +174,15 @@ def _exact(key: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 
 def _ready(block: dict, t: int, plan: Plan) -> dict:
-    """The block with rows drawn for tree t and the sum of their targets by cell."""
+    """The block with the number and the residuals, in steps, of the rows that tree t draws from each cell."""
+    scale, size = plan.scale[block["model"]], len(block["at"])
     if "tally" in block:
-        return block | {"n": block["tally"][0][:, t], "sum": block["tally"][1][:, t]}
-    drawn, size = plan.drawn(block["hash"], t), len(block["at"])
+        n, total = (a[:, t] for a in block["tally"])
+        return block | {"n": n, "residual": total - n * np.rint(block["at"] * scale).astype(np.int64)}
+    drawn = plan.drawn(block["hash"], t)
     cell = block["cell"][drawn]
-    return block | {"n": np.bincount(cell, minlength=size), "sum": _exact(cell, block["y"][drawn], size)}
+    residual = np.rint((block["y"][drawn] - block["at"][cell]) * scale[cell]).astype(np.int64)
+    return block | {"n": np.bincount(cell, minlength=size), "residual": _exact(cell, residual, size)}
 
 
 def _blocks(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -214,7 +218,7 @@ def _walk(block: dict, feature: np.ndarray, interval: np.ndarray, levels: int) -
     return node, down
 
 
-def _sums(blocks: Iterator[dict], feature: np.ndarray, interval: np.ndarray, level: int, scale: np.ndarray) -> Iterator[np.ndarray]:
+def _sums(blocks: Iterator[dict], feature: np.ndarray, interval: np.ndarray, level: int) -> Iterator[np.ndarray]:
     """Rows and residuals by [model, node, feature, interval] for all nodes of a level."""
     nodes, out = 1 << level, None
     for block in blocks:
@@ -224,9 +228,8 @@ def _sums(blocks: Iterator[dict], feature: np.ndarray, interval: np.ndarray, lev
             out = np.zeros((2, width, size), np.int64)
         node, down = _walk(block, feature, interval, level)
         at = np.flatnonzero(down & (block["n"] > 0))
-        model, n = block["model"][at], block["n"][at]
-        residual = block["sum"][at] - n * np.rint(block["at"][at] * scale[model]).astype(np.int64)
-        place = (model.astype(np.int64) * nodes + node[at] - (nodes - 1)) * BINS
+        n, residual = block["n"][at], block["residual"][at]
+        place = (block["model"][at].astype(np.int64) * nodes + node[at] - (nodes - 1)) * BINS
         for j in range(width):
             key = place + block["bins"][at, j]
             out[0, j] += np.bincount(key, n, size).astype(np.int64)
@@ -246,7 +249,7 @@ def _grow(plan: Plan, allowed, splits: Callable[[tuple, list], list[tuple]]) ->
     gain, value = np.zeros((models, nodes)), np.zeros((models, nodes))
     for level in range(depth):
         own, below = slice((1 << level) - 1, (2 << level) - 1), slice((2 << level) - 1, (4 << level) - 1)
-        for m, (f, i, g, c, v, root) in splits((feature, interval, level, plan.scale), allowed):
+        for m, (f, i, g, c, v, root) in splits((feature, interval, level), allowed):
             feature[m, own], interval[m, own], gain[m, own], cover[m, below], value[m, below] = f, i, g, c, v
             if level == 0:
                 cover[m, 0], value[m, 0] = root
@@ -296,7 +299,8 @@ def _cells(usable: DataFrame, plan: Plan) -> DataFrame:
     """Rows as (model, cell, target in steps, hash); a cell is the interval of every feature, a byte each."""
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, bins, y = plan.numbered(batch)
+            model, bins = plan.numbered(batch)
+            y = np.rint(batch["__y"].to_numpy() * plan.scale[model]).astype(np.int64)
             cell = pa.Array.from_buffers(pa.binary(bins.shape[1]), len(bins), [None, pa.py_buffer(np.ascontiguousarray(bins))])
             yield pa.RecordBatch.from_arrays([batch["__model"], cell.cast(pa.binary()), pa.array(y), batch["__h"]], names=["model", "cell", "y", "hash"])
 
@@ -370,7 +374,7 @@ def _grow_in_passes(usable: DataFrame, plan: Plan, rows: int) -> list[np.ndarray
 
     def splits(task: tuple, may: list[np.ndarray]) -> list[tuple]:
         nonlocal before
-        level, scale = task[2:]
+        level, scale = task[2], plan.scale
         sums = state.mapPartitions(lambda blocks: ((m, found[:, m]) for found in _sums(blocks, *task) for m in range(models)))
         whole = sums.reduceByKey(lambda a, b: a + b, min(models, 64))
         found = whole.map(lambda x: (x[0], _split(x[1], level, may[x[0]], scale[x[0]], rate))).collect()
@@ -429,7 +433,7 @@ def fit_models(rows: DataFrame, features: list[str], *, model: str, target: str
         n = {s["__model"]: s["n"] for s in stats}
         cells = cut(_cells(usable.where(F.col("__model").isin(large)), plan))
         different = cells.groupBy("model", "cell").agg(F.lit(1)).groupBy("model").agg(F.count("*").alias("cells")).collect()
-        few = {r.model for r in different if r.cells <= CELLS}
+        few = {r.model for r in different if r.cells <= min(CELLS, n[r.model] / CELL_ROWS)}
         tallied, others = [m for m in large if m in few], [m for m in large if m not in few]
         if tallied:
             own = plan.of(tallied)
